@@ -143,8 +143,8 @@ def compact_currency(c) -> Column:
     v = col(c)
     return (
         F.when(v.isNull(), "$0")
-        .when(v >= 1_000_000, F.format_string("$%.2fM", v / 1_000_000))
-        .when(v >= 1_000, F.format_string("$%.1fK", v / 1_000))
+        .when(F.abs(v) >= 1_000_000, F.format_string("$%.2fM", v / 1_000_000))
+        .when(F.abs(v) >= 1_000, F.format_string("$%.1fK", v / 1_000))
         .otherwise(F.format_string("$%.2f", v))
     )
 

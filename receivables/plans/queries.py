@@ -1,3 +1,4 @@
 """Imports every registration module so the catalog is complete."""
 
 from receivables.plans import reg_aging  # noqa: F401
+from receivables.plans import reg_metrics  # noqa: F401

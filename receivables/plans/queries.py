@@ -3,3 +3,4 @@
 from receivables.plans import reg_aging  # noqa: F401
 from receivables.plans import reg_metrics  # noqa: F401
 from receivables.plans import reg_plan  # noqa: F401
+from receivables.plans import reg_audit  # noqa: F401

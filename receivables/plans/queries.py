@@ -5,3 +5,4 @@ from receivables.plans import reg_metrics  # noqa: F401
 from receivables.plans import reg_plan  # noqa: F401
 from receivables.plans import reg_audit  # noqa: F401
 from receivables.plans import reg_data  # noqa: F401
+from receivables.plans import reg_model  # noqa: F401

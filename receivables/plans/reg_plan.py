@@ -90,15 +90,13 @@ def q_top_recommendations(fx):
     return recommend.top_recommendations(recs(fx), 30, 0)
 
 
-@register(
-    "next_contact", "RC-8",
-    f"""WITH {SCORED_CTE},
-h AS (SELECT invoice_id, count(*) AS n_prev, bool_or(action_type = 'friendly_reminder') AS fr,
+NEXT_CTE = f"""h AS (SELECT invoice_id, count(*) AS n_prev, bool_or(action_type = 'friendly_reminder') AS fr,
              bool_or(action_type = 'second_notice') AS sn, bool_or(action_type = 'call_request') AS cr
       FROM audit_actions GROUP BY invoice_id),
 x AS (SELECT s.invoice_id, s.customer_id, {overdue('s.due_date', A)} AS d, s.risk_score AS r,
              coalesce(h.n_prev, 0) AS n, coalesce(h.fr, false) AS fr, coalesce(h.sn, false) AS sn, coalesce(h.cr, false) AS cr
-      FROM scored s LEFT JOIN h ON s.invoice_id = h.invoice_id)
+      FROM scored s LEFT JOIN h ON s.invoice_id = h.invoice_id),
+nc AS (
 SELECT invoice_id, customer_id, d AS days_overdue, r AS risk_score, CAST(n AS bigint) AS previous_contacts,
   CASE WHEN d <= 7 AND r < 50 THEN 'friendly_reminder'
        WHEN d <= 15 AND fr THEN 'second_notice'
@@ -107,7 +105,12 @@ SELECT invoice_id, customer_id, d AS days_overdue, r AS risk_score, CAST(n AS bi
        WHEN d > 60 OR r >= 90 THEN 'escalate'
        WHEN n = 0 THEN 'friendly_reminder' WHEN n = 1 THEN 'second_notice' WHEN n = 2 THEN 'call_request'
        ELSE 'escalate' END AS next_action
-FROM x""",
+FROM x)"""
+
+
+@register(
+    "next_contact", "RC-8",
+    f"WITH {SCORED_CTE}, {NEXT_CTE} SELECT * FROM nc",
     views=("invoices", "customers", "audit_actions"),
 )
 def q_next_contact(fx):

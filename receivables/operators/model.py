@@ -75,14 +75,16 @@ def train(invoices, customers, payments, as_of, model_type: str = "gradient_boos
         frame.unpersist()
         raise ValueError(f"Insufficient training data: {stats['n']} rows. Need at least {min_rows}.")
     train_df, test_df = time_split(frame, test_size)
+    # The split is materialised once: every fold and tree iteration then reads cached rows, not the feature plan.
+    train_df, test_df = train_df.persist(), test_df.persist()
     pipeline = build_pipeline(model_type, seed, **params)
     cv = CrossValidator(
         estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=BinaryClassificationEvaluator(labelCol="is_late", metricName="areaUnderROC"),
-        foldCol="fold", numFolds=cv_folds, parallelism=2, seed=seed,
+        foldCol="fold", numFolds=cv_folds, parallelism=cv_folds, seed=seed,
     )
     cv_model = cv.fit(train_df)
-    model = pipeline.fit(train_df)
+    model = cv_model.bestModel  # refit on the whole training split by CrossValidator itself
     acc = MulticlassClassificationEvaluator(labelCol="is_late", predictionCol="prediction", metricName="accuracy")
     train_acc = acc.evaluate(model.transform(train_df))
     test_acc = acc.evaluate(model.transform(test_df)) if test_df.limit(1).count() else float("nan")
@@ -103,7 +105,8 @@ def train(invoices, customers, payments, as_of, model_type: str = "gradient_boos
     importances = spark.createDataFrame(list(zip(FEATURE_COLUMNS, imp)), "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
-    frame.unpersist()
+    for df in (train_df, test_df, frame):
+        df.unpersist()
     return TrainedModel(model, metrics, importances, cv_df)
 
 

@@ -11,8 +11,6 @@ All views are plain projections / equi-joins of the base tables, so their size g
 from __future__ import annotations
 
 import re
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = [
@@ -187,6 +185,3 @@ class Fixtures:
             raise AttributeError(name)
         return self.table(name)
 
-    @cached_property
-    def customers_base(self) -> DataFrame:
-        return self.table("customers")

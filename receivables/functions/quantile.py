@@ -28,14 +28,15 @@ def _bucket(x: Column) -> Column:
 def exact_quantile(df: DataFrame, column: str, q: float, out: str = "quantile") -> DataFrame:
     """One-row DataFrame with the exact linear-interpolated ``q`` quantile of ``column`` (NULLs ignored)."""
     vals = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    n = vals.agg(F.count(F.lit(1)).alias("n"))
-    ranks = n.select(
+    # Pass 1: the histogram. Its total is the row count, so no separate count job is needed.
+    hist = vals.groupBy(_bucket(F.col("v")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    pos = F.lit(q) * (F.col("n") - 1)
+    ranks = hist.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).select(
         "n",
-        F.floor(F.lit(q) * (F.col("n") - 1)).cast("long").alias("r_lo"),
-        F.least(F.floor(F.lit(q) * (F.col("n") - 1)).cast("long") + 1, F.col("n") - 1).alias("r_hi"),
-        (F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))).alias("frac"),
+        F.floor(pos).cast("long").alias("r_lo"),
+        F.least(F.floor(pos).cast("long") + 1, F.col("n") - 1).alias("r_hi"),
+        (pos - F.floor(pos)).alias("frac"),
     )
-    hist = vals.groupBy(_bucket(F.col("v")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
     # The histogram has at most a few thousand rows (bounded by the dynamic range of the data, not its size),
     # so this unpartitioned running count is a single small task.
     hist = hist.withColumn(
@@ -51,7 +52,7 @@ def exact_quantile(df: DataFrame, column: str, q: float, out: str = "quantile")
         .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
         .select("b", "before", "rank")
     )
-    # Only rows of the <= 2 selected buckets survive the broadcast semi join; count them per distinct value.
+    # Pass 2: only rows of the <= 2 selected buckets survive the broadcast semi join; count them per distinct value.
     fine = vals.withColumn("b", _bucket(F.col("v"))).join(
         F.broadcast(wanted.select("b").distinct()), "b", "left_semi"
     ).groupBy("b", "v").agg(F.count(F.lit(1)).alias("k"))

@@ -65,14 +65,20 @@ def forecast_inflows(invoices: DataFrame, payments: DataFrame | None, as_of, hor
     )
 
 
-def _uniform(key: Column) -> Column:
-    """Deterministic uniform in (0, 1) from the first 32 bits of md5(key)."""
-    h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+# Uniform draws are (h + 1) / (2^32 + 1) for a 32-bit hash h, so u >= 1 / (2^32 + 1) and the Box-Muller normal
+# sqrt(-2 ln u) * cos(.) can never exceed Z_MAX in absolute value. This is an exact bound of the generator, used to
+# skip invoices whose payment could not land in the horizon under any draw.
+Z_MAX = math.sqrt(-2.0 * math.log(1.0 / (2.0**32 + 1))) + 1e-9
+
+
+def _uniform32(hex_digest: Column, chunk: int) -> Column:
+    """Uniform in (0, 1) from the ``chunk``-th group of 32 bits of a hex digest."""
+    h = F.conv(F.substring(hex_digest, 1 + 8 * chunk, 8), 16, 10).cast("bigint")
     return (h + 1) / F.lit(2.0**32 + 1)
 
 
-def draw_keys(invoice_id: Column, scenario: Column, seed: int, tag: str) -> Column:
-    return F.concat_ws("|", invoice_id, scenario.cast("string"), F.lit(str(seed)), F.lit(tag))
+def draw_key(invoice_id: Column, scenario: Column, seed: int) -> Column:
+    return F.concat_ws("|", invoice_id, scenario.cast("string"), F.lit(str(seed)))
 
 
 def cash_scenarios(
@@ -81,22 +87,26 @@ def cash_scenarios(
 ) -> DataFrame:
     """FC-3: Monte Carlo collections per scenario within ``days_ahead`` of ``as_of``.
 
-    Each (invoice, scenario) draws paid ~ Bernoulli(p) and delay = max(0, Normal(avg, std)) from hashes of
-    (invoice_id, scenario, seed, tag): the result does not depend on partitioning or task retries. Invoices due
-    after ``as_of + days_ahead`` can never count (delay >= 0) and are removed before the expansion. The scenario
-    axis is a ``n_scenarios``-row broadcast, and the only shuffle is the per-scenario partial sum.
+    Each (invoice, scenario) pair takes one md5 of (invoice_id, scenario, seed); its first three 32-bit groups give
+    paid ~ Bernoulli(p) and the two Box-Muller uniforms for delay = max(0, Normal(avg, std)). The draws depend only
+    on the key, not on partitioning or task retries. Two exact prunings run before the scenario expansion: invoices
+    due after ``as_of + days_ahead`` can never count (delay >= 0), and invoices due before
+    ``as_of - (avg + std * Z_MAX)`` can never reach ``as_of`` (the generator's normal is bounded by Z_MAX). The
+    scenario axis is an ``n_scenarios``-row broadcast; the only shuffle is the per-scenario partial sum.
     """
     spark = invoices.sparkSession
     a = E.as_of_lit(as_of)
     pat = F.broadcast(payment_pattern(invoices, payments))
-    cand = invoices.where((F.col("status") == "open") & (F.col("due_date") <= F.date_add(a, days_ahead))).select(
-        "invoice_id", "due_date", "invoice_amount"
+    max_delay = F.ceil(F.greatest(F.lit(0.0), F.col("avg_days_after_due") + F.abs(F.col("std_days_after_due")) * Z_MAX)).cast("int")
+    cand = (
+        invoices.where((F.col("status") == "open") & (F.col("due_date") <= F.date_add(a, days_ahead)))
+        .select("invoice_id", "due_date", "invoice_amount")
+        .crossJoin(pat)
+        .where(F.col("due_date") >= F.date_sub(a, max_delay + 1))
     )
     scen = F.broadcast(spark.range(1, n_scenarios + 1).withColumnRenamed("id", "scenario"))
-    x = cand.crossJoin(pat).crossJoin(scen)
-    u1 = _uniform(draw_keys(F.col("invoice_id"), F.col("scenario"), seed, "pay"))
-    u2 = _uniform(draw_keys(F.col("invoice_id"), F.col("scenario"), seed, "r"))
-    u3 = _uniform(draw_keys(F.col("invoice_id"), F.col("scenario"), seed, "theta"))
+    x = cand.crossJoin(scen).withColumn("h", F.md5(draw_key(F.col("invoice_id"), F.col("scenario"), seed)))
+    u1, u2, u3 = (_uniform32(F.col("h"), i) for i in range(3))
     z = F.sqrt(F.lit(-2.0) * F.ln(u2)) * F.cos(F.lit(2 * math.pi) * u3)
     delay = F.greatest(F.lit(0.0), F.col("avg_days_after_due") + F.col("std_days_after_due") * z)
     pay_day = F.date_add("due_date", delay.cast("int"))

@@ -89,7 +89,7 @@ def top_recommendations(recs: DataFrame, top_n: int = 30, min_priority: int = 0)
     return recs.where(F.col("action_priority") >= min_priority).orderBy(F.desc("action_priority"), "invoice_id").limit(top_n)
 
 
-def next_contact(open_scored: DataFrame, contact_log: DataFrame, as_of) -> DataFrame:
+def next_contact(open_scored: DataFrame, contact_log: DataFrame, as_of, keep_columns: bool = False) -> DataFrame:
     """RC-8: next outreach step from days overdue, risk and the types of contacts already made.
 
     The contact history reduces to a count and one flag per relevant type (``bool_or`` partial aggregates), so a
@@ -101,7 +101,7 @@ def next_contact(open_scored: DataFrame, contact_log: DataFrame, as_of) -> DataF
         F.bool_or(F.col("action_type") == "second_notice").alias("had_second"),
         F.bool_or(F.col("action_type") == "call_request").alias("had_call"),
     )
-    df = open_scored.select("invoice_id", "customer_id", "due_date", "risk_score").join(hist, "invoice_id", "left")
+    df = open_scored.join(hist, "invoice_id", "left")
     d = E.days_overdue("due_date", as_of)
     r = F.col("risk_score")
     n = F.coalesce(F.col("n_prev"), F.lit(0))
@@ -117,7 +117,8 @@ def next_contact(open_scored: DataFrame, contact_log: DataFrame, as_of) -> DataF
         .when(n == 2, "call_request")
         .otherwise("escalate")
     )
+    extra = [c for c in open_scored.columns if c not in ("invoice_id", "customer_id", "risk_score")] if keep_columns else []
     return df.select(
-        "invoice_id", "customer_id", d.alias("days_overdue"), "risk_score",
+        "invoice_id", "customer_id", *extra, d.alias("days_overdue"), "risk_score",
         n.cast("long").alias("previous_contacts"), action.alias("next_action"),
     )

@@ -341,21 +341,22 @@ def q_forecast_inflows(fx):
     return forecast.forecast_inflows(fx.invoices, fx.payments, AS_OF)
 
 
-def _u(tag: str) -> str:
-    key = f"concat_ws('|', i.invoice_id, CAST(s.scenario AS VARCHAR), '42', '{tag}')"
-    return f"((CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) + 1) / 4294967297.0)"
+def _u(chunk: int) -> str:
+    return f"((CAST(('0x' || substr(h, {1 + 8 * chunk}, 8)) AS BIGINT) + 1) / 4294967297.0)"
 
 
 SCEN_SQL = f"""(
 SELECT CAST(s.scenario AS int) AS scenario, CAST(coalesce(t.tc, 0) AS double) AS total_collected, 30 AS days_ahead
 FROM range(1, 101) s(scenario) LEFT JOIN (
-  SELECT s.scenario, sum(CAST(i.invoice_amount AS decimal(18,2))) AS tc
-  FROM invoices i, {PATTERN_SQL} p, range(1, 101) s(scenario)
-  WHERE i.status = 'open' AND i.due_date <= {A} + 30
-    AND {_u('pay')} < p.payment_probability
-    AND date_diff('day', {A}, i.due_date + CAST(trunc(greatest(0.0, p.avg_days_after_due + p.std_days_after_due *
-          sqrt(-2.0 * ln({_u('r')})) * cos(2 * pi() * {_u('theta')}))) AS int)) BETWEEN 0 AND 30
-  GROUP BY s.scenario) t ON s.scenario = t.scenario)"""
+  SELECT scenario, sum(CAST(invoice_amount AS decimal(18,2))) AS tc
+  FROM (SELECT s.scenario, i.invoice_amount, i.due_date, p.*,
+               md5(concat_ws('|', i.invoice_id, CAST(s.scenario AS VARCHAR), '42')) AS h
+        FROM invoices i, {PATTERN_SQL} p, range(1, 101) s(scenario)
+        WHERE i.status = 'open' AND i.due_date <= {A} + 30) x
+  WHERE {_u(0)} < payment_probability
+    AND date_diff('day', {A}, due_date + CAST(trunc(greatest(0.0, avg_days_after_due + std_days_after_due *
+          sqrt(-2.0 * ln({_u(1)})) * cos(2 * pi() * {_u(2)}))) AS int)) BETWEEN 0 AND 30
+  GROUP BY scenario) t ON s.scenario = t.scenario)"""
 
 
 @register("cash_scenarios", "FC-3", f"SELECT * FROM {SCEN_SQL} x", views=("invoices", "payments"))

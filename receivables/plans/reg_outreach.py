@@ -61,9 +61,9 @@ FROM j""",
     views=("invoices", "customers", "audit_actions"),
 )
 def q_outreach_messages(fx):
-    sc = scored(fx)
-    nc = recommend.next_contact(sc, fx.audit_actions, AS_OF).select("invoice_id", "next_action")
-    targets = outreach.select_targets(sc, TOP_N).join(nc, "invoice_id", "left")
+    # The contact history is only needed for the selected targets: rank first, then look up their contacts.
+    top = outreach.select_targets(scored(fx), TOP_N)
+    targets = recommend.next_contact(top, fx.audit_actions, AS_OF, keep_columns=True).drop("days_overdue")
     return outreach.generate_messages(targets, fx.customers, AS_OF, action_type=F.col("next_action"))
 
 

@@ -43,10 +43,14 @@ def build_pipeline(model_type: str = "gradient_boost", seed: int = 42, **params)
     assembler = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="raw_features", handleInvalid="keep")
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     if model_type == "gradient_boost":
+        n_trees = params.get("n_estimators", 100)
         clf = GBTClassifier(
-            labelCol="is_late", featuresCol="features", maxIter=params.get("n_estimators", 100),
+            labelCol="is_late", featuresCol="features", maxIter=n_trees,
             maxDepth=params.get("max_depth", 5), stepSize=params.get("learning_rate", 0.1),
             subsamplingRate=params.get("subsample", 0.8), minInstancesPerNode=params.get("min_samples_leaf", 10), seed=seed,
+            # Long boosting runs cut their lineage every 10 trees in the shared checkpoint folder (executor loss
+            # then recomputes at most 10 iterations); short runs have nothing worth cutting.
+            checkpointInterval=10 if n_trees > 10 else -1,
         )
     elif model_type == "logistic":
         clf = LogisticRegression(labelCol="is_late", featuresCol="features", maxIter=params.get("max_iter", 1000),

@@ -196,6 +196,31 @@ def created_before_issue(invoices: DataFrame) -> DataFrame:
               F.concat(F.lit("Invoice "), F.col("invoice_id"), F.lit(": created_at before issue_date")))
 
 
+def invoice_violations(invoices: DataFrame) -> DataFrame:
+    """DQ-4 + DQ-9 + DQ-10 in one pass over the invoices: row rules, then the date-order rules for valid rows."""
+    checks = invoice_checks(invoices)
+    oks = [F.coalesce(ok, F.lit(False)) for _, ok in checks]
+    valid = F.aggregate(F.array(*oks), F.lit(True), lambda a, b: a & b)
+    iid = F.col("invoice_id")
+    items = [
+        F.when(~ok, F.struct(F.lit(f"invoices_row:{name}").alias("rule"), F.lit("error").alias("severity"),
+                             F.lit(f"invalid {name}").alias("message")))
+        for (name, _), ok in zip(checks, oks)
+    ] + [
+        F.when(valid & (F.col("due_date") < F.col("issue_date")), F.struct(
+            F.lit("due_before_issue").alias("rule"), F.lit("error").alias("severity"),
+            F.concat(F.lit("Invoice "), iid, F.lit(": due_date before issue_date")).alias("message"))),
+        F.when(valid & (F.col("created_at") < F.col("issue_date")), F.struct(
+            F.lit("created_before_issue").alias("rule"), F.lit("warning").alias("severity"),
+            F.concat(F.lit("Invoice "), iid, F.lit(": created_at before issue_date")).alias("message"))),
+    ]
+    x = invoices.select(iid.alias("__k"), F.explode(F.filter(F.array(*items), lambda v: v.isNotNull())).alias("v"))
+    return x.select(
+        F.lit("invoices").alias("table"), F.col("v.rule").alias("rule"), F.col("v.severity").alias("severity"),
+        F.col("__k").cast("string").alias("key"), F.col("v.message").alias("message"),
+    )
+
+
 def missing_contacts(customers: DataFrame) -> DataFrame:
     """DQ-11: count of customers missing email / phone (warnings; phone skipped when the column is absent, D23)."""
     aggs = [F.count_if(F.col("email").isNull()).alias("email")]
@@ -230,8 +255,7 @@ def validate_all(customers: DataFrame, invoices: DataFrame, payments: DataFrame
         duplicate_keys(customers, invoices, payments) if payments is not None
         else _dup_keys(customers, "customers", "customer_id").unionByName(_dup_keys(invoices, "invoices", "invoice_id"))
     )
-    parts = [customer_rows(customers), missing_contacts(customers), invoice_rows(invoices), fk_invoices(invoices, customers),
-             due_before_issue(invoices), created_before_issue(invoices)]
+    parts = [customer_rows(customers), missing_contacts(customers), invoice_violations(invoices), fk_invoices(invoices, customers)]
     if payments is not None:
         parts += [payment_rows(payments), fk_payments(payments, invoices), overpayments(payments, invoices)]
     for p in parts:

@@ -28,46 +28,38 @@ def _bucket(x: Column) -> Column:
 def exact_quantile(df: DataFrame, column: str, q: float, out: str = "quantile") -> DataFrame:
     """One-row DataFrame with the exact linear-interpolated ``q`` quantile of ``column`` (NULLs ignored)."""
     vals = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    # Pass 1: the histogram. Its total is the row count, so no separate count job is needed.
+    # Pass 1: the histogram. It has at most a few thousand rows (bounded by the dynamic range of the data, not its
+    # size), so the unpartitioned windows below (running count, grand total) are one small task.
     hist = vals.groupBy(_bucket(F.col("v")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy()
+    hist = hist.select(
+        "b", "c",
+        F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("c").over(whole).alias("n"),
+    )
     pos = F.lit(q) * (F.col("n") - 1)
-    ranks = hist.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).select(
-        "n",
+    hist = hist.select(
+        "b", "c", "before", "n",
         F.floor(pos).cast("long").alias("r_lo"),
         F.least(F.floor(pos).cast("long") + 1, F.col("n") - 1).alias("r_hi"),
         (pos - F.floor(pos)).alias("frac"),
     )
-    # The histogram has at most a few thousand rows (bounded by the dynamic range of the data, not its size),
-    # so this unpartitioned running count is a single small task.
-    hist = hist.withColumn(
-        "before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    wanted = (
-        hist.crossJoin(F.broadcast(ranks))
-        .select(
-            "b", "before",
-            F.explode(F.array(F.col("r_lo"), F.col("r_hi"))).alias("rank"),
-            "c",
-        )
-        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
-        .select("b", "before", "rank")
+    inside = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("c"))
+    wanted = hist.where(inside("r_lo") | inside("r_hi"))  # the <= 2 buckets holding the two ranks
+    # Pass 2: only rows of the selected buckets survive the broadcast semi join; count them per distinct value and
+    # find the value at each rank with a running count inside the bucket.
+    fine = (
+        vals.withColumn("b", _bucket(F.col("v")))
+        .join(F.broadcast(wanted.select("b")), "b", "left_semi")
+        .groupBy("b", "v")
+        .agg(F.count(F.lit(1)).alias("k"))
     )
-    # Pass 2: only rows of the <= 2 selected buckets survive the broadcast semi join; count them per distinct value.
-    fine = vals.withColumn("b", _bucket(F.col("v"))).join(
-        F.broadcast(wanted.select("b").distinct()), "b", "left_semi"
-    ).groupBy("b", "v").agg(F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fine = fine.withColumn("upto", F.sum("k").over(w))
-    picked = (
-        fine.join(F.broadcast(wanted), "b")
-        .where((F.col("rank") - F.col("before") < F.col("upto")) & (F.col("rank") - F.col("before") >= F.col("upto") - F.col("k")))
-        .select("rank", "v")
-    )
-    lo = picked.withColumnRenamed("rank", "r_lo").withColumnRenamed("v", "v_lo")
-    hi = picked.withColumnRenamed("rank", "r_hi").withColumnRenamed("v", "v_hi")
-    res = ranks.join(lo, "r_lo", "left").join(hi, "r_hi", "left")
-    return res.select(
-        F.when(F.col("n") == 0, F.lit(None).cast("double"))
-        .otherwise(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))
-        .alias(out)
+    fine = fine.withColumn("upto", F.sum("k").over(w)).join(F.broadcast(wanted), "b")
+    at = lambda r: (F.col(r) - F.col("before") < F.col("upto")) & (F.col(r) - F.col("before") >= F.col("upto") - F.col("k"))
+    picked = fine.agg(
+        F.max(F.when(at("r_lo"), F.col("v"))).alias("v_lo"),
+        F.max(F.when(at("r_hi"), F.col("v"))).alias("v_hi"),
+        F.max("frac").alias("frac"),
     )
+    return picked.select((F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias(out))

@@ -20,18 +20,22 @@ def _sum_when(cond, amount="invoice_amount") -> F.Column:
     return F.coalesce(F.sum(F.when(cond, _dec(amount))), F.lit(0).cast("decimal(28,2)"))
 
 
+def _dso_parts(as_of, period_days: int):
+    """Aggregate columns and the final expression of DSO, so several metrics can share one scan."""
+    cutoff = F.date_sub(E.as_of_lit(as_of), period_days)
+    aggs = [
+        _sum_when(F.col("status") == "open").alias("dso_current_ar"),
+        _sum_when(F.col("issue_date") >= cutoff).alias("dso_period_sales"),
+    ]
+    sales = F.col("dso_period_sales")
+    ratio = F.col("dso_current_ar").cast("double") / sales.cast("double") * period_days
+    return aggs, F.when(sales == 0, F.lit(0.0)).otherwise(E.round_dec(ratio, 2))
+
+
 def dso(invoices: DataFrame, as_of, period_days: int = 90) -> DataFrame:
     """AR-5: open AR / sales issued since ``as_of - period_days`` x period; 0 without sales; rounded to 2."""
-    a = E.as_of_lit(as_of)
-    cutoff = F.date_sub(a, period_days)
-    agg = invoices.agg(
-        _sum_when(F.col("status") == "open").alias("current_ar"),
-        _sum_when(F.col("issue_date") >= cutoff).alias("period_sales"),
-    )
-    ratio = agg.current_ar.cast("double") / agg.period_sales.cast("double") * period_days
-    return agg.select(
-        F.when(agg.period_sales == 0, F.lit(0.0)).otherwise(E.round_dec(ratio, 2)).alias("dso")
-    )
+    aggs, final = _dso_parts(as_of, period_days)
+    return invoices.agg(*aggs).select(final.alias("dso"))
 
 
 def dso_anchored(invoices: DataFrame, window_days: int = 90) -> DataFrame:
@@ -50,21 +54,27 @@ def dso_anchored(invoices: DataFrame, window_days: int = 90) -> DataFrame:
     )
 
 
-def cei(invoices: DataFrame, as_of, period_days: int = 90) -> DataFrame:
-    """AR-7: collection effectiveness index, clamped to 0..100, 100 when the denominator is 0."""
+def _cei_parts(as_of, period_days: int):
     end = E.as_of_lit(as_of)
     start = F.date_sub(end, period_days)
     is_open = F.col("status") == "open"
-    agg = invoices.agg(
-        _sum_when((F.col("issue_date") < start) & is_open).alias("beginning_ar"),
-        _sum_when((F.col("issue_date") >= start) & (F.col("issue_date") < end)).alias("credit_sales"),
-        _sum_when(is_open).alias("ending_ar"),
-        _sum_when(is_open & (F.col("due_date") >= end)).alias("ending_current_ar"),
-    )
-    num = (agg.beginning_ar + agg.credit_sales - agg.ending_ar).cast("double")
-    den = (agg.beginning_ar + agg.credit_sales - agg.ending_current_ar).cast("double")
+    aggs = [
+        _sum_when((F.col("issue_date") < start) & is_open).alias("cei_beginning_ar"),
+        _sum_when((F.col("issue_date") >= start) & (F.col("issue_date") < end)).alias("cei_credit_sales"),
+        _sum_when(is_open).alias("cei_ending_ar"),
+        _sum_when(is_open & (F.col("due_date") >= end)).alias("cei_ending_current_ar"),
+    ]
+    b, c = F.col("cei_beginning_ar"), F.col("cei_credit_sales")
+    num = (b + c - F.col("cei_ending_ar")).cast("double")
+    den = (b + c - F.col("cei_ending_current_ar")).cast("double")
     value = E.round_dec(F.greatest(F.lit(0.0), F.least(F.lit(100.0), num / den * 100)), 2)
-    return agg.select(F.when(den == 0, F.lit(100.0)).otherwise(value).alias("cei"))
+    return aggs, F.when(den == 0, F.lit(100.0)).otherwise(value)
+
+
+def cei(invoices: DataFrame, as_of, period_days: int = 90) -> DataFrame:
+    """AR-7: collection effectiveness index, clamped to 0..100, 100 when the denominator is 0."""
+    aggs, final = _cei_parts(as_of, period_days)
+    return invoices.agg(*aggs).select(final.alias("cei"))
 
 
 def payment_pairs(invoices: DataFrame, payments: DataFrame, completed_only: bool = False) -> DataFrame:
@@ -76,14 +86,13 @@ def payment_pairs(invoices: DataFrame, payments: DataFrame, completed_only: bool
     return invoices.join(pay, "invoice_id", "inner")
 
 
-def payment_behavior(invoices: DataFrame, payments: DataFrame, completed_only: bool = False) -> DataFrame:
-    """AR-8: payment rate, days to pay, late counts and days late (late pairs only, D2). One row."""
+def _pair_stats(invoices: DataFrame, payments: DataFrame, completed_only: bool) -> DataFrame:
     pairs = payment_pairs(invoices, payments, completed_only).select(
         F.datediff("payment_date", "issue_date").alias("days_to_payment"),
         F.greatest(F.lit(0), F.datediff("payment_date", "due_date")).alias("days_late"),
     )
     late = F.col("days_late") > 0
-    p = pairs.agg(
+    return pairs.agg(
         F.count(F.lit(1)).alias("paid_invoices"),
         F.avg("days_to_payment").alias("avg_dtp"),
         F.median("days_to_payment").alias("med_dtp"),
@@ -92,20 +101,33 @@ def payment_behavior(invoices: DataFrame, payments: DataFrame, completed_only: b
         F.median(F.when(late, F.col("days_late"))).alias("med_late"),
         F.max(F.when(late, F.col("days_late"))).alias("max_late"),
     )
-    t = invoices.agg(F.count(F.lit(1)).alias("total_invoices"))
-    j = t.crossJoin(p)
-    return j.select(
-        "total_invoices",
-        "paid_invoices",
+
+
+BEHAVIOR_COLUMNS = [
+    "total_invoices", "paid_invoices", "payment_rate", "avg_days_to_payment", "median_days_to_payment",
+    "late_payment_count", "late_payment_rate", "avg_days_late", "median_days_late", "max_days_late",
+]
+
+
+def _behavior_final() -> list[F.Column]:
+    return [
+        F.col("total_invoices"),
+        F.col("paid_invoices"),
         F.coalesce(E.pct("paid_invoices", "total_invoices"), F.lit(0.0)).alias("payment_rate"),
         E.round_dec("avg_dtp", 2).alias("avg_days_to_payment"),
         E.round_dec("med_dtp", 2).alias("median_days_to_payment"),
-        "late_payment_count",
+        F.col("late_payment_count"),
         F.coalesce(E.pct("late_payment_count", "paid_invoices"), F.lit(0.0)).alias("late_payment_rate"),
         F.coalesce(E.round_dec("avg_late", 2), F.lit(0.0)).alias("avg_days_late"),
         F.coalesce(E.round_dec("med_late", 2), F.lit(0.0)).alias("median_days_late"),
         F.coalesce(F.col("max_late"), F.lit(0)).cast("int").alias("max_days_late"),
-    )
+    ]
+
+
+def payment_behavior(invoices: DataFrame, payments: DataFrame, completed_only: bool = False) -> DataFrame:
+    """AR-8: payment rate, days to pay, late counts and days late (late pairs only, D2). One row."""
+    t = invoices.agg(F.count(F.lit(1)).alias("total_invoices"))
+    return t.crossJoin(_pair_stats(invoices, payments, completed_only)).select(*_behavior_final())
 
 
 def payment_behavior_from_status(invoices: DataFrame) -> DataFrame:
@@ -188,26 +210,40 @@ def customer_risk(
 
 
 def ar_summary(invoices: DataFrame, payments: DataFrame | None, as_of, period_days: int = 90) -> DataFrame:
-    """AR-11: headline AR numbers, DSO, CEI and payment behaviour in one row."""
+    """AR-11: headline AR numbers, DSO, CEI and payment behaviour in one row.
+
+    Every invoice-level number (AR, overdue, DSO and CEI parts, counts) comes from one scan of the invoices; the
+    payment statistics need the invoice x payment join and are a second one-row aggregate.
+    """
     a = E.as_of_lit(as_of)
     is_open = F.col("status") == "open"
+    dso_aggs, dso_final = _dso_parts(as_of, period_days)
+    cei_aggs, cei_final = _cei_parts(as_of, period_days)
     head = invoices.agg(
         _sum_when(is_open).alias("ar"),
-        F.count_if(is_open).alias("total_invoices_open"),
+        F.count_if(is_open).alias("open_invoices"),
         _sum_when(is_open & (F.col("due_date") < a)).alias("od"),
         F.count_if(is_open & (F.col("due_date") < a)).alias("overdue_invoices"),
         F.avg(F.when(is_open, _dec("invoice_amount"))).alias("avg_open"),
-    ).select(
+        F.count(F.lit(1)).alias("total_invoices"),
+        F.count_if(F.col("status") == "paid").alias("paid_status"),
+        *dso_aggs, *cei_aggs,
+    )
+    cols = [
         F.col("ar").cast("double").alias("total_ar"),
-        F.col("total_invoices_open").alias("open_invoices"),
+        "open_invoices",
         F.col("od").cast("double").alias("overdue_ar"),
         "overdue_invoices",
         F.when(F.col("ar") > 0, E.pct(F.col("od").cast("double"), F.col("ar").cast("double")))
         .otherwise(F.lit(0.0))
         .alias("overdue_percentage"),
         F.coalesce(E.round_dec("avg_open", 2), F.lit(0.0)).alias("avg_invoice_amount"),
-    )
-    behaviour = payment_behavior(invoices, payments) if payments is not None else payment_behavior_from_status(invoices)
-    return head.crossJoin(dso(invoices, as_of, period_days)).crossJoin(cei(invoices, as_of, period_days)).crossJoin(
-        behaviour
-    )
+        dso_final.alias("dso"),
+        cei_final.alias("cei"),
+    ]
+    if payments is None:
+        return head.select(
+            *cols, "total_invoices", F.col("paid_status").alias("paid_invoices"),
+            F.coalesce(E.pct("paid_status", "total_invoices"), F.lit(0.0)).alias("payment_rate"),
+        )
+    return head.crossJoin(_pair_stats(invoices, payments, False)).select(*cols, *_behavior_final())

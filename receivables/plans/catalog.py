@@ -50,7 +50,7 @@ def register(name: str, item: str, oracle: str | None = None, views: tuple[str,
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return REGISTRY[name].build(Fixtures(spark, sf_dir))
+    return REGISTRY[name].build(Fixtures.of(spark, sf_dir))
 
 
 def load_all() -> dict[str, Query]:

@@ -271,13 +271,14 @@ def q_ar_concentration(fx):
 @register(
     "invoice_explorer", "FN-12",
     """SELECT invoice_id, customer_id, invoice_amount, issue_date, due_date, status FROM invoices
-WHERE status IN ('open', 'void') AND coalesce(contains(lower(customer_id), 'cust-00001'), false)
+WHERE status IN ('open', 'void') AND coalesce(contains(lower(customer_id), 'cust-'), false)
   AND invoice_amount >= 1000
 ORDER BY due_date DESC, invoice_id""",
     views=("invoices",),
 )
 def q_invoice_explorer(fx):
-    return reports.invoice_explorer(fx.invoices, ("open", "void"), "CUST-00001", 1000)
+    # Case-insensitive search: the lower-case text matches the upper-case ids of every customer.
+    return reports.invoice_explorer(fx.invoices, ("open", "void"), "cust-", 1000)
 
 
 @register(
@@ -383,11 +384,12 @@ def q_scenario_percentiles(fx):
 SELECT CAST(tot AS double) AS total_targeted, {money2('CAST(tot AS double) * 0.9')} AS expected_collection,
        0.9 AS success_probability, invoice_count
 FROM (SELECT coalesce(sum({DEC}), 0) AS tot, count(*) AS invoice_count FROM invoices
-      WHERE invoice_id IN (SELECT invoice_id FROM invoices WHERE o_orderkey % 100 = 0)) t""",
+      WHERE invoice_id IN (SELECT invoice_id FROM invoices WHERE status = 'open' AND date_diff('day', due_date, {A}) > 90)) t""",
     views=("invoices",),
 )
 def q_collection_impact(fx):
-    ids = fx.invoices.where(F.col("o_orderkey") % 100 == 0).select("invoice_id")
+    # The campaign targets every open invoice more than 90 days overdue.
+    ids = fx.invoices.where((F.col("status") == "open") & (F.datediff(F.lit(AS_OF), "due_date") > 90)).select("invoice_id")
     return forecast.collection_impact(fx.invoices, ids, 0.9)
 
 

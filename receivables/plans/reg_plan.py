@@ -179,13 +179,14 @@ def q_schedule_week(fx):
 
 
 def updates(fx, kind: str):
-    ids = fx.invoices.where(F.col("o_orderkey") % 50 == 0).select("invoice_id").withColumn("attempt_number", F.lit(1))
+    # Business rule for the fixture: every first attempt due on the first business day is moved / completed.
+    ids = sched(fx).where((F.col("attempt_number") == 1) & (F.col("scheduled_date") == TODAY)).select("invoice_id", "attempt_number")
     if kind == "reschedule":
         return ids.select("invoice_id", "attempt_number", F.lit(NEW_DATE).alias("new_date"), F.lit("customer requested").alias("reason"))
     return ids.select("invoice_id", "attempt_number", F.lit(AS_OF).alias("completed_date"), F.lit("left voicemail").alias("notes"))
 
 
-UPD_CTE = "upd AS (SELECT invoice_id, 1 AS attempt_number FROM invoices WHERE o_orderkey % 50 = 0)"
+UPD_CTE = "upd AS (SELECT invoice_id, attempt_number FROM sched WHERE attempt_number = 1 AND scheduled_date = DATE '2001-07-02')"
 _COLS = (
     "invoice_id, customer_id, attempt_number, scheduled_date, action_type, days_from_last_contact, "
     "estimated_days_overdue, status, reschedule_reason, completed_date, completion_notes, cancellation_reason, cancelled_date"

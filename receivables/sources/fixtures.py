@@ -18,6 +18,28 @@ BASE_TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+# The testdata table schemas. Reading with an explicit schema skips the footer-inference job that
+# ``spark.read.parquet`` would otherwise launch for every table of every query.
+BASE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
 _ACTION_INVOICE_KEY = (
     "event_id - CASE WHEN event_id % 20 < 7 THEN event_id % 20 WHEN event_id % 20 < 10 THEN event_id % 20 - 7 "
     "WHEN event_id % 20 < 12 THEN event_id % 20 - 10 ELSE 0 END"
@@ -162,18 +184,29 @@ class Fixtures:
     """Lazy receivables views over one testdata directory.
 
     Every attribute is a DataFrame built on first use; nothing is collected. Base tables are read with
-    ``spark.read.parquet`` so column pruning and filter pushdown reach the scan.
+    ``spark.read.parquet`` so column pruning and filter pushdown reach the scan. Use :meth:`of` to share the analysed
+    views between the queries of one session (DataFrames are immutable plans, so sharing is safe).
     """
 
+    _shared: dict[tuple[int, str], "Fixtures"] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Fixtures":
+        key = (id(spark), sf_dir.rstrip("/"))
+        fx = cls._shared.get(key)
+        if fx is None or fx.spark is not spark:
+            fx = cls._shared[key] = cls(spark, sf_dir)
+        return fx
+
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:
             if name in BASE_TABLES:
-                df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = self.spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
             else:
                 deps = {d: self.table(d) for d in view_deps(name)}
                 df = self.spark.sql(VIEW_SQL[name], **deps)

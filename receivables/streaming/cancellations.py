@@ -8,6 +8,7 @@ output. Applying cancellations to a schedule is the same one-join update as the
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,9 @@ def start(spark: SparkSession, payments_dir: str, schedule: DataFrame, sink_dir:
     """Run the stream from ``payments_dir`` into ``sink_dir`` (checkpoint under ``spark.checkpoint.dir``)."""
     payments = spark.readStream.schema(PAYMENT_EVENT_SCHEMA).parquet(payments_dir)
     out = cancellation_rows(payments, schedule)
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+    # One checkpoint per (query name, sink): a restart of the same stream resumes, a new sink starts fresh.
+    sink_key = hashlib.sha1(sink_dir.encode()).hexdigest()[:12]
+    ckpt = os.path.join(spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark), "streams", f"{name}-{sink_key}")
     writer = out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", ckpt).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.queryName(name).start()

@@ -148,37 +148,33 @@ def invoice_explorer(invoices: DataFrame, statuses=("open",), customer_search: s
 def dataset_profile(invoices: DataFrame, payments: DataFrame, customers: DataFrame) -> DataFrame:
     """DB-9: status counts with share, late payment rate, AR and mean invoice, customers per industry.
 
-    Returned as a long (metric, key, value) table: one row per statistic.
+    Returned as a long (metric, key, value) table: one row per statistic. Each table is scanned once: invoice
+    statistics come from one per-status aggregate (at most a handful of rows), customer statistics from one
+    per-industry aggregate, and the late rate from the payment x invoice join.
     """
-    st = invoices.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    tot = invoices.agg(
-        F.count(F.lit(1)).alias("all_n"),
-        F.sum(F.when(F.col("status") == "open", F.col("invoice_amount").cast("decimal(18,2)"))).alias("ar"),
-        F.sum(F.col("invoice_amount").cast("decimal(18,2)")).alias("tot"),
+    dec = F.col("invoice_amount").cast("decimal(18,2)")
+    st = invoices.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(dec).alias("amt"))
+    tot = st.agg(
+        F.sum("n").alias("all_n"),
+        F.sum(F.when(F.col("status") == "open", F.col("amt"))).alias("ar"),
+        F.sum("amt").alias("tot"),
+    )
+    none = F.lit(None).cast("string")
+    by_status = st.select(F.lit("status_count").alias("metric"), F.col("status").alias("key"), F.col("n").cast("double").alias("value")).union(
+        st.crossJoin(F.broadcast(tot)).select(F.lit("status_pct"), F.col("status"), E.pct("n", "all_n", 1))
     )
-    by_status = st.crossJoin(F.broadcast(tot)).select(
-        F.lit("status_count").alias("metric"), F.col("status").alias("key"), F.col("n").cast("double").alias("value")
-    ).unionByName(
-        st.crossJoin(F.broadcast(tot)).select(
-            F.lit("status_pct").alias("metric"), F.col("status").alias("key"), E.pct("n", "all_n", 1).alias("value")
-        )
+    late = payments.select("invoice_id", "payment_date").join(invoices.select("invoice_id", "due_date"), "invoice_id").agg(
+        E.pct(F.count_if(F.datediff("payment_date", "due_date") > 0), F.count(F.lit(1)), 1).alias("value")
     )
-    late = payments.select("invoice_id", "payment_date").join(
-        invoices.select("invoice_id", "due_date"), "invoice_id"
-    ).agg(E.pct(F.count_if(F.datediff("payment_date", "due_date") > 0), F.count(F.lit(1)), 1).alias("value"))
+    industry = customers.groupBy("industry").agg(F.count(F.lit(1)).cast("double").alias("value"))
     scalars = (
-        tot.select(F.lit("total_invoices").alias("metric"), F.lit(None).cast("string").alias("key"),
-                   F.col("all_n").cast("double").alias("value"))
-        .union(tot.select(F.lit("total_ar"), F.lit(None).cast("string"), F.coalesce(F.col("ar"), F.lit(0)).cast("double")))
-        .union(tot.select(F.lit("avg_invoice"), F.lit(None).cast("string"),
-                                E.money2(F.col("tot").cast("double") / F.col("all_n"))))
-        .union(late.select(F.lit("late_payment_rate"), F.lit(None).cast("string"), "value"))
-        .union(payments.agg(F.count(F.lit(1)).cast("double").alias("v"))
-                     .select(F.lit("total_payments"), F.lit(None).cast("string"), "v"))
-        .union(customers.agg(F.count(F.lit(1)).cast("double").alias("v"))
-                     .select(F.lit("total_customers"), F.lit(None).cast("string"), "v"))
+        tot.select(F.lit("total_invoices"), none, F.col("all_n").cast("double"))
+        .union(tot.select(F.lit("total_ar"), none, F.coalesce(F.col("ar"), F.lit(0)).cast("double")))
+        .union(tot.select(F.lit("avg_invoice"), none, E.money2(F.col("tot").cast("double") / F.col("all_n"))))
+        .union(late.select(F.lit("late_payment_rate"), none, "value"))
+        .union(payments.agg(F.count(F.lit(1)).cast("double").alias("v")).select(F.lit("total_payments"), none, "v"))
+        .union(industry.agg(F.sum("value").alias("v")).select(F.lit("total_customers"), none, "v"))
     )
-    industry = customers.groupBy("industry").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
-        F.lit("industry_customers").alias("metric"), F.col("industry").alias("key"), "value"
+    return by_status.union(scalars).union(
+        industry.select(F.lit("industry_customers"), F.col("industry"), "value")
     )
-    return by_status.unionByName(scalars).unionByName(industry)

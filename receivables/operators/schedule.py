@@ -220,25 +220,38 @@ def cadence_summary(scored: DataFrame, cadences: dict[str, list[int]] | None = N
 
 
 def schedule_effectiveness(schedule: DataFrame, payments: DataFrame | None) -> DataFrame:
-    """SC-11: totals by status, completion rate, completed actions per type and mean max-attempt of paid invoices."""
-    tot = schedule.agg(
-        F.count(F.lit(1)).alias("total_actions"),
-        F.count_if(F.col("status") == "completed").alias("completed_actions"),
-        F.count_if(F.col("status") == "cancelled").alias("cancelled_actions"),
-        F.count_if(F.col("status") == "pending").alias("pending_actions"),
+    """SC-11: totals by status, completion rate, completed actions per type and mean max-attempt of paid invoices.
+
+    The schedule is reduced once to (invoice, action type) counts; the totals, the per-type distribution and the
+    per-invoice maximum attempt all derive from that one aggregate (one shuffle of the schedule, reused).
+    """
+    g = schedule.groupBy("invoice_id", "action_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("status") == "completed").alias("c"),
+        F.count_if(F.col("status") == "cancelled").alias("x"),
+        F.count_if(F.col("status") == "pending").alias("p"),
+        F.max("attempt_number").alias("m"),
+    )
+    tot = g.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_actions"),
+        F.coalesce(F.sum("c"), F.lit(0)).alias("completed_actions"),
+        F.coalesce(F.sum("x"), F.lit(0)).alias("cancelled_actions"),
+        F.coalesce(F.sum("p"), F.lit(0)).alias("pending_actions"),
     )
+    # One row per action type (a small, fixed vocabulary), so collecting them into one string is bounded.
     per_type = (
-        schedule.where(F.col("status") == "completed").groupBy("action_type").agg(F.count(F.lit(1)).alias("n"))
+        g.groupBy("action_type").agg(F.sum("c").alias("n")).where(F.col("n") > 0)
         .agg(F.array_join(F.array_sort(F.collect_list(F.concat("action_type", F.lit(":"), F.col("n").cast("string")))), ", ").alias("action_type_distribution"))
     )
     out = tot.crossJoin(per_type)
     if payments is not None:
         paid = payments.select("invoice_id").distinct()
-        att = schedule.join(paid, "invoice_id", "left_semi").groupBy("invoice_id").agg(F.max("attempt_number").alias("m"))
+        att = g.groupBy("invoice_id").agg(F.max("m").alias("m")).join(paid, "invoice_id", "left_semi")
         out = out.crossJoin(att.agg(E.round_dec(F.avg("m"), 6).alias("avg_attempts_to_payment")))
     return out.select(
-        "total_actions", "completed_actions",
+        F.col("total_actions").cast("long").alias("total_actions"), F.col("completed_actions").cast("long").alias("completed_actions"),
         F.coalesce(E.round_dec(F.try_divide(F.col("completed_actions"), F.col("total_actions")), 6), F.lit(0.0)).alias("completion_rate"),
-        "cancelled_actions", "pending_actions", "action_type_distribution",
+        F.col("cancelled_actions").cast("long").alias("cancelled_actions"), F.col("pending_actions").cast("long").alias("pending_actions"),
+        "action_type_distribution",
         *(["avg_attempts_to_payment"] if payments is not None else []),
     )

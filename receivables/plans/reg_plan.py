@@ -179,14 +179,18 @@ def q_schedule_week(fx):
 
 
 def updates(fx, kind: str):
-    # Business rule for the fixture: every first attempt due on the first business day is moved / completed.
-    ids = sched(fx).where((F.col("attempt_number") == 1) & (F.col("scheduled_date") == TODAY)).select("invoice_id", "attempt_number")
+    # Fixture rule: the customers of open invoices that fell due in June answered, so the first follow-up of those
+    # invoices is moved (rescheduled) or done (completed).
+    ids = fx.invoices.where(
+        (F.col("status") == "open") & F.col("due_date").between(dt.date(2001, 6, 1), dt.date(2001, 6, 30))
+    ).select("invoice_id", F.lit(1).alias("attempt_number"))
     if kind == "reschedule":
         return ids.select("invoice_id", "attempt_number", F.lit(NEW_DATE).alias("new_date"), F.lit("customer requested").alias("reason"))
     return ids.select("invoice_id", "attempt_number", F.lit(AS_OF).alias("completed_date"), F.lit("left voicemail").alias("notes"))
 
 
-UPD_CTE = "upd AS (SELECT invoice_id, attempt_number FROM sched WHERE attempt_number = 1 AND scheduled_date = DATE '2001-07-02')"
+UPD_CTE = ("upd AS (SELECT invoice_id, 1 AS attempt_number FROM invoices "
+           "WHERE status = 'open' AND due_date BETWEEN DATE '2001-06-01' AND DATE '2001-06-30')")
 _COLS = (
     "invoice_id, customer_id, attempt_number, scheduled_date, action_type, days_from_last_contact, "
     "estimated_days_overdue, status, reschedule_reason, completed_date, completion_notes, cancellation_reason, cancelled_date"
@@ -259,7 +263,9 @@ LEFT JOIN scored s ON w.invoice_id = s.invoice_id""",
     views=SCHED_VIEWS,
 )
 def q_weekly_plan(fx):
-    return schedule.weekly_plan(scored(fx), AS_OF, schedule=sched(fx))
+    sc = scored(fx)  # one scored frame feeds both the schedule and the plan's invoice details
+    targets = sc.withColumn("days_overdue", E.days_overdue("due_date", AS_OF))
+    return schedule.weekly_plan(sc, AS_OF, schedule=schedule.generate_schedule(targets, AS_OF, holidays(fx)))
 
 
 @register(

@@ -159,6 +159,21 @@ def q_dq_overpayments(fx):
     return quality.overpayments(fx.payments_dirty, fx.invoices_dirty)
 
 
+ACTION_OK = [
+    ("action_id", _len("action_id", 1, 100)),
+    ("invoice_id", _len("invoice_id", 1, 100)),
+    ("action_type", _enum("action_type", quality.ACTION_TYPE)),
+    ("action_date", "action_date IS NOT NULL"),
+    ("notes", _opt("notes", 1000)),
+    ("outcome", _enum("outcome", quality.ACTION_OUTCOME)),
+]
+
+
+@register("dq_action_rows", "DQ-6", _rows_sql("actions", "csv_actions", "action_id", ACTION_OK), views=("csv_actions",))
+def q_dq_action_rows(fx):
+    return quality.action_rows(fx.csv_actions)
+
+
 ALL_V_SQL = " UNION ALL ".join(
     f"SELECT * FROM ({s}) x{i}"
     for i, s in enumerate([DUP_SQL, CUST_ROWS_SQL, CONTACT_SQL, INV_ROWS_SQL, FK_INV_SQL, DUE_SQL, CREATED_SQL,

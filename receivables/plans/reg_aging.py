@@ -96,7 +96,7 @@ def q_aging_trend(fx):
     "calendar_features", "FN-1 / FN-5 / FN-6 / FN-7 / FN-9",
     f"""
 SELECT invoice_id,
-       date_diff('day', issue_date, due_date) AS days_between,
+       CAST(date_diff('day', issue_date, due_date) AS int) AS days_between,
        CAST({overdue('due_date', A)} AS int) AS days_overdue,
        CAST(date_diff('day', {A}, due_date) AS int) AS days_until_due,
        CAST(due_date - CAST(isodow(due_date) - 1 AS int) AS DATE) AS week_start,

@@ -382,7 +382,7 @@ def q_scenario_percentiles(fx):
     "collection_impact", "FC-5",
     f"""
 SELECT CAST(tot AS double) AS total_targeted, {money2('CAST(tot AS double) * 0.9')} AS expected_collection,
-       0.9 AS success_probability, invoice_count
+       CAST(0.9 AS double) AS success_probability, invoice_count
 FROM (SELECT coalesce(sum({DEC}), 0) AS tot, count(*) AS invoice_count FROM invoices
       WHERE invoice_id IN (SELECT invoice_id FROM invoices WHERE status = 'open' AND date_diff('day', due_date, {A}) > 90)) t""",
     views=("invoices",),

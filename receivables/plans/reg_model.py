@@ -30,7 +30,7 @@ def q_customer_history(fx):
 @register(
     "late_target", "FE-3",
     """SELECT i.invoice_id, i.customer_id, i.due_date, p.payment_date,
-       CASE WHEN p.payment_date IS NULL THEN 0 ELSE greatest(0, date_diff('day', i.due_date, p.payment_date)) END AS days_late,
+       CAST(CASE WHEN p.payment_date IS NULL THEN 0 ELSE greatest(0, date_diff('day', i.due_date, p.payment_date)) END AS int) AS days_late,
        CAST(CASE WHEN p.payment_date IS NULL THEN 0 ELSE greatest(0, date_diff('day', i.due_date, p.payment_date)) END > 7 AS int) AS is_late
 FROM invoices i LEFT JOIN payments p ON i.invoice_id = p.invoice_id""",
     views=("invoices", "payments"),
@@ -60,7 +60,7 @@ b AS (
   SELECT i.invoice_id, i.customer_id, i.status, i.invoice_amount, i.invoice_type, i.channel, i.issue_date, i.due_date,
          c.credit_limit, h.customer_invoice_count AS hc, h.customer_avg_days_late AS ha, h.customer_late_rate AS hl,
          h.customer_avg_payment_amount AS hp, ca.customer_total_ar, tot.total_ar,
-         date_diff('day', {A}, i.due_date) AS days_until_due, ln(1 + i.invoice_amount) AS lg,
+         CAST(date_diff('day', {A}, i.due_date) AS int) AS days_until_due, ln(1 + i.invoice_amount) AS lg,
          least(2.0, greatest(0.0, coalesce(CASE WHEN c.credit_limit = 0 THEN CASE WHEN i.invoice_amount > 0 THEN 2.0 ELSE 0.0 END
                                             ELSE i.invoice_amount / c.credit_limit END, 0.0))) AS util
   FROM invoices i LEFT JOIN customers c ON i.customer_id = c.customer_id LEFT JOIN ca ON i.customer_id = ca.customer_id
@@ -68,11 +68,13 @@ b AS (
 SELECT invoice_id, customer_id, status, invoice_amount,
        CASE WHEN invoice_amount <= 0 THEN NULL WHEN invoice_amount <= 1000 THEN 'tiny' WHEN invoice_amount <= 5000 THEN 'small'
             WHEN invoice_amount <= 10000 THEN 'medium' WHEN invoice_amount <= 50000 THEN 'large' WHEN invoice_amount > 50000 THEN 'xlarge' END AS amount_bucket,
-       days_until_due, date_diff('day', issue_date, {A}) AS days_since_issue,
-       date_diff('day', issue_date, due_date) AS payment_term_days,
-       month(issue_date) AS issue_month, quarter(issue_date) AS issue_quarter, isodow(issue_date) - 1 AS issue_day_of_week,
+       days_until_due, CAST(date_diff('day', issue_date, {A}) AS int) AS days_since_issue,
+       CAST(date_diff('day', issue_date, due_date) AS int) AS payment_term_days,
+       CAST(month(issue_date) AS int) AS issue_month, CAST(quarter(issue_date) AS int) AS issue_quarter,
+       CAST(isodow(issue_date) - 1 AS int) AS issue_day_of_week,
        CAST(isodow(issue_date) >= 6 AS int) AS issue_is_weekend,
-       month(due_date) AS due_month, quarter(due_date) AS due_quarter, isodow(due_date) - 1 AS due_day_of_week,
+       CAST(month(due_date) AS int) AS due_month, CAST(quarter(due_date) AS int) AS due_quarter,
+       CAST(isodow(due_date) - 1 AS int) AS due_day_of_week,
        CAST(isodow(due_date) >= 6 AS int) AS due_is_weekend,
        {_r6('lg')} AS invoice_amount_log, {_r6('sqrt(invoice_amount)')} AS invoice_amount_sqrt,
        {_r6('ln(1 + credit_limit)')} AS credit_limit_log, {_r6('util')} AS credit_utilization,

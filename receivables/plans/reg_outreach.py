@@ -56,7 +56,7 @@ SELECT invoice_id, customer_id, customer_name, customer_email, invoice_amount, d
        {render_sql('subject_t', _VALUES)} AS email_subject,
        {render_sql('body_t', _VALUES)} AS email_body,
        {render_sql('sms_t', _VALUES)} AS sms_text,
-       length({render_sql('sms_t', _VALUES)}) AS sms_length
+       CAST(length({render_sql('sms_t', _VALUES)}) AS int) AS sms_length
 FROM j""",
     views=("invoices", "customers", "audit_actions"),
 )

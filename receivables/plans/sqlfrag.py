@@ -18,7 +18,7 @@ def bucket5(d: str) -> str:
 
 
 def overdue(due: str, as_of: str) -> str:
-    return f"coalesce(greatest(0, date_diff('day', {due}, {as_of})), 0)"
+    return f"CAST(coalesce(greatest(0, date_diff('day', {due}, {as_of})), 0) AS int)"
 
 
 def money2(x: str) -> str:

@@ -250,15 +250,33 @@ def overpayments(payments: DataFrame, invoices: DataFrame, tolerance: float = 0.
 
 
 def validate_all(customers: DataFrame, invoices: DataFrame, payments: DataFrame | None = None) -> DataFrame:
-    """DQ-13 input: every violation of every rule over the three tables."""
-    out = (
-        duplicate_keys(customers, invoices, payments) if payments is not None
-        else _dup_keys(customers, "customers", "customer_id").unionByName(_dup_keys(invoices, "invoices", "invoice_id"))
-    )
-    parts = [customer_rows(customers), missing_contacts(customers), invoice_violations(invoices), fk_invoices(invoices, customers)]
+    """DQ-13 input: every violation of every rule over the three tables.
+
+    DQ-1 first: a table missing required columns gets one error row and none of its other rules (as the reference
+    stops validating that table); rules that join two tables run only when both have their columns.
+    """
+    spark = customers.sparkSession
+    tables = {"customers": customers, "invoices": invoices}
     if payments is not None:
-        parts += [payment_rows(payments), fk_payments(payments, invoices), overpayments(payments, invoices)]
-    for p in parts:
+        tables["payments"] = payments
+    missing = {name: missing_columns(df, name) for name, df in tables.items()}
+    ok = {name: not cols for name, cols in missing.items()}
+    parts = [
+        spark.createDataFrame([(name, "missing_columns", "error", None, f"Missing required columns: {cols}")], VIOLATION_SCHEMA)
+        for name, cols in missing.items() if cols
+    ]
+    if ok["customers"]:
+        parts += [_dup_keys(customers, "customers", "customer_id"), customer_rows(customers), missing_contacts(customers)]
+    if ok["invoices"]:
+        parts += [_dup_keys(invoices, "invoices", "invoice_id"), invoice_violations(invoices)]
+        if ok["customers"]:
+            parts.append(fk_invoices(invoices, customers))
+    if payments is not None and ok["payments"]:
+        parts += [_dup_keys(payments, "payments", "payment_id"), payment_rows(payments)]
+        if ok["invoices"]:
+            parts += [fk_payments(payments, invoices), overpayments(payments, invoices)]
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from receivables.functions import expr as E
+from receivables.functions.joins import lookup_join
 
 # The 25 model features, in model order.
 FEATURE_COLUMNS = [
@@ -85,7 +86,8 @@ def engineer_features(
     per_cust = customers.select("customer_id", "payment_terms_days", "credit_limit").join(cust_ar, "customer_id", "full")
     if payments is not None:
         per_cust = per_cust.join(customer_history(history_invoices if history_invoices is not None else invoices, payments, as_of), "customer_id", "full")
-    df = df.join(per_cust, "customer_id", "left").crossJoin(F.broadcast(total))
+    # One row per customer on the right: hot customers are salted so their invoices spread over many tasks.
+    df = lookup_join(df, per_cust, "customer_id", "left", spread="invoice_id").crossJoin(F.broadcast(total))
     if payments is None:
         df = (df.withColumn("customer_invoice_count", F.lit(1)).withColumn("customer_avg_days_late", F.lit(0.0))
               .withColumn("customer_late_rate", F.lit(0.0)).withColumn("customer_avg_payment_amount", F.col("invoice_amount")))

@@ -37,12 +37,12 @@ WHERE status = 'open')"""
 
 
 def scored(fx):
-    return scoring.rule_risk_scores(fx.invoices, fx.customers, AS_OF)
+    return scoring.rule_risk_scores(fx.invoices, fx.customers, AS_OF, sort=False)
 
 
 @register("risk_scores", "RS-1 / FN-4 / ML-6 (rules)", f"WITH {SCORED_CTE} SELECT * FROM scored", views=("invoices", "customers"))
 def q_risk_scores(fx):
-    return scored(fx)
+    return scoring.rule_risk_scores(fx.invoices, fx.customers, AS_OF)
 
 
 RECS_CTE = f"""ac AS (SELECT invoice_id, count(*) AS prior_actions FROM csv_actions GROUP BY invoice_id),

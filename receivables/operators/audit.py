@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from receivables.functions import expr as E
+from receivables.functions.joins import lookup_join
 
 ACTION_COLUMNS = [
     "action_id", "invoice_id", "customer_id", "action_type", "action_date", "scheduled_date", "channel",
@@ -140,11 +141,9 @@ def _history(actions: DataFrame, responses: DataFrame, outcomes: DataFrame) -> D
     )
     r = responses.select("action_id", "response_type", "response_date", "payment_promised")
     o = outcomes.select("action_id", "outcome_type", "amount_collected", "days_to_payment")
-    return (
-        actions.join(r, "action_id", "left")
-        .join(o, "action_id", "left")
-        .join(inv_out, "invoice_id", "left")
-    )
+    by_action = actions.join(r, "action_id", "left").join(o, "action_id", "left")
+    # One summary row per invoice; an invoice with a large share of the actions is salted across tasks.
+    return lookup_join(by_action, inv_out, "invoice_id", "left", spread="action_id")
 
 
 def invoice_history(actions: DataFrame, responses: DataFrame, outcomes: DataFrame, invoice_id: str | None = None) -> DataFrame:

@@ -283,7 +283,6 @@ def validate_all(customers: DataFrame, invoices: DataFrame, payments: DataFrame
 
 def summary(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """DQ-13: per table row count, errors, warnings and verdict (valid when no error row)."""
-    spark = violations.sparkSession
     counts = None
     for name, df in tables.items():
         c = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table"), "row_count")
@@ -292,7 +291,6 @@ def summary(violations: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         F.count_if(F.col("severity") == "error").alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"),
     )
-    del spark
     return counts.join(v, "table", "left").select(
         "table", "row_count",
         F.coalesce(F.col("errors"), F.lit(0)).alias("errors"),

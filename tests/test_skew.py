@@ -56,3 +56,21 @@ def test_operators_unchanged_with_hot_customer(spark):
     f = features.engineer_features(inv, cust, None, AS_OF)
     assert f.count() == 3000 and f.where("customer_id = 'HOT'").count() == 1000
     assert plain_totals.count() == 98
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(
+    keys=st.lists(st.sampled_from(["a", "b", "c", "d", None]), min_size=1, max_size=80),
+    how=st.sampled_from(["left", "inner"]),
+    share=st.sampled_from([0.0, 0.1, 0.5, 1.0]),
+)
+def test_lookup_join_matches_plain_join(spark, keys, how, share):
+    fact = spark.createDataFrame([(f"r{i}", k) for i, k in enumerate(keys)], "rid string, k string")
+    dim = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
+    plain = sorted(map(tuple, fact.join(dim, "k", how).select("rid", "k", "v").collect()), key=repr)
+    salted = lookup_join(fact, dim, "k", how, spread="rid", hot_share=share, buckets=4)
+    assert sorted(map(tuple, salted.select("rid", "k", "v").collect()), key=repr) == plain

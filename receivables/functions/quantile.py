@@ -3,7 +3,8 @@
 ``percentile`` keeps a value->count map of every distinct value in one aggregation buffer, which does not survive a
 column with billions of distinct amounts. Here the exact answer comes from two small aggregations instead:
 
-1. a log-scale histogram (a few thousand buckets whatever the data size) locates the bucket holding each of the two
+1. a log-scale histogram (1,024 buckets per doubling of |x|: about 20,000 buckets for values between 1 and a million,
+   whatever the row count) locates the bucket holding each of the two
    ranks that bracket the quantile position;
 2. only the rows of those (at most two) buckets are counted per distinct value, and a running count inside each
    bucket picks the exact order statistics.
@@ -16,19 +17,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RES = 64  # histogram buckets per doubling of |x|
+_RES = 1024  # histogram buckets per doubling of |x|: a bucket spans 0.07 % of its value
 
 
 def _bucket(x: Column) -> Column:
     """Monotone non-decreasing bucket id: zero -> 0, positive -> > 0, negative -> < 0."""
-    mag = F.floor(F.log2(F.abs(x)) * _RES).cast("long") + F.lit(1 << 20)
+    # The offset keeps every positive magnitude (down to denormals, log2 >= -1074) above the zero bucket.
+    mag = F.floor(F.log2(F.abs(x)) * _RES).cast("long") + F.lit(1 << 22)
     return F.when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0).cast("long"))
 
 
 def exact_quantile(df: DataFrame, column: str, q: float, out: str = "quantile") -> DataFrame:
     """One-row DataFrame with the exact linear-interpolated ``q`` quantile of ``column`` (NULLs ignored)."""
     vals = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    # Pass 1: the histogram. It has at most a few thousand rows (bounded by the dynamic range of the data, not its
+    # Pass 1: the histogram. Its size is bounded by the dynamic range of the data (not its
     # size), so the unpartitioned windows below (running count, grand total) are one small task.
     hist = vals.groupBy(_bucket(F.col("v")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
     whole = Window.partitionBy()

@@ -122,3 +122,9 @@ def next_contact(open_scored: DataFrame, contact_log: DataFrame, as_of, keep_col
         "invoice_id", "customer_id", *extra, d.alias("days_overdue"), "risk_score",
         n.cast("long").alias("previous_contacts"), action.alias("next_action"),
     )
+
+
+def recommendations_by_week(recs: DataFrame, week_date, top_n: int = 30) -> DataFrame:
+    """RC-7 by-week variant: the reference returns the top N regardless of the week (``week_date`` is unused)."""
+    del week_date
+    return top_recommendations(recs, top_n)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from receivables.llm import encoding, packing, substring_dedup
+from receivables.llm import encoding, near_dedup, packing, substring_dedup
 from receivables.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op4_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True).drop("row_key")
 
 
+def op5_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_rows(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from receivables.llm import encoding, near_dedup, packing, substring_dedup
+from receivables.llm import encoding, language, near_dedup, packing, substring_dedup
 from receivables.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_lsh_forest_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicate_rows(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op6_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_rows(table(spark, sf_dir, "documents"))
+
+
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 

@@ -162,10 +162,10 @@ def fit(docs: DataFrame) -> KernelRidge:
     return KernelRidge(rows, [r["lang"] for r in sample])
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score (named so that they clash with no column)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")))
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
 
     def predict(batches):
         for batch in batches:
@@ -173,7 +173,7 @@ def identify(docs: DataFrame) -> DataFrame:
                 for at in range(lo, hi, 512):  # presence rows of 512 texts at a time
                     part = batch.slice(at, min(512, hi - at))
                     langs, scores = model.value.predict(part.column("text").to_pylist())
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, pred, score])
 
     return docs.mapInArrow(predict, schema)
 

@@ -286,7 +286,8 @@ def true_links(rough: DataFrame, docs: DataFrame, first_rows: DataFrame, thresho
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n_shingles, component_id and kept of every row of ``docs`` (from ``with_row_key``)."""
+    """doc_id, row_key, n_shingles, component (its own name, null without a set), component_id and kept of every row of
+    ``docs`` (from ``with_row_key``)."""
     signed = written(signatures(docs), "signatures")
     has = signed.where(F.col("node").isNotNull())
     # One row of the documents stands for each set; any of them has the same shingles.
@@ -298,14 +299,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links)
     named = smallest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    label = named.join(lowest, "component").select("node", "component_id")
+    label = named.join(lowest, "component").select("node", "component", "component_id")
     out = signed.drop("signature").join(label, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "row_key", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "row_key", "n_shingles", "component", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
 def near_duplicate_rows(docs: DataFrame) -> DataFrame:
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return near_duplicates(keyed)
+    return near_duplicates(keyed).drop("row_key", "component")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component (the one with the smallest id), and all rows without words. Rows with equal
+    id and text are one document."""
+    keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    judged = written(near_duplicates(keyed).where("kept").select("doc_id", "row_key", "component"), "kept")
+    first = judged.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("r.*")
+    stay = first.unionByName(judged.where(F.col("component").isNull()).select("doc_id", "row_key").distinct())
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__stays"))
+    marked = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    met = marked.join(stay, (F.col("__key") == F.col("__stays")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    return met.dropDuplicates(["__key", "doc_id"]).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from receivables.llm import encoding, language, near_dedup, packing, personal_data, substring_dedup
+from receivables.llm import binary_index, encoding, language, near_dedup, packing, personal_data, perspectives, pivot_index, substring_dedup, url_filter
 from receivables.llm.common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_index.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op2_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(table(spark, sf_dir, "documents"))
 
@@ -36,14 +40,26 @@ def op6_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_rows(table(spark, sf_dir, "documents"))
 
 
+def op7_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op8_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_pivot_distance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.exact_top(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_perspective_rotation": perspectives.ORACLE, "op10_pivot_distance_topk": pivot_index.ORACLE}

@@ -279,6 +279,18 @@ def covered_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, filte
     return spans.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
 
 
+def keep_words(text: str | None, spans: list[dict] | None) -> tuple[bytes, int, int]:
+    """(kept words joined by one space, number of words, number of removed words)."""
+    words = (text or "").encode().split()
+    n = len(words)
+    if spans:
+        gone = np.zeros(n + 1, dtype=np.int32)
+        np.add.at(gone, [s["first"] for s in spans], 1)
+        np.add.at(gone, [s["end"] for s in spans], -1)
+        words = [words[k] for k in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
+    return b" ".join(words), n, n - len(words)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digests: bool = False) -> DataFrame:
     """doc_id, row_key, n_words, n_removed and the kept words (joined by one space), or with ``digests`` their sha256."""
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -291,15 +303,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
             for lo, hi in pieces_of(batch, "text", 4 << 20):
                 out: tuple[list, ...] = ([], [], [])
                 for text, spans_ in zip(batch.column("text")[lo:hi].to_pylist(), batch.column("spans")[lo:hi].to_pylist(), strict=True):
-                    words = (text or "").encode().split()
-                    n = len(words)
-                    if spans_:
-                        gone = np.zeros(n + 1, dtype=np.int32)
-                        np.add.at(gone, [s["first"] for s in spans_], 1)
-                        np.add.at(gone, [s["end"] for s in spans_], -1)
-                        words = [words[k] for k in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
-                    kept = b" ".join(words)
-                    for column, value in zip(out, (n, n - len(words), hashlib.sha256(kept).hexdigest() if digests else kept.decode()), strict=True):
+                    kept, n, removed = keep_words(text, spans_)
+                    for column, value in zip(out, (n, removed, hashlib.sha256(kept).hexdigest() if digests else kept.decode()), strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[lo:hi], batch.column("row_key")[lo:hi], pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())],
@@ -310,3 +315,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     return met.select("doc_id", "row_key", "text", "spans").mapInArrow(
         cut, f"doc_id long, row_key long, n_words long, n_removed long, {kept_name} string"
     )
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``docs`` with the covered words taken out of ``text`` (kept words joined by one space); texts that lose nothing, and
+    all other columns, stay as they are."""
+    spans = covered_words(with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), window, gram)
+    s = spans.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__of"), F.col("spans").alias("__spans"))
+    marked = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    met = marked.join(s, (F.col("__key") == F.col("__of")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+
+    def cut(batches):
+        for batch in batches:
+            for lo, hi in pieces_of(batch, "text", 4 << 20):
+                part = batch.slice(lo, hi - lo)
+                texts = [keep_words(t, s)[0].decode() if s else t for t, s in zip(part.column("text").to_pylist(), part.column("__spans").to_pylist(), strict=True)]
+                at = part.schema.get_field_index("text")
+                part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                yield part.select(part.schema.names[:-1])
+
+    return met.select(*docs.columns, "__spans").mapInArrow(cut, docs.schema)

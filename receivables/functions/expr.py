@@ -54,6 +54,12 @@ def days_overdue(due, as_of) -> Column:
     return F.coalesce(F.greatest(F.lit(0), F.datediff(as_of_lit(as_of), col(due))), F.lit(0))
 
 
+def days_late(paid, due) -> Column:
+    """Days from the due date to the payment, at least 0; NULL when either date is (``greatest`` would make that 0)."""
+    late = F.datediff(col(paid), col(due))
+    return F.when(late.isNotNull(), F.greatest(F.lit(0), late))
+
+
 def days_until_due(due, as_of) -> Column:
     return F.datediff(col(due), as_of_lit(as_of))
 

@@ -6,8 +6,9 @@ column with billions of distinct amounts. Here the exact answer comes from two s
 1. a log-scale histogram (1,024 buckets per doubling of |x|: about 20,000 buckets for values between 1 and a million,
    whatever the row count) locates the bucket holding each of the two
    ranks that bracket the quantile position;
-2. only the rows of those (at most two) buckets are counted per distinct value, and a running count inside each
-   bucket picks the exact order statistics.
+2. only the rows of those (at most two) buckets are counted per distinct value. Each bucket is divided into 4,096 cells
+   (the same logarithm, finer); running counts over the cells find the ones that hold the ranks, and running counts
+   over the values of those cells pick the exact order statistics, so that no task sorts a whole bucket.
 
 The result (a one-row DataFrame) equals numpy / pandas ``quantile(q)`` with linear interpolation.
 """
@@ -18,12 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RES = 1024  # histogram buckets per doubling of |x|: a bucket spans 0.07 % of its value
+_CELLS = 4096  # cells of a bucket
 
 
-def _bucket(x: Column) -> Column:
-    """Monotone non-decreasing bucket id: zero -> 0, positive -> > 0, negative -> < 0."""
+def _bucket(x: Column, parts: int = 1) -> Column:
+    """Monotone non-decreasing bucket id: zero -> 0, positive -> > 0, negative -> < 0; each bucket in ``parts`` cells."""
     # The offset keeps every positive magnitude (down to denormals, log2 >= -1074) above the zero bucket.
-    mag = F.floor(F.log2(F.abs(x)) * _RES).cast("long") + F.lit(1 << 22)
+    mag = F.floor(F.log2(F.abs(x)) * (_RES * parts)).cast("long") + F.lit((1 << 22) * parts)
     return F.when(x > 0, mag).when(x < 0, -mag).otherwise(F.lit(0).cast("long"))
 
 
@@ -48,16 +50,21 @@ def exact_quantile(df: DataFrame, column: str, q: float, out: str = "quantile")
     )
     inside = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("c"))
     wanted = hist.where(inside("r_lo") | inside("r_hi"))  # the <= 2 buckets holding the two ranks
-    # Pass 2: only rows of the selected buckets survive the broadcast semi join; count them per distinct value and
-    # find the value at each rank with a running count inside the bucket.
+    # Pass 2: only rows of the selected buckets survive the broadcast semi join; count them per distinct value.
     fine = (
         vals.withColumn("b", _bucket(F.col("v")))
         .join(F.broadcast(wanted.select("b")), "b", "left_semi")
-        .groupBy("b", "v")
+        .groupBy("b", _bucket(F.col("v"), _CELLS).alias("cell"), "v")
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fine = fine.withColumn("upto", F.sum("k").over(w)).join(F.broadcast(wanted), "b")
+    # The cells of a bucket (at most _CELLS rows), each with the count before it; then the values of the wanted cells.
+    before = Window.partitionBy("b").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = fine.groupBy("b", "cell").agg(F.sum("k").alias("in_cell")).withColumn("below", F.coalesce(F.sum("in_cell").over(before), F.lit(0)))
+    cells = cells.join(F.broadcast(wanted), "b").withColumn("before", F.col("before") + F.col("below"))
+    holds = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("in_cell"))
+    chosen = cells.where(holds("r_lo") | holds("r_hi")).select("b", "cell", "before", "r_lo", "r_hi", "frac")  # at most 2 rows
+    w = Window.partitionBy("b", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fine = fine.join(F.broadcast(chosen), ["b", "cell"]).withColumn("upto", F.sum("k").over(w))
     at = lambda r: (F.col(r) - F.col("before") < F.col("upto")) & (F.col(r) - F.col("before") >= F.col("upto") - F.col("k"))
     picked = fine.agg(
         F.max(F.when(at("r_lo"), F.col("v"))).alias("v_lo"),

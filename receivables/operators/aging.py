@@ -42,7 +42,7 @@ def aging_summary(invoices: DataFrame, as_of) -> DataFrame:
 
 def customer_aging(invoices: DataFrame, customers: DataFrame, as_of) -> DataFrame:
     """AR-3: open AR per customer with one column per bucket (always all six, zero-filled)."""
-    aged = calculate_aging(invoices.where(F.col("status") == "open"), as_of)
+    aged = calculate_aging(invoices.where((F.col("status") == "open") & F.col("customer_id").isNotNull()), as_of)
     wide = (
         aged.withColumn("amt", F.col("invoice_amount").cast("decimal(18,2)"))
         .groupBy("customer_id")

@@ -1,18 +1,22 @@
 """Audit log (AU-*): append batches, history views and success metrics over actions / responses / outcomes.
 
-Responses and outcomes are reduced to one row per action (or per invoice) *before* they meet the action table, so
-every join runs at action grain and no invoice or action with many records multiplies rows. The reference's SQL
-joins responses x outcomes per action (D13) and counts the product rows in its sums and averages; the per-action
-weights below (``max(1, responses)``) reproduce exactly those inflated numbers without building the product.
+Metrics (AU-5, AU-6, AU-8) reduce responses and outcomes to one row per action *before* they meet the action table, so
+these joins run at action grain. The reference's sums and averages run over the product of an action's responses and
+outcomes (D13); the per-action weights below (``max(1, responses)``) give exactly those numbers without building it.
+
+Histories (AU-3, AU-4, AU-7) do list that product: an action with r responses and o outcomes has max(1, r) * max(1, o)
+rows, as many as one action's own records make. Outcomes that name no known action are listed once, without an action.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from receivables.functions import expr as E
 from receivables.functions.joins import lookup_join
+from receivables.session import checkpoint_folder
 
 ACTION_COLUMNS = [
     "action_id", "invoice_id", "customer_id", "action_type", "action_date", "scheduled_date", "channel",
@@ -20,32 +24,53 @@ ACTION_COLUMNS = [
 ]
 
 
-def append_batch(batch: DataFrame, path: str, partition_by: str | None = "action_month", date_col: str = "action_date") -> None:
-    """AU-1: append a batch of rows to a parquet audit table (stamped, partitioned by month for pruning).
+def _table_schema(spark: SparkSession, path: str) -> StructType | None:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(path).schema if fs.exists(jpath) else None
+
+
+def append_batch(batch: DataFrame, path: str, id_col: str = "action_id", partition_by: str | None = "action_month",
+                 date_col: str = "action_date") -> DataFrame:
+    """AU-1: append a batch of actions, responses or outcomes to a parquet audit table and return it with its ids.
 
-    Rows carry their own ids (caller keys or ``uuid()``); appends are idempotent per batch only if the caller
-    de-duplicates on that id, exactly like any Spark append.
+    Ids are strings: rows without one (or a batch without the column) get a whole uuid. The batch is written to the
+    shared checkpoint folder first, so that a retried task cannot give a row another id than the one returned. Columns
+    and types must be those of the table, if there is one; otherwise nothing is written. Rows are stamped, and
+    partitioned by month for pruning.
     """
-    out = batch
+    spark = batch.sparkSession
+    given = F.col(id_col).cast("string") if id_col in batch.columns else F.lit(None).cast("string")
+    out = batch.withColumn(id_col, F.coalesce(given, F.expr("uuid()")))
     if "created_at" not in out.columns:
         out = out.withColumn("created_at", F.localtimestamp())
     if partition_by:
         out = out.withColumn(partition_by, F.date_format(F.col(date_col), "yyyy-MM"))
-        out.write.mode("append").partitionBy(partition_by).parquet(path)
-    else:
-        out.write.mode("append").parquet(path)
+    found = _table_schema(spark, path)
+    if found is not None:
+        there = {f.name: f.dataType.simpleString() for f in found if f.name != partition_by}
+        new = {f.name: f.dataType.simpleString() for f in out.schema if f.name != partition_by}
+        if there != new:
+            differ = sorted(k for k in there.keys() | new.keys() if there.get(k) != new.get(k))
+            raise ValueError(f"batch does not fit the audit table {path}: {[(k, there.get(k), new.get(k)) for k in differ]}")
+    checkpoint_folder(spark)
+    out = out.checkpoint()
+    writer = out.write.mode("append")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return out.drop(partition_by) if partition_by else out
 
 
 def new_csv_actions(invoice_ids: DataFrame, action_type: str, action_date, notes: str | None = None) -> DataFrame:
-    """AU-2: build CSV-vocabulary action rows ``ACT-xxxxxxxx`` (8 hex chars of a uuid) with outcome pending."""
+    """AU-2: build CSV-vocabulary action rows with outcome pending. The key is ``ACT-`` and a whole uuid; ``short_id``
+    (``ACT-`` and 8 hex digits) is for display, as it is not unique."""
     return invoice_ids.select(
-        F.concat(F.lit("ACT-"), F.upper(F.substring(F.regexp_replace(F.expr("uuid()"), "-", ""), 1, 8))).alias("action_id"),
+        F.concat(F.lit("ACT-"), F.upper(F.regexp_replace(F.expr("uuid()"), "-", ""))).alias("action_id"),
         "invoice_id",
         F.lit(action_type).alias("action_type"),
         E.as_of_lit(action_date).cast("timestamp_ntz").alias("action_date"),
         F.lit(notes).cast("string").alias("notes"),
         F.lit("pending").alias("outcome"),
-    )
+    ).withColumn("short_id", F.substring("action_id", 1, 12))
 
 
 def append_actions(existing: DataFrame, new_rows: DataFrame) -> DataFrame:
@@ -76,14 +101,14 @@ def _action_grain(actions: DataFrame, responses: DataFrame, outcomes: DataFrame)
     return a.withColumn("w", F.greatest(F.lit(1), F.coalesce(F.col("n_resp"), F.lit(0))))
 
 
-def _filter_dates(actions: DataFrame, start=None, end=None, action_type: str | None = None) -> DataFrame:
+def _filter_dates(rows: DataFrame, start=None, end=None, action_type: str | None = None, date_col: str = "action_date") -> DataFrame:
     if start is not None:
-        actions = actions.where(F.col("action_date") >= E.as_of_lit(start))
+        rows = rows.where(F.col(date_col) >= E.as_of_lit(start))
     if end is not None:
-        actions = actions.where(F.col("action_date") <= E.as_of_lit(end))
+        rows = rows.where(F.col(date_col) <= E.as_of_lit(end))
     if action_type is not None:
-        actions = actions.where(F.col("action_type") == action_type)
-    return actions
+        rows = rows.where(F.col("action_type") == action_type)
+    return rows
 
 
 def success_metrics(actions: DataFrame, responses: DataFrame, outcomes: DataFrame, start=None, end=None,
@@ -128,50 +153,60 @@ def action_effectiveness(actions: DataFrame, responses: DataFrame, outcomes: Dat
     ).orderBy(F.desc("payments_received"), "action_type")
 
 
-def _history(actions: DataFrame, responses: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Actions with their responses (by action_id) and outcomes (by action_id), plus the invoice's outcome summary.
-
-    The reference attaches outcomes by invoice_id, pairing every action of an invoice with every outcome of that
-    invoice; that is quadratic in a busy invoice. Here each outcome stays on its own action, and the invoice-level
-    view the reference was after is kept as pre-aggregated columns (outcomes and amount per invoice).
-    """
-    inv_out = outcomes.groupBy("invoice_id").agg(
-        F.count(F.lit(1)).alias("invoice_outcomes"),
-        F.sum(F.col("amount_collected").cast("decimal(18,2)")).cast("double").alias("invoice_amount_collected"),
-    )
+def _history(actions: DataFrame, responses: DataFrame, outcomes: DataFrame, loose: DataFrame) -> DataFrame:
+    """Actions with their responses and outcomes (both by action_id), then the ``loose`` outcomes, one row each."""
     r = responses.select("action_id", "response_type", "response_date", "payment_promised")
     o = outcomes.select("action_id", "outcome_type", "amount_collected", "days_to_payment")
-    by_action = actions.join(r, "action_id", "left").join(o, "action_id", "left")
-    # One summary row per invoice; an invoice with a large share of the actions is salted across tasks.
-    return lookup_join(by_action, inv_out, "invoice_id", "left", spread="action_id")
+    listed = actions.join(r, "action_id", "left").join(o, "action_id", "left")
+    return listed.unionByName(
+        loose.select("invoice_id", "customer_id", "outcome_type", "amount_collected", "days_to_payment"), allowMissingColumns=True
+    )
+
+
+def _loose_outcomes(actions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Outcomes without a known action (no action_id, or one that is not in ``actions``), with the customer that the
+    invoice's actions name, where there are any."""
+    known = actions.groupBy("invoice_id").agg(F.min("customer_id").alias("customer_id"))
+    return outcomes.join(actions.select("action_id"), "action_id", "left_anti").join(known, "invoice_id", "left")
 
 
 def invoice_history(actions: DataFrame, responses: DataFrame, outcomes: DataFrame, invoice_id: str | None = None) -> DataFrame:
-    """AU-3: action history (newest first) of one invoice, or of all invoices when ``invoice_id`` is None."""
-    a = actions if invoice_id is None else actions.where(F.col("invoice_id") == invoice_id)
-    h = _history(a, responses, outcomes)
+    """AU-3: history of one invoice, or of all when ``invoice_id`` is None: actions newest first, then outcomes logged
+    without an action; each row with the number and amount of the invoice's outcomes."""
+    mine = lambda df: df if invoice_id is None else df.where(F.col("invoice_id") == invoice_id)
+    a, o = mine(actions), mine(outcomes)
+    per_invoice = o.groupBy("invoice_id").agg(
+        F.count(F.lit(1)).alias("invoice_outcomes"),
+        F.sum(F.col("amount_collected").cast("decimal(18,2)")).cast("double").alias("invoice_amount_collected"),
+    )
+    h = _history(a, responses, outcomes, _loose_outcomes(actions, o))
+    # One summary row per invoice; an invoice with a large share of the actions is salted across tasks.
+    sizes = a.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("__n"))
+    h = lookup_join(h, per_invoice, "invoice_id", "left", spread="action_id", key_counts=sizes)
     return h.select(
         "invoice_id", "action_id", "action_date", "action_type", "channel", "sent_by", "response_type", "response_date",
         "payment_promised", "outcome_type", "amount_collected", "invoice_outcomes", "invoice_amount_collected",
-    ).orderBy(F.desc("action_date"), "action_id")
+    ).orderBy(F.desc_nulls_last("action_date"), "action_id", "invoice_id")
 
 
 def customer_history(actions: DataFrame, responses: DataFrame, outcomes: DataFrame, customer_id: str | None = None) -> DataFrame:
-    """AU-4: action history of one customer (or all), newest first."""
-    a = actions if customer_id is None else actions.where(F.col("customer_id") == customer_id)
-    h = _history(a, responses, outcomes)
+    """AU-4: history of one customer (or all): actions newest first, then outcomes without an action."""
+    mine = lambda df: df if customer_id is None else df.where(F.col("customer_id") == customer_id)
+    h = _history(mine(actions), responses, outcomes, mine(_loose_outcomes(actions, outcomes)))
     return h.select(
         "customer_id", "invoice_id", "action_id", "action_date", "action_type", "channel", "response_type", "outcome_type",
-    ).orderBy(F.desc("action_date"), "action_id")
+    ).orderBy(F.desc_nulls_last("action_date"), "action_id", "invoice_id")
 
 
 def audit_export(actions: DataFrame, responses: DataFrame, outcomes: DataFrame, start=None, end=None) -> DataFrame:
-    """AU-7: the full audit log in an optional date range, newest first (write it with ``sources.tables.save``)."""
-    h = _history(_filter_dates(actions, start, end), responses, outcomes)
+    """AU-7: the full audit log in an optional date range, newest first (write it with ``sources.tables.save``); outcomes
+    without an action by their own date."""
+    loose = _filter_dates(_loose_outcomes(actions, outcomes), start, end, date_col="outcome_date")
+    h = _history(_filter_dates(actions, start, end), responses, outcomes, loose)
     return h.select(
         "action_id", "invoice_id", "customer_id", "action_type", "action_date", "channel", "sent_by", "response_type",
         "response_date", "payment_promised", "outcome_type", "amount_collected", "days_to_payment", "notes",
-    ).orderBy(F.desc("action_date"), "action_id")
+    ).orderBy(F.desc_nulls_last("action_date"), "action_id", "invoice_id")
 
 
 def daily_success_metrics(actions: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -22,9 +22,10 @@ def late_target(invoices: DataFrame, payments: DataFrame, late_threshold_days: i
     """FE-3: one row per invoice x payment (unpaid invoices once); is_late = days paid after due > threshold."""
     j = invoices.join(payments.select("invoice_id", "payment_date"), "invoice_id", "left")
     days_late = F.when(F.col("payment_date").isNull(), F.lit(0)).otherwise(
-        F.greatest(F.lit(0), F.datediff("payment_date", "due_date"))
+        E.days_late("payment_date", "due_date")
     )
-    return j.withColumn("days_late", days_late).withColumn("is_late", (F.col("days_late") > late_threshold_days).cast("int"))
+    late = F.coalesce(F.col("days_late") > late_threshold_days, F.lit(False))  # unknown dates are not late
+    return j.withColumn("days_late", days_late).withColumn("is_late", late.cast("int"))
 
 
 def customer_history(invoices: DataFrame, payments: DataFrame, as_of) -> DataFrame:
@@ -35,7 +36,7 @@ def customer_history(invoices: DataFrame, payments: DataFrame, as_of) -> DataFra
     inv = invoices.where(F.col("issue_date") < a).select("invoice_id", "customer_id", "due_date")
     pay = payments.select("invoice_id", "payment_date", F.col("amount").alias("pay_amount"))
     m = inv.join(pay, "invoice_id", "left").where(F.col("payment_date").isNull() | (F.col("payment_date") < a))
-    dl = F.when(F.col("payment_date").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.datediff("payment_date", "due_date")))
+    dl = F.when(F.col("payment_date").isNull(), F.lit(0)).otherwise(E.days_late("payment_date", "due_date"))
     g = m.withColumn("dl", dl).groupBy("customer_id").agg(
         F.count("invoice_id").alias("customer_invoice_count"),
         F.avg("dl").alias("customer_avg_days_late"),

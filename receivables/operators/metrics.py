@@ -89,7 +89,7 @@ def payment_pairs(invoices: DataFrame, payments: DataFrame, completed_only: bool
 def _pair_stats(invoices: DataFrame, payments: DataFrame, completed_only: bool) -> DataFrame:
     pairs = payment_pairs(invoices, payments, completed_only).select(
         F.datediff("payment_date", "issue_date").alias("days_to_payment"),
-        F.greatest(F.lit(0), F.datediff("payment_date", "due_date")).alias("days_late"),
+        E.days_late("payment_date", "due_date").alias("days_late"),
     )
     late = F.col("days_late") > 0
     return pairs.agg(
@@ -163,7 +163,7 @@ def customer_risk(
     )
     if payments is not None:
         pairs = payment_pairs(inv, payments, completed_only).select(
-            "customer_id", F.greatest(F.lit(0), F.datediff("payment_date", "due_date")).alias("days_late")
+            "customer_id", E.days_late("payment_date", "due_date").alias("days_late")
         )
         hist = pairs.groupBy("customer_id").agg(
             F.count(F.lit(1)).alias("paid_invoices"),

@@ -1,8 +1,9 @@
-"""Late-payment model on MLlib (ML-1..ML-8): time-ordered split, standardise, GBT or logistic, hash-fold CV.
+"""Late-payment model on MLlib (ML-1..ML-8): time-ordered split, standardise, GBT or logistic, stratified folds.
 
 Training data never leaves Spark: the label and feature frames are DataFrames, the split is a cutoff date (the
-(1 - test_size) quantile of issue dates, computed distributed), folds are a hash of the invoice id, and MLlib fits
-the trees on the executors. Only model-sized results (metrics, importances) are small driver-side values.
+(1 - test_size) quantile of issue dates, computed distributed), folds deal each class round robin along a hash order,
+and MLlib fits the trees on the executors. Features are assembled and scaled once, on the training rows; only the
+classifier is cross-validated. Only model-sized results (metrics, importances) are small driver-side values.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from receivables.functions import expr as E
 from receivables.functions.quantile import exact_quantile
 from receivables.operators.features import FEATURE_COLUMNS, engineer_features, late_target
+from receivables.session import checkpoint_folder
+
+FOLD_BUCKET_ROWS = 100_000  # rows of one class that are ranked together
 
 
 @dataclass
@@ -38,70 +42,105 @@ def training_frame(invoices, customers, payments, as_of, late_threshold_days: in
     return feats.select("invoice_id", "issue_date", "is_late", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURE_COLUMNS])
 
 
-def build_pipeline(model_type: str = "gradient_boost", seed: int = 42, **params) -> Pipeline:
-    """VectorAssembler -> StandardScaler (mean and std) -> GBT / logistic regression."""
+def preparation() -> Pipeline:
+    """VectorAssembler -> StandardScaler (mean and std)."""
     assembler = VectorAssembler(inputCols=FEATURE_COLUMNS, outputCol="raw_features", handleInvalid="keep")
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+    return Pipeline(stages=[assembler, StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)])
+
+
+def classifier(model_type: str, n_rows: int, seed: int = 42, **params):
+    """GBT, or logistic regression with the penalty of C = 1 (``regParam`` = 1 / n: MLlib averages the loss)."""
     if model_type == "gradient_boost":
-        n_trees = params.get("n_estimators", 100)
-        clf = GBTClassifier(
-            labelCol="is_late", featuresCol="features", maxIter=n_trees,
+        return GBTClassifier(
+            labelCol="is_late", featuresCol="features", maxIter=params.get("n_estimators", 100),
             maxDepth=params.get("max_depth", 5), stepSize=params.get("learning_rate", 0.1),
             subsamplingRate=params.get("subsample", 0.8), minInstancesPerNode=params.get("min_samples_leaf", 10), seed=seed,
-            # Long boosting runs cut their lineage every 10 trees in the shared checkpoint folder (executor loss
-            # then recomputes at most 10 iterations); short runs have nothing worth cutting.
-            checkpointInterval=10 if n_trees > 10 else -1,
+            # Boosting cuts its lineage every 10 trees in the shared checkpoint folder: a lost executor costs at most 10.
+            checkpointInterval=10, cacheNodeIds=True,
         )
-    elif model_type == "logistic":
-        clf = LogisticRegression(labelCol="is_late", featuresCol="features", maxIter=params.get("max_iter", 1000),
-                                 regParam=params.get("reg_param", 0.0))
-    else:
-        raise ValueError(f"Unknown model type: {model_type}")
-    return Pipeline(stages=[assembler, scaler, clf])
+    if model_type == "logistic":
+        return LogisticRegression(labelCol="is_late", featuresCol="features", maxIter=params.get("max_iter", 1000),
+                                  regParam=params.get("reg_param", 1.0 / max(1, n_rows)))
+    raise ValueError(f"Unknown model type: {model_type}")
 
 
-def time_split(frame: DataFrame, test_size: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """D14: rows issued on or before the (1 - test_size) quantile of issue_date train; later rows test."""
+def time_split(frame: DataFrame, test_size: float = 0.25) -> DataFrame:
+    """D14: ``is_train`` and the one-row ``cutoff``: rows issued on or before the (1 - test_size) quantile of issue_date
+    train, later rows test; rows without an issue date are in neither."""
     days = frame.select(F.unix_date("issue_date").alias("d"))
-    cut = exact_quantile(days, "d", 1 - test_size, out="cut")
-    tagged = frame.crossJoin(F.broadcast(cut)).withColumn("is_train", F.unix_date("issue_date") <= F.col("cut")).drop("cut")
-    return tagged.where("is_train").drop("is_train"), tagged.where("not is_train").drop("is_train")
+    cut = exact_quantile(days, "d", 1 - test_size, out="cutoff")
+    return frame.where(F.col("issue_date").isNotNull()).crossJoin(F.broadcast(cut)).withColumn("is_train", F.unix_date("issue_date") <= F.col("cutoff"))
+
+
+def stratified_folds(rows: DataFrame, folds: int, total: int, seed: int = 42, label: str = "is_late", key: str = "invoice_id") -> DataFrame:
+    """``fold``: the rows of each class, in the order of a hash of their key, dealt round robin, so that the folds of a
+    class differ by one row at most. A class is ranked in buckets of that hash (about ``FOLD_BUCKET_ROWS`` rows each)."""
+    buckets = max(1, -(-total // FOLD_BUCKET_ROWS))
+    h = F.xxhash64(key, F.lit(seed))
+    part = rows.withColumn("__h", h).withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = part.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select(label, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(label, "__bucket").orderBy("__h", key)
+    ranked = part.withColumn("__place", F.row_number().over(inside)).join(F.broadcast(starts), [label, "__bucket"])  # 2 rows per bucket
+    fold = F.pmod(F.col("__before") + F.col("__place") - 1, F.lit(folds)).cast("int")
+    return ranked.withColumn("fold", fold).drop("__h", "__bucket", "__place", "__before")
+
+
+def split(invoices, customers, payments, as_of, late_threshold_days: int = 7, test_size: float = 0.25, cv_folds: int = 5,
+          seed: int = 42) -> DataFrame:
+    """How training divides its rows: per fold and class of the training split the rows, next to the cutoff date, both
+    sample sizes and the late rate (%) of all rows."""
+    labels = late_target(invoices, payments, late_threshold_days).select("invoice_id", "issue_date", "is_late")
+    tagged = time_split(labels, test_size)
+    head = tagged.agg(
+        F.date_from_unix_date(F.floor(F.first("cutoff")).cast("int")).alias("cutoff_date"),
+        F.count_if("is_train").alias("train_samples"), F.count_if(~F.col("is_train")).alias("test_samples"),
+        E.round_dec(F.avg("is_late") * 100, 2).alias("late_rate"),
+    )
+    train_rows = tagged.where("is_train")
+    folded = stratified_folds(train_rows.select("invoice_id", "is_late"), cv_folds, train_rows.count(), seed)
+    per_fold = folded.groupBy("fold", "is_late").agg(F.count(F.lit(1)).alias("fold_rows"))
+    return per_fold.crossJoin(F.broadcast(head)).orderBy("fold", "is_late")
 
 
 def train(invoices, customers, payments, as_of, model_type: str = "gradient_boost", late_threshold_days: int = 7,
-          test_size: float = 0.25, cv_folds: int = 5, seed: int = 42, min_rows: int = 50, **params) -> TrainedModel:
+          test_size: float = 0.25, cv_folds: int = 5, seed: int = 42, min_rows: int = 50, trained_at=None, **params) -> TrainedModel:
     """ML-1..ML-4: fit, cross-validate (ROC AUC mean / std) and report accuracy, late rate and importances."""
     spark = invoices.sparkSession
-    frame = training_frame(invoices, customers, payments, as_of, late_threshold_days)
-    frame = frame.withColumn("fold", F.pmod(F.xxhash64("invoice_id", F.lit(seed)), F.lit(cv_folds)).cast("int")).persist()
-    stats = frame.agg(F.count(F.lit(1)).alias("n"), F.avg("is_late").alias("late")).first()
-    if stats["n"] < min_rows:
+    checkpoint_folder(spark)
+    frame = training_frame(invoices, customers, payments, as_of, late_threshold_days).persist()
+    tagged = time_split(frame, test_size).drop("cutoff")
+    sizes = {r["is_train"]: r for r in tagged.groupBy("is_train").agg(F.count(F.lit(1)).alias("n"), F.sum("is_late").alias("late")).collect()}
+    n_train, n_test = (sizes[k]["n"] if k in sizes else 0 for k in (True, False))
+    if n_train + n_test < min_rows:
         frame.unpersist()
-        raise ValueError(f"Insufficient training data: {stats['n']} rows. Need at least {min_rows}.")
-    train_df, test_df = time_split(frame, test_size)
-    # The split is materialised once: every fold and tree iteration then reads cached rows, not the feature plan.
-    train_df, test_df = train_df.persist(), test_df.persist()
-    pipeline = build_pipeline(model_type, seed, **params)
+        raise ValueError(f"Insufficient training data: {n_train + n_test} rows. Need at least {min_rows}.")
+    late = sum(r["late"] for r in sizes.values()) / (n_train + n_test)
+    # Prepared once: every fold and tree then reads cached vectors, not the feature plan.
+    prep = preparation().fit(tagged.where("is_train"))
+    columns = ["features", "is_late"]
+    folded = stratified_folds(tagged.where("is_train"), cv_folds, n_train, seed)
+    train_df = prep.transform(folded).select(*columns, "fold").persist()
+    test_df = prep.transform(tagged.where("not is_train")).select(*columns)
     cv = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(),
+        estimator=classifier(model_type, n_train, seed, **params), estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=BinaryClassificationEvaluator(labelCol="is_late", metricName="areaUnderROC"),
         foldCol="fold", numFolds=cv_folds, parallelism=cv_folds, seed=seed,
     )
     cv_model = cv.fit(train_df)
-    model = cv_model.bestModel  # refit on the whole training split by CrossValidator itself
+    clf = cv_model.bestModel  # refit on the whole training split by CrossValidator itself
+    model = PipelineModel(stages=[*prep.stages, clf])
     acc = MulticlassClassificationEvaluator(labelCol="is_late", predictionCol="prediction", metricName="accuracy")
-    train_acc = acc.evaluate(model.transform(train_df))
-    test_acc = acc.evaluate(model.transform(test_df)) if test_df.limit(1).count() else float("nan")
+    train_acc = acc.evaluate(clf.transform(train_df))
+    test_acc = acc.evaluate(clf.transform(test_df)) if n_test else float("nan")
+    auc = round(float(cv_model.avgMetrics[0]), 4), round(float(cv_model.stdMetrics[0]), 4)
     metrics = spark.createDataFrame(
-        [(model_type, train_df.count(), test_df.count(), round(train_acc, 4), round(test_acc, 4),
-          round(float(cv_model.avgMetrics[0]), 4), round(float(cv_model.stdMetrics[0]), 4),
-          round(float(stats["late"]) * 100, 2), late_threshold_days)],
+        [(model_type, n_train, n_test, round(train_acc, 4), round(test_acc, 4), *auc, round(float(late) * 100, 2), late_threshold_days, trained_at)],
         "model_type string, train_samples long, test_samples long, train_accuracy double, test_accuracy double, "
-        "cv_roc_auc_mean double, cv_roc_auc_std double, late_rate double, late_threshold_days int",
+        "cv_roc_auc_mean double, cv_roc_auc_std double, late_rate double, late_threshold_days int, trained_at timestamp_ntz",
     )
-    cv_df = spark.createDataFrame([(cv_folds, round(float(cv_model.avgMetrics[0]), 4), round(float(cv_model.stdMetrics[0]), 4))],
-                                  "folds int, cv_roc_auc_mean double, cv_roc_auc_std double")
-    clf = model.stages[-1]
+    cv_df = spark.createDataFrame([(cv_folds, *auc)], "folds int, cv_roc_auc_mean double, cv_roc_auc_std double")
     if hasattr(clf, "featureImportances"):
         imp = [float(x) for x in clf.featureImportances.toArray()]
     else:
@@ -109,7 +148,7 @@ def train(invoices, customers, payments, as_of, model_type: str = "gradient_boos
     importances = spark.createDataFrame(list(zip(FEATURE_COLUMNS, imp)), "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
-    for df in (train_df, test_df, frame):
+    for df in (train_df, frame):
         df.unpersist()
     return TrainedModel(model, metrics, importances, cv_df)
 

@@ -118,10 +118,10 @@ def tone_messages(recs: DataFrame, as_of) -> DataFrame:
 
 
 def log_messages(messages: DataFrame, sent_at, risk_col: str = "risk_category") -> DataFrame:
-    """OU-7: sent messages as audit action rows (append them with ``audit.append_batch``)."""
+    """OU-7: sent messages as audit action rows; ``audit.append_batch`` gives them their ids and appends them."""
     risk = F.col(risk_col) if risk_col in messages.columns else F.lit("unknown")
     return messages.select(
-        F.expr("uuid()").alias("action_id"), "invoice_id", "customer_id", "action_type",
+        "invoice_id", "customer_id", "action_type",
         E.as_of_lit(sent_at).cast("timestamp_ntz").alias("action_date"),
         F.lit(None).cast("timestamp_ntz").alias("scheduled_date"),
         F.lit("email").alias("channel"), F.col("email_body").alias("message_sent"), F.lit("system").alias("sent_by"),

@@ -27,6 +27,7 @@ ACTION_OUTCOME = ["pending", "success", "no_response", "dispute", "promise_to_pa
 # Fixed value: the email pattern.
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 
+# The columns that a table must have.
 REQUIRED = {
     "customers": ["customer_id", "name", "email", "country", "payment_terms_days", "credit_limit", "created_at"],
     "invoices": ["invoice_id", "customer_id", "issue_date", "due_date", "invoice_amount", "currency", "status",

@@ -24,7 +24,7 @@ def dash_kpis(invoices: DataFrame, customers: DataFrame, as_of) -> DataFrame:
         F.count_if(F.col("status") == "paid").alias("paid_n"),
         F.count(F.lit(1)).alias("all_n"),
         F.count_if(is_open).alias("open_invoices"),
-        F.avg(F.when(is_open, F.greatest(F.lit(0), F.datediff(a, "due_date")))).alias("avg_od_days"),
+        F.avg(F.when(is_open, E.days_late(a, "due_date"))).alias("avg_od_days"),
     )
     n_cust = customers.agg(F.count(F.lit(1)).alias("total_customers"))
     total_ar = F.coalesce(F.col("ar"), F.lit(0)).cast("double")
@@ -59,9 +59,10 @@ def dash_aging(invoices: DataFrame, as_of) -> DataFrame:
 
 
 def monthly_payments(payments: DataFrame) -> DataFrame:
-    """DB-3: payments collected per calendar month."""
+    """DB-3: payments collected per calendar month; like all groups here, none for a NULL key."""
     return (
-        payments.groupBy(F.trunc("payment_date", "MM").alias("month"))
+        payments.where(F.col("payment_date").isNotNull())
+        .groupBy(F.trunc("payment_date", "MM").alias("month"))
         .agg(E.money_sum("amount").alias("amount"))
         .orderBy("month")
     )
@@ -71,6 +72,7 @@ def top_customers_ar(invoices: DataFrame, n: int = 10) -> DataFrame:
     """DB-5: the ``n`` customers with the most open AR (ties by customer_id)."""
     return (
         _open(invoices)
+        .where(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
         .agg(E.money_sum("invoice_amount").alias("outstanding_ar"))
         .orderBy(F.desc("outstanding_ar"), "customer_id")
@@ -80,13 +82,13 @@ def top_customers_ar(invoices: DataFrame, n: int = 10) -> DataFrame:
 
 def status_distribution(invoices: DataFrame) -> DataFrame:
     """DB-6: invoice count per status."""
-    return invoices.groupBy("status").agg(F.count(F.lit(1)).alias("invoice_count")).orderBy(F.desc("invoice_count"))
+    return invoices.where(F.col("status").isNotNull()).groupBy("status").agg(F.count(F.lit(1)).alias("invoice_count")).orderBy(F.desc("invoice_count"))
 
 
 def customer_summary(invoices: DataFrame, n: int = 50) -> DataFrame:
     """DB-7: per-customer count, total, mean, max and open AR (0 default); top ``n`` by total."""
     dec = F.col("invoice_amount").cast("decimal(18,2)")
-    g = invoices.groupBy("customer_id").agg(
+    g = invoices.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.count("invoice_id").alias("total_invoices"),
         F.sum(dec).alias("tot"),
         F.count("invoice_amount").alias("n_amt"),
@@ -105,7 +107,8 @@ def customer_summary(invoices: DataFrame, n: int = 50) -> DataFrame:
 def invoice_timeline(invoices: DataFrame) -> DataFrame:
     """DB-8: invoice volume and value per issue month."""
     return (
-        invoices.groupBy(F.trunc("issue_date", "MM").alias("month"))
+        invoices.where(F.col("issue_date").isNotNull())
+        .groupBy(F.trunc("issue_date", "MM").alias("month"))
         .agg(F.count(F.lit(1)).alias("invoice_count"), E.money_sum("invoice_amount").alias("invoice_value"))
         .orderBy("month")
     )
@@ -125,7 +128,8 @@ def credit_utilization(invoices: DataFrame, customers: DataFrame) -> DataFrame:
 
 def ar_concentration(invoices: DataFrame) -> DataFrame:
     """DB-8: each customer's share of open AR; the total is a broadcast one-row aggregate."""
-    ar = _open(invoices).groupBy("customer_id").agg(F.sum(F.col("invoice_amount").cast("decimal(18,2)")).alias("ar"))
+    known = _open(invoices).where(F.col("customer_id").isNotNull())
+    ar = known.groupBy("customer_id").agg(F.sum(F.col("invoice_amount").cast("decimal(18,2)")).alias("ar"))
     total = ar.agg(F.sum("ar").alias("all_ar"))
     return ar.crossJoin(F.broadcast(total)).select(
         "customer_id",

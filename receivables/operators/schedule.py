@@ -39,30 +39,52 @@ def holiday_table(spark: SparkSession, dates: list[dt.date] | None = None) -> Da
     return spark.createDataFrame([(d,) for d in (dates or [])], "holiday date")
 
 
-def business_calendar(spark: SparkSession, start, end, holidays: DataFrame | None = None) -> DataFrame:
-    """(day, next_business_day) for every day in [start, end + 14]; business = weekday and not a holiday.
+# The longest span of dates that a calendar is built for: it is broadcast, so one bad date must not stretch it.
+MAX_CALENDAR_DAYS = 36_525
 
-    The calendar size is the date span in days (not the data size), so it is safe to broadcast. The "next business
-    day" is a forward-looking running minimum over this small table.
+
+def _calendar(span: DataFrame, holidays: DataFrame | None) -> DataFrame:
+    """(day, next_business_day) from ``lo`` to beyond ``hi`` of the one-row ``span``; business = weekday, no holiday.
+
+    k holidays close at most k weekdays, and k // 5 + 2 weeks hold more than k of them, so the calendar always reaches
+    a business day after ``hi``, however long a closure is. Its size is bounded by the span and the holiday table.
     """
-    days = spark.range(1).select(
-        F.explode(F.sequence(E.as_of_lit(start).cast("date"), F.date_add(E.as_of_lit(end).cast("date"), 14))).alias("day")
-    )
-    if holidays is not None:
-        days = days.join(F.broadcast(holidays.select(F.col("holiday").alias("day")).distinct().withColumn("is_holiday", F.lit(True))), "day", "left")
+    too_long = F.raise_error(F.lit(f"the dates span more than {MAX_CALENDAR_DAYS} days"))
+    bounded = F.when(F.datediff("hi", "lo") > MAX_CALENDAR_DAYS, too_long.cast("date")).otherwise(F.col("hi"))
+    span = span.select("lo", bounded.alias("hi"))
+    if holidays is None:
+        span = span.withColumn("k", F.lit(0))
     else:
-        days = days.withColumn("is_holiday", F.lit(None).cast("boolean"))
-    biz = (F.weekday("day") < 5) & ~F.coalesce(F.col("is_holiday"), F.lit(False))
+        closed = holidays.select(F.col("holiday").alias("day")).where(F.col("day").isNotNull()).distinct()
+        span = span.crossJoin(closed.agg(F.count(F.lit(1)).alias("k")))
+    days = span.select(F.explode(F.sequence("lo", F.date_add("hi", (7 * (F.floor(F.col("k") / 5) + 2)).cast("int")))).alias("day"))
+    biz = F.weekday("day") < 5
+    if holidays is not None:
+        days = days.join(closed.withColumn("is_holiday", F.lit(True)), "day", "left")
+        biz = biz & F.col("is_holiday").isNull()
+    # One small row per day of the span: the unpartitioned window is a bounded task.
     w = Window.orderBy("day").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return days.select("day", F.min(F.when(biz, F.col("day"))).over(w).alias("next_business_day"))
 
 
+def business_calendar(spark: SparkSession, start, end, holidays: DataFrame | None = None) -> DataFrame:
+    """(day, next_business_day) for every day from ``start`` to ``end`` and on to the next business day after it.
+
+    The calendar size is the date span in days (not the data size), so it is safe to broadcast. The "next business
+    day" is a forward-looking running minimum over this small table.
+    """
+    return _calendar(spark.range(1).select(E.as_of_lit(start).cast("date").alias("lo"), E.as_of_lit(end).cast("date").alias("hi")), holidays)
+
+
 def roll_to_business_day(df: DataFrame, date_col: str, calendar: DataFrame, out: str | None = None) -> DataFrame:
-    """SC-2: replace ``date_col`` (or write ``out``) with the first business day on or after it."""
+    """SC-2: replace ``date_col`` (or write ``out``) with the first business day on or after it; a date that the calendar
+    does not cover is an error."""
     out = out or date_col
     cal = F.broadcast(calendar.withColumnRenamed("day", "__day"))
     j = df.join(cal, F.col(date_col) == F.col("__day"), "left")
-    return j.withColumn(out, F.coalesce(F.col("next_business_day"), F.col(date_col))).drop("__day", "next_business_day")
+    missing = F.raise_error(F.concat(F.lit("no business day known for "), F.col(date_col).cast("string")))
+    rolled = F.when(F.col(date_col).isNull(), F.lit(None).cast("date")).otherwise(F.coalesce("next_business_day", missing.cast("date")))
+    return j.withColumn(out, rolled).drop("__day", "next_business_day")
 
 
 def action_type(attempt, days, risk_level):
@@ -133,24 +155,24 @@ def this_weeks_actions(schedule: DataFrame, as_of, days: int = 7) -> DataFrame:
     ).orderBy("scheduled_date", "invoice_id", "attempt_number")
 
 
+def last_updates(updates: DataFrame, **values: str) -> DataFrame:
+    """One row per (invoice_id, attempt_number): updates are applied in the order of their ``sequence`` column (where there
+    is one; then of the values themselves), so the last wins, and a value that it leaves out stays from before.
+
+    ``values`` names the output column of each update column.
+    """
+    seq = F.col("sequence") if "sequence" in updates.columns else F.lit(0)
+    order = F.struct(seq, *values.values())
+    latest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(name) for name, c in values.items()]
+    return updates.groupBy("invoice_id", "attempt_number").agg(*latest, F.lit(True).alias("__hit"))
+
+
 def reschedule(schedule: DataFrame, updates: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
-    """SC-6: move (invoice_id, attempt_number) to ``new_date`` rolled to a business day; record ``reason``."""
-    spark = schedule.sparkSession
+    """SC-6: move (invoice_id, attempt_number) to ``new_date`` rolled to a business day; record ``reason``. Of several
+    updates of one attempt the last wins (see ``last_updates``)."""
     span = updates.agg(F.min("new_date").alias("lo"), F.max("new_date").alias("hi"))
-    # The calendar covers the span of the requested dates (bounded by days, not rows).
-    cal = (
-        span.select(F.explode(F.sequence("lo", F.date_add("hi", 14))).alias("day"))
-    )
-    if holidays is not None:
-        cal = cal.join(F.broadcast(holidays.select(F.col("holiday").alias("day")).distinct().withColumn("h", F.lit(True))), "day", "left")
-    else:
-        cal = cal.withColumn("h", F.lit(None).cast("boolean"))
-    biz = (F.weekday("day") < 5) & ~F.coalesce(F.col("h"), F.lit(False))
-    w = Window.orderBy("day").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    cal = cal.select("day", F.min(F.when(biz, F.col("day"))).over(w).alias("next_business_day"))
-    upd = roll_to_business_day(updates, "new_date", cal).select(
-        "invoice_id", "attempt_number", F.col("new_date").alias("__new"), F.col("reason").alias("__reason")
-    )
+    upd = last_updates(updates, __new="new_date", __reason="reason")
+    upd = roll_to_business_day(upd, "__new", _calendar(span, holidays)).drop("__hit")
     j = schedule.join(upd, ["invoice_id", "attempt_number"], "left")
     hit = F.col("__new").isNotNull()
     return j.withColumn("scheduled_date", F.when(hit, F.col("__new")).otherwise(F.col("scheduled_date"))).withColumn(
@@ -159,11 +181,8 @@ def reschedule(schedule: DataFrame, updates: DataFrame, holidays: DataFrame | No
 
 
 def mark_completed(schedule: DataFrame, updates: DataFrame) -> DataFrame:
-    """SC-7: set status completed, completed_date and notes for (invoice_id, attempt_number)."""
-    upd = updates.select(
-        "invoice_id", "attempt_number", F.col("completed_date").alias("__done"), F.col("notes").alias("__notes"),
-        F.lit(True).alias("__hit"),
-    )
+    """SC-7: set status completed, completed_date and notes for (invoice_id, attempt_number); the last update wins."""
+    upd = last_updates(updates, __done="completed_date", __notes="notes")
     j = schedule.join(upd, ["invoice_id", "attempt_number"], "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     return (

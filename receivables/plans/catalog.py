@@ -7,6 +7,7 @@ the data. Oracle SQL is written by hand against the same fixture views (prefixed
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ class Query:
     build: Callable[[Fixtures], DataFrame]
     oracle: str | None
     item: str
+    body: str = ""
+    views: tuple[str, ...] = ()
 
 
 REGISTRY: dict[str, Query] = {}
@@ -43,12 +46,30 @@ def register(name: str, item: str, oracle: str | None = None, views: tuple[str,
                 body = ",\n" + body[5:]
                 prefix = prefix.rstrip("\n")
             sql = prefix + body
-        REGISTRY[name] = Query(name, fn, sql, item)
+        REGISTRY[name] = Query(name, fn, sql, item, oracle or "", views)
         return fn
 
     return deco
 
 
+class Swapped:
+    """A Fixtures view of which some tables stand for others."""
+
+    def __init__(self, fx: Fixtures, names: dict[str, str]):
+        self._fx, self._names = fx, names
+
+    def __getattr__(self, name: str):
+        return getattr(self._fx, self._names.get(name, name))
+
+
+def register_over(name: str, base: str, names: dict[str, str]) -> None:
+    """Register query ``base`` once more over other fixture views (``names``: view -> view to use)."""
+    q = REGISTRY[base]
+    body = re.sub("|".join(rf"\b{n}\b(?!\.)" for n in names), lambda m: names[m.group()], q.body)
+    views = tuple(names.get(v, v) for v in q.views)
+    register(name, q.item, body, views)(lambda fx: q.build(Swapped(fx, names)))
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return REGISTRY[name].build(Fixtures.of(spark, sf_dir))
 

@@ -7,3 +7,4 @@ from receivables.plans import reg_audit  # noqa: F401
 from receivables.plans import reg_data  # noqa: F401
 from receivables.plans import reg_model  # noqa: F401
 from receivables.plans import reg_outreach  # noqa: F401
+from receivables.plans import reg_nulls  # noqa: F401  (over the queries above)

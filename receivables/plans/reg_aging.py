@@ -58,7 +58,7 @@ def _pivot_cols(src_bucket: str, amount: str) -> str:
     "customer_aging", "AR-3",
     f"""
 WITH a AS (SELECT customer_id, invoice_amount, {bucket6(overdue('due_date', A))} AS b
-           FROM invoices WHERE status = 'open'),
+           FROM invoices WHERE status = 'open' AND customer_id IS NOT NULL),
 w AS (SELECT customer_id, {msum('invoice_amount')} AS total_ar,
        {_pivot_cols('b', 'invoice_amount')}
       FROM a GROUP BY customer_id)

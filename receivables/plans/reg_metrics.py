@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from receivables.operators import forecast, metrics, reports
 from receivables.plans.catalog import AS_OF, AS_OF_SQL, register
-from receivables.plans.sqlfrag import bucket5, money2, msum, overdue, pct, round_dec
+from receivables.plans.sqlfrag import days_late, bucket5, money2, msum, overdue, pct, round_dec
 
 A = AS_OF_SQL
 DEC = "CAST(invoice_amount AS decimal(18,2))"
@@ -45,7 +45,7 @@ BEHAVIOR_SQL = f"""(SELECT total_invoices, paid_invoices,
               avg(CASE WHEN dl > 0 THEN dl END) AS avg_late, median(CASE WHEN dl > 0 THEN dl END) AS med_late,
               max(CASE WHEN dl > 0 THEN dl END) AS max_late
        FROM (SELECT date_diff('day', i.issue_date, p.payment_date) AS dtp,
-                    greatest(0, date_diff('day', i.due_date, p.payment_date)) AS dl
+                    {days_late('p.payment_date', 'i.due_date')} AS dl
              FROM invoices i JOIN payments p ON i.invoice_id = p.invoice_id) q) pr)"""
 
 
@@ -97,7 +97,7 @@ WITH base AS (
   FROM invoices GROUP BY customer_id),
 hist AS (
   SELECT customer_id, count(*) AS paid_invoices, count(*) FILTER (WHERE dl > 0) AS late_invoices, avg(dl) AS avg_late_raw
-  FROM (SELECT i.customer_id, greatest(0, date_diff('day', i.due_date, p.payment_date)) AS dl
+  FROM (SELECT i.customer_id, {days_late('p.payment_date', 'i.due_date')} AS dl
         FROM invoices i JOIN payments p ON i.invoice_id = p.invoice_id) q GROUP BY customer_id),
 b AS (
   SELECT base.customer_id, total_invoices, open_invoices, ar_dec,
@@ -153,7 +153,7 @@ WITH h AS (
          CAST(coalesce(sum(CASE WHEN status = 'open' AND due_date < {A} THEN {DEC} END), 0) AS double) AS overdue_ar,
          count(*) FILTER (WHERE status = 'paid') AS paid_n, count(*) AS all_n,
          count(*) FILTER (WHERE status = 'open') AS open_invoices,
-         avg(CASE WHEN status = 'open' THEN greatest(0, date_diff('day', due_date, {A})) END) AS avg_od_days
+         avg(CASE WHEN status = 'open' THEN {days_late(A, 'due_date')} END) AS avg_od_days
   FROM invoices),
 dd AS (
   SELECT CASE WHEN rr > 0 THEN CASE WHEN rr / 90 > 0 THEN oa / (rr / 90) ELSE 0.0 END ELSE 0.0 END AS dso
@@ -190,7 +190,7 @@ def q_dash_aging(fx):
 
 @register(
     "monthly_payments", "DB-3",
-    f"SELECT CAST(date_trunc('month', payment_date) AS DATE) AS month, {msum('amount')} AS amount FROM payments GROUP BY 1",
+    f"SELECT CAST(date_trunc('month', payment_date) AS DATE) AS month, {msum('amount')} AS amount FROM payments WHERE payment_date IS NOT NULL GROUP BY 1",
     views=("payments",),
 )
 def q_monthly_payments(fx):
@@ -199,7 +199,7 @@ def q_monthly_payments(fx):
 
 @register(
     "top_customers_ar", "DB-5",
-    f"""SELECT customer_id, {msum('invoice_amount')} AS outstanding_ar FROM invoices WHERE status = 'open'
+    f"""SELECT customer_id, {msum('invoice_amount')} AS outstanding_ar FROM invoices WHERE status = 'open' AND customer_id IS NOT NULL
 GROUP BY customer_id ORDER BY outstanding_ar DESC, customer_id LIMIT 10""",
     views=("invoices",),
 )
@@ -209,7 +209,7 @@ def q_top_customers_ar(fx):
 
 @register(
     "status_distribution", "DB-6",
-    "SELECT status, count(*) AS invoice_count FROM invoices GROUP BY status",
+    "SELECT status, count(*) AS invoice_count FROM invoices WHERE status IS NOT NULL GROUP BY status",
     views=("invoices",),
 )
 def q_status_distribution(fx):
@@ -224,7 +224,7 @@ SELECT customer_id, total_invoices, CAST(tot AS double) AS total_amount,
        CAST(coalesce(open_dec, 0) AS double) AS open_ar
 FROM (SELECT customer_id, count(invoice_id) AS total_invoices, sum({DEC}) AS tot, count(invoice_amount) AS n_amt,
              max(invoice_amount) AS max_invoice, sum(CASE WHEN status = 'open' THEN {DEC} END) AS open_dec
-      FROM invoices GROUP BY customer_id) g
+      FROM invoices WHERE customer_id IS NOT NULL GROUP BY customer_id) g
 ORDER BY total_amount DESC, customer_id LIMIT 50""",
     views=("invoices",),
 )
@@ -235,7 +235,7 @@ def q_customer_summary(fx):
 @register(
     "invoice_timeline", "DB-8",
     f"""SELECT CAST(date_trunc('month', issue_date) AS DATE) AS month, count(*) AS invoice_count,
-       {msum('invoice_amount')} AS invoice_value FROM invoices GROUP BY 1""",
+       {msum('invoice_amount')} AS invoice_value FROM invoices WHERE issue_date IS NOT NULL GROUP BY 1""",
     views=("invoices",),
 )
 def q_invoice_timeline(fx):
@@ -258,7 +258,7 @@ def q_credit_utilization(fx):
 @register(
     "ar_concentration", "DB-8",
     f"""
-WITH a AS (SELECT customer_id, sum({DEC}) AS ar FROM invoices WHERE status = 'open' GROUP BY customer_id)
+WITH a AS (SELECT customer_id, sum({DEC}) AS ar FROM invoices WHERE status = 'open' AND customer_id IS NOT NULL GROUP BY customer_id)
 SELECT customer_id, CAST(ar AS double) AS open_ar,
        {pct('CAST(ar AS double)', 'CAST(all_ar AS double)')} AS share_pct
 FROM a, (SELECT sum(ar) AS all_ar FROM a) t""",
@@ -271,14 +271,14 @@ def q_ar_concentration(fx):
 @register(
     "invoice_explorer", "FN-12",
     """SELECT invoice_id, customer_id, invoice_amount, issue_date, due_date, status FROM invoices
-WHERE status IN ('open', 'void') AND coalesce(contains(lower(customer_id), 'cust-'), false)
+WHERE status IN ('open', 'void') AND coalesce(contains(lower(customer_id), 'st-00000'), false)
   AND invoice_amount >= 1000
 ORDER BY due_date DESC, invoice_id""",
     views=("invoices",),
 )
 def q_invoice_explorer(fx):
-    # Case-insensitive search: the lower-case text matches the upper-case ids of every customer.
-    return reports.invoice_explorer(fx.invoices, ("open", "void"), "cust-", 1000)
+    # Case-insensitive search: the text stands in upper case in the ids of the customers 0 to 99, and in no others.
+    return reports.invoice_explorer(fx.invoices, ("open", "void"), "St-00000", 1000)
 
 
 @register(

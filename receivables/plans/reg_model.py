@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from receivables.functions import expr as E
 from receivables.operators import features, model
 from receivables.plans.catalog import AS_OF, AS_OF_SQL, register
-from receivables.plans.sqlfrag import pct, round_dec
+from receivables.plans.sqlfrag import days_late, pct, round_dec
+from receivables.session import ensure_checkpoint_dir
 
 A = AS_OF_SQL
 FV = ("invoices", "customers", "payments")
@@ -16,7 +17,7 @@ HIST_SQL = f"""SELECT customer_id, count(invoice_id) AS customer_invoice_count,
        {pct('count(*) FILTER (WHERE dl > 0)', 'count(invoice_id)')} AS customer_late_rate,
        CAST(sum(CAST(pay_amount AS decimal(18,2))) AS double) / NULLIF(count(pay_amount), 0) AS customer_avg_payment_amount
 FROM (SELECT i.invoice_id, i.customer_id, p.amount AS pay_amount,
-             CASE WHEN p.payment_date IS NULL THEN 0 ELSE greatest(0, date_diff('day', i.due_date, p.payment_date)) END AS dl
+             CASE WHEN p.payment_date IS NULL THEN 0 ELSE {days_late('p.payment_date', 'i.due_date')} END AS dl
       FROM (SELECT * FROM invoices WHERE issue_date < {A}) i LEFT JOIN payments p ON i.invoice_id = p.invoice_id
       WHERE p.payment_date IS NULL OR p.payment_date < {A}) m
 GROUP BY customer_id"""
@@ -29,9 +30,9 @@ def q_customer_history(fx):
 
 @register(
     "late_target", "FE-3",
-    """SELECT i.invoice_id, i.customer_id, i.due_date, p.payment_date,
-       CAST(CASE WHEN p.payment_date IS NULL THEN 0 ELSE greatest(0, date_diff('day', i.due_date, p.payment_date)) END AS int) AS days_late,
-       CAST(CASE WHEN p.payment_date IS NULL THEN 0 ELSE greatest(0, date_diff('day', i.due_date, p.payment_date)) END > 7 AS int) AS is_late
+    f"""SELECT i.invoice_id, i.customer_id, i.due_date, p.payment_date,
+       CAST(CASE WHEN p.payment_date IS NULL THEN 0 ELSE {days_late('p.payment_date', 'i.due_date')} END AS int) AS days_late,
+       CAST(coalesce(CASE WHEN p.payment_date IS NULL THEN 0 ELSE {days_late('p.payment_date', 'i.due_date')} END > 7, false) AS int) AS is_late
 FROM invoices i LEFT JOIN payments p ON i.invoice_id = p.invoice_id""",
     views=("invoices", "payments"),
 )
@@ -102,15 +103,35 @@ def q_features(fx):
     )
 
 
-# Model queries: rows-only checks (MLlib vs no oracle). Registered queries train a small GBT (10 trees) on the
-# whole fixture; the API default is 100 trees. One fit per (session, data dir) is reused by the five queries.
+@register(
+    "model_split", "ML-1 / ML-2",
+    f"""WITH l AS (
+  SELECT i.issue_date, coalesce(p.payment_date IS NOT NULL AND {days_late('p.payment_date', 'i.due_date')} > 7, false) AS late
+  FROM invoices i LEFT JOIN payments p ON i.invoice_id = p.invoice_id WHERE i.issue_date IS NOT NULL),
+c AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', issue_date), 0.75) AS cut FROM l),
+t AS (SELECT l.*, date_diff('day', DATE '1970-01-01', issue_date) <= cut AS is_train FROM l, c),
+h AS (SELECT DATE '1970-01-01' + CAST(floor(any_value(cut)) AS INTEGER) AS cutoff_date, count(*) FILTER (WHERE is_train) AS train_samples,
+             count(*) FILTER (WHERE NOT is_train) AS test_samples, {round_dec('avg(CAST(late AS int)) * 100', 2)} AS late_rate FROM t, c),
+n AS (SELECT late, count(*) AS n FROM t WHERE is_train GROUP BY late)
+SELECT CAST(fold AS INTEGER) AS fold, CAST(late AS INTEGER) AS is_late, n // 5 + CAST(fold < n % 5 AS BIGINT) AS fold_rows,
+       CAST(cutoff_date AS DATE) AS cutoff_date, train_samples, test_samples, late_rate
+FROM n, range(5) f(fold), h WHERE n // 5 + CAST(fold < n % 5 AS BIGINT) > 0""",
+    views=("invoices", "payments"),
+)
+def q_model_split(fx):
+    return model.split(fx.invoices, fx.customers, fx.payments, AS_OF)
+
+
+# Model queries: rows-only checks (MLlib vs no oracle); tests/test_model.py checks their values' properties. One fit of the
+# full model (100 trees, 5 folds) per (session, data dir) is reused by the five queries.
 _TRAINED: dict[tuple[str, str], model.TrainedModel] = {}
 
 
 def trained(fx) -> model.TrainedModel:
     key = (fx.spark.sparkContext.applicationId, fx.sf_dir)
     if key not in _TRAINED:
-        _TRAINED[key] = model.train(fx.invoices, fx.customers, fx.payments, AS_OF, n_estimators=10)
+        ensure_checkpoint_dir(fx.spark)
+        _TRAINED[key] = model.train(fx.invoices, fx.customers, fx.payments, AS_OF)
     return _TRAINED[key]
 
 

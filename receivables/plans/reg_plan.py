@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from receivables.functions import expr as E
-from receivables.operators import recommend, schedule, scoring
+from receivables.operators import model, recommend, schedule, scoring
 from receivables.plans.catalog import AS_OF, AS_OF_SQL, register
 from receivables.plans.sqlfrag import overdue, risk_cat, round_dec
 
@@ -184,9 +184,18 @@ def updates(fx, kind: str):
     ids = fx.invoices.where(
         (F.col("status") == "open") & F.col("due_date").between(dt.date(2001, 6, 1), dt.date(2001, 6, 30))
     ).select("invoice_id", F.lit(1).alias("attempt_number"))
+    # Every attempt is updated twice; the later update (by sequence) is the one that counts.
+    twice = ids.crossJoin(fx.spark.createDataFrame([(2,), (1,)], "sequence int"))
+    last = F.col("sequence") == 2
     if kind == "reschedule":
-        return ids.select("invoice_id", "attempt_number", F.lit(NEW_DATE).alias("new_date"), F.lit("customer requested").alias("reason"))
-    return ids.select("invoice_id", "attempt_number", F.lit(AS_OF).alias("completed_date"), F.lit("left voicemail").alias("notes"))
+        return twice.select(
+            "invoice_id", "attempt_number", "sequence", F.when(last, F.lit(NEW_DATE)).otherwise(F.lit(dt.date(2001, 8, 1))).alias("new_date"),
+            F.when(last, F.lit("customer requested")).otherwise(F.lit("zz earlier call")).alias("reason"),
+        )
+    return twice.select(
+        "invoice_id", "attempt_number", "sequence", F.when(last, F.lit(AS_OF)).otherwise(F.lit(dt.date(2001, 7, 30))).alias("completed_date"),
+        F.when(last, F.lit("left voicemail")).otherwise(F.lit("zz no answer")).alias("notes"),
+    )
 
 
 UPD_CTE = ("upd AS (SELECT invoice_id, 1 AS attempt_number FROM invoices "
@@ -302,3 +311,16 @@ FROM t, pt, att""",
 def q_schedule_effectiveness(fx):
     s = schedule.cancel_future_actions(schedule.mark_completed(sched(fx), updates(fx, "complete")), fx.payments, AS_OF)
     return schedule.schedule_effectiveness(s, fx.payments)
+
+
+# ML-7 over a fixed probability (the rule score / 100): due date plus int(p x 45) days.
+@register(
+    "predicted_payment_rules", "ML-7",
+    f"""WITH {SCORED_CTE}
+SELECT invoice_id, due_date, risk_score / 100.0 AS p_late, due_date + CAST(trunc(risk_score / 100.0 * 45) AS INTEGER) AS predicted_payment_date
+FROM scored""",
+    views=SCHED_VIEWS,
+)
+def q_predicted_payment_rules(fx):
+    rows = scored(fx).withColumn("p_late", F.col("risk_score") / F.lit(100.0))
+    return model.predict_payment_date(rows).select("invoice_id", "due_date", "p_late", "predicted_payment_date")

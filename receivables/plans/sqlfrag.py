@@ -39,3 +39,8 @@ def pct(num: str, den: str, n: int = 2) -> str:
 
 def risk_cat(s: str) -> str:
     return f"CASE WHEN {s} >= 86 THEN 'very_high' WHEN {s} >= 61 THEN 'high' WHEN {s} >= 31 THEN 'medium' ELSE 'low' END"
+
+
+def days_late(paid: str, due: str) -> str:
+    """Days late, at least 0; NULL when a date is unknown."""
+    return f"CASE WHEN {paid} IS NOT NULL AND {due} IS NOT NULL THEN greatest(0, date_diff('day', {due}, {paid})) END"

@@ -82,8 +82,17 @@ SELECT concat('PAY-', lpad(cast(o_orderkey AS string), 9, '0'), '-', cast(part A
        CASE WHEN o_orderkey % 50 = 7 THEN 'failed' ELSE 'completed' END AS status
 FROM {invoices} CROSS JOIN (SELECT 1 AS part UNION ALL SELECT 2 AS part) p
 WHERE (status = 'paid' AND part = 1) OR (status = 'open' AND o_orderkey % 10 >= 7)""",
+    "invoices_nulls": """
+SELECT invoice_id, CASE WHEN o_orderkey % 17 = 3 THEN NULL ELSE customer_id END AS customer_id,
+       CASE WHEN o_orderkey % 23 = 5 THEN NULL ELSE issue_date END AS issue_date,
+       CASE WHEN o_orderkey % 19 = 4 THEN NULL ELSE due_date END AS due_date, invoice_amount, currency,
+       CASE WHEN o_orderkey % 29 = 6 THEN NULL ELSE status END AS status, invoice_type, channel, created_at, o_orderkey
+FROM {invoices}""",
+    "payments_nulls": """
+SELECT payment_id, invoice_id, CASE WHEN k % 13 = 5 THEN NULL ELSE payment_date END AS payment_date, amount, method, status
+FROM (SELECT *, CAST(substr(invoice_id, 5) AS bigint) AS k FROM {payments}) p""",
     "audit_actions": f"""
-SELECT event_id AS action_id,
+SELECT cast(event_id AS string) AS action_id,
        concat('INV-', lpad(cast({_ACTION_INVOICE_KEY} AS string), 9, '0')) AS invoice_id,
        concat('CUST-', lpad(cast(o_custkey AS string), 7, '0')) AS customer_id,
        CASE event_type WHEN 'click' THEN 'friendly_reminder' WHEN 'view' THEN 'second_notice'
@@ -94,15 +103,16 @@ SELECT event_id AS action_id,
        props AS notes
 FROM {{events}} JOIN {{orders}} ON o_orderkey = {_ACTION_INVOICE_KEY}""",
     "audit_responses": """
-SELECT event_id * 2 + k AS response_id, event_id AS action_id, ts AS response_date,
+SELECT cast(event_id * 2 + k AS string) AS response_id, cast(event_id AS string) AS action_id, ts AS response_date,
        CASE event_id % 2 WHEN 0 THEN 'email' ELSE 'call' END AS response_type,
        event_id % 4 = 0 AS payment_promised
 FROM {events} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) r
 WHERE (event_id % 3 = 0 AND k = 0) OR (event_id % 9 = 0 AND k = 1)""",
     "audit_outcomes": f"""
-SELECT event_id AS outcome_id,
+SELECT cast(event_id AS string) AS outcome_id,
        concat('INV-', lpad(cast({_ACTION_INVOICE_KEY} AS string), 9, '0')) AS invoice_id,
-       event_id AS action_id,
+       CASE WHEN event_id % 35 = 0 THEN NULL WHEN event_id % 55 = 0 THEN concat('lost-', cast(event_id AS string))
+            ELSE cast(event_id AS string) END AS action_id,
        CASE WHEN event_id % 10 < 7 THEN 'paid' ELSE 'partial' END AS outcome_type,
        ts AS outcome_date, value AS amount_collected, CAST(event_id % 45 AS int) AS days_to_payment
 FROM {{events}} WHERE event_id % 5 = 0""",
@@ -147,7 +157,7 @@ SELECT o_orderkey AS row_id,
             WHEN 4 THEN concat(iso, ' 10:20:30') WHEN 5 THEN concat(iso, 'T10:20:30') ELSE 'not a date' END AS raw_date
 FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS string) AS iso FROM {orders}) o""",
     "csv_actions": """
-SELECT concat('ACT-', lpad(cast(action_id AS string), 8, '0')) AS action_id, invoice_id,
+SELECT concat('ACT-', lpad(action_id, 8, '0')) AS action_id, invoice_id,
        CASE action_type WHEN 'friendly_reminder' THEN 'reminder1' WHEN 'second_notice' THEN 'reminder2'
             WHEN 'call_request' THEN 'call' WHEN 'payment_plan' THEN 'payment_plan' ELSE 'escalate' END AS action_type,
        action_date, notes, 'pending' AS outcome

@@ -1,15 +1,16 @@
 """Typed readers and writers for the receivables tables (SRC-*, SNK-*).
 
-Readers take an explicit schema (no inference pass over the data), accept CSV or parquet, and return lazy
-DataFrames. Optional tables come back empty with their schema, so downstream operators keep one code path.
+Readers match columns by name (a CSV by its header, which is all that is read ahead; types come from the fixed schemas,
+not from an inference pass), accept CSV or parquet, and return lazy DataFrames. Optional tables come back empty with their schema, so downstream operators keep one code path.
 """
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from receivables.functions import dates
 
@@ -46,6 +47,13 @@ SCHEMAS = {
 }
 
 
+# The spellings of the retail export's columns (letters and digits, lower case).
+TRANSACTION_COLUMNS = {
+    "invoice_no": ("invoiceno", "invoice"), "stock_code": ("stockcode",), "description": ("description",), "quantity": ("quantity",),
+    "invoice_date": ("invoicedate",), "unit_price": ("unitprice", "price"), "customer_id": ("customerid",), "country": ("country",),
+}
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,13 +61,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def _types(schema: str) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema)}
+
+
+def _read_csv(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
+    """A CSV by its own header: the columns stand in the file's order with their known types (others are strings), and
+    every file of a folder must have that header. A value that does not parse is NULL."""
+    header = spark.read.option("header", True).csv(path).columns
+    schema = StructType().fromDDL(", ".join(f"`{c}` {types.get(c, 'string')}" for c in header))
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def read_table(spark: SparkSession, path: str, table: str, fmt: str | None = None, parse_dates: bool = True) -> DataFrame:
-    """Read one table with its fixed schema; date strings become DATE (multi-format, bad -> NULL, DQ-14)."""
+    """Read one table by column name; date strings become DATE (multi-format, bad -> NULL, DQ-14).
+
+    The known columns come first, in the schema's order, then any others of the file. An optional column that the file
+    lacks is NULL; a required one stays absent, so that DQ-1 reports it.
+    """
+    from receivables.operators.quality import REQUIRED
+
     fmt = fmt or ("parquet" if path.endswith(".parquet") else "csv")
-    if fmt == "csv":
-        df = spark.read.schema(SCHEMAS[table]).option("header", True).csv(path)
-    else:
-        df = spark.read.parquet(path)
+    types = _types(SCHEMAS[table])
+    df = _read_csv(spark, path, types) if fmt == "csv" else spark.read.parquet(path)
+    required = set(REQUIRED.get(table, ()))
+    known = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in types.items() if c in df.columns or c not in required]
+    df = df.select(*known, *[F.col(f"`{c}`") for c in df.columns if c not in types])
     if parse_dates:
         for c in DATE_COLUMNS.get(table, []):
             if c in df.columns and dict(df.dtypes)[c] == "string":
@@ -133,12 +160,22 @@ def read_schedule(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-7: raw retail lines (CSV export of the spreadsheet), columns renamed to the ingest vocabulary."""
-    df = spark.read.schema(TRANSACTIONS_SCHEMA).option("header", True).csv(path)
+    """SRC-7: raw retail lines (CSV export of the spreadsheet) by their header, columns renamed to the ingest vocabulary.
+
+    ``line_no`` is a hash of the line's own columns: it gives lines of one invoice an order that does not depend on how the
+    files are split (equal lines are interchangeable).
+    """
+    header = {re.sub("[^a-z0-9]", "", c.lower()): c for c in spark.read.option("header", True).csv(path).columns}
+    names = {name: next((header[s] for s in spellings if s in header), None) for name, spellings in TRANSACTION_COLUMNS.items()}
+    missing = [name for name, c in names.items() if c is None and name != "description"]
+    if missing:
+        raise ValueError(f"{path} has no column for {missing}")
+    types = _types(TRANSACTIONS_SCHEMA)
+    raw = _read_csv(spark, path, {c: types[name] for name, c in names.items() if c})
+    df = raw.select(*[F.col(f"`{c}`").alias(name) for name, c in names.items() if c])
     return df.select(
-        F.col("invoice_no"), F.col("stock_code"), F.monotonically_increasing_id().alias("line_no"), "quantity",
-        F.col("unit_price"), dates.parse_date(F.col("invoice_date")).alias("invoice_date"),
-        F.col("customer_id").alias("customer_key"), "country",
+        "invoice_no", "stock_code", F.xxhash64(*df.columns).alias("line_no"), "quantity", "unit_price",
+        dates.parse_date(F.col("invoice_date")).alias("invoice_date"), F.col("customer_id").alias("customer_key"), "country",
     )
 
 
@@ -169,10 +206,3 @@ def report(ar_summary: DataFrame, aging_summary: DataFrame, as_of) -> DataFrame:
     return ar_summary.select(F.struct(*ar_summary.columns).alias("ar_summary")).crossJoin(aging).select(
         as_of_lit(as_of).cast("string").alias("as_of"), "ar_summary", "aging_summary"
     )
-
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the cluster's shared checkpoint dir (never a machine-local temp dir)."""
-    from receivables.session import ensure_checkpoint_dir
-
-    return os.path.join(ensure_checkpoint_dir(spark), name)

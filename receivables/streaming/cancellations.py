@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from receivables.session import ensure_checkpoint_dir
+from receivables.session import checkpoint_folder
 
 PAYMENT_EVENT_SCHEMA = "payment_id string, invoice_id string, payment_date date, amount double, method string, status string"
 REASON = "Payment received"
@@ -37,7 +37,7 @@ def start(spark: SparkSession, payments_dir: str, schedule: DataFrame, sink_dir:
     out = cancellation_rows(payments, schedule)
     # One checkpoint per (query name, sink): a restart of the same stream resumes, a new sink starts fresh.
     sink_key = hashlib.sha1(sink_dir.encode()).hexdigest()[:12]
-    ckpt = os.path.join(spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark), "streams", f"{name}-{sink_key}")
+    ckpt = os.path.join(checkpoint_folder(spark), "streams", f"{name}-{sink_key}")
     writer = out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", ckpt).outputMode("append")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.queryName(name).start()
@@ -46,7 +46,8 @@ def start(spark: SparkSession, payments_dir: str, schedule: DataFrame, sink_dir:
 def apply_cancellations(schedule: DataFrame, cancellations: DataFrame) -> DataFrame:
     """Mark the cancelled (invoice_id, attempt_number) rows of a schedule; earliest cancellation date wins."""
     c = cancellations.groupBy("invoice_id", "attempt_number").agg(
-        F.min("cancelled_date").alias("__date"), F.first("cancellation_reason").alias("__reason")
+        F.min("cancelled_date").alias("__date"),
+        F.min_by("cancellation_reason", F.struct("cancelled_date", "cancellation_reason")).alias("__reason"),
     )
     j = schedule.join(c, ["invoice_id", "attempt_number"], "left")
     hit = F.col("__date").isNotNull() & (F.col("status") == "pending")

@@ -1,8 +1,10 @@
-"""Plan checks: no Python in any registered query, pruned scans, pushed filters."""
+"""Plan checks: no Python in any registered query (the model's: tests/test_model.py), pruned scans, pushed filters, windows."""
 
 import pytest
 
+from receivables.operators import reports
 from receivables.plans import catalog
+from receivables.sources.fixtures import Fixtures
 
 from conftest import SF_SMALL
 
@@ -28,19 +30,53 @@ def test_scan_prunes_columns(spark):
     assert "o_orderpriority" not in scan[0]
 
 
-def test_filter_pushed_to_scan(spark):
-    from pyspark.sql import functions as F
-    from receivables.sources.fixtures import Fixtures
-
+@pytest.fixture(scope="module")
+def receivables_parquet(spark, tmp_path_factory):
+    """Invoices and payments as parquet, as the operators find them in production."""
+    folder = str(tmp_path_factory.mktemp("receivables"))
     fx = Fixtures(spark, SF_SMALL)
-    df = fx.orders.where(F.col("o_orderstatus") == "O").select("o_orderkey")
-    text = plan_text(df)
-    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,O)]" in text
+    for name in ("invoices", "payments"):
+        fx.table(name).write.parquet(f"{folder}/{name}.parquet")
+    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in ("invoices", "payments")}
+
 
+def test_operator_filter_and_columns_reach_the_scan(receivables_parquet):
+    text = plan_text(reports.top_customers_ar(receivables_parquet["invoices"]))
+    assert "EqualTo(status,open)" in text and "PushedFilters: [" in text
+    scan = next(line for line in text.splitlines() if "FileScan parquet" in line)
+    assert "issue_date" not in scan and "due_date" not in scan
 
-def test_monte_carlo_has_one_shuffle_before_the_scenario_sum(spark):
-    text = plan_text(catalog.run("cash_scenarios", spark, SF_SMALL))
+
+def test_monte_carlo_never_shuffles_the_expanded_rows(spark, receivables_parquet):
+    df = catalog.run("cash_scenarios", spark, SF_SMALL)
+    text = plan_text(df)
     # Scenario expansion is a broadcast nested loop join over the pruned invoices (the scenario axis and the one-row
-    # payment pattern are the broadcast sides), never a shuffle of the expanded rows.
+    # payment pattern are the broadcast sides).
     assert "BroadcastNestedLoopJoin" in text
     assert "CartesianProduct" not in text
+    # Above the expansion there is one exchange: the partial sums per scenario (and the sort of the result).
+    above = text[: text.index("BroadcastNestedLoopJoin")]
+    exchanges = [line for line in above.splitlines() if "Exchange " in line and "Broadcast" not in line]
+    assert 1 <= len(exchanges) <= 2 and "partial_" in above.split("Exchange")[-1]
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.load_all()) - MODEL_QUERIES))
+def test_no_unpartitioned_window_over_facts(spark, name):
+    """A window without partition keys gathers all its rows in one task; only over aggregated or calendar rows."""
+    plan = catalog.run(name, spark, SF_SMALL)._jdf.queryExecution().optimizedPlan()
+
+    def walk(node):
+        if node.nodeName() == "Window" and node.partitionSpec().isEmpty():
+            assert bounded(node.child()), f"{name}: {node.toString()[:300]}"
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    def bounded(node):
+        """An aggregate, a generated sequence or a literal table lies between the window and any scan."""
+        if node.nodeName() in ("Aggregate", "Range", "LocalRelation", "OneRowRelation"):
+            return True
+        children = node.children()
+        return children.size() > 0 and all(bounded(children.apply(i)) for i in range(children.size()))
+
+    walk(plan)

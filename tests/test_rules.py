@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from receivables.operators import recommend, schedule
@@ -99,3 +100,41 @@ def test_schedule_mutations(spark):
     eff = schedule.schedule_effectiveness(x, paid).first()
     assert (eff.total_actions, eff.completed_actions, eff.cancelled_actions, eff.pending_actions) == (4, 1, 3, 0)
     assert eff.avg_attempts_to_payment == 4.0 and eff.action_type_distribution == "second_notice:1"
+
+
+def test_schedule_rolls_past_a_long_closure(spark):
+    """Holidays on every day for 60 days: every attempt lands on the first business day after them."""
+    targets = spark.createDataFrame([("I1", "C1", "medium", 10)], "invoice_id string, customer_id string, risk_category string, days_overdue int")
+    closed = schedule.holiday_table(spark, [dt.date(2001, 7, 1) + dt.timedelta(days=k) for k in range(60)])
+    rows = schedule.generate_schedule(targets, dt.date(2001, 6, 30), closed).collect()
+    assert {r.scheduled_date for r in rows} == {dt.date(2001, 8, 30)} and len(rows) == 5
+    moved = schedule.reschedule(
+        schedule.generate_schedule(targets, dt.date(2001, 6, 30)),
+        spark.createDataFrame([("I1", 1, dt.date(2001, 7, 3), "x")], "invoice_id string, attempt_number int, new_date date, reason string"), closed,
+    )
+    assert moved.where("attempt_number = 1").first().scheduled_date == dt.date(2001, 8, 30)
+
+
+def test_calendar_limits(spark):
+    cal = schedule.business_calendar(spark, dt.date(2001, 7, 2), dt.date(2001, 7, 6))
+    df = spark.createDataFrame([(dt.date(2002, 7, 3),)], "d date")
+    with pytest.raises(Exception, match="no business day known"):
+        schedule.roll_to_business_day(df, "d", cal).collect()
+    s = schedule.generate_schedule(spark.createDataFrame([("I1", "C1", "low", 1)], "invoice_id string, customer_id string, risk_category string, days_overdue int"), dt.date(2001, 6, 30))
+    bad = spark.createDataFrame([("I1", 1, dt.date(2001, 7, 3), "x"), ("I1", 2, dt.date(9999, 12, 31), "y")], "invoice_id string, attempt_number int, new_date date, reason string")
+    with pytest.raises(Exception, match="the dates span more than"):
+        schedule.reschedule(s, bad).collect()
+
+
+def test_repeated_updates_apply_once_the_last_wins(spark):
+    s = schedule.generate_schedule(spark.createDataFrame([("I1", "C1", "low", 1)], "invoice_id string, customer_id string, risk_category string, days_overdue int"), dt.date(2001, 6, 30))
+    upd = spark.createDataFrame(
+        [("I1", 1, dt.date(2001, 8, 6), "first", 1), ("I1", 1, dt.date(2001, 7, 9), None, 2)], "invoice_id string, attempt_number int, new_date date, reason string, sequence int"
+    )
+    rows = schedule.reschedule(s, upd).collect()
+    one = next(r for r in rows if r.attempt_number == 1)
+    assert len(rows) == s.count() and one.scheduled_date == dt.date(2001, 7, 9) and one.reschedule_reason == "first"
+    done = spark.createDataFrame([("I1", 2, dt.date(2001, 7, 1), "a", 2), ("I1", 2, dt.date(2001, 7, 20), "b", 1)], "invoice_id string, attempt_number int, completed_date date, notes string, sequence int")
+    rows = schedule.mark_completed(s, done).collect()
+    two = next(r for r in rows if r.attempt_number == 2)
+    assert len(rows) == s.count() and (two.completed_date, two.completion_notes) == (dt.date(2001, 7, 1), "a")

@@ -28,13 +28,13 @@ def data(spark):
 def test_hot_key_detection_is_bounded(spark):
     inv, _ = data(spark)
     counts = inv.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
-    assert [r.customer_id for r in hot_keys(counts, "customer_id", "n", hot_share=0.05).collect()] == ["HOT"]
+    assert [r.customer_id for r in hot_keys(counts, "customer_id", "n", hot_share=0.05, rows_per_task=100).collect()] == ["HOT"]
 
 
 def test_lookup_join_equals_plain_join_and_spreads_hot_key(spark):
     inv, cust = data(spark)
     plain = sorted(map(tuple, inv.join(cust, "customer_id", "left").collect()))
-    salted = lookup_join(inv, cust, "customer_id", "left", spread="invoice_id", hot_share=0.05, buckets=16)
+    salted = lookup_join(inv, cust, "customer_id", "left", spread="invoice_id", hot_share=0.05, rows_per_task=64)
     assert sorted(map(tuple, salted.select(*inv.join(cust, "customer_id", "left").columns).collect())) == plain
     # The hot customer's 1000 invoices land in many shuffle partitions, not one (coalescing off so the join's
     # own partitions are visible on this tiny input).
@@ -72,5 +72,28 @@ def test_lookup_join_matches_plain_join(spark, keys, how, share):
     fact = spark.createDataFrame([(f"r{i}", k) for i, k in enumerate(keys)], "rid string, k string")
     dim = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "k string, v int")
     plain = sorted(map(tuple, fact.join(dim, "k", how).select("rid", "k", "v").collect()), key=repr)
-    salted = lookup_join(fact, dim, "k", how, spread="rid", hot_share=share, buckets=4)
+    salted = lookup_join(fact, dim, "k", how, spread="rid", hot_share=share, rows_per_task=4)
     assert sorted(map(tuple, salted.select("rid", "k", "v").collect()), key=repr) == plain
+
+
+def test_no_partition_holds_a_hot_or_null_key(spark):
+    """Half of the rows without a key, a third with one key: the join's partitions stay near their fair share."""
+    n, parts = 8000, 64
+    rows = spark.range(n).select(
+        F.col("id").cast("string").alias("rid"),
+        F.when(F.col("id") % 2 == 0, F.lit(None).cast("string")).when(F.col("id") % 6 < 4, F.lit("HOT")).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"),
+    )
+    dim = rows.select("k").where("k is not null").distinct().withColumn("v", F.length("k"))
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(parts), "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        joined = lookup_join(rows, dim, "k", "left", spread="rid", rows_per_task=100)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        plain = sorted(map(tuple, rows.join(dim, "k", "left").select("rid", "k", "v").collect()), key=str)
+        assert sorted(map(tuple, joined.select("rid", "k", "v").collect()), key=str) == plain
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == n and max(sizes) <= 4 * n / parts

@@ -13,8 +13,9 @@ The random field segments the zones around digits and ``@`` into outside tokens
 tokens. A candidate segment is scored as a whole (its digits, groups, separators, check sum, neighbours), and dynamic
 programming over (end, length, kind) chooses boundaries and kinds together. Its weights maximise the penalised
 conditional likelihood on a bounded sample of zones (``TRAIN_ZONES`` zones with the smallest hash, a documented
-parameter), labelled by the base rules, half of them with the surface loosened (a phone without its plus sign, a card
-or phone with other separators), so that it finds what the rules' fixed patterns miss. Found segments that touch no
+parameter), labelled by the base rules; each zone also stands there with its entities loosened (a phone without its
+plus sign, a card with other separators), so that the model finds what the rules' fixed patterns miss, and spoiled (a
+wrong check digit, an address part over 255), so that it keeps off what only looks alike. Found segments that touch no
 base span are added; base spans always stay.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results; null ``doc_id`` is carried
@@ -186,21 +187,26 @@ def features(segment: str, left: str, right: str) -> np.ndarray:
 
 
 def candidates(text: str, start: int, end: int) -> tuple[list[Span], list[tuple[int, int, np.ndarray]]]:
-    """Tokens of a zone and its candidate segments (first token, end token, features)."""
+    """Tokens of a zone and its candidate segments (first token, end token, features): those that stand between word
+    boundaries and hold an ``@``, or 7 to 24 digits and no letter."""
     tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
     found = []
     for i, (a, _) in enumerate(tokens):
-        if not (text[a].isalnum() or text[a] in "+("):
+        left = text[a - 1 : a]
+        if not (text[a].isalnum() or text[a] in "+(") or left.isalnum() or left == "_":
             continue
-        digits = mails = 0
+        digits = mails = letters = 0
         for j in range(i, min(len(tokens), i + MAX_TOKENS)):
             s, b = tokens[j]
             if j > i and s - tokens[j - 1][1] > 1:  # more than one white-space character between
                 break
             digits += b - s if text[s].isdigit() else 0
+            letters += text[s].isalpha()
             mails += text[s] == "@"
-            if (digits >= 7 or mails) and (text[b - 1].isalnum() or text[b - 1] == ")") and (mails or digits <= 24):
-                found.append((i, j + 1, features(text[a:b], text[a - 1 : a], text[b : b + 1])))
+            right = text[b : b + 1]
+            whole = (text[b - 1].isalnum() or text[b - 1] == ")") and not right.isalnum() and right != "_"
+            if whole and (mails or digits >= 7 and digits <= 24 and not letters):
+                found.append((i, j + 1, features(text[a:b], left, right)))
     return tokens, found
 
 
@@ -302,6 +308,25 @@ def _loosened(text: str, spans: dict[str, list[Span]]) -> tuple[str, dict[str, l
     return "".join([*out, text[at:]]), moved
 
 
+def _spoiled(text: str, spans: dict[str, list[Span]]) -> str:
+    """The zone with its spans made invalid: an address part over 255, a wrong check digit, a phone cut short, no domain.
+    Such strings look like entities and are none."""
+    out, at = [], 0
+    for a, b, k in sorted((a, b, k) for k, v in spans.items() for a, b in v):
+        if a < at:
+            continue
+        old = text[a:b]
+        new = {
+            "ip": "4" + old.split(".")[0].zfill(3)[-3:] + old[old.index(".") :] if k == "ip" else "",
+            "card": old[:-1] + str((int(old[-1]) + 1) % 10) if k == "card" else "",
+            "phone": old[:8] if k == "phone" else "",
+            "email": old.split("@")[0] + "@" if k == "email" else "",
+        }[k]
+        out += [text[at:a], new]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def train(texts: list[str]) -> np.ndarray:
     """Weights (kind x feature) from zones: gradient ascent with per-weight step sizes."""
     examples = []
@@ -311,6 +336,9 @@ def train(texts: list[str]) -> np.ndarray:
         loose, moved = _loosened(text, spans)
         if loose != text:
             examples += _example(loose, moved)
+        spoiled = _spoiled(text, spans)
+        if spoiled != text:
+            examples += _example(spoiled, base_spans(spoiled))
     weights, seen = np.zeros((len(KINDS), FEATURES)), np.full((len(KINDS), FEATURES), 1e-6)
     for _ in range(STEPS):
         _, gradient = _likelihood(examples, weights)

@@ -58,6 +58,7 @@ def test_exact_top_with_small_blocks_and_a_hot_vector(spark, monkeypatch):
 def test_bounds_prune(spark, monkeypatch):
     """On clustered vectors most blocks are left out."""
     monkeypatch.setattr(pivot_index, "INDEX_BLOCK", 16)
+    monkeypatch.setattr(pivot_index, "QUERY_BLOCK", 1)
     seen = []
     meet = pivot_index.meet
     monkeypatch.setattr(pivot_index, "meet", lambda index, asked: seen.append((index.count() * asked.count(), meet(index, asked).count())) or meet(index, asked))

@@ -27,7 +27,7 @@ from receivables.llm.common import pieces_of, written
 
 CAPACITY = 2048
 MEMO_WORDS = 300_000  # entries of the per-worker memo; beyond that, words are encoded each time
-BUCKET_ROWS = 50_000  # pieces that are ranked together
+BUCKET_ROWS = 2_000  # pieces of one length that are ranked together
 
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long, row_no long"
 
@@ -197,19 +197,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give every row of a written table with ``length`` (1..capacity) and a distinct ``row_no`` its ``sequence_id`` and
     ``offset``; all other columns stay."""
     spark = pieces.sparkSession
-    total = pieces.count()
-    buckets = math.ceil(max(1, total) / BUCKET_ROWS)
-    spread = pieces.withColumn("_bucket", F.pmod(F.xxhash64("row_no"), F.lit(buckets)).cast("int"))
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    # Every length is ranked in buckets of about BUCKET_ROWS pieces, so that a frequent length is not one task's.
+    buckets = spark.createDataFrame([(k, math.ceil(n / BUCKET_ROWS)) for k, n in counts.items()], "length long, _buckets long")
+    spread = pieces.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64("row_no"), "_buckets")).drop("_buckets")
     sizes = spread.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))), "pack-starts")
-    counts = {r["length"]: r["n"] for r in starts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
+    starts = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")).alias("_before"))
     moves = spark.createDataFrame(
         best_fit_decreasing(counts, capacity),
         "length long, _first long, _end long, _sequence long, _per long, _at long",
     )
     inside = Window.partitionBy("length", "_bucket").orderBy("row_no")
-    ranked = spread.withColumn("_place", F.row_number().over(inside)).join(starts.drop("_n"), ["length", "_bucket"])
+    ranked = spread.withColumn("_place", F.row_number().over(inside)).join(starts, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_place") - 1)
     # The moves are bounded by the capacity, not by the corpus.
     met = ranked.alias("p").join(

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql.types import StructType
-
 from receivables.operators import ingest, quality
 from receivables.plans.catalog import register
 from receivables.plans.sqlfrag import money2
@@ -274,13 +272,13 @@ def q_ing_invoices(fx):
 # SRC-1..3: the fixture tables written as CSV with their columns in another order, and loaded again by DataLoader.
 def _loaded(fx, name: str):
     folder = f"{ensure_checkpoint_dir(fx.spark).rstrip('/')}/sources-{uuid.uuid4().hex}"
-    columns = [f.name for f in StructType.fromDDL(tables.SCHEMAS[name])]
-    tables.save(fx.table(name).select(*reversed(columns)), f"{folder}/{name}.csv", fmt="csv")
+    columns = reversed(tables.column_types(name))
+    tables.save(fx.table(name).select(*columns), f"{folder}/{name}.csv", fmt="csv")
     return getattr(tables.DataLoader(fx.spark, folder), f"load_{name}")()
 
 
 def _columns(name: str) -> str:
-    return ", ".join(f.name for f in StructType.fromDDL(tables.SCHEMAS[name]))
+    return ", ".join(tables.column_types(name))
 
 
 @register("src_customers", "SRC-1", f"SELECT {_columns('customers')} FROM customers", views=("customers",))

@@ -10,7 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from receivables.functions import dates
 
@@ -61,15 +60,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def column_types(table: str) -> dict[str, str]:
+    """Column -> type of a table's schema, in order."""
+    return _types(SCHEMAS[table])
+
+
 def _types(schema: str) -> dict[str, str]:
-    return {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema)}
+    return dict(column.split() for column in schema.split(", "))
 
 
 def _read_csv(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
     """A CSV by its own header: the columns stand in the file's order with their known types (others are strings), and
     every file of a folder must have that header. A value that does not parse is NULL."""
     header = spark.read.option("header", True).csv(path).columns
-    schema = StructType().fromDDL(", ".join(f"`{c}` {types.get(c, 'string')}" for c in header))
+    schema = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header)
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
@@ -82,7 +86,7 @@ def read_table(spark: SparkSession, path: str, table: str, fmt: str | None = Non
     from receivables.operators.quality import REQUIRED
 
     fmt = fmt or ("parquet" if path.endswith(".parquet") else "csv")
-    types = _types(SCHEMAS[table])
+    types = column_types(table)
     df = _read_csv(spark, path, types) if fmt == "csv" else spark.read.parquet(path)
     required = set(REQUIRED.get(table, ()))
     known = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in types.items() if c in df.columns or c not in required]

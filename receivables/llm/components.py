@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from receivables.llm.common import written
 
+TASK_EDGES = 1 << 18  # edges that one task may finish (4 MB)
+
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nodes, smallest node of each one's component) over the given edges, by pointer jumping."""
@@ -38,16 +40,27 @@ def _contract(batches):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(root[own])], ["u", "v"])
 
 
+def _contract_whole(batches):
+    """As ``_contract`` over all batches of a partition together."""
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        yield from _contract([pa.Table.from_batches(parts).combine_chunks().to_batches()[0]])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (columns ``u`` and ``v``, long); component is its smallest node.
 
     Each round is two aggregates and two joins on the node. No neighbourhood is ever collected: a node with very many
-    edges costs one partial minimum per task, and the join is split by AQE where it is skewed.
+    edges costs one partial minimum per task, and the join is split by AQE where it is skewed. Whenever at most
+    ``TASK_EDGES`` edges are left, one task of that bounded size finishes them.
     """
     schema = "u long, v long"
     now = written(edges.select("u", "v").where("u <> v").mapInArrow(_contract, schema).distinct(), "edges")
     state = None
     for _ in range(rounds):
+        if now.count() <= TASK_EDGES:
+            now = written(now.repartition(1).mapInArrow(_contract_whole, schema), "edges")
+            break
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))  # larger neighbours -> minimum

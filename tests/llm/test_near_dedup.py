@@ -105,7 +105,10 @@ def test_roots(edges):
         assert x == min(b for b in nodes if want[b] == want[a])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [1 << 18, 50, -1])
+def test_components(spark, monkeypatch, task_edges):
+    """All in one task, the end of it, or nothing."""
+    monkeypatch.setattr("receivables.llm.components.TASK_EDGES", task_edges)
     random.seed(6)
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(random.randint(2000, 2100), random.randint(2000, 2100)) for _ in range(60)]
     df = spark.createDataFrame(edges, "u long, v long").repartition(8)

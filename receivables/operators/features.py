@@ -33,7 +33,7 @@ def customer_history(invoices: DataFrame, payments: DataFrame, as_of) -> DataFra
     invoice-payment rows, mean days late (unpaid = 0), late rate %, mean payment amount (D21: rows paid on or after
     ``as_of`` are dropped, not treated as unpaid)."""
     a = E.as_of_lit(as_of)
-    inv = invoices.where(F.col("issue_date") < a).select("invoice_id", "customer_id", "due_date")
+    inv = invoices.where((F.col("issue_date") < a) & F.col("customer_id").isNotNull()).select("invoice_id", "customer_id", "due_date")
     pay = payments.select("invoice_id", "payment_date", F.col("amount").alias("pay_amount"))
     m = inv.join(pay, "invoice_id", "left").where(F.col("payment_date").isNull() | (F.col("payment_date") < a))
     dl = F.when(F.col("payment_date").isNull(), F.lit(0)).otherwise(E.days_late("payment_date", "due_date"))
@@ -82,13 +82,17 @@ def engineer_features(
         (F.col("channel") == "online").cast("int").alias("channel_online") if "channel" in invoices.columns else F.lit(0).alias("channel_online"),
     )
     is_open = F.col("status") == "open"
-    cust_ar = df.where(is_open).groupBy("customer_id").agg(F.sum(F.col("invoice_amount").cast("decimal(18,2)")).alias("customer_total_ar"))
-    total = df.agg(F.sum(F.when(is_open, F.col("invoice_amount").cast("decimal(18,2)"))).alias("total_ar"))
+    # Open AR and row count per customer in one aggregate; the grand total and the hot keys follow from it.
+    per_key = df.groupBy("customer_id").agg(
+        F.sum(F.when(is_open, F.col("invoice_amount").cast("decimal(18,2)"))).alias("customer_total_ar"), F.count(F.lit(1)).alias("__n")
+    )
+    total = per_key.agg(F.sum("customer_total_ar").alias("total_ar"))
+    cust_ar = per_key.where(F.col("customer_id").isNotNull()).drop("__n")
     per_cust = customers.select("customer_id", "payment_terms_days", "credit_limit").join(cust_ar, "customer_id", "full")
     if payments is not None:
         per_cust = per_cust.join(customer_history(history_invoices if history_invoices is not None else invoices, payments, as_of), "customer_id", "full")
     # One row per customer on the right: hot customers are salted so their invoices spread over many tasks.
-    df = lookup_join(df, per_cust, "customer_id", "left", spread="invoice_id").crossJoin(F.broadcast(total))
+    df = lookup_join(df, per_cust, "customer_id", "left", spread="invoice_id", key_counts=per_key).crossJoin(F.broadcast(total))
     if payments is None:
         df = (df.withColumn("customer_invoice_count", F.lit(1)).withColumn("customer_avg_days_late", F.lit(0.0))
               .withColumn("customer_late_rate", F.lit(0.0)).withColumn("customer_avg_payment_amount", F.col("invoice_amount")))

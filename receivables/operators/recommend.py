@@ -60,12 +60,14 @@ def recommend_actions(
 ) -> DataFrame:
     """RC-6: recommendation table for open invoices, highest priority first (ties by invoice_id).
 
-    ``scored`` may carry ``risk_score``; without it the neutral default 50 applies.
+    ``scored`` may carry ``risk_score``; without it the neutral default 50 applies. Where it carries the customer's
+    ``name`` already, the customers are not joined again.
     """
     df = scored.where(F.col("status") == "open").withColumn("days_overdue", E.days_overdue("due_date", as_of))
     if "risk_score" not in df.columns:
         df = df.withColumn("risk_score", F.lit(50))
-    df = df.join(customers.select("customer_id", "name"), "customer_id", "left")
+    if "name" not in df.columns:
+        df = df.join(customers.select("customer_id", "name"), "customer_id", "left")
     if actions is not None:
         df = df.join(prior_action_counts(actions), "invoice_id", "left").withColumn(
             "prior_actions", F.coalesce(F.col("prior_actions"), F.lit(0)).cast("int")

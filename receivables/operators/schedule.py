@@ -102,12 +102,12 @@ def action_type(attempt, days, risk_level):
 
 def generate_schedule(
     targets: DataFrame, as_of, holidays: DataFrame | None = None, max_attempts: int | None = None,
-    cadences: dict[str, list[int]] | None = None, business_days_only: bool = True,
+    cadences: dict[str, list[int]] | None = None, business_days_only: bool = True, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """SC-1: expand each target (invoice_id, customer_id, risk_category, days_overdue) into its dated attempts.
 
     Unknown risk levels use the medium cadence; ``max_attempts`` keeps the first k attempts. ``as_of`` is the last
-    contact date for every invoice.
+    contact date for every invoice. ``carry`` names further columns of the targets to keep behind the schedule's own.
     """
     spark = targets.sparkSession
     cad = cadences or CADENCES
@@ -117,7 +117,7 @@ def generate_schedule(
     level = F.when(F.col("risk_category").isin(list(cad)), F.col("risk_category")).otherwise(F.lit("medium"))
     t = targets.select(
         "invoice_id", "customer_id", F.coalesce(F.col("risk_category"), F.lit("medium")).alias("risk_category"),
-        F.coalesce(F.col("days_overdue"), F.lit(0)).alias("days_overdue"),
+        F.coalesce(F.col("days_overdue"), F.lit(0)).alias("days_overdue"), *carry,
     ).withColumn("risk_level", level)
     x = t.join(F.broadcast(cadence), "risk_level")
     x = x.withColumn("target_date", F.date_add(E.as_of_lit(as_of).cast("date"), F.col("days_offset")))
@@ -139,6 +139,7 @@ def generate_schedule(
         F.lit(None).cast("string").alias("completion_notes"),
         F.lit(None).cast("string").alias("cancellation_reason"),
         F.lit(None).cast("date").alias("cancelled_date"),
+        *carry,
     )
 
 
@@ -208,12 +209,14 @@ def cancel_future_actions(schedule: DataFrame, paid_ids: DataFrame, as_of, reaso
 
 def weekly_plan(scored: DataFrame, as_of, schedule: DataFrame | None = None, holidays: DataFrame | None = None) -> DataFrame:
     """SC-9: this week's pending actions with amount, due date and risk; priority = risk x amount."""
-    if schedule is None:
+    facts = ("invoice_amount", "due_date", "risk_score")
+    if schedule is None:  # made here, the schedule carries what the plan needs: nothing is joined back
         targets = scored.withColumn("days_overdue", E.days_overdue("due_date", as_of))
-        schedule = generate_schedule(targets, as_of, holidays)
-    week = this_weeks_actions(schedule, as_of)
-    inv = scored.select("invoice_id", F.col("customer_id").alias("__cust"), "invoice_amount", "due_date", "risk_score")
-    plan = week.join(inv, "invoice_id", "left").withColumn("customer_id", F.coalesce("customer_id", "__cust")).drop("__cust")
+        plan = this_weeks_actions(generate_schedule(targets, as_of, holidays, carry=facts), as_of)
+    else:
+        inv = scored.select("invoice_id", F.col("customer_id").alias("__cust"), *facts)
+        plan = this_weeks_actions(schedule, as_of).join(inv, "invoice_id", "left")
+        plan = plan.withColumn("customer_id", F.coalesce("customer_id", "__cust")).drop("__cust")
     return plan.withColumn("priority_score", F.col("risk_score") * F.col("invoice_amount")).orderBy(
         F.asc("scheduled_date"), F.desc("priority_score"), "invoice_id", "attempt_number"
     )

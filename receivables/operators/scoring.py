@@ -14,14 +14,16 @@ DEFAULT_TERMS_DAYS = 30
 DEFAULT_CREDIT_LIMIT = 999999.0
 
 
-def rule_risk_scores(invoices: DataFrame, customers: DataFrame, as_of, open_only: bool = True, sort: bool = True) -> DataFrame:
+def rule_risk_scores(invoices: DataFrame, customers: DataFrame, as_of, open_only: bool = True, sort: bool = True,
+                     carry: tuple[str, ...] = ()) -> DataFrame:
     """RS-1: 0.4 overdue + 0.2 amount (vs the p95 amount) + 0.2 terms + 0.2 credit utilisation, rounded half-even.
 
     The p95 and the per-customer totals cover every status (D8); the open filter comes last. The p95 is an exact
     distributed quantile (one row, broadcast); customer totals are one ``groupBy`` joined back at customer grain.
+    ``carry`` names further customer columns to bring along (saving a caller a second join on customer_id).
     """
     p95 = exact_quantile(invoices, "invoice_amount", 0.95, out="amount_p95")
-    cust = customers.select("customer_id", "payment_terms_days", "credit_limit")
+    cust = customers.select("customer_id", "payment_terms_days", "credit_limit", *carry)
     totals = invoices.groupBy("customer_id").agg(
         F.sum(F.col("invoice_amount").cast("decimal(18,2)")).cast("double").alias("total_outstanding"),
         F.count(F.lit(1)).alias("__n"),
@@ -54,7 +56,7 @@ def rule_risk_scores(invoices: DataFrame, customers: DataFrame, as_of, open_only
         out = out.where(F.col("status") == "open")
     out = out.select(
         "invoice_id", "customer_id", "issue_date", "due_date", "invoice_amount", "currency", "status",
-        "risk_score", "risk_category",
+        "risk_score", "risk_category", *carry,
     )
     # Callers that feed the scores into further joins pass sort=False: a global sort there would be wasted work.
     return out.orderBy(F.desc("risk_score"), "invoice_id") if sort else out

@@ -41,7 +41,10 @@ def score(customers, invoices, payments, as_of, fitted=None, top: int = 20) -> D
 
 def plan(customers, invoices, payments, actions, as_of, fitted=None, top: int = 30) -> DataFrame:
     """plan: ML-6 -> RC-6 -> top N."""
-    scored = scoring.score_invoices(invoices, customers, payments, as_of, fitted)
+    if fitted is None:
+        scored = scoring.rule_risk_scores(invoices, customers, as_of, sort=False, carry=("name",))
+    else:
+        scored = scoring.score_invoices(invoices, customers, payments, as_of, fitted)
     return recommend.top_recommendations(recommend.recommend_actions(scored, customers, actions, as_of), top)
 
 

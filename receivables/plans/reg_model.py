@@ -18,7 +18,7 @@ HIST_SQL = f"""SELECT customer_id, count(invoice_id) AS customer_invoice_count,
        CAST(sum(CAST(pay_amount AS decimal(18,2))) AS double) / NULLIF(count(pay_amount), 0) AS customer_avg_payment_amount
 FROM (SELECT i.invoice_id, i.customer_id, p.amount AS pay_amount,
              CASE WHEN p.payment_date IS NULL THEN 0 ELSE {days_late('p.payment_date', 'i.due_date')} END AS dl
-      FROM (SELECT * FROM invoices WHERE issue_date < {A}) i LEFT JOIN payments p ON i.invoice_id = p.invoice_id
+      FROM (SELECT * FROM invoices WHERE issue_date < {A} AND customer_id IS NOT NULL) i LEFT JOIN payments p ON i.invoice_id = p.invoice_id
       WHERE p.payment_date IS NULL OR p.payment_date < {A}) m
 GROUP BY customer_id"""
 

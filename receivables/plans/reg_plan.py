@@ -69,7 +69,8 @@ FROM r2)"""
 
 
 def recs(fx):
-    return recommend.recommend_actions(scored(fx), fx.customers, fx.csv_actions, AS_OF)
+    named = scoring.rule_risk_scores(fx.invoices, fx.customers, AS_OF, sort=False, carry=("name",))
+    return recommend.recommend_actions(named, fx.customers, fx.csv_actions, AS_OF)
 
 
 @register(
@@ -272,9 +273,7 @@ LEFT JOIN scored s ON w.invoice_id = s.invoice_id""",
     views=SCHED_VIEWS,
 )
 def q_weekly_plan(fx):
-    sc = scored(fx)  # one scored frame feeds both the schedule and the plan's invoice details
-    targets = sc.withColumn("days_overdue", E.days_overdue("due_date", AS_OF))
-    return schedule.weekly_plan(sc, AS_OF, schedule=schedule.generate_schedule(targets, AS_OF, holidays(fx)))
+    return schedule.weekly_plan(scored(fx), AS_OF, holidays=holidays(fx))
 
 
 @register(

@@ -73,6 +73,13 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def words(code: np.ndarray) -> np.ndarray:
+    """Codes as rows of 64-bit words."""
+    padded = np.zeros((len(code), -(-code.shape[1] // 8) * 8), dtype=np.uint8)
+    padded[:, : code.shape[1]] = code
+    return padded.view(np.uint64)
+
+
 class Buckets:
     """The bucket tables of one block: for every substring, its rows sorted by value."""
 
@@ -87,15 +94,15 @@ class Buckets:
         hit = np.zeros((len(queries), len(code)), dtype=bool)
         for s in range(m):
             probes = near[queries[:, s]]  # query x value
-            for value in np.flatnonzero(np.diff(self.bounds[s])):
-                asked = np.flatnonzero(probes[:, value])
+            order, bounds = self.order[:, s], self.bounds[s].tolist()
+            for value in np.flatnonzero(np.diff(bounds)).tolist():
+                asked = probes[:, value].nonzero()[0]
                 if len(asked):
-                    hit[np.ix_(asked, self.order[self.bounds[s][value] : self.bounds[s][value + 1], s])] = True
-        i, j = np.nonzero(hit)
-        apart = np.zeros(len(i), dtype=np.int16)
-        for s in range(m):
-            apart += _BITS[queries[i, s] ^ code[j, s]]
-        hit[i, j] = apart <= radius
+                    hit[asked[:, None], order[bounds[value] : bounds[value + 1]]] = True
+        apart = np.zeros(hit.shape, dtype=np.uint16)
+        for a, b in zip(words(queries).T, words(code).T, strict=True):
+            apart += np.bitwise_count(a[:, None] ^ b[None, :])
+        hit &= apart <= radius
         return hit
 
 

@@ -56,7 +56,7 @@ def classifier(model_type: str, n_rows: int, seed: int = 42, **params):
             maxDepth=params.get("max_depth", 5), stepSize=params.get("learning_rate", 0.1),
             subsamplingRate=params.get("subsample", 0.8), minInstancesPerNode=params.get("min_samples_leaf", 10), seed=seed,
             # Boosting cuts its lineage every 10 trees in the shared checkpoint folder: a lost executor costs at most 10.
-            checkpointInterval=10, cacheNodeIds=True,
+            checkpointInterval=10,
         )
     if model_type == "logistic":
         return LogisticRegression(labelCol="is_late", featuresCol="features", maxIter=params.get("max_iter", 1000),

@@ -7,8 +7,11 @@ rules accept, the other those that they reject - all of them, each row once. The
 log-likelihoods, divided by the length, is compared with a threshold that is calibrated over all URLs with a rule:
 the cut with the smallest mean of both error rates.
 
-Counts live in a hashed table of ``2 ** TABLE_BITS`` cells per model, summed by Spark; its size, and so what is
-broadcast, does not depend on the corpus.
+Counts are exact and live in Spark tables that grow with the corpus. A byte with the ``ORDER`` bytes before it is a window,
+packed into one long without loss; the count of every shorter context is a sum over windows, and the log-likelihood
+difference of a byte depends on its window only. So every distinct window is judged once (``window_ratios``), and URLs get the
+values of their windows in pieces of ``PIECE_BYTES``: a piece asks for each of its distinct windows once, so a window that
+stands in every URL is asked for once a piece.
 
 Defined results: a null URL or one without ``://`` has empty host and path, and no rule; a null or empty URL has the
 score 0; without accepted or without rejected URLs the threshold is 0; repeated rows count as often as they stand
@@ -19,9 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from receivables.functions.joins import lookup_join
 from receivables.llm.common import MIX_A, MIX_B, U64, buffers, pieces_of, written
 
 # Fixed values: (verdict, host, path).
@@ -34,7 +39,8 @@ RULES = [
 ]
 ORDER = 5  # the longest context, in bytes
 STRENGTH = 1.0  # weight of the shorter context's probability
-TABLE_BITS = 20
+SYMBOL_BITS = 9  # of a window: a byte plus one, or 0 before the URL's start
+PIECE_BYTES = 1 << 19  # of URLs that are scored together
 BINS, REACH = 4000, 10.0  # of the calibration's histogram: scores from -REACH to REACH
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,8 +64,103 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
+def windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each byte with the ORDER bytes before it in its URL, as one number; the byte itself stands in the lowest bits."""
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    symbol = data.astype(np.int64) + 1
+    out = symbol.copy()
+    for k in range(1, ORDER + 1):
+        before = np.zeros(len(data), dtype=np.int64)
+        before[k:] = symbol[:-k]
+        before[place < k] = 0  # before the URL's start
+        out |= before << (SYMBOL_BITS * k)
+    return out
+
+
+def in_pieces(parsed: DataFrame) -> DataFrame:
+    """All rows with the number of their ``piece``."""
+    names = [*parsed.columns, "piece"]
+
+    def number(batches):
+        piece = TaskContext.get().partitionId() << 32
+        room = 0
+        for batch in batches:
+            for lo, hi in pieces_of(batch, "url", PIECE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                size = len(buffers(part.column("url"))[0]) + part.num_rows  # empty URLs fill a piece as well
+                if size > room:
+                    piece, room = piece + 1, PIECE_BYTES
+                room -= size
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([piece] * part.num_rows, pa.int64())], names)
+
+    return parsed.mapInArrow(number, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parsed.schema) + ", piece long")
+
+
+def counted(placed: DataFrame) -> DataFrame:
+    """(piece, window, accepted, rejected): how often each distinct window of a piece stands in URLs that the rules accept
+    and reject; both are 0 where only URLs without a rule hold it. A piece that is read in parts has rows for each."""
+
+    def count(batches):
+        for batch in batches:
+            for lo, hi in pieces_of(batch, "url", PIECE_BYTES):
+                numbers = batch.column("piece")[lo:hi].to_numpy()
+                cuts = [lo, *(lo + 1 + np.flatnonzero(np.diff(numbers))).tolist(), hi]
+                for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                    data, offsets = buffers(batch.column("url")[at:end])
+                    if not len(data):
+                        continue
+                    verdict = batch.column("ruled")[at:end].to_pylist()
+                    window, where = np.unique(windows(data, offsets), return_inverse=True)
+                    sums = [np.bincount(where, weights=np.repeat([v == kind for v in verdict], np.diff(offsets))).astype(np.int64) for kind in ("allow", "block")]
+                    piece = np.full(len(window), batch.column("piece")[at].as_py(), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (piece, window, *sums)], ["piece", "window", "accepted", "rejected"])
+
+    return placed.select("url", "ruled", "piece").mapInArrow(count, "piece long, window long, accepted long, rejected long")
+
+
+def window_ratios(total: DataFrame) -> DataFrame:
+    """(window, ratio): the log-likelihood difference of every window's last byte. ``total``: distinct (window, a, r) with
+    their counts in accepted and rejected URLs.
+
+    A context has at most 256 following bytes and a window at most 257 symbols before it, so no group and no key of the
+    joins holds more rows than that.
+    """
+    found = None
+    for k in range(ORDER + 1):
+        gram = F.col("window").bitwiseAND((1 << (SYMBOL_BITS * (k + 1))) - 1)
+        counts = total.groupBy(gram.alias("gram")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+        after = Window.partitionBy(F.shiftright("gram", SYMBOL_BITS))
+        counts = counts.select("gram", "a", "r", F.sum("a").over(after).alias("of_a"), F.sum("r").over(after).alias("of_r"))
+        if found is None:
+            counts = counts.withColumn("p_a", F.lit(1 / 256)).withColumn("p_r", F.lit(1 / 256))
+        else:
+            shorter = F.col("gram").bitwiseAND((1 << (SYMBOL_BITS * k)) - 1)
+            counts = counts.withColumn("shorter", shorter).join(found, "shorter")
+        smoothed = [((F.col(x) + STRENGTH * F.col(f"p_{x}")) / (F.col(f"of_{x}") + STRENGTH)).alias(f"p_{x}") for x in ("a", "r")]
+        found = counts.select(F.col("gram").alias("shorter"), *smoothed)
+    return found.select(F.col("shorter").alias("window"), (F.log("p_a") - F.log("p_r")).alias("ratio"))
+
+
+def scored_pieces(placed: DataFrame, known: DataFrame) -> DataFrame:
+    """page_id, host, path, rule, ruled and score of every row, from (piece, window, ratio) of its piece."""
+    kept = ["page_id", "host", "path", "rule", "ruled"]
+
+    def score(urls: pa.Table, found: pa.Table) -> pa.Table:
+        window, first = np.unique(found.column("window").to_numpy(), return_index=True)
+        ratio = found.column("ratio").to_numpy()[first]
+        data, offsets = buffers(urls.column("url"))
+        length = np.diff(offsets)
+        each = ratio[np.searchsorted(window, windows(data, offsets))] if len(data) else np.zeros(0)
+        total = np.bincount(np.repeat(np.arange(len(length)), length), weights=each, minlength=len(length))
+        return pa.table([*(urls.column(c) for c in kept), pa.array(total / np.maximum(length, 1))], names=[*kept, "score"])
+
+    both = placed.groupBy("piece").cogroup(known.groupBy("piece"))
+    return both.applyInArrow(score, "page_id long, host string, path string, rule string, ruled string, score double")
+
+
 def cells(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For every order 0..ORDER the cell of each byte after its context, and of the context alone."""
+    """For every order 0..ORDER the cell of each byte after its context, and of the context alone, in a hashed table of
+    ``2 ** bits`` cells. With ``scores`` the small form of the models, for a handful of URLs; ``judge`` does not use it."""
     place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     byte = data.astype(np.uint64) + U64(1)
     context = np.zeros(len(data), dtype=np.uint64)
@@ -77,32 +178,8 @@ def cells(data: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.nda
     return out
 
 
-def counted(labelled: DataFrame, bits: int) -> np.ndarray:
-    """Cells x 2 (accepted, rejected), summed over all rows of (url, verdict)."""
-
-    def count(batches):
-        for batch in batches:
-            for lo, hi in pieces_of(batch, "url", 1 << 19):
-                data, offsets = buffers(batch.column("url")[lo:hi])
-                if not len(data):
-                    continue
-                allow = np.repeat(np.array([v == "allow" for v in batch.column("verdict")[lo:hi].to_pylist()]), np.diff(offsets))
-                every = np.concatenate([c for pair in cells(data, offsets, bits) for c in pair])
-                allow = np.tile(allow, 2 * (ORDER + 1))
-                cell, where = np.unique(every, return_inverse=True)
-                accepted = np.bincount(where, weights=allow).astype(np.int64)
-                total = np.bincount(where).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(accepted), pa.array(total - accepted)], ["cell", "accepted", "rejected"])
-
-    sums = labelled.mapInArrow(count, "cell int, accepted long, rejected long").groupBy("cell").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r"))
-    got = sums.toArrow()  # at most 2 ** bits rows
-    out = np.zeros((1 << bits, 2), dtype=np.float32)
-    out[got.column("cell").to_numpy()] = np.stack([got.column("a").to_numpy(), got.column("r").to_numpy()], axis=1)
-    return out
-
-
 def scores(urls: pa.Array, table: np.ndarray, bits: int) -> np.ndarray:
-    """Length-normalised log-likelihood difference of every URL."""
+    """Length-normalised log-likelihood difference of every URL, from a hashed table (see ``cells``)."""
     data, offsets = buffers(urls)
     length = np.diff(offsets)
     if not len(data):
@@ -131,24 +208,18 @@ def threshold(scored: DataFrame) -> float:
     return float(best[len(best) // 2] * (2 * REACH / BINS) - REACH)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, bits: int = TABLE_BITS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every page."""
     host, path = host_and_path(F.col("url"))
     rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
     parsed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"))
     parsed = parsed.select("*", rule.alias("rule"), ruled.alias("ruled"))
-    labelled = parsed.where(F.col("ruled").isNotNull()).select("url", F.col("ruled").alias("verdict"))
-    table = pages.sparkSession.sparkContext.broadcast(counted(labelled, bits))
-
-    def score(batches):
-        for batch in batches:
-            for lo, hi in pieces_of(batch, "url", 1 << 19):
-                part = batch.slice(lo, hi - lo)
-                found = scores(part.column("url"), table.value, bits)
-                kept = [part.column(c) for c in ("page_id", "host", "path", "rule", "ruled")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found)], ["page_id", "host", "path", "rule", "ruled", "score"])
-
-    scored = written(parsed.mapInArrow(score, "page_id long, host string, path string, rule string, ruled string, score double"), "url-scores")
+    placed = written(in_pieces(parsed), "url-pieces")
+    grams = written(counted(placed), "url-windows")
+    total = written(grams.groupBy("window").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r"), F.count(F.lit(1)).alias("__n")), "url-window-counts")
+    ratios = written(window_ratios(total), "url-window-ratios")
+    known = lookup_join(grams.select("piece", "window"), ratios, "window", "inner", spread="piece", key_counts=total)
+    scored = written(scored_pieces(placed, known), "url-scores")
     cut = threshold(scored.where(F.col("ruled").isNotNull()).select("ruled", "score"))
     by_model = F.when(F.col("score") >= cut, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")

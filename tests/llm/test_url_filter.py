@@ -81,6 +81,41 @@ def test_scores_against_direct_counts():
         assert abs(score - want) < 1e-4
 
 
+def test_many_distinct_contexts(spark):
+    """Far more contexts than a table of fixed size holds: every score is the one of exact counts, in pieces of any size."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(map(chr, rng.integers(33, 127, n))).translate({ord(c): "_" for c in "/?#"})
+    hosts = ["a.org/", "b.example.org/es/", "c.com/fr/", "d.com/de/", "e.net/"]
+    urls = [f"http://{hosts[i % 5]}{word(90)}" for i in range(2500)]
+    urls += urls[:3] + ["é", "", None, "http://org/" + word(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    seen, context = {True: Counter(), False: Counter()}, {True: Counter(), False: Counter()}
+
+    def grams(url):
+        b = [-1] * url_filter.ORDER + list((url or "").encode())
+        for i in range(url_filter.ORDER, len(b)):
+            yield [tuple(b[i - k : i + 1]) for k in range(url_filter.ORDER + 1)]
+
+    for u in urls:
+        allow = ruled(*parsed(u))[1]
+        if allow is not None:
+            for g in (g for of in grams(u) for g in of):
+                seen[allow][g] += 1
+                context[allow][g[:-1]] += 1
+    assert len(seen[True].keys() | seen[False].keys()) > 1 << 19
+    got = url_filter.judge(pages).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(urls)))
+    for r in got:
+        u, want = urls[r.page_id], 0.0
+        for of in grams(u):
+            p = {True: 1 / 256, False: 1 / 256}
+            for g in of:
+                for kind in p:
+                    p[kind] = (seen[kind][g] + url_filter.STRENGTH * p[kind]) / (context[kind][g[:-1]] + url_filter.STRENGTH)
+            want += math.log(p[True]) - math.log(p[False])
+        assert abs(r.score - want / max(1, len((u or "").encode()))) < 1e-9
+
+
 def test_model_tells_ruled_urls_apart(spark):
     rows = registry.queries()["op9_url_language_model"](spark, "/root/testdata/sf0.01").collect()
     kinds = {kind: [r.score for r in rows if r.rule and r.verdict == kind] for kind in ("allow", "block")}

@@ -1,17 +1,22 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-Each of ``TREES`` sorted orders lists the distinct shingle sets by a signature that starts with its own ``DEPTH``
-MinHash values and goes on with the others. Sets that agree on the first ``DEPTH`` values form a region of that order;
-inside it the candidates of a set are the ones with the longest common prefixes. Two sets with similarity 0.85 share a
-region of at least one of the 20 orders with probability 1 - (1 - 0.85 ** 5) ** 20 > 0.99999.
+What counts as a near-duplicate is a ``Likeness``: the words of a shingle, the least similarity, and the signature that
+finds such pairs. op5's contract is ``CONTRACT`` (3 words, 0.85); the corpus stage ``one_of_each`` takes ``CORPUS`` (5 words,
+0.8).
 
-The depth adapts to the region. A region that holds more sets than a block is taken deeper, to ``2 * DEPTH`` values, and
+Each of ``trees`` sorted orders lists the distinct shingle sets by a signature that starts with its own ``depth``
+MinHash values and goes on with the others. Sets that agree on the first ``depth`` values form a region of that order;
+inside it the candidates of a set are the ones with the longest common prefixes. Two sets with similarity s share a
+region of at least one order with probability 1 - (1 - s ** depth) ** trees: over 0.99999 for 0.85 with 20 orders of 5
+values, and for 0.8 with 25 orders of 4 values.
+
+The depth adapts to the region. A region that holds more sets than a block is taken deeper, to ``2 * depth`` values, and
 dealt into blocks by that prefix (or by the set itself, where even the deeper region is larger than a block). Blocks
 meet in pairs, each pair in a task of its own, so that no pair of a region is given up by going deeper. A block pair
 sorts its signatures and gives back a spanning forest of its candidates, longest common prefixes first, never all pairs:
 
 1. equal sets collapse to one node first (a digest of the sorted shingle hashes);
-2. candidates: within a region, signatures that agree often enough (``ROUGH`` of 100 values, five standard deviations below the
+2. candidates: within a region, signatures that agree often enough (``rough`` of 100 values, five standard deviations below the
    threshold); a forest of them per region or block pair;
 3. rough components over the candidates; the full shingle sets travel once to their rough component, which is again
    cut into blocks that meet in pairs; similarity is confirmed on the full sets there, and a spanning forest of the
@@ -19,7 +24,7 @@ sorts its signatures and gives back a spanning forest of its candidates, longest
 4. components over the true links.
 
 Defined results: null, empty and white-space texts have no set, are linked with nothing and keep themselves; texts of
-fewer than three words are one shingle; repeated rows and rows with equal sets are one node, their component_id the
+fewer words than a shingle are one shingle; repeated rows and rows with equal sets are one node, their component_id the
 smallest non-null doc_id reached; a row with null ``doc_id`` takes part, is kept only where its component has no id
 and gets that component's id; an empty table gives an empty result; other columns are ignored.
 """
@@ -28,6 +33,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,21 +52,38 @@ BLOCK_SETS = 512  # sets of a block
 BLOCK_SHINGLES = 1_000_000  # shingles of a block of full sets
 CHUNK_BYTES = 2 << 20
 
-_SEEDS = np.random.default_rng(20_011).integers(0, 2**32, (2, TREES * DEPTH), dtype=np.uint32)
-_MUL, _ADD = _SEEDS[0] | np.uint32(1), _SEEDS[1]
+
+class Likeness(NamedTuple):
+    """Which texts are near-duplicates, and the signature settings that find them."""
+
+    shingle: int = SHINGLE  # words
+    threshold: tuple[int, int] = THRESHOLD
+    trees: int = TREES
+    depth: int = DEPTH
+    rough: int = ROUGH
+
+
+CONTRACT = Likeness()
+CORPUS = Likeness(shingle=5, threshold=(80, 100), trees=25, depth=4, rough=60)  # 60 of 100: 0.8 less five standard deviations
+
+
+@cache
+def seeds(values: int) -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(20_011).integers(0, 2**32, (2, values), dtype=np.uint32)
+    return drawn[0] | np.uint32(1), drawn[1]
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; empty without words."""
     data, offsets = buffers(texts)
     data = lower_ascii(data)
     starts, ends, docs = word_bounds(data, offsets)
     words = hash_words(data, starts, ends)
-    grams = hash_ngrams(words, SHINGLE)
+    grams = hash_ngrams(words, shingle)
     for a, b in zip(docs[:-1].tolist(), docs[1:].tolist(), strict=True):
         n = b - a
-        if n >= SHINGLE:
-            yield np.unique(grams[a : b - SHINGLE + 1])
+        if n >= shingle:
+            yield np.unique(grams[a : b - shingle + 1])
         elif n:  # the whole sequence as one shingle, told apart from longer ones
             placed = mix(words[a:b] + U64(7) * np.arange(1, n + 1, dtype=np.uint64))
             yield mix(np.bitwise_xor.reduce(placed, keepdims=True) ^ (np.array([n], dtype=np.uint64) * MIX_A))
@@ -67,30 +91,31 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH MinHash values."""
+def signature(shingles: np.ndarray, values: int = TREES * DEPTH) -> np.ndarray:
+    """As many MinHash values."""
+    mul, add = seeds(values)
     x = (shingles >> U64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    out = np.full(len(_MUL), 0xFFFFFFFF, dtype=np.uint32)
+    out = np.full(values, 0xFFFFFFFF, dtype=np.uint32)
     for lo in range(0, len(x), 256):
-        part = x[lo : lo + 256, None] * _MUL[None, :]
-        part += _ADD[None, :]
+        part = x[lo : lo + 256, None] * mul[None, :]
+        part += add[None, :]
         part ^= part >> np.uint32(15)
         part *= np.uint32(0x2C1B3C6D)
         np.minimum(out, part.min(axis=0), out=out)
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, like: Likeness = CONTRACT) -> DataFrame:
     """doc_id, row_key, node (hash of the set; null without one), n_shingles and the signature."""
 
     def sign(batches):
         for batch in batches:
             for lo, hi in pieces_of(batch, "text", CHUNK_BYTES):
                 nodes, sizes, signs = [], [], []
-                for s in shingle_sets(batch.column("text")[lo:hi]):
+                for s in shingle_sets(batch.column("text")[lo:hi], like.shingle):
                     sizes.append(len(s))
                     nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-                    signs.append(signature(s).tobytes() if len(s) else None)
+                    signs.append(signature(s, like.trees * like.depth).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[lo:hi], batch.column("row_key")[lo:hi], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())],
                     ["doc_id", "row_key", "node", "n_shingles", "signature"],
@@ -99,23 +124,23 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, row_key long, node long, n_shingles long, signature binary")
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """(region, deep, tree, node) for every order and node: hashes of the order's number and its first DEPTH values, and
+def regions(nodes: DataFrame, like: Likeness = CONTRACT) -> DataFrame:
+    """(region, deep, tree, node) for every order and node: hashes of the order's number and its first ``depth`` values, and
     of twice as many."""
 
     def place(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, TREES, DEPTH)
-            h = np.arange(TREES, dtype=np.uint64)[None, :] * MIX_A + U64(1)
-            for k in range(DEPTH):
+            signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, like.trees, like.depth)
+            h = np.arange(like.trees, dtype=np.uint64)[None, :] * MIX_A + U64(1)
+            for k in range(like.depth):
                 h = mix(h ^ signs[:, :, k].astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
             deep = h.copy()
-            for k in range(DEPTH):
+            for k in range(like.depth):
                 deep = mix(deep ^ np.roll(signs, -1, axis=1)[:, :, k].astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F))
-            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), TREES)
-            tree = np.tile(np.arange(TREES, dtype=np.int32), len(signs))
+            node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), like.trees)
+            tree = np.tile(np.arange(like.trees, dtype=np.int32), len(signs))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h.ravel().view(np.int64)), pa.array(deep.ravel().view(np.int64)), pa.array(tree), pa.array(node)], ["region", "deep", "tree", "node"]
             )
@@ -173,9 +198,9 @@ def units(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield last, rows
 
 
-def candidate_links(signed: DataFrame, rough: int = ROUGH, block_sets: int = BLOCK_SETS) -> DataFrame:
+def candidate_links(signed: DataFrame, rough: int = ROUGH, block_sets: int = BLOCK_SETS, *, like: Likeness = CONTRACT) -> DataFrame:
     """Forests of candidates (u, v), over all regions. ``signed``: distinct (node, signature)."""
-    member = written(regions(signed), "regions")
+    member = written(regions(signed, like), "regions")
     sizes = member.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block_sets).cast("int")
     met = member.join(sizes, "region").withColumn("blocks", blocks)
@@ -195,7 +220,7 @@ def candidate_links(signed: DataFrame, rough: int = ROUGH, block_sets: int = BLO
                 pairs = [(0, 1)] if (first == second or rows[0]["block"] != rows[1]["block"]) and int((signs[0] == signs[1]).sum()) >= rough else []
             else:
                 # Longest common prefixes first: the order's own sort puts them side by side.
-                tree = rows[0]["tree"] * DEPTH
+                tree = rows[0]["tree"] * like.depth
                 order = np.lexsort(np.roll(signs, -tree, axis=1)[:, ::-1].T)
                 rows, signs = [rows[k] for k in order], signs[order]
                 agree = agreements(signs, signs)
@@ -237,7 +262,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def true_links(rough: DataFrame, docs: DataFrame, first_rows: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def true_links(rough: DataFrame, docs: DataFrame, first_rows: DataFrame, like: Likeness = CONTRACT) -> DataFrame:
     """Forests of confirmed links (u, v) inside the rough components (node, component). ``first_rows`` names one row of
     the documents for every node."""
     sized = rough.join(first_rows, "node")
@@ -251,14 +276,14 @@ def true_links(rough: DataFrame, docs: DataFrame, first_rows: DataFrame, thresho
     def sets(batches):
         for batch in batches:
             for lo, hi in pieces_of(batch, "text", CHUNK_BYTES):
-                found = [s.tobytes() for s in shingle_sets(batch.column("text")[lo:hi])]
+                found = [s.tobytes() for s in shingle_sets(batch.column("text")[lo:hi], like.shingle)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in ("node", "component", "blocks")), pa.array(found, pa.binary())], ["node", "component", "blocks", "shingles"])
 
     full = met.select("node", "component", "blocks", "text").mapInArrow(sets, "node long, component long, blocks int, shingles binary")
     full = full.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = block_pairs(full, "block", "blocks")
     dealt = dealt.repartition("component", "unit_a", "unit_b").sortWithinPartitions("component", "unit_a", "unit_b")
-    part, whole = threshold
+    part, whole = like.threshold
 
     def confirm(batches):
         for (_, first, second), rows in units(batches, ("component", "unit_a", "unit_b")):
@@ -285,17 +310,17 @@ def true_links(rough: DataFrame, docs: DataFrame, first_rows: DataFrame, thresho
     return dealt.mapInArrow(confirm, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, like: Likeness = CONTRACT) -> DataFrame:
     """doc_id, row_key, n_shingles, component (its own name, null without a set), component_id and kept of every row of
     ``docs`` (from ``with_row_key``)."""
-    signed = written(signatures(docs), "signatures")
+    signed = written(signatures(docs, like), "signatures")
     has = signed.where(F.col("node").isNotNull())
     # One row of the documents stands for each set; any of them has the same shingles.
     first_rows = has.groupBy("node").agg(F.min(F.struct("doc_id", "row_key", "n_shingles")).alias("r")).select("node", "r.*")
     smallest = has.groupBy("node").agg(F.min("doc_id").alias("smallest"))  # the smallest id that is not null
     distinct = has.select("node", "signature").dropDuplicates(["node"])
-    rough = written(components(candidate_links(distinct)), "rough-components")
-    links = written(true_links(rough, docs, first_rows), "links")
+    rough = written(components(candidate_links(distinct, like.rough, like=like)), "rough-components")
+    links = written(true_links(rough, docs, first_rows, like), "links")
     found = components(links)
     named = smallest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
@@ -312,11 +337,11 @@ def near_duplicate_rows(docs: DataFrame) -> DataFrame:
     return near_duplicates(keyed).drop("row_key", "component")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, like: Likeness = CORPUS) -> DataFrame:
     """``docs`` with one row of every component (the one with the smallest id), and all rows without words. Rows with equal
     id and text are one document."""
     keyed = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    judged = written(near_duplicates(keyed).where("kept").select("doc_id", "row_key", "component"), "kept")
+    judged = written(near_duplicates(keyed, like).where("kept").select("doc_id", "row_key", "component"), "kept")
     first = judged.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "row_key")).alias("r")).select("r.*")
     stay = first.unionByName(judged.where(F.col("component").isNull()).select("doc_id", "row_key").distinct())
     stay = stay.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__stays"))

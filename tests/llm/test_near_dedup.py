@@ -1,5 +1,6 @@
 """LSH forest near-duplicates and connected components against brute force."""
 
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from receivables.llm import near_dedup, registry
 from receivables.llm.components import components, roots
 
@@ -127,3 +129,46 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = registry.queries()["op5_lsh_forest_dedup"](spark, SF).collect()
     assert sorted(repr((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got) == brute(rows)
+
+
+def kept_at_five_words(rows):
+    """Ids that stay: five-word shingles, similarity 0.8, every pair compared."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    links = [(i, j) for i, s in enumerate(sets) for j in range(i) if s and 10 * len(s & sets[j]) >= 8 * len(s | sets[j])]
+    root = union_find(len(rows), links)
+    least = {}
+    for (doc_id, _), r in zip(rows, root):
+        least[r] = min(least.get(r, doc_id), doc_id)
+    return sorted(d for (d, _), r, s in zip(rows, root, sets) if not s or least[r] == d)
+
+
+def blocks_added(n, seed):
+    """Texts of 200 words, and each again with 36 to 60 words appended, put in front or cut."""
+    random.seed(seed)
+    for i in range(n):
+        w = [f"w{random.randrange(10**6)}" for _ in range(200)]
+        more = [f"m{random.randrange(10**6)}" for _ in range(36 + i % 25)]
+        yield 10 * i, " ".join(w)
+        yield 10 * i + 1, " ".join([w + more, more + w, w[: 200 - i % 60]][i % 3])
+
+
+def test_corpus_stage_finds_added_and_cut_blocks(spark):
+    rows = [*blocks_added(75, 5), *((10_000 + d, t) for d, t in near_copies(60, 1)), (20_000, "a b c"), (20_001, "A b  c"), (20_002, ""), (20_003, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = kept_at_five_words(rows)
+    assert len(want) < len([x for x in brute(rows) if x.endswith("True)")])  # three words and 0.85 leave more
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
+
+
+def test_corpus_stage_on_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == kept_at_five_words(rows)
+
+
+@pytest.mark.parametrize("like", [near_dedup.CONTRACT, near_dedup.CORPUS])
+def test_recall_at_the_threshold(like):
+    s, values = like.threshold[0] / like.threshold[1], like.trees * like.depth
+    assert 1 - (1 - s**like.depth) ** like.trees > 0.99999
+    assert sum(math.comb(values, k) * s**k * (1 - s) ** (values - k) for k in range(like.rough)) < 1e-5

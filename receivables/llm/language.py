@@ -1,14 +1,15 @@
 """Language identification with a blended-spectrum string kernel.
 
 The kernel of two texts is the number of character n-grams (n = 1..``MAX_N``, blended) that occur in both, normalised
-by the geometric mean of their own numbers: a presence kernel, so length and repetition do not matter. Nystroem's method
+by the geometric mean of their own numbers: a presence kernel, so length and repetition do not matter. N-grams are
+counted exactly: three code points fit into one long. Nystroem's method
 maps a text to its kernel values with ``LANDMARKS`` texts, whitened by the landmarks' own kernel matrix; one-versus-rest
-kernel ridge regression is then a linear model on that map. Scoring a batch is two matrix products: presence rows times
-the landmarks' presence rows, and kernel values times the model.
+kernel ridge regression is then a linear model on that map. Scoring a batch is two matrix products: presence rows over the
+landmarks' n-grams that occur in the batch times the landmarks' own, and kernel values times the model.
 
 The classifier is fitted on a bounded sample: the ``SAMPLE`` labelled training rows per language with the smallest hash
-of their id and text (a documented parameter; the same rows for any layout of the table). Executors turn them into
-presence rows, so the driver gets ``SAMPLE * languages`` rows of ``2 ** FEATURE_BITS / 8`` bytes and no text.
+of their id and text (a documented parameter; the same rows for any layout of the table). The driver gets the distinct
+n-grams of the ``LANDMARKS`` first rows of each language and, from the executors, the kernel values of all sample rows.
 
 Only the text enters a prediction. Defined results: null texts and texts without a letter are ``und`` with score 0; when no
 labelled row is left to learn from, every text is ``und``; equal scores go to the smaller language name; null
@@ -27,7 +28,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from receivables.llm.common import MIX_A, MIX_B, U64, pieces_of, written
 
 MAX_N = 3
-FEATURE_BITS = 14
+FEATURE_BITS = 14  # of ``presence``
+COLUMNS = 1 << 14  # n-grams of one matrix product
 SAMPLE = 400  # labelled rows per language
 LANDMARKS = 48  # per language
 RIDGE = 1e-3
@@ -36,7 +38,8 @@ CHUNK_CHARS = 1 << 19
 
 
 def presence(texts: list[str]) -> np.ndarray:
-    """A 0/1 row per text: which hashed n-grams occur. Letters are lower-cased, everything else is one space."""
+    """A 0/1 row per text: which hashed n-grams occur. Letters are lower-cased, everything else is one space. The small form
+    of ``grams`` for a few short texts; the classifier does not use it."""
     out = np.zeros((len(texts), 1 << FEATURE_BITS), dtype=np.uint8)
     joined = "\0".join(t.replace("\0", " ") for t in texts).lower()
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -63,6 +66,58 @@ def presence(texts: list[str]) -> np.ndarray:
     return out
 
 
+def grams(texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct n-grams of each text, code points packed into one number without loss. Letters are lower-cased,
+    everything else is one space."""
+    out = []
+    for text in texts:
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        clean = np.where(_letter(codes), codes, 0x20).astype(np.int64)
+        double = np.zeros(len(clean), dtype=bool)
+        double[1:] = (clean[1:] == 0x20) & (clean[:-1] == 0x20)
+        clean = clean[~double]
+        found, h = [], np.zeros(len(clean), dtype=np.int64)
+        for n in range(1, min(MAX_N, len(clean)) + 1):
+            h = (h[: len(clean) - n + 1] << 21) | clean[n - 1 :]
+            found.append(np.unique(h))  # no code is 0, so different n never meet
+        out.append(np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64))
+    return out
+
+
+class Landmarks:
+    """Exact n-gram sets of the landmark texts, by n-gram."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        self.grams, column = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        self.owner = owner[order]
+        self.start = np.searchsorted(column[order], np.arange(len(self.grams) + 1))
+
+    def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Normalised kernel of every set with every landmark."""
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        shared = np.zeros((len(sets), len(self.sizes)), dtype=np.float32)
+        if len(self.grams) and size.sum():
+            row, every = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+            at = np.minimum(np.searchsorted(self.grams, every), len(self.grams) - 1)
+            hit = self.grams[at] == every
+            met, column = np.unique(at[hit], return_inverse=True)
+            row = row[hit]
+            for lo in range(0, len(met), COLUMNS):
+                part = met[lo : lo + COLUMNS]
+                here = (column >= lo) & (column < lo + COLUMNS)
+                rows = np.zeros((len(sets), len(part)), dtype=np.float32)
+                rows[row[here], column[here] - lo] = 1
+                marks = np.zeros((len(part), len(self.sizes)), dtype=np.float32)
+                times = self.start[part + 1] - self.start[part]
+                entry = np.arange(times.sum()) + np.repeat(self.start[part] - np.cumsum(times) + times, times)
+                marks[np.repeat(np.arange(len(part)), times), self.owner[entry]] = 1
+                shared += rows @ marks
+        return shared / np.sqrt(np.outer(np.maximum(size, 1), np.maximum(self.sizes, 1))).astype(np.float32)
+
+
 _LETTERS: np.ndarray | None = None
 
 
@@ -82,22 +137,20 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class KernelRidge:
-    """Nystroem map over landmark rows and one ridge regression per language."""
+    """Nystroem map over landmarks and one ridge regression per language. ``own``: the landmarks' kernel with each other,
+    ``values``: that of the sample rows with the landmarks."""
 
-    def __init__(self, rows: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, landmarks: Landmarks, own: np.ndarray, values: np.ndarray, langs: list[str], ridge: float = RIDGE):
         self.names = sorted(set(langs))
         y = np.array([self.names.index(x) for x in langs])
-        # The first rows of each language, in the sample's own hash order, are its landmarks.
-        pick = np.sort(np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(self.names))])) if len(y) else np.zeros(0, int)
-        self.landmarks = rows[pick]
+        self.landmarks = landmarks
         if len(self.names) < 2:
             self.weights = None
             return
-        own = kernel(self.landmarks, self.landmarks).astype(np.float64)
-        value, vector = np.linalg.eigh(own)
+        value, vector = np.linalg.eigh(own.astype(np.float64))
         good = value > 1e-6 * value[-1]
         whiten = vector[:, good] / np.sqrt(value[good])
-        z = kernel(rows, self.landmarks) @ whiten
+        z = values @ whiten
         z1 = np.hstack([z, np.ones((len(z), 1))])
         target = np.where(y[:, None] == np.arange(len(self.names)), 1.0, -1.0)
         weight = 1.0 / np.bincount(y)[y]  # every language weighs the same
@@ -106,18 +159,16 @@ class KernelRidge:
         self.weights = (np.vstack([whiten @ solved[:-1], solved[-1:]])).astype(np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        rows = presence([t or "" for t in texts])
-        known = rows.any(axis=1)  # some n-gram: not yet a letter
+        known = lettered(texts)
         if not self.names:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         if self.weights is None:
             margin = np.ones((len(texts), 1), dtype=np.float32)
         else:
-            margin = kernel(rows, self.landmarks) @ self.weights[:-1] + self.weights[-1]
+            margin = self.landmarks.kernel(grams([t or "" for t in texts])) @ self.weights[:-1] + self.weights[-1]
         best = margin.argmax(axis=1)
         top = margin[np.arange(len(texts)), best]
         score = 1 / (1 + np.exp(-2.0 * np.clip(top, -20, 20)))
-        known &= np.array([any(map(str.isalpha, t)) if t and len(t) < 64 else bool(t) and has_letter(t) for t in texts], dtype=bool)
         return (
             [self.names[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)],
             [float(s) if ok else 0.0 for s, ok in zip(score, known, strict=True)],
@@ -128,8 +179,12 @@ def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text)
 
 
+def lettered(texts: list[str | None]) -> np.ndarray:
+    return np.array([bool(t) and has_letter(t) for t in texts], dtype=bool)
+
+
 def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """Presence rows of the labelled training rows with the smallest hashes, ``per_language`` of each language."""
+    """N-grams of the labelled training rows with the smallest hashes, ``per_language`` of each language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     keyed = rows.select("lang", F.xxhash64("doc_id", "text").alias("h"), F.xxhash64("text", "doc_id").alias("g"))
     # The smallest hashes of each language: every task keeps its own first, then the few are ranked together.
@@ -143,12 +198,12 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     def featurise(batches):
         for batch in batches:
             for lo, hi in pieces_of(batch, "text", CHUNK_CHARS):
-                bits = np.packbits(presence(batch.column("text")[lo:hi].to_pylist()), axis=1)
+                found = grams(batch.column("text")[lo:hi].to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang")[lo:hi], batch.column("rank")[lo:hi], pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "rank", "bits"]
+                    [batch.column("lang")[lo:hi], batch.column("rank")[lo:hi], pa.array([x.tobytes() for x in found], pa.binary())], ["lang", "rank", "grams"]
                 )
 
-    found = met.select("lang", "rank", "text").mapInArrow(featurise, "lang string, rank int, bits binary")
+    found = met.select("lang", "rank", "text").mapInArrow(featurise, "lang string, rank int, grams binary")
     return found.dropDuplicates(["lang", "rank"])  # repeated rows share a rank
 
 
@@ -156,10 +211,27 @@ def held_out(column: str):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
+def unpacked(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.int64) for x in column.to_pylist()]
+
+
 def fit(docs: DataFrame) -> KernelRidge:
-    sample = written(training_sample(docs), "language-sample").orderBy("lang", "rank").collect()
-    rows = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in sample), np.uint8).reshape(len(sample), -1), axis=1) if sample else np.zeros((0, 1 << FEATURE_BITS), np.uint8)
-    return KernelRidge(rows, [r["lang"] for r in sample])
+    sample = written(training_sample(docs), "language-sample")
+    # The first rows of each language, in the sample's own hash order, are its landmarks.
+    first = sample.where(F.col("rank") <= LANDMARKS).orderBy("lang", "rank").toArrow()
+    landmarks = Landmarks(unpacked(first.column("grams")))
+    shared = docs.sparkSession.sparkContext.broadcast(landmarks)
+
+    def values(batches):
+        for batch in batches:
+            for lo, hi in pieces_of(batch, "grams", 8 * CHUNK_CHARS):
+                found = shared.value.kernel(unpacked(batch.column("grams")[lo:hi]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in ("lang", "rank")), pa.array([x.tobytes() for x in found], pa.binary())], ["lang", "rank", "kernel"])
+
+    rows = sample.mapInArrow(values, "lang string, rank int, kernel binary").orderBy("lang", "rank").collect()  # SAMPLE rows a language
+    of = np.frombuffer(b"".join(r["kernel"] for r in rows), np.float32).reshape(len(rows), len(landmarks.sizes))
+    own = of[[r["rank"] <= LANDMARKS for r in rows]]
+    return KernelRidge(landmarks, own, of, [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:

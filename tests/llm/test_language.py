@@ -52,3 +52,31 @@ def test_presence_kernel():
     assert np.allclose(np.diag(k)[[0, 1, 3, 4]], 1) and np.allclose(k, k.T)
     alone = np.vstack([language.presence([t]) for t in ["Ab ab", "AB", "", "xyz", "x1y--z"]])
     assert (alone == rows).all()
+
+
+def test_long_text_in_a_large_alphabet():
+    """More distinct n-grams than any fixed number of slots: kernel values are those of the exact sets."""
+    rng = np.random.default_rng(8)
+    chinese, other = ("".join(map(chr, rng.integers(0x4E00, 0x9FA0, n))) for n in (200_000, 300))
+    texts = [chinese, other, "Ab  ab", "the cat, the dog", "", "a\0b", "\U0010fffd"]
+
+    def exact(text):
+        clean = "".join(c if c.isalpha() else " " for c in text.lower())
+        while "  " in clean:
+            clean = clean.replace("  ", " ")
+        return {clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1)}
+
+    sets, found = [exact(t) for t in texts], language.grams(texts)
+    assert [len(x) for x in found] == [len(s) for s in sets] and len(sets[0]) > 300_000
+    want = [[len(a & b) / max(1, len(a) * len(b)) ** 0.5 for b in sets] for a in sets]
+    assert np.allclose(language.Landmarks(found).kernel(found), want, atol=1e-5)
+
+
+def test_prediction_for_a_long_text(spark):
+    """Two languages of one script: long texts go by their own n-grams, not by the landmarks."""
+    rng = np.random.default_rng(9)
+    text = lambda lo, n: "".join(map(chr, rng.integers(lo, lo + 5000, n)))
+    rows = [(i, text((0x4E00, 0x6E00)[i % 2], 3000), ("aa", "bb")[i % 2]) for i in range(60)]
+    rows += [(1000 + i, text((0x4E00, 0x6E00)[i % 2], 150_000), None) for i in range(4)]
+    got = {r.doc_id: r.lang_pred for r in language.language_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[1000 + i] for i in range(4)] == ["aa", "bb", "aa", "bb"]

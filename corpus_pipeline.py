@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and works on all documents that the stag
 the columns of ``documents``. ``run`` writes each stage's result as Parquet into the shared checkpoint folder and reads it
 back, so a lost executor never costs more than the current stage.
 
-Defined results: documents without a letter go in the first stage; of a group of near-duplicates the smallest doc_id stays;
+Defined results: documents without a letter go in the first stage, and no others (without a
+labelled training row ``lang`` stays as it is); of a group of near-duplicates the smallest doc_id stays;
 texts that lose words or have spans masked get a new ``n_chars``; documents that lose all words stay, empty. Null ids,
 empty tables and repeated rows are handled as each operator's module says; other columns are carried to the last stage.
 """
@@ -25,9 +26,10 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; a missing ``lang`` is filled in."""
-    judged = language.identify(docs, "__lang_pred", "__score").where(F.col("__lang_pred") != language.UNKNOWN)
-    return judged.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
+    """Documents with a letter; a missing ``lang`` is filled in where there are labels to learn from."""
+    judged = language.identify(docs, "__lang_pred", "__score", "__letter").where("__letter")
+    known = F.when(F.col("__lang_pred") != language.UNKNOWN, F.col("__lang_pred"))
+    return judged.withColumn("lang", F.coalesce("lang", known)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from receivables.llm.common import MIX_A, MIX_B, U64, pieces_of, written
 
@@ -234,18 +234,25 @@ def fit(docs: DataFrame) -> KernelRidge:
     return KernelRidge(landmarks, own, of, [r["lang"] for r in rows])
 
 
-def identify(docs: DataFrame, pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of ``docs`` with the predicted language and its score (named so that they clash with no column)."""
+def identify(docs: DataFrame, pred: str = "lang_pred", score: str = "score", letter: str | None = None) -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score (named so that they clash with no column), and
+    on demand whether the text has a letter, which holds with or without a model."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")))
     schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    if letter is not None:
+        schema = schema.add(letter, BooleanType())
 
     def predict(batches):
         for batch in batches:
             for lo, hi in pieces_of(batch, "text", CHUNK_CHARS):
                 for at in range(lo, hi, 512):  # presence rows of 512 texts at a time
                     part = batch.slice(at, min(512, hi - at))
-                    langs, scores = model.value.predict(part.column("text").to_pylist())
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, pred, score])
+                    texts = part.column("text").to_pylist()
+                    langs, scores = model.value.predict(texts)
+                    more = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+                    if letter is not None:
+                        more.append(pa.array(lettered(texts)))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *more], names=schema.names)
 
     return docs.mapInArrow(predict, schema)
 

@@ -67,3 +67,18 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = written(stage(spark, empty, SF), "test")
         assert empty.count() == 0
+
+
+def test_documents_stay_without_labels(spark):
+    """No labels at all, and labels on held-out ids only."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    extra = spark.createDataFrame([(90_001, "12 34 !!", None, "s", 8), (90_002, None, None, "s", 0), (90_004, "12 34 !!", "en", "s", 8)], docs.schema)
+    docs = written(docs.unionByName(extra), "test")
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert len(lettered) > 150
+    held = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit("en")))
+    for table in (docs.withColumn("lang", F.lit(None).cast("string")), held):
+        lang = {r.doc_id: r.lang for r in table.collect()}
+        got = corpus_pipeline.language_id(spark, table, SF)
+        assert got.columns == docs.columns
+        assert {r.doc_id: r.lang for r in got.collect()} == {k: lang[k] for k in lettered}

@@ -6,14 +6,15 @@ finds such pairs. op5's contract is ``CONTRACT`` (3 words, 0.85); the corpus sta
 
 Each of ``trees`` sorted orders lists the distinct shingle sets by a signature that starts with its own ``depth``
 MinHash values and goes on with the others. Sets that agree on the first ``depth`` values form a region of that order;
-inside it the candidates of a set are the ones with the longest common prefixes. Two sets with similarity s share a
+regions are compared in full: all pairs of a region meet over all values of the signature, so a region of N distinct
+sets costs about N^2 comparisons, and common prefixes beyond ``depth`` only decide ties and blocks. Two sets with similarity s share a
 region of at least one order with probability 1 - (1 - s ** depth) ** trees: over 0.99999 for 0.85 with 20 orders of 5
 values, and for 0.8 with 25 orders of 4 values.
 
 The depth adapts to the region. A region that holds more sets than a block is taken deeper, to ``2 * depth`` values, and
 dealt into blocks by that prefix (or by the set itself, where even the deeper region is larger than a block). Blocks
 meet in pairs, each pair in a task of its own, so that no pair of a region is given up by going deeper. A block pair
-sorts its signatures and gives back a spanning forest of its candidates, longest common prefixes first, never all pairs:
+compares all its pairs and gives back a spanning forest of its candidates, best agreement first, never all pairs:
 
 1. equal sets collapse to one node first (a digest of the sorted shingle hashes);
 2. candidates: within a region, signatures that agree often enough (``rough`` of 100 values, five standard deviations below the
@@ -219,7 +220,7 @@ def candidate_links(signed: DataFrame, rough: int = ROUGH, block_sets: int = BLO
             if len(rows) == 2:
                 pairs = [(0, 1)] if (first == second or rows[0]["block"] != rows[1]["block"]) and int((signs[0] == signs[1]).sum()) >= rough else []
             else:
-                # Longest common prefixes first: the order's own sort puts them side by side.
+                # The order's own sort puts longest common prefixes side by side; it breaks ties of the forest.
                 tree = rows[0]["tree"] * like.depth
                 order = np.lexsort(np.roll(signs, -tree, axis=1)[:, ::-1].T)
                 rows, signs = [rows[k] for k in order], signs[order]

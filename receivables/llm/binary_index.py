@@ -4,7 +4,9 @@ A bounded sample (``SAMPLE`` vectors with the smallest id hashes) teaches two ro
 signs of a rotated vector are its code of ``2 * d'`` bits, filled up to whole bytes. Every row is indexed: its code is cut into 8-bit
 substrings, and each block of the index keeps one bucket table per substring. A query probes, in each table, all
 values within radius r // m of its own substring (m substrings): by the pigeonhole principle that finds every code
-within Hamming radius r. Those are verified on the whole code and reranked by the inner product of the floats.
+within Hamming radius r. Verification compares whole codes of every query and row of a block pair, and keeps the pairs
+that were also probed: a full code scan, to whose result the probes add and take nothing. The pairs within the radius are
+reranked by the inner product of the floats.
 
 Vectors are lifted by one coordinate, sqrt(M^2 - |x|^2) with M the largest norm, so that a larger inner product with a
 query means a smaller angle. The radius is the ``REACH`` quantile of the code distances between ``PROBES`` sample

@@ -3,8 +3,9 @@
 Every vector is keyed by its nearest pivot and its distance to it, and the index is the table sorted by that key, cut
 into blocks: each block is an annulus [least, most] around one pivot. A query at distance t from the pivot can be no
 closer to a row of the annulus than the gap between t and the annulus (triangle inequality). The search first looks
-into the annuli around the query's own place, which gives a score it has to beat; then it expands over all annuli that
-can still hold a better row, best first, and stops where the bound falls below its k-th score. Nothing is estimated:
+into the query's own annulus, which gives a score it has to beat (none where that block has at most k rows: its chunk then
+meets all blocks); then all annuli that can still hold a better row for some query of a chunk are joined at once, and the
+score to beat is not raised in between. Nothing is estimated:
 a block is left out only if its bound proves it useless.
 
 Scores are inner products of integers, floor(``SCALE`` * x). A larger inner product is a smaller distance once rows are lifted

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from receivables.llm import binary_index, encoding, language, near_dedup, packing, personal_data, perspectives, pivot_index, substring_dedup, url_filter
+from receivables.llm import (
+    binary_index, encoding, language, near_dedup, packing, part_codes, personal_data, perspectives, pivot_index, ranked_search, substring_dedup,
+    url_filter, warc_bundles,
+)
 from receivables.llm.common import table
 
 
@@ -56,10 +59,25 @@ def op10_pivot_distance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.exact_top(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
+def op11_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.archived_pages(table(spark, sf_dir, "pages"))
+
+
+def op12_laesa_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_rmq_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_perspective_rotation": perspectives.ORACLE, "op10_pivot_distance_topk": pivot_index.ORACLE}
+    return {
+        "op7_perspective_rotation": perspectives.ORACLE, "op10_pivot_distance_topk": pivot_index.ORACLE, "op11_seekable_warc": warc_bundles.ORACLE,
+        "op12_laesa_part_codes": part_codes.oracle(), "op13_rmq_ranked_search": ranked_search.ORACLE,
+    }

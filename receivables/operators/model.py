@@ -1,17 +1,20 @@
-"""Late-payment model on MLlib (ML-1..ML-8): time-ordered split, standardise, GBT or logistic, stratified folds.
+"""Late-payment model (ML-1..ML-8): time-ordered split, gradient boosting or logistic regression, stratified folds.
 
 Training data never leaves Spark: the label and feature frames are DataFrames, the split is a cutoff date (the
-(1 - test_size) quantile of issue dates, computed distributed), folds deal each class round robin along a hash order,
-and MLlib fits the trees on the executors. Features are assembled and scaled once, on the training rows; only the
-classifier is cross-validated. Only model-sized results (metrics, importances) are small driver-side values.
+(1 - test_size) quantile of issue dates, computed distributed), folds deal each class round robin along a hash order. The
+training rows are written once into the shared checkpoint folder and read back, so no fold or tree plans the features again.
+Boosting grows the trees of all folds and of the final fit together (``boosting``); trees need no scaling, which would
+not change a split. Logistic regression is MLlib's, over standardised features, with its folds fitted in parallel. Only
+model-sized results (metrics, importances) are small driver-side values.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,15 +24,17 @@ from pyspark.sql import functions as F
 
 from receivables.functions import expr as E
 from receivables.functions.quantile import exact_quantile
+from receivables.functions.stored import Run, path_exists, workers_find_package
+from receivables.operators import boosting
+from receivables.operators.boosting import BoostedTrees
 from receivables.operators.features import FEATURE_COLUMNS, engineer_features, late_target
-from receivables.session import checkpoint_folder
 
 FOLD_BUCKET_ROWS = 100_000  # rows of one class that are ranked together
 
 
 @dataclass
 class TrainedModel:
-    model: PipelineModel
+    model: BoostedTrees | PipelineModel
     metrics: DataFrame
     importances: DataFrame
     cv: DataFrame
@@ -48,20 +53,10 @@ def preparation() -> Pipeline:
     return Pipeline(stages=[assembler, StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)])
 
 
-def classifier(model_type: str, n_rows: int, seed: int = 42, **params):
-    """GBT, or logistic regression with the penalty of C = 1 (``regParam`` = 1 / n: MLlib averages the loss)."""
-    if model_type == "gradient_boost":
-        return GBTClassifier(
-            labelCol="is_late", featuresCol="features", maxIter=params.get("n_estimators", 100),
-            maxDepth=params.get("max_depth", 5), stepSize=params.get("learning_rate", 0.1),
-            subsamplingRate=params.get("subsample", 0.8), minInstancesPerNode=params.get("min_samples_leaf", 10), seed=seed,
-            # Boosting cuts its lineage every 10 trees in the shared checkpoint folder: a lost executor costs at most 10.
-            checkpointInterval=10,
-        )
-    if model_type == "logistic":
-        return LogisticRegression(labelCol="is_late", featuresCol="features", maxIter=params.get("max_iter", 1000),
-                                  regParam=params.get("reg_param", 1.0 / max(1, n_rows)))
-    raise ValueError(f"Unknown model type: {model_type}")
+def logistic(n_rows: int, **params) -> LogisticRegression:
+    """Logistic regression with the penalty of C = 1 (``regParam`` = 1 / n: MLlib averages the loss)."""
+    return LogisticRegression(labelCol="is_late", featuresCol="features", maxIter=params.get("max_iter", 1000),
+                              regParam=params.get("reg_param", 1.0 / max(1, n_rows)))
 
 
 def time_split(frame: DataFrame, test_size: float = 0.25) -> DataFrame:
@@ -107,61 +102,84 @@ def split(invoices, customers, payments, as_of, late_threshold_days: int = 7, te
 def train(invoices, customers, payments, as_of, model_type: str = "gradient_boost", late_threshold_days: int = 7,
           test_size: float = 0.25, cv_folds: int = 5, seed: int = 42, min_rows: int = 50, trained_at=None, **params) -> TrainedModel:
     """ML-1..ML-4: fit, cross-validate (ROC AUC mean / std) and report accuracy, late rate and importances."""
+    if model_type not in ("gradient_boost", "logistic"):
+        raise ValueError(f"Unknown model type: {model_type}")
     spark = invoices.sparkSession
-    checkpoint_folder(spark)
-    frame = training_frame(invoices, customers, payments, as_of, late_threshold_days).persist()
-    tagged = time_split(frame, test_size).drop("cutoff")
-    sizes = {r["is_train"]: r for r in tagged.groupBy("is_train").agg(F.count(F.lit(1)).alias("n"), F.sum("is_late").alias("late")).collect()}
-    n_train, n_test = (sizes[k]["n"] if k in sizes else 0 for k in (True, False))
-    if n_train + n_test < min_rows:
-        frame.unpersist()
-        raise ValueError(f"Insufficient training data: {n_train + n_test} rows. Need at least {min_rows}.")
-    late = sum(r["late"] for r in sizes.values()) / (n_train + n_test)
-    # Prepared once: every fold and tree then reads cached vectors, not the feature plan.
-    prep = preparation().fit(tagged.where("is_train"))
-    columns = ["features", "is_late"]
-    folded = stratified_folds(tagged.where("is_train"), cv_folds, n_train, seed)
-    train_df = prep.transform(folded).select(*columns, "fold").persist()
-    test_df = prep.transform(tagged.where("not is_train")).select(*columns)
-    cv = CrossValidator(
-        estimator=classifier(model_type, n_train, seed, **params), estimatorParamMaps=ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(labelCol="is_late", metricName="areaUnderROC"),
-        foldCol="fold", numFolds=cv_folds, parallelism=cv_folds, seed=seed,
-    )
-    cv_model = cv.fit(train_df)
-    clf = cv_model.bestModel  # refit on the whole training split by CrossValidator itself
-    model = PipelineModel(stages=[*prep.stages, clf])
-    acc = MulticlassClassificationEvaluator(labelCol="is_late", predictionCol="prediction", metricName="accuracy")
-    train_acc = acc.evaluate(clf.transform(train_df))
-    test_acc = acc.evaluate(clf.transform(test_df)) if n_test else float("nan")
-    auc = round(float(cv_model.avgMetrics[0]), 4), round(float(cv_model.stdMetrics[0]), 4)
+    workers_find_package(spark)
+    with Run(spark, "model") as run:
+        frame = run.stored(training_frame(invoices, customers, payments, as_of, late_threshold_days).where(F.col("issue_date").isNotNull()), "frame")
+        # Days are few, so the exact quantile comes from rows per day.
+        day = F.unix_date("issue_date")
+        days = frame.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+        cutoff = days.agg(F.percentile("d", 1 - test_size, F.col("n"))).first()[0]
+        is_train = day <= F.lit(cutoff)
+        sizes = {r["is_train"]: r for r in frame.groupBy(is_train.alias("is_train")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_late").alias("late")).collect()}
+        n_train, n_test = (sizes[k]["n"] if k in sizes else 0 for k in (True, False))
+        if n_train + n_test < min_rows:
+            raise ValueError(f"Insufficient training data: {n_train + n_test} rows. Need at least {min_rows}.")
+        late = sum(r["late"] for r in sizes.values()) / (n_train + n_test)
+        train_rows = run.stored(stratified_folds(frame.where(is_train), cv_folds, n_train, seed), "train")
+        fit = fit_boosting if model_type == "gradient_boost" else fit_logistic
+        model, train_acc, test_acc, auc, imp = fit(train_rows, frame.where(~is_train), n_train, n_test, cv_folds, seed, run, **params)
+    auc = round(float(np.mean(auc)), 4), round(float(np.std(auc)), 4)
     metrics = spark.createDataFrame(
         [(model_type, n_train, n_test, round(train_acc, 4), round(test_acc, 4), *auc, round(float(late) * 100, 2), late_threshold_days, trained_at)],
         "model_type string, train_samples long, test_samples long, train_accuracy double, test_accuracy double, "
         "cv_roc_auc_mean double, cv_roc_auc_std double, late_rate double, late_threshold_days int, trained_at timestamp_ntz",
     )
     cv_df = spark.createDataFrame([(cv_folds, *auc)], "folds int, cv_roc_auc_mean double, cv_roc_auc_std double")
-    if hasattr(clf, "featureImportances"):
-        imp = [float(x) for x in clf.featureImportances.toArray()]
-    else:
-        imp = [abs(float(x)) for x in clf.coefficients.toArray()]
     importances = spark.createDataFrame(list(zip(FEATURE_COLUMNS, imp)), "feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
-    for df in (train_df, frame):
-        df.unpersist()
     return TrainedModel(model, metrics, importances, cv_df)
 
 
-def predict_proba(model: PipelineModel, features: DataFrame) -> DataFrame:
+def fit_boosting(train_rows, test_rows, n_train, n_test, folds, seed, run, **params):
+    """Boosted trees: model, accuracy on both sides, ROC AUC of each fold, importances."""
+    settings = boosting.Settings(seed=seed, **params)
+    key = F.xxhash64("invoice_id", F.lit(seed))  # rows of one invoice are sampled together
+    rows = train_rows.select(*FEATURE_COLUMNS, F.col("is_late").alias("label"), "fold", key.alias("draw"))
+    model, _, margins = boosting.fit(rows, FEATURE_COLUMNS, folds, settings, run)
+    right = (F.col("margin") > 0).cast("int") == F.col("label")
+    train_acc = margins.where(F.col("margin").isNotNull()).agg(F.avg(right.cast("int"))).first()[0]
+    tested = test_rows.select(F.col("is_late").alias("label"), model.margin().alias("margin"))
+    test_acc = tested.agg(F.avg(right.cast("int"))).first()[0] if n_test else float("nan")
+    # numBins 0: the exact curve over all distinct margins.
+    curve = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="cv_margin", metricName="areaUnderROC", numBins=0)
+    auc = [curve.evaluate(margins.where(F.col("cv_margin").isNotNull() & (F.col("fold") == f))) for f in range(folds)]
+    return model, train_acc, test_acc, auc, model.importances()
+
+
+def fit_logistic(train_rows, test_rows, n_train, n_test, folds, seed, run, **params):
+    """Logistic regression: model, accuracy on both sides, ROC AUC of each fold, absolute coefficients."""
+    prep = preparation().fit(train_rows)
+    ready = run.stored(prep.transform(train_rows).select("features", "is_late", "fold"), "vectors").persist()
+    cv = CrossValidator(
+        estimator=logistic(n_train, **params), estimatorParamMaps=ParamGridBuilder().build(),
+        evaluator=BinaryClassificationEvaluator(labelCol="is_late", metricName="areaUnderROC"),
+        foldCol="fold", numFolds=folds, parallelism=folds, seed=seed, collectSubModels=True,
+    )
+    fitted = cv.fit(ready)
+    clf = fitted.bestModel  # refit on the whole training split by CrossValidator itself
+    auc = [cv.getEvaluator().evaluate(sub[0].transform(ready.where(F.col("fold") == f))) for f, sub in enumerate(fitted.subModels)]
+    acc = MulticlassClassificationEvaluator(labelCol="is_late", predictionCol="prediction", metricName="accuracy")
+    train_acc = acc.evaluate(clf.transform(ready))
+    test_acc = acc.evaluate(clf.transform(prep.transform(test_rows))) if n_test else float("nan")
+    ready.unpersist()
+    return PipelineModel(stages=[*prep.stages, clf]), train_acc, test_acc, auc, [abs(float(x)) for x in clf.coefficients.toArray()]
+
+
+def predict_proba(model: BoostedTrees | PipelineModel, features: DataFrame) -> DataFrame:
     """ML-5: p(late) per row (probability of class 1) and risk score p x 100 rounded to 2."""
     feats = features.na.fill(0.0, subset=FEATURE_COLUMNS)
-    out = model.transform(feats)
-    p = vector_to_array("probability")[1]
-    return out.withColumn("p_late", p).withColumn("risk_score_exact", E.round_dec(p * 100, 2))
+    if isinstance(model, BoostedTrees):
+        out = feats.withColumn("p_late", model.probability())
+    else:
+        out = model.transform(feats).withColumn("p_late", vector_to_array("probability")[1])
+    return out.withColumn("risk_score_exact", E.round_dec(F.col("p_late") * 100, 2))
 
 
-def score_open_invoices(model: PipelineModel, invoices, customers, payments, as_of) -> DataFrame:
+def score_open_invoices(model: BoostedTrees | PipelineModel, invoices, customers, payments, as_of) -> DataFrame:
     """ML-6 with a model: open invoices, history from all invoices (D16), int score (half-even) and category."""
     feats = engineer_features(invoices.where(F.col("status") == "open"), customers, payments, as_of, history_invoices=invoices)
     scored = predict_proba(model, feats)
@@ -178,10 +196,15 @@ def predict_payment_date(scored: DataFrame, max_delay_days: int = 45) -> DataFra
     )
 
 
-def save(model: PipelineModel, path: str) -> None:
-    """ML-8: MLlib persistence (overwrite)."""
-    model.write().overwrite().save(path)
+def save(spark, model: BoostedTrees | PipelineModel, path: str) -> None:
+    """ML-8: boosted trees as one JSON row of a Parquet table, a pipeline by MLlib (overwrite)."""
+    if isinstance(model, BoostedTrees):
+        spark.createDataFrame([(model.to_json(),)], "boosted_trees string").coalesce(1).write.mode("overwrite").parquet(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(spark, path: str) -> BoostedTrees | PipelineModel:
+    if path_exists(spark, f"{path.rstrip('/')}/stages"):
+        return PipelineModel.load(path)
+    return BoostedTrees.from_json(spark.read.parquet(path).first()["boosted_trees"])

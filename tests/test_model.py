@@ -1,11 +1,14 @@
 """Late-payment model (ML-1..ML-8): training end to end with both classifiers, folds, scores and persistence."""
 
 import datetime as dt
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from receivables.operators import model
+from receivables.functions.stored import Run, workers_find_package
+from receivables.operators import boosting, model
 from receivables.operators.features import FEATURE_COLUMNS
 from receivables.plans.catalog import AS_OF
 from receivables.sources.fixtures import Fixtures
@@ -18,7 +21,7 @@ def fx(spark):
     return Fixtures(spark, SF_SMALL)
 
 
-@pytest.mark.parametrize("kind, params", [("gradient_boost", {"n_estimators": 4}), ("logistic", {"max_iter": 50})])
+@pytest.mark.parametrize("kind, params", [("gradient_boost", {"n_estimators": 4}), ("logistic", {"max_iter": 10})])
 def test_train_score_and_repeat(fx, kind, params):
     made = [model.train(fx.invoices, fx.customers, fx.payments, AS_OF, kind, cv_folds=3, trained_at=dt.datetime(2024, 1, 1), **params) for _ in range(2)]
     m = made[0].metrics.first()
@@ -60,16 +63,156 @@ def test_folds_differ_by_one_row_at_most(spark, monkeypatch):
 
 
 def test_penalty_is_one_over_n():
-    assert model.classifier("logistic", 250).getRegParam() == 1 / 250
-    assert model.classifier("gradient_boost", 250).getMaxIter() == 100
+    assert model.logistic(250).getRegParam() == 1 / 250
+    assert boosting.Settings().n_estimators == 100
+
+
+def test_training_rows_are_read_from_a_table(fx, monkeypatch):
+    """The plan that every fold and tree reads is a scan, whatever the features cost."""
+    seen = []
+
+    def stop(train_rows, test_rows, *_):
+        seen.extend(len(df._jdf.queryExecution().toString()) for df in (train_rows, test_rows))
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(model, "fit_boosting", stop)
+    with pytest.raises(KeyboardInterrupt):
+        model.train(fx.invoices, fx.customers, fx.payments, AS_OF)
+    assert max(seen) < 10_000
+
+
+N, COLUMNS = 300, ["a", "b", "c", "d"]
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    """Rows with ties, a constant feature, a flag and a label that depends on two features."""
+    workers_find_package(spark)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(N):
+        a, b = int(rng.integers(0, 20)) / 2, float(rng.random() < 0.3)
+        y = int(rng.random() < 1 / (1 + math.exp(-(a - 5 + 3 * b))))
+        rows.append((a, b, 1.5, float(rng.integers(-6, 6)), y, i % 3, int(rng.integers(-2**62, 2**62))))
+    return rows, spark.createDataFrame(rows, "a double, b double, c double, d double, label int, fold int, draw long").repartition(3)
+
+
+def grown(spark, rows, settings):
+    with Run(spark, "test") as run:
+        final, folds, margins = boosting.fit(rows, COLUMNS, 3, settings, run)
+        return final, folds, margins.collect()
+
+
+def plain(rows, leave_out, settings):
+    """Boosting by a loop over rows, features and cuts; sums in the units of the library."""
+    mine = [r for r in rows if r[5] != leave_out]
+    cuts = [sorted({r[f] for r in rows}) for f in range(4)]
+    p = sum(r[4] for r in mine) / len(mine)
+    margin = {id(r): math.log(p / (1 - p)) for r in rows}
+    trees = []
+    for t in range(settings.n_estimators):
+        on = boosting.sampled(np.array([r[6] for r in mine], np.int64).view(np.uint64), t, settings.seed, settings.subsample)
+        taken = [r for r, o in zip(mine, on, strict=True) if o]
+        prob = {i: 1 / (1 + np.exp(-m)) for i, m in margin.items()}
+        g = {id(r): int(np.rint((r[4] - prob[id(r)]) * 2**30)) for r in rows}
+        h = {id(r): int(np.rint(prob[id(r)] * (1 - prob[id(r)]) * 2**20)) for r in rows}
+        tree = boosting.Tree.empty(settings.max_depth)
+
+        def value(members, g=g, h=h):
+            return settings.learning_rate * (sum(g[id(r)] for r in members) / 2**30) / (sum(h[id(r)] for r in members) / 2**20)
+
+        def split(node, members, level, tree=tree, g=g):
+            tree.value[node] = value(members)
+            if level == settings.max_depth or len(members) < settings.min_samples_split:
+                return
+            best = (0.0, None)
+            for f in range(4):
+                for c in cuts[f]:
+                    left, right = [r for r in members if r[f] <= c], [r for r in members if r[f] > c]
+                    if min(len(left), len(right)) >= settings.min_samples_leaf:
+                        d = float(sum(g[id(r)] for r in left)) / len(left) - float(sum(g[id(r)] for r in right)) / len(right)
+                        gain = float(len(left)) * len(right) * d**2 / len(members)
+                        if gain > best[0]:
+                            best = (gain, (f, c, left, right))
+            if best[1]:
+                f, c, left, right = best[1]
+                tree.feature[node], tree.cut[node] = f, c
+                split(2 * node + 1, left, level + 1)
+                split(2 * node + 2, right, level + 1)
+
+        split(0, taken, 0)
+        trees.append(tree)
+        for r in rows:
+            margin[id(r)] += walked(tree, r)
+    return trees, [margin[id(r)] for r in rows]
+
+
+def walked(tree, row):
+    node = 0
+    while tree.feature[node] >= 0:
+        node = 2 * node + 1 + (row[tree.feature[node]] > tree.cut[node])
+    return tree.value[node]
+
+
+SMALL = boosting.Settings(n_estimators=4, max_depth=3, min_samples_leaf=5, min_samples_split=12, bins=64)
+
+
+def test_trees_equal_a_plain_loop(spark, made):
+    rows, df = made
+    final, folds, margins = grown(spark, df, SMALL)
+    for m, fitted in enumerate([*folds, final]):
+        trees, margin = plain(rows, m, SMALL)
+        for got, want in zip(fitted.trees, trees, strict=True):
+            assert got.feature == want.feature
+            assert got.cut == want.cut and np.allclose(got.value, want.value, rtol=1e-12)
+        seen = [r.margin if m == 3 else r.cv_margin for r in margins if (m == 3 or r.fold == m) and (r.margin if m == 3 else r.cv_margin) is not None]
+        assert np.allclose(sorted(seen), sorted(x for x, r in zip(margin, rows, strict=True) if m == 3 or r[5] == m), rtol=1e-9)
+    # The expression scores as a walk through the trees does.
+    got = df.select(*COLUMNS, final.margin().alias("m"), final.probability().alias("p")).collect()
+    for r in got:
+        want = final.prior + sum(walked(t, r) for t in final.trees)
+        assert r.m == pytest.approx(want, rel=1e-12) and r.p == pytest.approx(1 / (1 + math.exp(-want)), rel=1e-12)
+    assert sum(final.importances()) == pytest.approx(1) and final.importances()[2] == 0
+
+
+def test_levels_over_all_partitions_give_the_same_trees(spark, made, monkeypatch):
+    """Broadcast blocks, one job per level, and sums added up on executors first."""
+    _, df = made
+    settings = boosting.Settings(n_estimators=12, max_depth=3, min_samples_leaf=5, bins=16)
+    first = grown(spark, df, settings)
+    monkeypatch.setattr(boosting, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 64)
+    for direct in (32, 1):
+        monkeypatch.setattr(boosting, "MOST_DIRECT", direct)
+        again = grown(spark, df, settings)
+        assert [m.to_json() for m in (again[0], *again[1])] == [m.to_json() for m in (first[0], *first[1])]
+        for c in ("cv_margin", "margin"):
+            assert sorted(r[c] for r in again[2] if r[c] is not None) == sorted(r[c] for r in first[2] if r[c] is not None)
+
+
+def test_auc_of_the_folds_is_exact(spark, made):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    _, df = made
+    with Run(spark, "test") as run:
+        _, _, margins = boosting.fit(df, COLUMNS, 3, SMALL, run)
+        rows = [(r.label, r.cv_margin) for r in margins.collect() if r.fold == 0 and r.cv_margin is not None]
+        curve = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="cv_margin", numBins=0)
+        got = curve.evaluate(margins.where("fold = 0 and cv_margin is not null"))
+    pairs = [(a > b) + (a == b) / 2 for y, a in rows if y for z, b in rows if not z]
+    assert got == pytest.approx(sum(pairs) / len(pairs))
 
 
 def test_save_and_load(spark, scratch):
     rows = [tuple([float((i * 7 + j) % 13) for j in range(len(FEATURE_COLUMNS))] + [i % 2]) for i in range(80)]
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in FEATURE_COLUMNS) + ", is_late int")
     prep = model.preparation().fit(df)
-    m = model.PipelineModel(stages=[*prep.stages, model.classifier("logistic", 80, max_iter=20).fit(prep.transform(df))])
-    model.save(m, f"{scratch}/model")
-    back = model.load(f"{scratch}/model")
-    a = [r.p_late for r in model.predict_proba(m, df).collect()]
-    assert a == [r.p_late for r in model.predict_proba(back, df).collect()]
+    pipeline = model.PipelineModel(stages=[*prep.stages, model.logistic(80, max_iter=20).fit(prep.transform(df))])
+    tree = boosting.Tree([3, -1, -1], [0, 0, 0], [5.0, 0.0, 0.0], [0.0, -0.25, 0.5])
+    trees = boosting.BoostedTrees(FEATURE_COLUMNS, 0.125, 1, [tree, tree], [0.0] * len(FEATURE_COLUMNS))
+    for n, m in enumerate((pipeline, trees)):
+        model.save(spark, m, f"{scratch}/model{n}")
+        back = model.load(spark, f"{scratch}/model{n}")
+        assert type(back) is type(m)
+        a = [r.p_late for r in model.predict_proba(m, df).collect()]
+        assert a == [r.p_late for r in model.predict_proba(back, df).collect()] and len(set(a)) > 1

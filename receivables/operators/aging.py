@@ -67,31 +67,58 @@ def month_ends(spark, as_of, months: int = 6) -> DataFrame:
     return spark.range(months).select(F.last_day(F.add_months(base, -F.col("id").cast("int"))).alias("month_end"))
 
 
-def aging_trend(invoices: DataFrame, payments: DataFrame | None, as_of, months: int = 6) -> DataFrame:
-    """AR-4: open AR by bucket at each of the last ``months`` month ends.
+def bucket_events(invoices: DataFrame, payments: DataFrame | None) -> DataFrame:
+    """(day, bucket, amount): what enters (+) and leaves (-) an aging bucket on a day, summed per day and bucket.
 
-    An invoice counts at month end ``m`` when it was issued by ``m`` and has no payment dated on or before ``m``
-    (``min(payment_date)`` per invoice, computed once). Without payments, ``status = 'open'`` decides.
+    An invoice is open from its issue date up to the day before its first payment (without payments: while ``status`` is
+    open, for good). Meanwhile it moves through the buckets at fixed distances from its due date, so it makes at most two
+    events per bucket, whatever the number of dates asked for. Without a due date it stays current.
     """
-    spark = invoices.sparkSession
-    ends = F.broadcast(month_ends(spark, as_of, months))  # `months` rows: a parameter, not data
-    inv = invoices.select("invoice_id", "issue_date", "due_date", "invoice_amount", "status")
+    inv = invoices.where(F.col("issue_date").isNotNull()).select("invoice_id", "issue_date", "due_date", F.col("invoice_amount").cast("decimal(18,2)").alias("amt"), "status")
     if payments is not None:
-        first_paid = payments.groupBy("invoice_id").agg(F.min("payment_date").alias("first_paid"))
-        inv = inv.join(first_paid, "invoice_id", "left")
-        unpaid = F.col("first_paid").isNull() | (F.col("first_paid") > F.col("month_end"))
+        inv = inv.join(payments.groupBy("invoice_id").agg(F.min("payment_date").alias("end")), "invoice_id", "left")
     else:
-        unpaid = F.col("status") == "open"
-    snap = (
-        inv.crossJoin(ends)
-        .where((F.col("issue_date") <= F.col("month_end")) & unpaid)
-        .withColumn("aging_bucket", E.aging_bucket(E.days_overdue("due_date", F.col("month_end"))))
-        .withColumn("amt", F.col("invoice_amount").cast("decimal(18,2)"))
-    )
-    wide = snap.groupBy("month_end").pivot("aging_bucket", E.AGING_BUCKETS).agg(F.sum("amt"))
-    out = month_ends(spark, as_of, months).join(wide, "month_end", "left")
-    buckets = [F.coalesce(F.col(f"`{b}`"), F.lit(0)).cast("double").alias(b) for b in E.AGING_BUCKETS]
-    total = sum((F.coalesce(F.col(f"`{b}`"), F.lit(0)) for b in E.AGING_BUCKETS), F.lit(0))
-    return out.select(
-        F.date_format("month_end", "yyyy-MM").alias("month"), *buckets, total.cast("double").alias("total_ar")
-    ).orderBy("month")
+        inv = inv.where(F.col("status") == "open").withColumn("end", F.lit(None).cast("date"))
+    steps = []
+    bounds = [None, 1, 16, 31, 61, 91, None]  # days overdue at which each bucket begins
+    for bucket, lo, hi in zip(E.AGING_BUCKETS, bounds, bounds[1:]):
+        due = F.col("due_date")
+        enter = F.col("issue_date") if lo is None else F.greatest("issue_date", F.date_add(due, lo))
+        leave = F.col("end") if hi is None else F.least("end", F.date_add(due, hi))
+        here = (leave.isNull() | (enter < leave)) if lo is None else due.isNotNull() & (leave.isNull() | (enter < leave))
+        steps.append(F.when(here, F.struct(F.lit(bucket).alias("bucket"), enter.alias("day"), F.col("amt").alias("amount"))))
+        steps.append(F.when(here & leave.isNotNull(), F.struct(F.lit(bucket).alias("bucket"), leave.alias("day"), (-F.col("amt")).cast("decimal(18,2)").alias("amount"))))
+    moved = inv.select(F.explode(F.filter(F.array(*steps), lambda e: e.isNotNull())).alias("e")).select("e.*")
+    return moved.groupBy("day", "bucket").agg(F.sum("amount").alias("amount"))
+
+
+def aging_at(invoices: DataFrame, payments: DataFrame | None, days: DataFrame) -> DataFrame:
+    """Open AR by bucket at the end of each ``day`` of ``days``: running sums of the bucket events. The window has one row
+    per calendar day on which something happens, however many invoices there are."""
+    columns = [F.sum(F.when(F.col("bucket") == b, F.col("amount"))).alias(b) for b in E.AGING_BUCKETS]
+    changes = bucket_events(invoices, payments).groupBy("day").agg(*columns).withColumn("asked", F.lit(False))
+    nothing = [F.lit(None).cast(changes.schema[b].dataType).alias(b) for b in E.AGING_BUCKETS]
+    line = changes.unionByName(days.select(F.col("day").cast("date").alias("day"), *nothing, F.lit(True).alias("asked")))
+    line = line.groupBy("day").agg(*[F.sum(F.col(f"`{b}`")).alias(b) for b in E.AGING_BUCKETS], F.max("asked").alias("asked"))
+    upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = line.select("day", "asked", *[F.coalesce(F.sum(F.col(f"`{b}`")).over(upto), F.lit(0)).alias(b) for b in E.AGING_BUCKETS]).where("asked")
+    total = sum((F.col(f"`{b}`") for b in E.AGING_BUCKETS), F.lit(0))
+    return line.select("day", *[F.col(f"`{b}`").cast("double").alias(b) for b in E.AGING_BUCKETS], total.cast("double").alias("total_ar"))
+
+
+def aging_trend(invoices: DataFrame, payments: DataFrame | None, as_of, months: int = 6) -> DataFrame:
+    """AR-4: open AR by bucket at each of the last ``months`` month ends.
+
+    An invoice counts at month end ``m`` when it was issued by ``m`` and has no payment dated on or before ``m``. Without
+    payments, ``status = 'open'`` decides. The cost does not depend on ``months`` (``aging_at``).
+    """
+    ends = month_ends(invoices.sparkSession, as_of, months).select(F.col("month_end").alias("day"))
+    out = aging_at(invoices, payments, ends)
+    return out.select(F.date_format("day", "yyyy-MM").alias("month"), *[F.col(f"`{b}`") for b in E.AGING_BUCKETS], "total_ar").orderBy("month")
+
+
+def aging_daily(invoices: DataFrame, payments: DataFrame | None, as_of) -> DataFrame:
+    """AR-4 as a series: open AR by bucket on every day from the first issue date to ``as_of``."""
+    a = E.as_of_lit(as_of).cast("date")
+    span = invoices.agg(F.min("issue_date").alias("first")).where(F.col("first") <= a)
+    return aging_at(invoices, payments, span.select(F.explode(F.sequence("first", a)).alias("day"))).orderBy("day")

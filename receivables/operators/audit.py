@@ -30,34 +30,64 @@ def _table_schema(spark: SparkSession, path: str) -> StructType | None:
     return spark.read.parquet(path).schema if fs.exists(jpath) else None
 
 
+BATCH = "batch_id"
+
+
 def append_batch(batch: DataFrame, path: str, id_col: str = "action_id", partition_by: str | None = "action_month",
-                 date_col: str = "action_date") -> DataFrame:
+                 date_col: str = "action_date", batch_id: str | None = None) -> DataFrame:
     """AU-1: append a batch of actions, responses or outcomes to a parquet audit table and return it with its ids.
 
-    Ids are strings: rows without one (or a batch without the column) get a whole uuid. The batch is written to the
-    shared checkpoint folder first, so that a retried task cannot give a row another id than the one returned. Columns
-    and types must be those of the table, if there is one; otherwise nothing is written. Rows are stamped, and
+    With a ``batch_id`` the append happens exactly once: the batch is a partition of the table (above the month), written by
+    dynamic overwrite, so a batch that is sent again after a failure, or by mistake, replaces itself. Rows without an id get one
+    that follows from the batch, the row and its number among equal rows, hence the same one each time. A table is kept
+    either with batch ids or without.
+
+    Without a ``batch_id`` every call appends, and ids are whole uuids; the batch is then written to the shared checkpoint
+    folder first, so that a retried task cannot give a row another id than the one returned.
+
+    Columns and types must be those of the table, if there is one; otherwise nothing is written. Rows are stamped, and
     partitioned by month for pruning.
     """
     spark = batch.sparkSession
     given = F.col(id_col).cast("string") if id_col in batch.columns else F.lit(None).cast("string")
-    out = batch.withColumn(id_col, F.coalesce(given, F.expr("uuid()")))
+    out = batch.withColumn(id_col, given)
+    if batch_id is None:
+        out = out.withColumn(id_col, F.coalesce(id_col, F.expr("uuid()")))
+    else:
+        # Equal rows are counted first, so that their numbers need no window however many they are.
+        columns = out.columns
+        counted = out.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
+        numbered = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+        own = F.md5(F.to_json(F.struct(F.lit(batch_id).alias("b"), F.struct(*columns).alias("r"), F.col("__copy").alias("n"))))
+        out = numbered.withColumn(id_col, F.coalesce(id_col, own)).select(*columns)
     if "created_at" not in out.columns:
         out = out.withColumn("created_at", F.localtimestamp())
+    parts = []
+    if batch_id is not None:
+        out = out.withColumn(BATCH, F.lit(batch_id))
+        parts.append(BATCH)
     if partition_by:
         out = out.withColumn(partition_by, F.date_format(F.col(date_col), "yyyy-MM"))
+        parts.append(partition_by)
     found = _table_schema(spark, path)
     if found is not None:
-        there = {f.name: f.dataType.simpleString() for f in found if f.name != partition_by}
-        new = {f.name: f.dataType.simpleString() for f in out.schema if f.name != partition_by}
+        if (BATCH in found.names) != (batch_id is not None):
+            raise ValueError(f"the audit table {path} is kept {'with' if BATCH in found.names else 'without'} batch ids")
+        there = {f.name: f.dataType.simpleString() for f in found if f.name not in parts}
+        new = {f.name: f.dataType.simpleString() for f in out.schema if f.name not in parts}
         if there != new:
             differ = sorted(k for k in there.keys() | new.keys() if there.get(k) != new.get(k))
             raise ValueError(f"batch does not fit the audit table {path}: {[(k, there.get(k), new.get(k)) for k in differ]}")
-    checkpoint_folder(spark)
-    out = out.checkpoint()
-    writer = out.write.mode("append")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return out.drop(partition_by) if partition_by else out
+    if batch_id is None:
+        checkpoint_folder(spark)
+        out = out.checkpoint()
+        writer = out.write.mode("append")
+    else:
+        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    if batch_id is not None:
+        out = spark.read.parquet(path).where(F.col(BATCH) == batch_id)
+    return out.drop(*parts)
 
 
 def new_csv_actions(invoice_ids: DataFrame, action_type: str, action_date, notes: str | None = None) -> DataFrame:

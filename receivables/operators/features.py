@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from receivables.functions import expr as E
 from receivables.functions.joins import lookup_join
+from receivables.operators.history import history_by_day
 
 # The 25 model features, in model order.
 FEATURE_COLUMNS = [
@@ -53,12 +54,14 @@ def customer_history(invoices: DataFrame, payments: DataFrame, as_of) -> DataFra
 
 
 def engineer_features(
-    invoices: DataFrame, customers: DataFrame, payments: DataFrame | None, as_of, history_invoices: DataFrame | None = None
+    invoices: DataFrame, customers: DataFrame, payments: DataFrame | None, as_of, history_invoices: DataFrame | None = None,
+    point_in_time: bool = False,
 ) -> DataFrame:
     """FE-1: calendar, amount, credit, history, concentration, type/channel flags and 3 interactions.
 
     Per-customer inputs (customer attributes, history, open AR) are combined at customer grain first and meet the
-    invoice rows in one join; the AR total is a broadcast one-row aggregate.
+    invoice rows in one join; the AR total is a broadcast one-row aggregate. With ``point_in_time`` the history of an invoice is
+    that of its own issue date (``history``): 0 rows where the customer has none before it.
     """
     a = E.as_of_lit(as_of)
     df = invoices.select(
@@ -89,13 +92,18 @@ def engineer_features(
     total = per_key.agg(F.sum("customer_total_ar").alias("total_ar"))
     cust_ar = per_key.where(F.col("customer_id").isNotNull()).drop("__n")
     per_cust = customers.select("customer_id", "payment_terms_days", "credit_limit").join(cust_ar, "customer_id", "full")
-    if payments is not None:
-        per_cust = per_cust.join(customer_history(history_invoices if history_invoices is not None else invoices, payments, as_of), "customer_id", "full")
+    past = history_invoices if history_invoices is not None else invoices
+    if payments is not None and not point_in_time:
+        per_cust = per_cust.join(customer_history(past, payments, as_of), "customer_id", "full")
     # One row per customer on the right: hot customers are salted so their invoices spread over many tasks.
     df = lookup_join(df, per_cust, "customer_id", "left", spread="invoice_id", key_counts=per_key).crossJoin(F.broadcast(total))
     if payments is None:
         df = (df.withColumn("customer_invoice_count", F.lit(1)).withColumn("customer_avg_days_late", F.lit(0.0))
               .withColumn("customer_late_rate", F.lit(0.0)).withColumn("customer_avg_payment_amount", F.col("invoice_amount")))
+    elif point_in_time:
+        asked = df.select("customer_id", F.col("issue_date").alias("day"))
+        known = history_by_day(past, payments, asked).withColumnRenamed("day", "issue_date")
+        df = df.join(known, ["customer_id", "issue_date"], "left").fillna(0, subset=["customer_invoice_count"])
     util = F.try_divide(F.col("invoice_amount"), F.col("credit_limit"))
     util = F.when(F.col("credit_limit") == 0, F.when(F.col("invoice_amount") > 0, F.lit(2.0)).when(F.col("invoice_amount") < 0, F.lit(0.0)).otherwise(F.lit(0.0))).otherwise(util)
     df = df.select(

@@ -40,10 +40,11 @@ class TrainedModel:
     cv: DataFrame
 
 
-def training_frame(invoices, customers, payments, as_of, late_threshold_days: int = 7) -> DataFrame:
-    """Label frame (one row per invoice x payment, D1) with the 25 features; history from all invoices (D15)."""
+def training_frame(invoices, customers, payments, as_of, late_threshold_days: int = 7, point_in_time: bool = False) -> DataFrame:
+    """Label frame (one row per invoice x payment, D1) with the 25 features; history from all invoices (D15) as of ``as_of``, or
+    with ``point_in_time`` as of each invoice's issue date."""
     labelled = late_target(invoices, payments, late_threshold_days).drop("payment_date", "days_late")
-    feats = engineer_features(labelled, customers, payments, as_of, history_invoices=invoices)
+    feats = engineer_features(labelled, customers, payments, as_of, history_invoices=invoices, point_in_time=point_in_time)
     return feats.select("invoice_id", "issue_date", "is_late", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURE_COLUMNS])
 
 
@@ -100,14 +101,15 @@ def split(invoices, customers, payments, as_of, late_threshold_days: int = 7, te
 
 
 def train(invoices, customers, payments, as_of, model_type: str = "gradient_boost", late_threshold_days: int = 7,
-          test_size: float = 0.25, cv_folds: int = 5, seed: int = 42, min_rows: int = 50, trained_at=None, **params) -> TrainedModel:
+          test_size: float = 0.25, cv_folds: int = 5, seed: int = 42, min_rows: int = 50, trained_at=None,
+          point_in_time: bool = False, **params) -> TrainedModel:
     """ML-1..ML-4: fit, cross-validate (ROC AUC mean / std) and report accuracy, late rate and importances."""
     if model_type not in ("gradient_boost", "logistic"):
         raise ValueError(f"Unknown model type: {model_type}")
     spark = invoices.sparkSession
     workers_find_package(spark)
     with Run(spark, "model") as run:
-        frame = run.stored(training_frame(invoices, customers, payments, as_of, late_threshold_days).where(F.col("issue_date").isNotNull()), "frame")
+        frame = run.stored(training_frame(invoices, customers, payments, as_of, late_threshold_days, point_in_time).where(F.col("issue_date").isNotNull()), "frame")
         # Days are few, so the exact quantile comes from rows per day.
         day = F.unix_date("issue_date")
         days = frame.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))

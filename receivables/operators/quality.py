@@ -165,6 +165,33 @@ def action_rows(actions: DataFrame) -> DataFrame:
     return _row_rules(actions, "actions", "action_id", action_checks(actions))
 
 
+CELL_SCHEMA = f"{VIOLATION_SCHEMA}, file string, raw string"
+KEYS = {"customers": "customer_id", "invoices": "invoice_id", "payments": "payment_id", "actions": "action_id"}
+
+
+def bad_cells(cells: DataFrame, table: str) -> DataFrame:
+    """DQ-3..DQ-6 on the text of a CSV (``tables.read_cells``): a violation for every cell that holds a text but no value of
+    its column, and for every line without the header's number of cells, with the file and the raw text.
+
+    Rule ``unreadable:<column>`` or ``malformed_line`` (raw: the whole line; its cells are not judged). An empty cell is a
+    missing value: the row rules report it where the column must not be empty.
+    """
+    from receivables.sources import tables
+
+    types, days = tables.column_types(table), tables.DATE_COLUMNS.get(table, [])
+    whole = F.col(tables.CELL_RECORD).isNull()
+    item = lambda rule, raw, message: F.struct(F.lit(rule).alias("rule"), raw.alias("raw"), message.alias("message"))
+    found = [F.when(~whole, item("malformed_line", F.col(tables.CELL_RECORD), F.lit("line does not have the header's columns")))]
+    for c, t in types.items():
+        if c in cells.columns and (t != "string" or c in days):
+            raw = F.col(f"`{c}`")
+            bad = whole & (F.trim(raw) != "") & tables.cell_value(c, t, c in days).isNull()
+            found.append(F.when(bad, item(f"unreadable:{c}", raw, F.concat(F.lit(f"cannot read {c}: "), raw))))
+    key = F.col(KEYS[table]) if KEYS[table] in cells.columns else F.lit(None).cast("string")
+    x = cells.select(key.alias("key"), F.col(tables.CELL_FILE).alias("file"), F.explode(F.filter(F.array(*found), lambda v: v.isNotNull())).alias("v"))
+    return x.select(F.lit(table).alias("table"), F.col("v.rule").alias("rule"), F.lit("error").alias("severity"), "key", F.col("v.message").alias("message"), "file", F.col("v.raw").alias("raw"))
+
+
 def fk_invoices(invoices: DataFrame, customers: DataFrame) -> DataFrame:
     """DQ-7: distinct invoice customer_ids with no customer row."""
     bad = invoices.select("customer_id").distinct().join(customers.select("customer_id"), "customer_id", "left_anti")

@@ -99,6 +99,44 @@ def read_table(spark: SparkSession, path: str, table: str, fmt: str | None = Non
     return df
 
 
+CELL_FILE, CELL_RECORD = "_file", "_record"
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with every cell as its text: the columns of its header as strings, ``_file`` (the file's name) and ``_record``, the
+    text of a line that does not have the header's number of cells (else NULL)."""
+    header = spark.read.option("header", True).csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in [*header, CELL_RECORD])
+    # Without pruning, as a line's cells are counted only where all of them are parsed.
+    reader = spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", CELL_RECORD).option("columnPruning", False)
+    return reader.csv(path).select("*", F.col("_metadata.file_name").alias(CELL_FILE))
+
+
+def cell_value(column: str, type_name: str, is_date: bool):
+    """A cell's value, NULL where it is empty or cannot be read. Integers may be written with a zero fraction."""
+    text = F.trim(F.col(f"`{column}`"))
+    if is_date:
+        return dates.parse_date(text)
+    if type_name == "int":
+        number = text.try_cast("double")
+        return F.when(number == F.floor(number), number.try_cast("int"))
+    if type_name == "double":
+        number = text.try_cast("double")
+        return F.when(~F.isnan(number), number)
+    return F.col(f"`{column}`")
+
+
+def typed_cells(cells: DataFrame, table: str) -> DataFrame:
+    """The typed table of ``read_cells``: known columns first, unreadable cells NULL; ``_file`` and ``_record`` stay."""
+    types, days = column_types(table), DATE_COLUMNS.get(table, [])
+    known = []
+    for c, t in types.items():
+        if c in cells.columns:
+            value = cell_value(c, t, c in days)
+            known.append((value.cast("date") if c in days and table != "actions" else value).alias(c))
+    return cells.select(*known, *[F.col(f"`{c}`") for c in cells.columns if c not in types])
+
+
 def empty_table(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[table])
 
@@ -143,6 +181,17 @@ class DataLoader:
             return empty_table(self.spark, "actions")
         return read_table(self.spark, p, "actions")
 
+    def bad_cells(self) -> DataFrame:
+        """Cells and lines of the directory's CSV files that cannot be read (``quality.bad_cells`` of every table)."""
+        from receivables.operators import quality
+
+        out = self.spark.createDataFrame([], quality.CELL_SCHEMA)
+        for name in ("customers", "invoices", "payments"):
+            p = self._find(name)
+            if p is not None and p.endswith(".csv"):
+                out = out.unionByName(quality.bad_cells(read_cells(self.spark, p), name))
+        return out
+
     def load_all(self, validate: bool = True):
         """SRC-5: all four tables; with ``validate`` raise when any DQ rule reports an error."""
         customers, invoices, payments, actions = (
@@ -154,7 +203,9 @@ class DataLoader:
             errors = quality.validate_all(customers, invoices, payments).where(F.col("severity") == "error")
             first = errors.limit(5).collect()  # at most 5 example rows reach the driver
             if first:
-                raise ValueError("Validation failed: " + "; ".join(f"{r['table']}/{r['rule']}/{r['key']}" for r in first))
+                said = [f"{r['table']}/{r['rule']}/{r['key']}" for r in first]
+                said += [f"{r['file']}: {r['message']} ({r['key']})" for r in self.bad_cells().limit(5).collect()]
+                raise ValueError("Validation failed: " + "; ".join(said))
         return customers, invoices, payments, actions
 
 
@@ -194,9 +245,14 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite"
         w.format(fmt).save(path)
 
 
-def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """SNK-2: append new rows (e.g. logged actions) instead of rewriting the table."""
-    save(df, path, fmt=fmt, mode="append")
+def append(df: DataFrame, path: str, fmt: str = "parquet", batch_id: str | None = None) -> None:
+    """SNK-2: append new rows (e.g. logged actions) instead of rewriting the table. With a ``batch_id`` the rows are a partition
+    of that name, and a repeated append replaces it (Spark's dynamic partition overwrite)."""
+    if batch_id is None:
+        save(df, path, fmt=fmt, mode="append")
+    else:
+        tagged = df.withColumn("batch_id", F.lit(batch_id))
+        tagged.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").save(path)
 
 
 def report(ar_summary: DataFrame, aging_summary: DataFrame, as_of) -> DataFrame:

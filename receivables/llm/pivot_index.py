@@ -18,12 +18,18 @@ the table fills many blocks, not one task.
 
 Defined results: vectors that are null, hold null or non-finite components, or have another dimension than most take no
 part, neither do rows with null vec_id; zero vectors do; of repeated ids the smallest vector stands; ties go to the
-smaller vec_id; an empty table gives an empty result; other columns are ignored. Components up to 2^20 in size
-keep all sums exact.
+smaller vec_id; an empty table gives an empty result; other columns are ignored.
+
+Scores are exact for all finite vectors. While ``d`` times the squared largest component is below 2^53, products of doubles are
+exact. Beyond, vectors are scaled by a power of two for pivots, distances and bounds, doubles with a proven error select
+the pairs that can be among the k best of a block, and those few are multiplied in Python's integers. A result that does not
+fit a long raises; so do components that overflow a double when scaled by ``SCALE``.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -44,6 +50,11 @@ def integers(x: np.ndarray) -> np.ndarray:
     return np.floor(x * SCALE)
 
 
+def rounding(d: int) -> float:
+    """A bound of the relative error of sums of ``d`` products of doubles."""
+    return (d + 8) * 2.0**-51
+
+
 def lift(x: np.ndarray, square: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(square - (x**2).sum(axis=1), 0))[:, None]])
 
@@ -65,13 +76,13 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def keyed(rows: DataFrame, pivots: np.ndarray, square: float, d: int) -> DataFrame:
+def keyed(rows: DataFrame, pivots: np.ndarray, square: float, d: int, shrink: float = 1.0) -> DataFrame:
     """Rows with their pivot and distance, as integers' vectors."""
 
     def key(batches):
         for batch in batches:
             x = integers(vectors.matrix(batch.column("vector"), d))
-            gap = distances(lift(x, square), pivots)
+            gap = distances(lift(x * shrink, square), pivots)
             nearest = gap.argmin(axis=1)
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, d, dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays(
@@ -106,17 +117,56 @@ def annuli(rows: DataFrame, d: int, size: int) -> DataFrame:
     return written(dealt.mapInArrow(pack, "block long, pivot int, least double, most double, ids binary, vectors binary, wanted binary"), "annuli")
 
 
-def _upper(q2: np.ndarray, square: float, gap: np.ndarray, least: float, most: float) -> np.ndarray:
-    """The largest inner product that a row of the annulus can have with each query."""
-    apart = np.maximum(np.maximum(gap - most, least - gap), 0)
-    apart = np.maximum(apart * (1 - SLACK) - SLACK, 0)
-    return (q2 + square - apart**2) / 2 * (1 + SLACK) + SLACK
+def _noise(square: float, q2: np.ndarray, d: int) -> np.ndarray:
+    """How far rounding can put a computed distance from the true one: distances come from squares of this size."""
+    return np.sqrt(8 * rounding(d) * (square + q2))
 
 
-def search(pairs: DataFrame, pivots: np.ndarray, square: float, d: int, k: int) -> DataFrame:
+def _upper(q2: np.ndarray, square: float, gap: np.ndarray, least: float, most: float, d: int) -> np.ndarray:
+    """The largest inner product that a row of the annulus can have with each query."""
+    apart = np.maximum(np.maximum(gap - most, least - gap) - 2 * _noise(square, q2, d), 0)
+    apart = np.maximum(apart * (1 - SLACK), 0)
+    return (q2 + square - apart**2) / 2 * (1 + SLACK) + rounding(d) * (q2 + square)
+
+
+def exact_best(q: np.ndarray, qids: np.ndarray, x: np.ndarray, ids: np.ndarray, beat: np.ndarray, shrink: float, k: int):
+    """Query and row numbers and exact integer scores of the k best rows per query (more on near ties), where doubles are
+    not exact: only pairs whose computed score, with its error, can be among them are multiplied as integers."""
+    qs, xs = q * shrink, x * shrink
+    near = qs @ xs.T
+    error = rounding(q.shape[1]) * np.sqrt((qs**2).sum(axis=1))[:, None] * np.sqrt((xs**2).sum(axis=1))[None, :] + 1e-290
+    other = qids[:, None] != ids[None, :]
+    sure = np.where(other, near - error, -np.inf)
+    floor = beat if x.shape[0] <= k else np.maximum(beat, np.partition(sure, x.shape[0] - k, axis=1)[:, x.shape[0] - k])
+    a, b = np.nonzero(other & (near + error >= floor[:, None]))
+    big = [[int(v) for v in row] for row in q], {j: [int(v) for v in x[j]] for j in np.unique(b).tolist()}
+    score = [sum(u * v for u, v in zip(big[0][i], big[1][j], strict=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    return a, b, score
+
+
+def search(pairs: DataFrame, pivots: np.ndarray, square: float, d: int, k: int, shrink: float = 1.0) -> DataFrame:
     """(query_id, vec_id, score) from rows of a block next to a chunk of queries with the scores they have to beat; only
     rows that reach them, the k best per block."""
 
+    def scan_exactly(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"]).reshape(-1, d)
+                qids, q = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"]).reshape(-1, d)
+                beat, scaled = np.frombuffer(row["beat"]), q * shrink
+                gap = distances(lift(scaled, 0.0), pivots[row["pivot"] : row["pivot"] + 1])[:, 0]
+                on = np.flatnonzero(_upper((scaled**2).sum(axis=1), square, gap, row["least"], row["most"], d) >= beat)
+                if not len(on):
+                    continue
+                a, b, score = exact_best(q[on], qids[on], x, ids, beat[on], shrink, k)
+                if any(abs(v) >= 10**38 for v in score):
+                    raise OverflowError("a score does not fit a long; scale the vectors down")
+                numbers = pa.array([Decimal(v) for v in score], pa.decimal128(38, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(qids[on][a]), pa.array(ids[b]), numbers], ["query_id", "vec_id", "score"])
+
+    if shrink != 1.0:
+        return pairs.mapInArrow(scan_exactly, "query_id long, vec_id long, score decimal(38,0)")
+
     def scan(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -124,7 +174,7 @@ def search(pairs: DataFrame, pivots: np.ndarray, square: float, d: int, k: int)
                 qids, q = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"]).reshape(-1, d)
                 beat = np.frombuffer(row["beat"])
                 gap = distances(lift(q, 0.0), pivots[row["pivot"] : row["pivot"] + 1])[:, 0]
-                on = np.flatnonzero(_upper((q**2).sum(axis=1), square, gap, row["least"], row["most"]) >= beat)
+                on = np.flatnonzero(_upper((q**2).sum(axis=1), square, gap, row["least"], row["most"], d) >= beat)
                 if not len(on):
                     continue
                 score = q[on] @ x.T  # sums of integers below 2^53: exact in any order
@@ -142,7 +192,7 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def chunks(queries: DataFrame, pivots: np.ndarray, square: float, d: int, size: int) -> DataFrame:
+def chunks(queries: DataFrame, pivots: np.ndarray, square: float, d: int, size: int, shrink: float = 1.0) -> DataFrame:
     """Written chunks of queries that lie close to each other (by pivot and distance): chunk, ids, vectors, the scores to
     beat, and for every pivot the reach of the chunk's queries around it."""
 
@@ -155,9 +205,11 @@ def chunks(queries: DataFrame, pivots: np.ndarray, square: float, d: int, size:
             beat = batch.column("beat").to_numpy(zero_copy_only=False)
             for lo in range(0, len(ids), size):
                 q, b = x[lo : lo + size], beat[lo : lo + size]
-                gap = distances(lift(q, 0.0), pivots)
+                scaled = q * shrink
+                gap = distances(lift(scaled, 0.0), pivots)
                 # Rows that may still score at least b lie within this distance of the query.
-                reach = np.sqrt(np.maximum((q**2).sum(axis=1) + square - 2 * b, 0))[:, None] * (1 + SLACK) + SLACK
+                q2 = (scaled**2).sum(axis=1)
+                reach = (np.sqrt(np.maximum(q2 + square - 2 * b, 0)) * (1 + SLACK) + 2 * _noise(square, q2, d))[:, None]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([ids[lo : lo + size].tobytes()], pa.binary()), pa.array([q.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary()), pa.array([(gap - reach).min(axis=0).tolist()]), pa.array([(gap + reach).max(axis=0).tolist()])],
                     ["chunk", "query_ids", "query_vectors", "beat", "low", "high"],
@@ -184,26 +236,33 @@ def exact_top(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
     rows = written(vectors.valid(embeddings, allow_zero=True), "vectors")
     d = vectors.dimension(rows)
     rows = rows.where(F.size("vector") == d)
-    size = F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.floor(x * SCALE).cast("double") * F.floor(x * SCALE).cast("double"))
-    total, square = rows.agg(F.count(F.lit(1)), F.max(size)).first()
+    total, largest = rows.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("vector", F.abs)))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    square = float(square)
-    pivots = farthest_first(lift(integers(vectors.sample(rows, SAMPLE)), square), PIVOTS)
-    placed = written(keyed(rows, pivots, square, d).withColumn("wanted", is_query(F.col("vec_id"))), "keyed")
+    top_component = largest * SCALE + 1
+    if not np.isfinite(top_component):
+        raise OverflowError(f"components over {np.finfo(np.float64).max / SCALE:.3g} cannot be scaled")
+    shrink = 1.0 if top_component < np.sqrt(2.0**53 / d) else 2.0 ** -int(np.ceil(np.log2(top_component)))
+    whole = lambda x: F.when(F.abs(x * SCALE) < 2.0**53, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE) * shrink
+    size = F.aggregate("vector", F.lit(0.0), lambda a, x: a + whole(x) * whole(x))
+    square = float(rows.agg(F.max(size)).first()[0])
+    pivots = farthest_first(lift(integers(vectors.sample(rows, SAMPLE)) * shrink, square), PIVOTS)
+    placed = written(keyed(rows, pivots, square, d, shrink).withColumn("wanted", is_query(F.col("vec_id"))), "keyed")
     index = annuli(placed, d, INDEX_BLOCK)
     queries = placed.where("wanted")
 
     # First the annulus around each query's own place: its k-th score there is one that the answer has to reach.
-    beats = starting_scores(index, d, k)
+    beats = starting_scores(index, d, k, shrink)
     lowest = -float(np.finfo(np.float64).max) / 4
     ready = queries.join(beats, "vec_id", "left").withColumn("beat", F.coalesce("beat", F.lit(lowest)))
-    asked = chunks(ready, pivots, square, d, QUERY_BLOCK)
-    return top(search(meet(index, asked), pivots, square, d, k), k)
+    asked = chunks(ready, pivots, square, d, QUERY_BLOCK, shrink)
+    best = top(search(meet(index, asked), pivots, square, d, k, shrink), k)
+    return best.withColumn("score", F.col("score").cast("long"))  # raises where a long does not hold it
 
 
-def starting_scores(index: DataFrame, d: int, k: int) -> DataFrame:
-    """(vec_id, beat): the k-th score of every query within the block that holds the query itself (if that has k others)."""
+def starting_scores(index: DataFrame, d: int, k: int, shrink: float = 1.0) -> DataFrame:
+    """(vec_id, beat): the k-th score of every query within the block that holds the query itself (if that has k others); of
+    scaled vectors, less the error it may have."""
 
     def within(batches):
         for batch in batches:
@@ -212,7 +271,12 @@ def starting_scores(index: DataFrame, d: int, k: int) -> DataFrame:
                 on = np.flatnonzero(np.frombuffer(row["wanted"], np.uint8))
                 if len(ids) <= k or not len(on):
                     continue
+                if shrink != 1.0:
+                    x = x * shrink
                 score = x[on] @ x.T
+                if shrink != 1.0:
+                    norm = np.sqrt((x**2).sum(axis=1))
+                    score -= 2 * rounding(d) * norm[on][:, None] * norm[None, :] + 1e-290
                 score[np.arange(len(on)), on] = -np.inf
                 beat = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(beat)], ["vec_id", "beat"])

@@ -1,6 +1,7 @@
 """Multi-index hashing (recall, exact scores) and pivot-distance search (exact) against brute force."""
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -55,6 +56,35 @@ def test_exact_top_with_small_blocks_and_a_hot_vector(spark, monkeypatch):
     assert [tuple(r) for r in got] == brute(usable(rows, True), 10, 5, whole)
 
 
+@pytest.mark.parametrize("size", [2.9e3, 2.8e5, 2e6])
+def test_large_components_are_exact(spark, monkeypatch, size):
+    """Sums beyond 2^53, and components beyond it: the same rows as with Python's integers."""
+    monkeypatch.setattr(pivot_index, "INDEX_BLOCK", 16)
+    monkeypatch.setattr(pivot_index, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(9)
+    d = 8 if size < 1e6 else 2
+    rows = [(i, (rng.uniform(-1, 1, d) * size).tolist()) for i in range(120)]
+    rows += [(200 + i, rows[3][1]) for i in range(30)] + [(300 + i, [0.0] * d) for i in range(3)]
+    if size > 1e6:  # nearly equal, larger than a double's integers
+        rows = [(i, [v[0] * 1e-3, *v[1:]]) for i, v in rows]
+    frame = spark.createDataFrame([(i, v, 7, 0.5) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
+    got = pivot_index.exact_top(frame, lambda v: v % 10 == 0, 7).orderBy("query_id", "rank").collect()
+    ints = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in rows}
+    assert [tuple(r) for r in got] == brute(ints, 10, 7, lambda q, x: sum(a * b for a, b in zip(q, x, strict=True)))
+
+
+def test_scores_beyond_a_long_raise(spark):
+    for big in (3e9, 1e150, 1e300):
+        frame = spark.createDataFrame([(i, [big, 1.0]) for i in range(0, 400, 100)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="OVERFLOW|does not fit a long"):
+            pivot_index.exact_top(frame, lambda v: v % 100 == 0).collect()
+    with pytest.raises(OverflowError, match="cannot be scaled"):
+        pivot_index.exact_top(spark.createDataFrame([(0, [1e307]), (100, [1.0])], "vec_id long, embedding array<double>"), lambda v: v % 100 == 0)
+    # A huge component that meets zeros only is exact.
+    frame = spark.createDataFrame([(0, [0.0, 3.0]), (100, [1e300, 0.0]), (7, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in pivot_index.exact_top(frame, lambda v: v == 0).collect()] == [(0, 1, 7, 3072 * 2048), (0, 2, 100, 0)]
+
+
 def test_bounds_prune(spark, monkeypatch):
     """On clustered vectors most blocks are left out."""
     monkeypatch.setattr(pivot_index, "INDEX_BLOCK", 16)

@@ -1,17 +1,21 @@
-"""Registered queries: point-in-time history (FE-2), daily aging (AR-4), raw cells (SRC-1..3, DQ-3..5) and appends (AU-1, SNK-2)."""
+"""Registered queries: point-in-time history (FE-2), daily aging (AR-4), raw cells (SRC-1..3, DQ-3..5),
+appends (AU-1, SNK-2), success over ranges (AU-5) and the metrics stream (AU-8)."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
 from receivables.functions import expr as E
-from receivables.operators import aging, audit, features, history, quality
-from receivables.plans.catalog import AS_OF, AS_OF_SQL, register
-from receivables.plans.sqlfrag import bucket6, days_late, overdue, pct
+from receivables.operators import activity, aging, audit, features, history
+from receivables.plans.catalog import AS_OF, AS_OF_SQL, REGISTRY, register
+from receivables.plans.reg_audit import PAIRS
+from receivables.plans.sqlfrag import bucket6, days_late, overdue, pct, round_dec
 from receivables.session import ensure_checkpoint_dir
 from receivables.sources import tables
+from receivables.streaming import daily_metrics
 
 # Every pair of an invoice and an earlier invoice-payment row of its customer.
 AT_ISSUE_SQL = f"""WITH m AS (
@@ -139,3 +143,53 @@ def q_audit_append_once(fx):
         rows = fx.audit_actions.where(odd == int(batch == "odd")).select(*[c for c in audit.ACTION_COLUMNS if c in fx.audit_actions.columns])
         audit.append_batch(rows, path, batch_id=batch)
     return fx.spark.read.parquet(path).select("action_id", "invoice_id", "action_type", "action_date", "action_month", "batch_id")
+
+
+# Ranges of days (NULL: open) and types (NULL: all): single days, overlaps, the whole log, none at all.
+_RANGES = [
+    (1, None, None, None), (2, "2024-01-01", "2024-01-31", None), (3, "2024-01-10", "2024-01-10", None), (4, None, "2024-01-15", "call_request"),
+    (5, "2024-01-05", None, "payment_plan"), (6, "2024-01-05", "2024-01-25", None), (7, "2024-01-05", "2024-01-25", "escalate"),
+    (8, "2030-01-01", None, None), (9, "2024-01-20", "2024-01-01", None), (10, "2024-01-02", "2024-03-31", "second_notice"),
+]
+
+
+def _sql(v) -> str:
+    return "NULL" if v is None else f"'{v}'"
+
+
+@register(
+    "success_by_ranges", "AU-5",
+    f"""WITH ranges AS (
+  SELECT CAST(r AS INTEGER) AS range_id, CAST(a AS DATE) AS a, CAST(b AS DATE) AS b, k
+  FROM (VALUES {", ".join(f"({r}, {_sql(a)}, {_sql(b)}, {_sql(k)})" for r, a, b, k in _RANGES)}) v(r, a, b, k)),
+{PAIRS},
+picked AS (
+  SELECT DISTINCT range_id, action_id FROM ranges JOIN audit_actions ON (a IS NULL OR CAST(action_date AS DATE) >= a)
+    AND (b IS NULL OR CAST(action_date AS DATE) <= b) AND (k IS NULL OR action_type = k)),
+n AS (SELECT range_id, count(*) AS everyone, count(*) FILTER (WHERE action_id IN (SELECT action_id FROM audit_outcomes WHERE outcome_type = 'paid')) AS winners,
+             count(*) FILTER (WHERE action_id IN (SELECT action_id FROM audit_responses)) AS answered FROM picked GROUP BY range_id),
+m AS (SELECT range_id, avg(days_to_payment) AS days, sum(money) AS money FROM pairs JOIN picked USING (action_id) GROUP BY range_id)
+SELECT range_id, coalesce(everyone, 0) AS total_actions, coalesce(winners, 0) AS successful_actions,
+       coalesce({round_dec('CAST(winners AS double) / NULLIF(everyone, 0)', 6)}, 0.0) AS success_rate,
+       coalesce({round_dec('CAST(answered AS double) / NULLIF(everyone, 0)', 6)}, 0.0) AS response_rate,
+       coalesce({round_dec('days', 6)}, 0.0) AS avg_days_to_payment, CAST(coalesce(money, 0) AS double) AS total_amount_collected
+FROM ranges LEFT JOIN n USING (range_id) LEFT JOIN m USING (range_id)""",
+    views=("audit_actions", "audit_responses", "audit_outcomes"),
+)
+def q_success_by_ranges(fx):
+    day = lambda v: None if v is None else dt.date.fromisoformat(v)
+    ranges = fx.spark.createDataFrame([(r, day(a), day(b), k) for r, a, b, k in _RANGES], "range_id int, first_day date, last_day date, kind string")
+    return activity.range_metrics(activity.activity_days(fx.audit_actions, fx.audit_responses, fx.audit_outcomes), ranges)
+
+
+@register("daily_metrics_stream", "AU-8", REGISTRY["daily_success_metrics"].body, views=REGISTRY["daily_success_metrics"].views)
+def q_daily_metrics_stream(fx):
+    """The log fed to the stream in two halves, outcomes first, with a restart between."""
+    folder = f"{ensure_checkpoint_dir(fx.spark).rstrip('/')}/daily-{uuid.uuid4().hex}"
+    half = F.pmod(F.xxhash64("action_id"), F.lit(2))
+    for n in (0, 1):
+        outcomes = fx.audit_outcomes.where(half == 1 - n)
+        tables.save(outcomes.select(*[c.split()[0] for c in daily_metrics.OUTCOME_EVENTS.split(", ")]), f"{folder}/outcomes", mode="append")
+        tables.save(fx.audit_actions.where(half == n).select("action_id", "action_type", "action_date"), f"{folder}/actions", mode="append")
+        daily_metrics.start(fx.spark, f"{folder}/actions", f"{folder}/outcomes", f"{folder}/changes").awaitTermination()
+    return daily_metrics.current(fx.spark.read.schema(daily_metrics.CHANGES).parquet(f"{folder}/changes"))

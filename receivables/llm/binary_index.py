@@ -17,11 +17,15 @@ Queries and index blocks meet block by block: each task holds one block of each,
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another dimension than most
 take no part, as queries or as candidates; neither do rows with null vec_id; of repeated ids the smallest vector
-stands; ties go to the smaller vec_id; an empty table gives an empty result; other columns are ignored.
+stands; ties go to the smaller vec_id; an empty table gives an empty result; other columns are ignored. Very large and very
+small components are scaled by a power of two for the codes; scores are of the original vectors, and a product that overflows
+a double on its way is taken from exact sums (infinite where the sum itself is beyond a double).
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -71,7 +75,14 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products row by row, summed in the order of the components (the same for equal vectors anywhere)."""
     out = np.zeros(len(q))
     for k in range(q.shape[1]):
-        out += q[:, k] * x[:, k]
+        with np.errstate(over="ignore", invalid="ignore"):
+            out += q[:, k] * x[:, k]
+    for i in np.flatnonzero(~np.isfinite(out)):
+        total = sum(Fraction(a) * Fraction(b) for a, b in zip(q[i].tolist(), x[i].tolist(), strict=True))
+        try:
+            out[i] = float(total)
+        except OverflowError:
+            out[i] = np.inf if total > 0 else -np.inf
     return out
 
 
@@ -142,19 +153,22 @@ def nearest(embeddings: DataFrame, is_query, k: int = K, reach: float = REACH) -
     rows = written(vectors.valid(embeddings, allow_zero=False), "vectors")
     d = vectors.dimension(rows)
     rows = rows.where(F.size("vector") == d)
-    total, square = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()
+    total, most = rows.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("vector", F.abs)))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    exponent = int(np.frexp(most)[1])
+    shrink = 1.0 if abs(exponent) < 400 else 2.0 ** -min(exponent, 1022)
+    square = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x * shrink) * (x * shrink)))).first()[0]
     largest = float(square) ** 0.5
-    rotations = learned_rotations(lift(vectors.sample(rows, SAMPLE), largest))
+    rotations = learned_rotations(lift(vectors.sample(rows, SAMPLE) * shrink, largest))
     rotations = np.hstack([rotations, rotations[:, : -rotations.shape[1] % 8]])  # whole bytes
     m = rotations.shape[1] // 8
-    code = lambda x: {"code": codes(x, rotations, largest).tobytes()}
+    code = lambda x: {"code": codes(x * shrink, rotations, largest).tobytes()}
     index = vectors.blocks(rows, d, INDEX_BLOCK, "code-index", code, "code binary")
     asked = rows.where(is_query(F.col("vec_id")))
     queries = vectors.blocks(asked, d, QUERY_BLOCK, "code-queries", code, "code binary")
     shards = max(1, index.count())
-    radius = calibrated_radius(index, vectors.sample(asked, PROBES), rotations, largest, d, m, k, reach)
+    radius = calibrated_radius(index, vectors.sample(asked, PROBES), rotations, largest, d, m, k, reach, shrink)
     found = written(ranked(search_blocks(index, queries, shards, d, m, radius, k), k), "neighbours")
     short = asked.join(found.groupBy("query_id").count().where(F.col("count") >= min(k, total - 1)), F.col("vec_id") == F.col("query_id"), "left_anti")
     short = vectors.blocks(short, d, QUERY_BLOCK, "code-queries", code, "code binary")
@@ -164,17 +178,18 @@ def nearest(embeddings: DataFrame, is_query, k: int = K, reach: float = REACH) -
     return found.join(again.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
 
 
-def calibrated_radius(index: DataFrame, probes: np.ndarray, rotations: np.ndarray, largest: float, d: int, m: int, k: int, reach: float) -> int:
+def calibrated_radius(index: DataFrame, probes: np.ndarray, rotations: np.ndarray, largest: float, d: int, m: int, k: int, reach: float, shrink: float = 1.0) -> int:
     """The code distance within which a share ``reach`` of the probes' true neighbours lies; all rows are compared."""
     if not len(probes):
         return 8 * m
+    probes = probes * shrink
     own = codes(probes, rotations, largest)
 
     def compare(batches):
         for batch in batches:
             for row in batch.select(["vectors", "code"]).to_pylist():
                 x, code = np.frombuffer(row["vectors"]).reshape(-1, d), np.frombuffer(row["code"], np.uint8).reshape(-1, m)
-                score = probes @ x.T
+                score = probes @ (x * shrink).T
                 top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
                 a = np.repeat(np.arange(len(probes)), top.shape[1])
                 b = top.ravel()

@@ -7,8 +7,13 @@ turns with their place in it, one row per turn, so a dialogue of any length stay
     <|assistant|>\\n{text}\\n          a turn of the speaker whose perspective it is
     <|user name={speaker}|>\\n{text}\\n   a turn of anyone else
 
-Places are prefix sums of the turns' lengths. A long dialogue is cut into runs of ``RUN`` turns: sums per run first, then
-the runs' own prefix sums, then the turns inside a run, so no window spans more than a run or the list of runs.
+Places are prefix sums of the turns' lengths. The dialogues are range-partitioned by (conv_id, turn, speaker, text), which
+cuts a long one into runs of about ``RUN`` rows whatever its turn numbers are: sums per run first, then the runs' own
+prefix sums, then the turns inside a run, so no window spans more than a run or the list of runs. Equal rows are counted
+before that and written out at the end, so that repeats, which no range can part, are one row.
+
+No text can forge a turn: in texts and names a backslash is doubled and ``<|`` becomes ``<\\|``; in names ``|>`` becomes ``|\\>`` and a
+line break ``\\n`` besides. Lengths and places count the escaped text.
 
 System turns belong to nobody: they have no perspective and keep their own header in all of them.
 
@@ -23,10 +28,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RUN = 4096
+from receivables.llm.common import written
+
+RUN = 65_536
 SYSTEM = "system"
 
 
+def escaped(text):
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+
+
+def escaped_name(name):
+    return F.replace(F.replace(escaped(name), F.lit("|>"), F.lit("|\\>")), F.lit("\n"), F.lit("\\n"))
+
+
 def rotate(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, position, turn, speaker, is_target, rendered, start and end (in the whole rendering)."""
     said = conversations.select(
@@ -35,8 +50,10 @@ def rotate(conversations: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    # A run holds turns that lie next to each other in the dialogue's order; turn numbers say which.
-    said = said.withColumn("run", F.floor(F.coalesce("turn", F.lit(-1)) / RUN))
+    said = written(said.groupBy("conv_id", "turn", "speaker", "text").agg(F.count(F.lit(1)).alias("copies")), "turns")
+    ranges = max(1, -(-said.count() // RUN))
+    dealt = said.repartitionByRange(ranges, F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("speaker"), F.col("text"))
+    said = written(dealt.withColumn("run", F.spark_partition_id()), "runs")
     order = Window.partitionBy("conv_id", "run").orderBy(F.col("turn").asc_nulls_first(), "speaker", "text")
     numbered = said.withColumn("in_run", F.row_number().over(order))
     people = said.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
@@ -45,11 +62,12 @@ def rotate(conversations: DataFrame) -> DataFrame:
     header = (
         F.when(F.col("speaker") == SYSTEM, F.lit("<|system|>"))
         .when(own, F.lit("<|assistant|>"))
-        .otherwise(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>")))
+        .otherwise(F.concat(F.lit("<|user name="), escaped_name(F.col("speaker")), F.lit("|>")))
     )
-    turns = met.select("*", own.alias("is_target"), F.concat(header, F.lit("\n"), F.col("text"), F.lit("\n")).alias("rendered"))
+    turns = met.select("*", own.alias("is_target"), F.concat(header, F.lit("\n"), escaped(F.col("text")), F.lit("\n")).alias("rendered"))
     turns = turns.withColumn("length", F.length("rendered").cast("long"))
-    runs = turns.groupBy("conv_id", "perspective", "run").agg(F.sum("length").alias("chars"), F.count(F.lit(1)).alias("turns"))
+    chars = F.col("length") * F.col("copies")
+    runs = turns.groupBy("conv_id", "perspective", "run").agg(F.sum(chars).alias("chars"), F.sum("copies").alias("turns"))
     before = Window.partitionBy("conv_id", "perspective").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     runs = runs.select(
@@ -57,15 +75,20 @@ def rotate(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.sum("chars").over(before), zero).alias("chars_before"), F.coalesce(F.sum("turns").over(before), zero).alias("turns_before"),
     )
     placed = turns.join(runs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("s")) & (F.col("run") == F.col("r")))
-    inside = Window.partitionBy("conv_id", "perspective", "run").orderBy("in_run").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("chars_before") + F.sum("length").over(inside)
-    return placed.withColumn("end", end).select(
-        "conv_id", "perspective", (F.col("turns_before") + F.col("in_run")).alias("position"), "turn", "speaker", "is_target", "rendered",
-        (F.col("end") - F.col("length")).alias("start"), "end",
+    inside = Window.partitionBy("conv_id", "perspective", "run").orderBy("in_run").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.select(
+        "*", (F.col("chars_before") + F.coalesce(F.sum(chars).over(inside), zero)).alias("from_char"),
+        (F.col("turns_before") + F.coalesce(F.sum("copies").over(inside), zero)).alias("from_turn"),
+    )
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    start = F.col("from_char") + (F.col("copy") - 1) * F.col("length")
+    return each.select(
+        "conv_id", "perspective", (F.col("from_turn") + F.col("copy")).alias("position"), "turn", "speaker", "is_target", "rendered",
+        start.alias("start"), (start + F.col("length")).alias("end"),
     )
 
 
-ORACLE = """
+ORACLE = r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations
 ), numbered AS (
@@ -76,7 +99,8 @@ WITH said AS (
   SELECT n.conv_id, p.perspective, n.position, n.turn, n.speaker, n.speaker = p.perspective AS is_target,
          CASE WHEN n.speaker = 'system' THEN '<|system|>'
               WHEN n.speaker = p.perspective THEN '<|assistant|>'
-              ELSE '<|user name=' || n.speaker || '|>' END || chr(10) || n.text || chr(10) AS rendered
+              ELSE '<|user name=' || replace(replace(replace(replace(n.speaker, '\', '\\'), '<|', '<\|'), '|>', '|\>'), chr(10), '\n') || '|>' END
+         || chr(10) || replace(replace(n.text, '\', '\\'), '<|', '<\|') || chr(10) AS rendered
   FROM numbered n JOIN people p ON n.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
   SELECT *, CAST(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY position) AS BIGINT) AS "end" FROM rendered

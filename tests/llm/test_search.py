@@ -134,3 +134,21 @@ def test_queries(spark):
         assert all(abs(g[2] - score[ids == g[1]][0]) < 1e-12 for g in got)
         hits += len({g[1] for g in got} & set(ids[order]))
     assert hits >= 0.9 * 20 * len(found)
+
+
+@pytest.mark.parametrize("size", [1e-300, 1e160, 1e300])
+def test_nearest_of_huge_and_tiny_vectors(spark, size):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=6) * size).tolist()) for i in range(60)] + [(100, [size] * 3 + [-size] * 3)]
+    got = binary_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v % 20 == 0, 70).collect()
+    exact = {}
+    for q, x in rows:
+        if q % 20 == 0:
+            for v, y in rows:
+                total = sum(Fraction(a) * Fraction(b) for a, b in zip(x, y, strict=True))
+                exact[q, v] = float(total) if abs(total) < Fraction(np.finfo(float).max) else math.inf * (1 if total > 0 else -1)
+    assert len(got) == 4 * 60 and {r.query_id for r in got} == {0, 20, 40, 100}
+    assert all(r.score == pytest.approx(exact[r.query_id, r.vec_id], rel=1e-9, abs=size * size * 1e-9) for r in got)
+    for q in (0, 100):
+        mine = [r for r in sorted(got, key=lambda r: r.rank) if r.query_id == q]
+        assert [(-r.score, r.vec_id) for r in mine] == sorted((-r.score, r.vec_id) for r in mine)

@@ -37,21 +37,22 @@ def hot_keys(key_counts: DataFrame, key: str, count_col: str, hot_share: float =
 
 
 def lookup_join(
-    fact: DataFrame, dim: DataFrame, key: str, how: str = "left", spread: str | None = None,
+    fact: DataFrame, dim: DataFrame, key: str, how: str = "left", *, spread: str | list[str],
     key_counts: DataFrame | None = None, count_col: str = "__n", hot_share: float = HOT_SHARE,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``fact.join(dim, key, how)`` for a ``dim`` with one row per key, with hot and NULL keys salted.
 
-    ``spread`` is a fact column that varies within a key (e.g. invoice_id); ``key_counts`` (key, count_col) may be
-    passed when the caller already has fact rows per key, saving the counting pass.
+    ``spread`` names fact columns that vary within a key (e.g. invoice_id): their hash deals rows the same way when a lost task
+    runs again. ``key_counts`` (key, count_col) may be passed when the caller already has fact rows per key, saving the
+    counting pass.
     """
     if how not in ("left", "inner"):
         raise ValueError("lookup_join supports left and inner joins")
     if key_counts is None:
         key_counts = fact.groupBy(key).agg(F.count(F.lit(1)).alias(count_col))
     hot = F.broadcast(hot_keys(key_counts.select(key, count_col), key, count_col, hot_share, rows_per_task))
-    spread_hash = F.xxhash64(spread) if spread else F.xxhash64(F.monotonically_increasing_id())
+    spread_hash = F.xxhash64(*([spread] if isinstance(spread, str) else spread))
     salt = F.when(F.col(key).isNull(), spread_hash).when(F.col("__buckets").isNotNull(), F.pmod(spread_hash, "__buckets"))
     f = fact.join(hot, key, "left").withColumn("__salt", F.coalesce(salt, F.lit(0).cast("long"))).drop("__buckets")
     d = dim.join(hot, key, "left").withColumn(

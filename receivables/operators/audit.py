@@ -210,9 +210,9 @@ def invoice_history(actions: DataFrame, responses: DataFrame, outcomes: DataFram
         F.sum(F.col("amount_collected").cast("decimal(18,2)")).cast("double").alias("invoice_amount_collected"),
     )
     h = _history(a, responses, outcomes, _loose_outcomes(actions, o))
-    # One summary row per invoice; an invoice with a large share of the actions is salted across tasks.
-    sizes = a.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("__n"))
-    h = lookup_join(h, per_invoice, "invoice_id", "left", spread="action_id", key_counts=sizes)
+    # One summary row per invoice; an invoice with a large share of the history's rows (actions, their responses times
+    # outcomes, or outcomes without an action) is salted across tasks.
+    h = lookup_join(h, per_invoice, "invoice_id", "left", spread=["action_id", "response_date", "amount_collected"])
     return h.select(
         "invoice_id", "action_id", "action_date", "action_type", "channel", "sent_by", "response_type", "response_date",
         "payment_promised", "outcome_type", "amount_collected", "invoice_outcomes", "invoice_amount_collected",

@@ -8,4 +8,5 @@ from receivables.plans import reg_data  # noqa: F401
 from receivables.plans import reg_model  # noqa: F401
 from receivables.plans import reg_history  # noqa: F401
 from receivables.plans import reg_outreach  # noqa: F401
+from receivables.plans import reg_io  # noqa: F401  (over the queries above)
 from receivables.plans import reg_nulls  # noqa: F401  (over the queries above)

@@ -97,3 +97,39 @@ def test_no_partition_holds_a_hot_or_null_key(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sum(sizes) == n and max(sizes) <= 4 * n / parts
+
+
+def test_an_invoice_hot_by_loose_outcomes_is_salted(spark, monkeypatch):
+    """Few actions, but a third of all outcomes on one invoice and without an action: they fill many partitions."""
+    import datetime as dt
+
+    from receivables.functions import joins
+    from receivables.operators import audit
+
+    t = dt.datetime(2024, 1, 1)
+    actions = spark.createDataFrame([(f"A{i}", f"I{i}", "C", "call", t, "phone", "me", None) for i in range(40)],
+                                    "action_id string, invoice_id string, customer_id string, action_type string, action_date timestamp_ntz, channel string, sent_by string, notes string")
+    responses = spark.createDataFrame([("R", "A1", t, "email", True)], "response_id string, action_id string, response_date timestamp_ntz, response_type string, payment_promised boolean")
+    outcomes = spark.range(3000).select(
+        F.col("id").cast("string").alias("outcome_id"), F.when(F.col("id") < 1000, F.lit("I1")).otherwise(F.concat(F.lit("J"), "id")).alias("invoice_id"),
+        F.lit(None).cast("string").alias("action_id"), F.lit("paid").alias("outcome_type"), F.lit(t).cast("timestamp_ntz").alias("outcome_date"),
+        F.col("id").cast("double").alias("amount_collected"), F.lit(1).alias("days_to_payment"))
+    want = sorted(map(str, audit.invoice_history(actions, responses, outcomes).collect()))
+    seen = []
+
+    def salted(fact, dim, key, how, **more):
+        out = joins.lookup_join(fact, dim, key, how, **more, rows_per_task=50)
+        seen.append(max(r["count"] for r in out.where("invoice_id = 'I1'").groupBy(F.spark_partition_id()).count().collect()))
+        return out
+
+    monkeypatch.setattr(audit, "lookup_join", salted)
+    names = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "32", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        assert sorted(map(str, audit.invoice_history(actions, responses, outcomes).collect())) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert seen[0] < 400

@@ -7,11 +7,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from receivables.operators import aging, audit, metrics, outreach, quality
+from receivables.operators import aging, audit, features, metrics, outreach, quality, reports
 from receivables.plans.catalog import AS_OF, REGISTRY, register
 from receivables.plans.reg_data import FK_PAY_SQL, INV_ROWS_SQL, OVERPAY_SQL, PAY_ROWS_SQL
 from receivables.session import ensure_checkpoint_dir
-from receivables.sources import tables
+from receivables.sources import layout, tables
 
 
 def _folder(fx, name: str) -> str:
@@ -116,3 +116,42 @@ def q_outreach_logged(fx):
     for _ in range(2):
         audit.append_batch(rows, path, batch_id="2001-06-30")
     return fx.spark.read.parquet(path).select("invoice_id", "customer_id", "action_type", "channel", "message_sent", "sent_by", "notes", "action_month")
+
+
+def _bucketed(fx, table: str, key: str):
+    name = f"{table}_{uuid.uuid4().hex}"
+    return layout.save_bucketed(fx.table(table), name, key, 8, _folder(fx, name))
+
+
+@register("late_target_bucketed", "FE-3 / SNK-1", REGISTRY["late_target"].body, views=REGISTRY["late_target"].views)
+def q_late_target_bucketed(fx):
+    """Invoices and payments bucketed by invoice: the join shuffles neither."""
+    found = features.late_target(_bucketed(fx, "invoices", "invoice_id"), _bucketed(fx, "payments", "invoice_id"), 7)
+    return found.select("invoice_id", "customer_id", "due_date", "payment_date", "days_late", "is_late")
+
+
+@register("dq_overpayments_bucketed", "DQ-12 / SNK-1", OVERPAY_SQL, views=("invoices_dirty", "payments_dirty"))
+def q_dq_overpayments_bucketed(fx):
+    return quality.overpayments(_bucketed(fx, "payments_dirty", "invoice_id"), _bucketed(fx, "invoices_dirty", "invoice_id"))
+
+
+# Terms that match one customer, a hundred, all, and none; two characters, and mixed case.
+_TERMS = ["CUST-0000017", "St-00000", "cust-", "nobody", "42", "T-00001"]
+
+
+@register(
+    "invoice_search", "FN-12",
+    " UNION ALL ".join(f"""SELECT '{t}' AS term, invoice_id, customer_id, invoice_amount, issue_date, due_date, status FROM invoices
+WHERE status IN ('open', 'void') AND contains(lower(customer_id), '{t.lower()}') AND invoice_amount >= 1000""" for t in _TERMS),
+    views=("invoices",),
+)
+def q_invoice_search(fx):
+    """The explorer over rows found through posting lists of the customer ids."""
+    folder = _folder(fx, "search")
+    rows = fx.invoices.select("invoice_id", "customer_id", "invoice_amount", "issue_date", "due_date", "status")
+    layout.save_searchable(rows, folder)
+    out = None
+    for term in _TERMS:
+        found = reports.invoice_explorer(layout.search(fx.spark, folder, rows.schema, term), ("open", "void"), "", 1000).select(F.lit(term).alias("term"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -80,3 +80,18 @@ def test_no_unpartitioned_window_over_facts(spark, name):
         return children.size() > 0 and all(bounded(children.apply(i)) for i in range(children.size()))
 
     walk(plan)
+
+
+# Scans and shuffles of the physical plan, at most: a change that reads a table again or shuffles once more shows here.
+LIMITS = {
+    "audit_export": (9, 5), "dq_summary": (23, 14), "risk_scores": (13, 22), "weekly_plan": (13, 27), "features": (11, 14), "history_at_issue": (4, 5),
+    "aging_daily": (3, 6), "aging_trend": (2, 5), "outreach_messages": (17, 23), "success_by_ranges": (10, 19), "customer_history": (2, 1),
+    "ar_summary": (3, 2), "top_recommendations": (15, 23), "daily_success_metrics": (3, 2),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LIMITS))
+def test_scans_and_shuffles(spark, name):
+    text = plan_text(catalog.run(name, spark, SF_SMALL))
+    scans, shuffles = text.count("FileScan parquet"), text.count(" Exchange ")
+    assert scans <= LIMITS[name][0] and shuffles <= LIMITS[name][1], (scans, shuffles)

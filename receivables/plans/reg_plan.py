@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,9 @@ from receivables.functions import expr as E
 from receivables.operators import model, recommend, schedule, scoring
 from receivables.plans.catalog import AS_OF, AS_OF_SQL, register
 from receivables.plans.sqlfrag import overdue, risk_cat, round_dec
+from receivables.session import ensure_checkpoint_dir
+from receivables.sources import tables
+from receivables.streaming import cancellations, followups
 
 A = AS_OF_SQL
 # Fixed fixture parameters (FIXTURES.md §3).
@@ -261,6 +265,43 @@ def q_schedule_cancelled(fx):
     return schedule.cancel_future_actions(sched(fx), fx.payments, AS_OF)
 
 
+@register(
+    "schedule_stream", "SC-1 / SC-2 / SC-6 / SC-7 / SC-8",
+    f"""WITH {SCORED_CTE}, {SCHED_CTE}, {UPD_CTE},
+nd AS (SELECT min(day) AS d FROM cal WHERE day >= DATE '2001-07-04' AND isodow(day) <= 5 AND day NOT IN (SELECT holiday FROM hol)),
+pay AS (SELECT invoice_id, min(payment_date) AS paid FROM payments GROUP BY invoice_id)
+SELECT s.invoice_id, s.customer_id, s.attempt_number,
+       CASE WHEN u.invoice_id IS NOT NULL THEN nd.d ELSE s.scheduled_date END AS scheduled_date,
+       action_type, days_from_last_contact, estimated_days_overdue,
+       CASE WHEN u.invoice_id IS NOT NULL THEN 'completed' WHEN paid IS NOT NULL THEN 'cancelled' ELSE status END AS status,
+       CASE WHEN u.invoice_id IS NOT NULL THEN 'customer requested' END AS reschedule_reason,
+       CASE WHEN u.invoice_id IS NOT NULL THEN {A} END AS completed_date,
+       CASE WHEN u.invoice_id IS NOT NULL THEN 'left voicemail' END AS completion_notes,
+       CASE WHEN u.invoice_id IS NULL AND paid IS NOT NULL THEN 'Payment received' END AS cancellation_reason,
+       CASE WHEN u.invoice_id IS NULL THEN paid END AS cancelled_date
+FROM sched s LEFT JOIN upd u ON s.invoice_id = u.invoice_id AND s.attempt_number = u.attempt_number
+LEFT JOIN pay ON s.invoice_id = pay.invoice_id, nd""",
+    views=SCHED_VIEWS + ("payments",),
+)
+def q_schedule_stream(fx):
+    """Targets, updates and payments fed to the stream in two halves, each half's targets after its updates, with a restart between."""
+    folder = f"{ensure_checkpoint_dir(fx.spark).rstrip('/')}/followups-{uuid.uuid4().hex}"
+    names = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    targets = scored(fx).withColumn("days_overdue", E.days_overdue("due_date", AS_OF)).withColumn("last_contact", F.lit(AS_OF))
+    moves = updates(fx, "reschedule").withColumn("kind", F.lit(followups.MOVED))
+    given = moves.unionByName(updates(fx, "complete").withColumn("kind", F.lit(followups.DONE)), allowMissingColumns=True)
+    given = given.withColumn("sequence", F.col("sequence").cast("long")).withColumn("at", F.lit(dt.datetime.combine(AS_OF, dt.time())).cast("timestamp_ntz"))
+    half = F.pmod(F.xxhash64("invoice_id"), F.lit(2))
+    for n in (0, 1):
+        tables.save(given.where(half == 1 - n).select(names(followups.UPDATE_EVENTS)), f"{folder}/updates", mode="append")
+        tables.save(fx.payments.where(half == 1 - n).select(names(cancellations.PAYMENT_EVENT_SCHEMA)), f"{folder}/payments", mode="append")
+        tables.save(targets.where(half == n).select(names(followups.TARGET_EVENTS)), f"{folder}/targets", mode="append")
+        # The fixtures' payments go back some years: none is late.
+        places = (f"{folder}/{x}" for x in ("targets", "updates", "payments", "changes"))
+        followups.start(fx.spark, *places, holidays=holidays(fx), late_days=36_500).awaitTermination()
+    return followups.current(fx.spark.read.schema(followups.CHANGES).parquet(f"{folder}/changes"))
+
+
 @register(
     "weekly_plan", "SC-9",
     f"""WITH {SCORED_CTE}, {SCHED_CTE}

@@ -52,8 +52,8 @@ def apply_cancellations(schedule: DataFrame, cancellations: DataFrame) -> DataFr
     j = schedule.join(c, ["invoice_id", "attempt_number"], "left")
     hit = F.col("__date").isNotNull() & (F.col("status") == "pending")
     return (
-        j.withColumn("status", F.when(hit, F.lit("cancelled")).otherwise(F.col("status")))
-        .withColumn("cancellation_reason", F.when(hit, F.col("__reason")).otherwise(F.col("cancellation_reason")))
+        j.withColumn("cancellation_reason", F.when(hit, F.col("__reason")).otherwise(F.col("cancellation_reason")))
         .withColumn("cancelled_date", F.when(hit, F.col("__date")).otherwise(F.col("cancelled_date")))
+        .withColumn("status", F.when(hit, F.lit("cancelled")).otherwise(F.col("status")))
         .select(*schedule.columns)
     )

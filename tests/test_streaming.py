@@ -24,6 +24,8 @@ def test_payment_stream_cancels_pending(spark, scratch):
     updated = cancellations.apply_cancellations(sched, rows)
     got = {(r.invoice_id, r.attempt_number): r.status for r in updated.collect()}
     assert got[("I1", 1)] == "completed" and got[("I1", 2)] == "cancelled" and got[("I2", 1)] == "pending"
+    cut = [r for r in updated.collect() if r.status == "cancelled"]
+    assert {(r.cancelled_date, r.cancellation_reason) for r in cut} == {(dt.date(2001, 7, 10), cancellations.REASON)}
     again = cancellations.apply_cancellations(updated, rows)  # idempotent
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, updated.collect()))
 

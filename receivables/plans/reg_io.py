@@ -11,7 +11,7 @@ from receivables.operators import aging, audit, features, metrics, outreach, qua
 from receivables.plans.catalog import AS_OF, REGISTRY, register
 from receivables.plans.reg_data import FK_PAY_SQL, INV_ROWS_SQL, OVERPAY_SQL, PAY_ROWS_SQL
 from receivables.session import ensure_checkpoint_dir
-from receivables.sources import layout, tables
+from receivables.sources import layout, tables, workbook
 
 
 def _folder(fx, name: str) -> str:
@@ -155,3 +155,17 @@ def q_invoice_search(fx):
         found = reports.invoice_explorer(layout.search(fx.spark, folder, rows.schema, term), ("open", "void"), "", 1000).select(F.lit(term).alias("term"), "*")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+@register(
+    "src_workbook", "SRC-7",
+    """SELECT invoice_no, CAST(stock_code AS VARCHAR) AS stock_code, CAST(quantity AS DOUBLE) AS quantity, unit_price,
+       CAST(invoice_date AS TIMESTAMP) AS invoice_date, CAST(customer_key AS DOUBLE) AS customer_key, country FROM transactions""",
+    views=("transactions",),
+)
+def q_src_workbook(fx):
+    """Retail lines written as spreadsheets and read again."""
+    folder = _folder(fx, "workbooks")
+    columns = {"InvoiceNo": "invoice_no", "StockCode": "stock_code", "Quantity": "quantity", "InvoiceDate": "invoice_date", "UnitPrice": "unit_price", "CustomerID": "customer_key", "Country": "country"}
+    workbook.save(fx.transactions.select(*[F.col(c).alias(name) for name, c in columns.items()]), folder)
+    return tables.read_transactions(fx.spark, folder, fmt="workbook").drop("line_no")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from receivables.functions import dates
+from receivables.sources import workbook
 
 CUSTOMERS_SCHEMA = (
     "customer_id string, name string, email string, phone string, industry string, country string, state string, "
@@ -214,22 +215,28 @@ def read_schedule(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, "schedule")
 
 
-def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-7: raw retail lines (CSV export of the spreadsheet) by their header, columns renamed to the ingest vocabulary.
+def read_transactions(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+    """SRC-7: raw retail lines, from the spreadsheet itself (``.xlsx``, or a folder of them with ``fmt="workbook"``) or its CSV
+    export, by their header; columns renamed to the ingest vocabulary.
 
     ``line_no`` is a hash of the line's own columns: it gives lines of one invoice an order that does not depend on how the
-    files are split (equal lines are interchangeable).
+    files are split (equal lines are interchangeable), nor on the format.
     """
-    header = {re.sub("[^a-z0-9]", "", c.lower()): c for c in spark.read.option("header", True).csv(path).columns}
+    fmt = fmt or ("workbook" if path.endswith((".xlsx", ".xlsm")) else "csv")
+    cells = workbook.read(spark, path) if fmt == "workbook" else spark.read.option("header", True).csv(path)
+    header = {re.sub("[^a-z0-9]", "", c.lower()): c for c in cells.columns}
     names = {name: next((header[s] for s in spellings if s in header), None) for name, spellings in TRANSACTION_COLUMNS.items()}
     missing = [name for name, c in names.items() if c is None and name != "description"]
     if missing:
         raise ValueError(f"{path} has no column for {missing}")
     types = _types(TRANSACTIONS_SCHEMA)
-    raw = _read_csv(spark, path, {c: types[name] for name, c in names.items() if c})
-    df = raw.select(*[F.col(f"`{c}`").alias(name) for name, c in names.items() if c])
+    if fmt == "workbook":
+        df = cells.select(*[F.col(f"`{c}`").try_cast(types[name]).alias(name) for name, c in names.items() if c])
+    else:
+        raw = _read_csv(spark, path, {c: types[name] for name, c in names.items() if c})
+        df = raw.select(*[F.col(f"`{c}`").alias(name) for name, c in names.items() if c])
     return df.select(
-        "invoice_no", "stock_code", F.xxhash64(*df.columns).alias("line_no"), "quantity", "unit_price",
+        "invoice_no", "stock_code", F.xxhash64(*[F.col(n) for n in sorted(df.columns)]).alias("line_no"), "quantity", "unit_price",
         dates.parse_date(F.col("invoice_date")).alias("invoice_date"), F.col("customer_id").alias("customer_key"), "country",
     )
 

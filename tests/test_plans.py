@@ -1,4 +1,4 @@
-"""Plan checks: no Python in any registered query (the model's: tests/test_model.py), pruned scans, pushed filters, windows."""
+"""Plan checks: no Python UDF in any registered query (the model's: tests/test_model.py), pruned scans, pushed filters, windows."""
 
 import pytest
 

@@ -45,13 +45,42 @@ def test_edges(spark):
     assert language.language_rows(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
-def test_presence_kernel():
-    rows = language.presence(["Ab ab", "AB", "", "xyz", "x1y--z"])
-    assert rows[2].sum() == 0 and (rows[0] & rows[1]).sum() == rows[1].sum()
-    k = language.kernel(rows, rows)
-    assert np.allclose(np.diag(k)[[0, 1, 3, 4]], 1) and np.allclose(k, k.T)
-    alone = np.vstack([language.presence([t]) for t in ["Ab ab", "AB", "", "xyz", "x1y--z"]])
-    assert (alone == rows).all()
+def exact_grams(text):
+    clean = "".join(c if c.isalpha() else " " for c in text.lower())
+    while "  " in clean:
+        clean = clean.replace("  ", " ")
+    return {clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1)}
+
+
+def test_whole_result_against_a_direct_solution(spark):
+    """Landmarks, weights, ridge and scores of every row, from exact sets of n-grams and the ridge's normal equations in the
+    space of the landmarks (no whitening)."""
+    rng = np.random.default_rng(11)
+    words = {lang: ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(60)] for lang, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "abijmnop"))}
+    langs = ["aa"] * 150 + ["bb"] * 110 + ["cc"] * 20
+    rows = [(k, " ".join(rng.choice(words[lang], 12 if k % 6 else 2)), lang if k % 10 else None) for k, lang in enumerate(langs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    hashes = {r.doc_id: (r.h, r.g) for r in df.selectExpr("doc_id", "xxhash64(doc_id, text) h", "xxhash64(text, doc_id) g").collect()}
+    learned = sorted((lang, hashes[k], k) for k, _, lang in rows if lang and zlib.crc32(str(k).encode()) % 3 != 1)
+    names = sorted({lang for lang, *_ in learned})
+    marks = [x for name in names for x in [r for r in learned if r[0] == name][: language.LANDMARKS]]
+    assert len(marks) < len(learned) and len({sum(r[0] == n for r in learned) for n in names}) == 3
+    sets = {k: exact_grams(text) for k, text, _ in rows}
+    kernel = lambda a, b: np.array([[len(sets[x] & sets[y]) / (len(sets[x]) * len(sets[y])) ** 0.5 for y in b] for x in a])
+    m = [k for *_, k in marks]
+    values = np.hstack([kernel([k for *_, k in learned], m), np.ones((len(learned), 1))])
+    penalty = np.zeros((len(m) + 1, len(m) + 1))
+    penalty[:-1, :-1], penalty[-1, -1] = kernel(m, m), 1
+    target = np.array([[1.0 if lang == name else -1.0 for name in names] for lang, *_ in learned])
+    weight = np.array([[1 / sum(r[0] == lang for r in learned)] for lang, *_ in learned])
+    solved = np.linalg.solve(values.T @ (weight * values) + language.RIDGE * penalty, values.T @ (weight * target))
+    margin = np.hstack([kernel([k for k, *_ in rows], m), np.ones((len(rows), 1))]) @ solved
+    got = {r.doc_id: r for r in language.language_rows(df).collect()}
+    assert len(got) == len(rows)
+    for (k, *_), found in zip(rows, margin):
+        second, best = np.sort(found)[-2:]
+        assert abs(got[k].score - 1 / (1 + np.exp(-2 * best))) < 2e-3
+        assert got[k].lang_pred == names[found.argmax()] or best - second < 1e-2
 
 
 def test_long_text_in_a_large_alphabet():
@@ -60,13 +89,7 @@ def test_long_text_in_a_large_alphabet():
     chinese, other = ("".join(map(chr, rng.integers(0x4E00, 0x9FA0, n))) for n in (200_000, 300))
     texts = [chinese, other, "Ab  ab", "the cat, the dog", "", "a\0b", "\U0010fffd"]
 
-    def exact(text):
-        clean = "".join(c if c.isalpha() else " " for c in text.lower())
-        while "  " in clean:
-            clean = clean.replace("  ", " ")
-        return {clean[i : i + n] for n in (1, 2, 3) for i in range(len(clean) - n + 1)}
-
-    sets, found = [exact(t) for t in texts], language.grams(texts)
+    sets, found = [exact_grams(t) for t in texts], language.grams(texts)
     assert [len(x) for x in found] == [len(s) for s in sets] and len(sets[0]) > 300_000
     want = [[len(a & b) / max(1, len(a) * len(b)) ** 0.5 for b in sets] for a in sets]
     assert np.allclose(language.Landmarks(found).kernel(found), want, atol=1e-5)

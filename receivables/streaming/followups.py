@@ -10,9 +10,12 @@ A timer per invoice stands at its next pending attempt: when the watermark passe
 appended once more as event ``due``. An attempt that was completed, cancelled or moved before is not due; a moved one is due again
 on its new day.
 
-Attempts are the cadence's, so a state is bounded however many updates and payments an invoice has: updates of attempt numbers
-beyond the longest cadence go before the state. A state without an attempt still to fall due is dropped ``keep_days`` after the
-latest event that it has seen; updates of an invoice whose target never comes go with it.
+Attempts are the cadence's, so the state of an invoice is bounded however many updates and payments it has: updates of attempt
+numbers beyond the longest cadence go before the state. The state of an invoice without an attempt still to fall due is dropped
+``keep_days`` after the latest event that it has seen; updates of an invoice whose target never comes go with it.
+
+A call of the stateful step costs milliseconds whatever it does, so invoices are kept in ``shards.SHARDS`` shards by a hash of
+their id: a call takes all arrivals and timers of a shard, invoice by invoice, and only these invoices' states are decoded.
 
 Defined results: of several targets of an invoice the one with the latest contact counts (ties: more days overdue, then the
 larger risk and customer), attempts that only an older one had are no longer listed; repeated rows change nothing; rows without
@@ -38,6 +41,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from receivables.functions.stored import workers_find_package
 from receivables.operators import schedule
 from receivables.session import checkpoint_folder
+from receivables.streaming import shards
 from receivables.streaming.cancellations import PAYMENT_EVENT_SCHEMA, REASON
 
 TARGET_EVENTS = "invoice_id string, customer_id string, risk_category string, days_overdue int, last_contact date"
@@ -50,9 +54,9 @@ CHANGES = (
     "estimated_days_overdue int, status string, reschedule_reason string, completed_date date, completion_notes string, "
     "cancellation_reason string, cancelled_date date, event string, version long"
 )
-STATE = "memory string"
+# The sequence is sent as text: pandas would make numbers with gaps inexact.
 EVENT_COLUMNS = {
-    "invoice_id": "string", "seconds": "long", "kind": "string", "attempt_number": "int", "sequence": "long", "day": "int", "asked_day": "int", "said": "string",
+    "invoice_id": "string", "seconds": "long", "kind": "string", "attempt_number": "int", "sequence": "string", "day": "int", "asked_day": "int", "said": "string",
     "contact": "int", "overdue": "int", "risk": "string", "customer_id": "string", "action_type": "string", "days_offset": "int",
 }
 DAY_MS = 86_400_000
@@ -122,11 +126,13 @@ class Event(NamedTuple):
     days_offset: int | None
 
 
-def _plain(values: pd.DataFrame) -> Iterator[Event]:
-    """Rows with missing values as None and whole numbers as int, whatever type pandas gave the column."""
+def _plain(values: pd.DataFrame) -> Iterator[tuple[str, int, Event]]:
+    """(invoice, seconds, event) of the rows, with missing values as None and whole numbers as int, whatever type pandas gave the
+    column."""
     plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) else v
-    for row in zip(*(values[name].tolist() for name in Event._fields), strict=True):
-        yield Event(*map(plain, row))
+    columns = {name: list(map(plain, values[name].tolist())) for name in Event._fields}
+    columns["sequence"] = [None if v is None else int(v) for v in columns["sequence"]]
+    yield from zip(values["invoice_id"].tolist(), values["seconds"].tolist(), map(Event._make, zip(*columns.values(), strict=True)), strict=True)
 
 
 def _known(value) -> list:
@@ -179,42 +185,57 @@ def _dated(row: list) -> list:
     return [EPOCH + dt.timedelta(days=v) if k in DATES and v is not None else v for k, v in enumerate(row)]
 
 
+def follow(memory: dict, arrived: list[Event], latest: int, watermark: int, keep_ms: int) -> tuple[list[list], int | None]:
+    """Take an invoice's arrivals into ``memory``: rows of the attempts that they change and of those that fall due, and the time
+    at which to look again (None: the invoice can be forgotten)."""
+    before = _rows(memory)
+    memory["latest"] = max(memory["latest"], latest)
+    for event in arrived:
+        _merge(memory, event)
+    after = _rows(memory) if arrived else before
+    # A state that comes anew after an old one was dropped goes on with larger versions: the watermark has moved on.
+    version = max(memory["version"] + 1, watermark)
+    out = [[*row, "changed"] for attempt, row in after.items() if before.get(attempt) != row]
+    out += [[*row[:6], "replaced", *row[7:], "changed"] for attempt, row in before.items() if attempt not in after]
+    timers = []
+    for attempt, row in after.items():
+        if row[6] == "pending" and memory["told"].get(attempt) != row[2]:
+            if row[2] * DAY_MS < watermark:
+                memory["told"][attempt] = row[2]
+                out.append([*row, "due"])
+            else:
+                timers.append(row[2] * DAY_MS)
+    if out:
+        memory["version"] = version
+    rows = [[*_dated(row), version] for row in out]
+    if not timers and memory["latest"] + keep_ms < watermark:
+        return rows, None
+    return rows, max(min(timers, default=memory["latest"] + keep_ms), watermark) + 1
+
+
 def changes(keep_ms: int):
-    """The stateful step: whole rows of the attempts that an arrival changes, and of those that fall due."""
+    """The stateful step: whole rows of the attempts that an arrival changes, and of those that fall due, for a shard of invoices."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = json.loads(state.get[0]) if state.exists else {"key": None, "plan": {}, "updates": {}, "paid": None, "told": {}, "version": 0, "latest": 0}
-        watermark = state.getCurrentWatermarkMs()
-        before = _rows(memory)
+        held, watermark = shards.entries(state), state.getCurrentWatermarkMs()
+        asked: dict[str, tuple[list[Event], int]] = {invoice: ([], 0) for invoice, (timer, _) in held.items() if timer < watermark}
         for batch in batches:
-            if not len(batch):  # a timer's call has no rows
-                continue
-            memory["latest"] = max(memory["latest"], int(batch["seconds"].max()) * 1000)
-            for event in _plain(batch):
-                _merge(memory, event)
-        after = _rows(memory)
-        # A state that comes anew after an old one was dropped goes on with larger versions: the watermark has moved on.
-        version = max(memory["version"] + 1, watermark)
-        out = [[*row, "changed"] for attempt, row in after.items() if before.get(attempt) != row]
-        out += [[*row[:6], "replaced", *row[7:], "changed"] for attempt, row in before.items() if attempt not in after]
-        timers = []
-        for attempt, row in after.items():
-            if row[6] == "pending" and memory["told"].get(attempt) != row[2]:
-                if row[2] * DAY_MS < watermark:
-                    memory["told"][attempt] = row[2]
-                    out.append([*row, "due"])
-                else:
-                    timers.append(row[2] * DAY_MS)
-        if out:
-            memory["version"] = version
-        if not timers and memory["latest"] + keep_ms < watermark:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((json.dumps(memory),))
-            state.setTimeoutTimestamp(max(min(timers, default=memory["latest"] + keep_ms), watermark) + 1)
+            for invoice, seconds, event in _plain(batch) if len(batch) else ():  # a timer's call has no rows
+                arrived, latest = asked.get(invoice) or ([], 0)
+                arrived.append(event)
+                asked[invoice] = arrived, max(latest, seconds * 1000)
+        out = []
+        for invoice, (arrived, latest) in asked.items():
+            memory = json.loads(held[invoice][1]) if invoice in held else {"key": None, "plan": {}, "updates": {}, "paid": None, "told": {}, "version": 0, "latest": 0}
+            rows, timer = follow(memory, arrived, latest, watermark, keep_ms)
+            out += [[invoice, *row] for row in rows]
+            if timer is None:
+                held.pop(invoice, None)
+            else:
+                held[invoice] = timer, json.dumps(memory)
+        shards.keep(state, held)
         if out:
-            yield pd.DataFrame([[key[0], *_dated(row), version] for row in out], columns=[c.split()[0] for c in CHANGES.split(", ")], dtype=object)
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")], dtype=object)
 
     return step
 
@@ -228,8 +249,8 @@ def start(spark: SparkSession, targets_dir: str, updates_dir: str, payments_dir:
     arrived = events(
         read(TARGET_EVENTS, targets_dir), read(UPDATE_EVENTS, updates_dir), read(PAYMENT_EVENT_SCHEMA, payments_dir), holidays, cadences or schedule.CADENCES
     )
-    stated = arrived.withWatermark("at", f"{late_days} days").groupBy("invoice_id")
-    out = stated.applyInPandasWithState(changes(keep_days * DAY_MS), CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    stated = arrived.withWatermark("at", f"{late_days} days").withColumn("shard", shards.shard("invoice_id")).groupBy("shard")
+    out = stated.applyInPandasWithState(changes(keep_days * DAY_MS), CHANGES, shards.STATE, "append", GroupStateTimeout.EventTimeTimeout)
     key = hashlib.sha1(sink_dir.encode()).hexdigest()[:12]
     place = os.path.join(checkpoint_folder(spark), "streams", f"{name}-{key}")
     writer = out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", place).outputMode("append")

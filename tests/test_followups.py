@@ -1,6 +1,8 @@
 """Follow-ups as a stream: the batch operators' schedule in any order of arrival, timers, replans, late events."""
 
 import datetime as dt
+import hashlib
+import os
 import random
 
 import pytest
@@ -8,7 +10,8 @@ from pyspark.sql import functions as F
 
 from receivables.operators import schedule
 from receivables.sources import tables
-from receivables.streaming import cancellations, followups
+from receivables.session import checkpoint_folder
+from receivables.streaming import cancellations, followups, shards
 
 D = dt.date(2001, 6, 29)
 day = lambda n: D + dt.timedelta(days=n)
@@ -118,3 +121,19 @@ def test_late_events_and_dropped_states(spark, scratch):
     feed(spark, scratch, [("N", "C", "low", 0, day(195))], [done("A", 1, 9, D, when=100)])  # the second is beyond the watermark
     rows = followups.current(run(spark, scratch, late_days=10, keep_days=20)).collect()
     assert {r.invoice_id for r in rows} == {"A", "B", "N"} and {r.status for r in rows} == {"pending"}
+
+
+def test_calls_do_not_grow_with_the_invoices(spark, scratch, monkeypatch):
+    """Many invoices share a call of the stateful step; each keeps its own state, timers and drop."""
+    monkeypatch.setattr(shards, "SHARDS", 3)
+    sequence = 2**53 + 1  # not exact as a float
+    targets = [(f"I\t{k}\n\"é", f"C{k}", "low", 0, D) for k in range(60)]
+    feed(spark, scratch, targets[:40], [done(t[0], 2, n, day(6 - n % 2)) for t in targets[::2] for n in (sequence, sequence - 1)])
+    run(spark, scratch, late_days=30)
+    name = f"followups-{hashlib.sha1(f'{scratch}/changes'.encode()).hexdigest()[:12]}"
+    assert 0 < spark.read.format("statestore").load(os.path.join(checkpoint_folder(spark), "streams", name)).count() <= 3
+    feed(spark, scratch, targets[40:], payments=[("P", targets[1][0], day(3), 1.0, "ach", "completed")])
+    found = run(spark, scratch, late_days=30)
+    rows = {(r.invoice_id, r.attempt_number): r for r in followups.current(found).collect()}
+    assert len(rows) == 60 * 4 and {r.status for k, r in rows.items() if k[0] == targets[1][0]} == {"cancelled"}
+    assert all(rows[t[0], 2].completed_date == day(5) for t in targets[::2])

@@ -9,11 +9,16 @@ The state of an action is a few numbers, however many outcomes it has, and is dr
 that it has seen (event-time timeout under a watermark of ``keep``). An outcome that comes before its action waits in the state;
 one that is later than the watermark is dropped, as is one whose action never comes. A delivered action counts
 once (by its id), a delivered outcome each time it is delivered.
+
+A call of the stateful step costs milliseconds whatever it does, so actions are kept in ``shards.SHARDS`` shards by a hash of
+their id: a call takes all arrivals of a shard, action by action, and adds their changes up by (date, type).
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 
@@ -26,11 +31,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from receivables.functions import expr as E
 from receivables.functions.stored import workers_find_package
 from receivables.session import checkpoint_folder
+from receivables.streaming import shards
 
 ACTION_EVENTS = "action_id string, action_type string, action_date timestamp_ntz"
 OUTCOME_EVENTS = "outcome_id string, action_id string, outcome_type string, outcome_date timestamp_ntz, amount_collected double, days_to_payment int"
 CHANGES = "metric_date date, action_type string, actions long, successes long, cents long, days long, dated long"
-STATE = "day int, kind string, known boolean, paid boolean, cents long, days long, dated long"
+EPOCH = dt.date(1970, 1, 1)
 
 
 def events(actions: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -46,36 +52,45 @@ def events(actions: DataFrame, outcomes: DataFrame) -> DataFrame:
         F.coalesce(F.col("outcome_type") == "paid", F.lit(False)).alias("paid"), cents.alias("cents"),
         F.coalesce(F.col("days_to_payment").cast("long"), F.lit(0).cast("long")).alias("days"), F.col("days_to_payment").isNotNull().cast("long").alias("dated"),
     )
-    return a.unionByName(o)
+    return a.unionByName(o).withColumn("millis", F.unix_millis("at"))
+
+
+def _plain(batch: pd.DataFrame) -> Iterator[tuple]:
+    """Rows with missing values as None."""
+    columns = ("action_id", "millis", "day", "kind", "is_action", "paid", "cents", "days", "dated")
+    yield from zip(*([None if v is None or v != v else v for v in batch[c].tolist()] for c in columns), strict=True)
 
 
 def changes(keep_ms: int):
-    """The stateful step: changes of an action's (date, type) row."""
+    """The stateful step: changes of the (date, type) rows of a shard's actions."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        day, kind, known, paid, cents, days, dated = state.get if state.exists else (0, None, False, False, 0, 0, 0)
-        was_known, was_paid, latest = known, paid, state.getCurrentWatermarkMs()
-        before = (cents, days, dated)
-        for b in batches:
-            sent = b[b.is_action]
-            if len(sent) and not known:
-                day, kind, known = int(sent.day.iloc[0]), sent.kind.iloc[0], True
-            paid = paid or bool(b.paid.any())
-            cents, days, dated = cents + int(b.cents.sum()), days + int(b.days.sum()), dated + int(b.dated.sum())
-            latest = max(latest, int(b["at"].max().timestamp() * 1000))
-        state.update((day, kind, known, paid, cents, days, dated))
-        state.setTimeoutTimestamp(latest + keep_ms + 1)
-        if not known:
-            return
-        # What waited for the action comes with it.
-        old = before if was_known else (0, 0, 0)
-        change = [int(not was_known), int(paid) - int(was_paid and was_known), cents - old[0], days - old[1], dated - old[2]]
-        if any(change):
-            date = pd.Timestamp(0) + pd.Timedelta(days=day)
-            yield pd.DataFrame([[date.date(), kind, *change]], columns=["metric_date", "action_type", "actions", "successes", "cents", "days", "dated"])
+        held, watermark = shards.entries(state), state.getCurrentWatermarkMs()
+        arrived: dict[str | None, list] = {}  # action -> what is known of it before, what after, its latest event
+        for batch in batches:
+            for action, millis, day, kind, is_action, paid, cents, days, dated in _plain(batch) if len(batch) else ():
+                if action not in arrived:
+                    before = json.loads(held[action][1]) if action in held else [0, None, False, False, 0, 0, 0]
+                    arrived[action] = [before, list(before), watermark]
+                now = arrived[action][1]
+                if is_action and not now[2]:
+                    now[:3] = None if day is None else int(day), kind, True
+                now[3:] = now[3] or paid, now[4] + cents, now[5] + days, now[6] + dated
+                arrived[action][2] = max(arrived[action][2], watermark if millis is None else int(millis))
+        changed: dict[tuple, list[int]] = {}
+        for action, (before, now, latest) in arrived.items():
+            held[action] = latest + keep_ms + 1, json.dumps(now)
+            day, kind, known, paid, *sums = now
+            if known:
+                # What waited for the action comes with it.
+                old = before[3:] if before[2] else [False, 0, 0, 0]
+                change = [int(not before[2]), int(paid) - int(old[0]), *(x - y for x, y in zip(sums, old[1:], strict=True))]
+                if any(change):
+                    changed[day, kind] = [x + y for x, y in zip(changed.get((day, kind), [0] * 5), change, strict=True)]
+        shards.keep(state, {action: entry for action, entry in held.items() if action in arrived or entry[0] >= watermark})
+        if changed:
+            rows = [[None if day is None else EPOCH + dt.timedelta(days=day), kind, *change] for (day, kind), change in changed.items()]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
     return step
 
@@ -86,7 +101,7 @@ def start(spark: SparkSession, actions_dir: str, outcomes_dir: str, sink_dir: st
     workers_find_package(spark)
     read = lambda schema, path: spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     arrived = events(read(ACTION_EVENTS, actions_dir), read(OUTCOME_EVENTS, outcomes_dir)).withWatermark("at", f"{keep_days} days")
-    out = arrived.groupBy("action_id").applyInPandasWithState(changes(keep_days * 86_400_000), CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out = arrived.withColumn("shard", shards.shard("action_id")).groupBy("shard").applyInPandasWithState(changes(keep_days * 86_400_000), CHANGES, shards.STATE, "append", GroupStateTimeout.EventTimeTimeout)
     key = hashlib.sha1(sink_dir.encode()).hexdigest()[:12]
     place = os.path.join(checkpoint_folder(spark), "streams", f"{name}-{key}")
     writer = out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", place).outputMode("append")

@@ -7,7 +7,7 @@ import pytest
 
 from receivables.operators import activity, audit
 from receivables.sources import tables
-from receivables.streaming import daily_metrics
+from receivables.streaming import daily_metrics, shards
 
 T = dt.datetime(2024, 1, 1)
 KINDS = ["call", "email", "escalate"]
@@ -97,3 +97,14 @@ def test_late_events_beyond_the_watermark_are_dropped(spark, scratch):
     put(paid("B", 45), f"{scratch}/outcomes")
     rows = {r.metric_date: r for r in daily_metrics.current(run(spark, scratch, keep_days=10)).collect()}
     assert set(rows) == {T.date(), (T + dt.timedelta(days=40)).date()} and all(r.successful_actions == r.total_actions == 1 for r in rows.values())
+
+
+def test_calls_do_not_grow_with_the_actions(spark, log, scratch, monkeypatch):
+    """Many actions share a call of the stateful step and its changes."""
+    monkeypatch.setattr(shards, "SHARDS", 2)
+    a, _, o = log
+    put(a, f"{scratch}/actions")
+    put(o, f"{scratch}/outcomes")
+    found = run(spark, scratch)
+    assert sorted(map(tuple, daily_metrics.current(found).collect())) == sorted(map(tuple, audit.daily_success_metrics(a, o).collect()))
+    assert found.count() <= 2 * a.selectExpr("to_date(action_date)", "action_type").distinct().count()

@@ -19,8 +19,10 @@ import re
 import zipfile
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import islice
 from urllib.parse import urlparse
 from xml.etree.ElementTree import Element, iterparse
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -108,18 +110,58 @@ class Book:
         return None
 
     def rows(self) -> Iterator[tuple[int, dict[int, str]]]:
-        """(number, column -> text) of every row that holds a text."""
-        number = 0
-        for row in _elements(self.zip, self.part, "row"):
-            number = int(row.get("r", number + 1))
-            cells, column = {}, -1
-            for cell in row:
-                column = _column(cell.get("r")) if cell.get("r") else column + 1
-                text = self._value(cell)
-                if text:
-                    cells[column] = text
+        """(number, column -> text) of every row that holds a text. A sheet has most of a workbook's elements: it is read by the
+        parser's events, without objects for its elements."""
+        if self.part not in self.zip.namelist():
+            return
+        found: list[tuple[int, dict[int, str]]] = []
+        number, column, cells, path, attributes, texts, seen = 0, -1, None, [], {}, [], set()
+
+        def start(name: str, given: dict[str, str]) -> None:
+            nonlocal number, column, cells, attributes
+            name = name.rpartition(":")[2]
+            if cells is None:
+                if name == "row":
+                    number, column, cells = int(given.get("r", number + 1)), -1, {}
+                return
+            path.append(name)
+            if len(path) == 1:
+                column, attributes = _column(given["r"]) if given.get("r") else column + 1, given
+                texts.clear()
+                seen.clear()
+            elif (len(path) == 2 and name == ("is" if attributes.get("t") == "inlineStr" else "v") and name not in seen) or (
+                len(path) > 2 and name == "t" and "is" in seen and path[1] == "is" and all(p == "r" for p in path[2:-1])
+            ):
+                seen.add(name)
+                if name != "is":
+                    parser.CharacterDataHandler = texts.append
+
+        def end(name: str) -> None:
+            nonlocal cells
+            if cells is None:
+                return
+            parser.CharacterDataHandler = None
+            if path:
+                path.pop()
+                if not path and texts:
+                    text = self._value(attributes.get("t", "n"), attributes.get("s", 0), "".join(texts))
+                    if text:
+                        cells[column] = text
+                return
             if cells:
-                yield number, cells
+                found.append((number, cells))
+            cells = None
+
+        parser = expat.ParserCreate()
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler = start, end
+        with self.zip.open(self.part) as f:
+            while chunk := f.read(1 << 18):
+                parser.Parse(chunk, False)
+                yield from found
+                found.clear()
+            parser.Parse(b"", True)
+            yield from found
 
     @cached_property
     def shared(self) -> list[str]:
@@ -136,12 +178,10 @@ class Book:
             return {k for k, xf in enumerate(formats) if int(xf.get("numFmtId", 0)) in dates}
         return set()
 
-    def _value(self, cell: Element) -> str | None:
-        kind = cell.get("t", "n")
+    def _value(self, kind: str, style: str | int, value: str) -> str | None:
         if kind == "inlineStr":
-            return next((_text(child) for child in cell if _tag(child) == "is"), None)
-        value = next((child.text for child in cell if _tag(child) == "v"), None)
-        if value is None or kind == "e":
+            return value
+        if kind == "e":
             return None
         if kind == "s":
             return self.shared[int(value)]
@@ -150,7 +190,7 @@ class Book:
         if kind != "n":
             return value
         x = float(value)
-        if int(cell.get("s", 0)) in self.dated:
+        if int(style) in self.dated:
             try:
                 return self._date(x)
             except OverflowError:
@@ -255,19 +295,31 @@ PARTS = {
 }
 SHEET_ROWS = 1_000_000  # of a written workbook, with the header below the format's 1,048,576
 NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+MARKUP = re.compile("[&<>\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
+def _inline(value) -> str:
+    text = str(value)
+    if MARKUP.search(text):
+        text = escape(NOT_XML.sub("", text))
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
+
+
+def _day(value: dt.date) -> str:
+    at = value if isinstance(value, dt.datetime) else dt.datetime.combine(value, dt.time())
+    return f'<c s="1"><v>{(at - FIRST_DAY) / dt.timedelta(days=1)!r}</v></c>'
 
 
-def _cell(value) -> str:
-    if value is None:
-        return "<c/>"
-    if isinstance(value, bool):
-        return f'<c t="b"><v>{int(value)}</v></c>'
-    if isinstance(value, (int, float)):
-        return f"<c><v>{value!r}</v></c>"
-    if isinstance(value, dt.date):
-        at = value if isinstance(value, dt.datetime) else dt.datetime.combine(value, dt.time())
-        return f'<c s="1"><v>{(at - FIRST_DAY) / dt.timedelta(days=1)!r}</v></c>'
-    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(NOT_XML.sub("", str(value)))}</t></is></c>'
+def _cells(column: pa.Array) -> list[str]:
+    """The cells of a column's values."""
+    t = column.type
+    if pa.types.is_boolean(t):
+        cell = lambda v: f'<c t="b"><v>{int(v)}</v></c>'
+    elif pa.types.is_integer(t) or pa.types.is_floating(t):
+        cell = lambda v: f"<c><v>{v!r}</v></c>"
+    else:
+        cell = _day if pa.types.is_date(t) or pa.types.is_timestamp(t) else _inline
+    return ["<c/>" if v is None else cell(v) for v in column.to_pylist()]
 
 
 def save(df: DataFrame, folder: str) -> None:
@@ -280,21 +332,24 @@ def save(df: DataFrame, folder: str) -> None:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, attempt, (system, place) = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), opened(folder)
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        rows = ("<row>" + "".join(cells) + "</row>" for batch in batches for cells in zip(*map(_cells, batch.columns), strict=True))
         part, row = 0, next(rows, None)
         while row is not None:
             name = f"part-{task:06}-{part:04}.xlsx"
-            with system.open_output_stream(f"{place}/_{name}-{attempt}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            # The quick level: the texts are repetitive, and the files are read once or a few times.
+            with system.open_output_stream(f"{place}/_{name}-{attempt}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as book:
                 for path, text in PARTS.items():
                     book.writestr(path, text)
                 with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
                     sheet.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
-                    written, line = 0, names
-                    while line is not None:
-                        sheet.write(("<row>" + "".join(map(_cell, line)) + "</row>").encode())
-                        line, written = (row, written + 1) if written < SHEET_ROWS else (None, written)
-                        row = next(rows, None) if line is not None else row
+                    sheet.write(("<row>" + "".join(map(_inline, names)) + "</row>").encode())
+                    left, lines = SHEET_ROWS, [row]
+                    while lines:
+                        sheet.write("".join(lines).encode())
+                        left -= len(lines)
+                        lines = list(islice(rows, min(left, 1000)))
                     sheet.write(b"</sheetData></worksheet>")
+            row = next(rows, None)
             system.move(f"{place}/_{name}-{attempt}", f"{place}/{name}")
             part += 1
         yield pa.RecordBatch.from_arrays([pa.array([part])], ["workbooks"])

@@ -108,3 +108,16 @@ def test_written_workbooks(spark, scratch, monkeypatch):
         workbook.read(spark, f"{scratch}/out").collect()
     with pytest.raises(Exception, match="no workbook"):
         workbook.read(spark, os.path.dirname(workbook.__file__)).collect()
+
+
+def test_a_sheet_is_read_without_objects_for_its_elements(scratch, monkeypatch):
+    """Prefixed names, reading aids, nested runs, formulas, repeated parts of a cell, cells without a reference."""
+    xml = """<x:row r="2"><x:c t="inlineStr"><x:is><x:r><x:t>a </x:t></x:r><x:r><x:rPr/><x:r><x:t>b&amp;</x:t></x:r></x:r><x:rPh><x:t>no</x:t></x:rPh><x:t>c</x:t></x:is><x:v>9</x:v></x:c>
+<x:c r="D2"><x:f>1+1</x:f><x:v>2</x:v></x:c><x:c><x:v/></x:c><x:c t="inlineStr"><x:v>9</x:v></x:c><x:c><x:is><x:t>9</x:t></x:is></x:c></x:row><x:row/><x:row><x:c t="str"><x:v>é&lt;</x:v></x:c></x:row>"""
+    book(f"{scratch}/odd.xlsx", xml.replace("<x:", '<').replace("</x:", "</"))
+    book(f"{scratch}/prefixed.xlsx", f'</sheetData><x:sheetData xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{xml}</x:sheetData><sheetData>')
+    opened = [workbook.Book(*workbook.opened(f"{scratch}/{name}.xlsx"), None) for name in ("odd", "prefixed")]
+    assert all(b.dated == {1, 4} for b in opened)  # styles are read once
+    monkeypatch.setattr(workbook, "iterparse", None)
+    for b in opened:
+        assert list(b.rows()) == [(2, {0: "a b&c", 3: "2"}), (4, {0: "é<"})]

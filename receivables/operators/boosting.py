@@ -40,6 +40,7 @@ CHECKPOINT_TREES = 10
 MOST_DIRECT = 32  # partial sums of more partitions are added up on executors first
 TASK_ROWS = 1 << 15
 BROADCAST_ROWS = 1 << 18
+BUNDLE_CELLS = 1 << 12  # combined bins of features that are counted together; below 2^16
 BLOCK_ROWS = 1 << 16  # more rows would overflow the packed sums of a block
 G_UNIT, H_UNIT, COUNT_UNIT = 2.0**30, 2.0**20, 2.0**35
 
@@ -80,22 +81,22 @@ class BoostedTrees:
     gains: list[float] = field(default_factory=list)
 
     def margin(self) -> Column:
-        """Log-odds of the positive class, from the feature columns."""
-        x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.columns])
-        shape = "array<struct<feature:array<int>,cut:array<double>,value:array<double>>>"
-        trees = F.from_json(F.lit(json.dumps([{"feature": t.feature, "cut": t.cut, "value": t.value} for t in self.trees])), shape)
-        steps = F.sequence(F.lit(1), F.lit(self.depth))
-
-        def walk(x, tree):
-            def step(node, _):
-                feature = tree["feature"][node]
-                return F.when(feature >= 0, 2 * node + F.when(x[feature] > tree["cut"][node], 2).otherwise(1)).otherwise(node)
-
-            return F.aggregate(steps, F.lit(0), step)
-
+        """Log-odds of the positive class, from the feature columns. Trees are nested conditions, so that a row meets its own
+        path only; walking trees held as arrays costs it a look-up of every part of every node."""
+        def number(v: float) -> str:
+            return f"{float(v)!r}D" if math.isfinite(v) else f"double('{v}')"
+
+        def walk(tree: Tree, node: int) -> str:
+            if tree.feature[node] < 0:
+                return number(tree.value[node])
+            return f"IF(x[{tree.feature[node]}] > {number(tree.cut[node])}, {walk(tree, 2 * node + 2)}, {walk(tree, 2 * node + 1)})"
+
+        if not self.trees:
+            return F.lit(float(self.prior))
+        row = ", ".join("coalesce(cast(`{}` AS double), 0D)".format(c.replace("`", "``")) for c in self.columns)
+        trees = ", ".join(walk(t, 0) for t in self.trees)
         # The row's features become a lambda variable, so that the array is built once a row.
-        total = F.transform(F.array(x), lambda v: F.aggregate(trees, F.lit(float(self.prior)), lambda acc, t: acc + t["value"][walk(v, t)]))
-        return total[0]
+        return F.expr(f"transform(array(array({row})), x -> aggregate(array({trees}), {number(self.prior)}, (sum, t) -> sum + t))[0]")
 
     def probability(self) -> Column:
         return 1 / (1 + F.exp(-self.margin()))
@@ -125,34 +126,53 @@ def blocks(rows: DataFrame, columns: list[str], cuts: list[list[float]], size: i
     """Written blocks of up to ``size`` binned rows; ``rows`` has the features, ``label``, ``fold`` and ``draw`` (a hash of
     the row's key)."""
 
+    def whole(batches) -> Iterator[pa.Table]:
+        """Tables of ``size`` rows: Spark's batches are smaller, and a block costs its cells besides its rows."""
+        kept: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            lo = 0
+            while lo < batch.num_rows:
+                kept.append(batch.slice(lo, size - n))
+                lo, n = lo + kept[-1].num_rows, n + kept[-1].num_rows
+                if n == size:
+                    yield pa.Table.from_batches(kept)
+                    kept, n = [], 0
+        if kept:
+            yield pa.Table.from_batches(kept)
+
     def pack(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, size):
-                batch = whole.slice(lo, size)
-                x = np.empty((len(columns), batch.num_rows), np.uint8)
-                for f, c in enumerate(columns):
-                    x[f] = np.searchsorted(cuts[f], batch.column(c).to_numpy(zero_copy_only=False), side="left")
-                y, fold = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int8) for c in ("label", "fold"))
-                draw = batch.column("draw").to_numpy(zero_copy_only=False).astype(np.int64)
-                values = [x.tobytes(), y.tobytes(), fold.tobytes(), draw.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["x", "y", "fold", "draw"])
+        for table in whole(batches):
+            x = np.empty((len(columns), table.num_rows), np.uint8)
+            for f, c in enumerate(columns):
+                x[f] = np.searchsorted(cuts[f], table.column(c).to_numpy(), side="left")
+            y, fold = (table.column(c).to_numpy().astype(np.int8) for c in ("label", "fold"))
+            draw = table.column("draw").to_numpy().astype(np.int64)
+            values = [x.tobytes(), y.tobytes(), fold.tobytes(), draw.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["x", "y", "fold", "draw"])
 
     return run.stored(rows.select(*columns, "label", "fold", "draw").mapInArrow(pack, "x binary, y binary, fold binary, draw binary"), "blocks")
 
 
 @dataclass
 class Block:
-    """Rows of one block (``x``: feature x row) and, per model, their margins, sampled rows and integer-valued residuals and
-    curvatures (with the row count in the upper bits)."""
+    """Rows of one block (``x``: feature x row) and, per model, their margins."""
 
     x: np.ndarray
     y: np.ndarray
     fold: np.ndarray
     draw: np.ndarray
     margin: np.ndarray
-    on: np.ndarray | None = None
-    g: np.ndarray | None = None
-    hc: np.ndarray | None = None
+
+
+@dataclass
+class Sampled:
+    """What a level reads of a block: per model the sampled rows and their residuals and curvatures, as 4-byte integers."""
+
+    x: np.ndarray
+    on: np.ndarray
+    g: np.ndarray
+    h: np.ndarray
 
 
 def unpacked(row, width: int, priors: list[float]) -> Block:
@@ -170,58 +190,86 @@ def sampled(draw: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53 < share
 
 
-def descend(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
-    """The node that each row reaches."""
-    node, rows = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1])
+def descend(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """The node that each row (or each of ``rows``) reaches."""
+    rows = np.arange(x.shape[1]) if rows is None else rows
+    node = np.zeros(len(rows), np.int64)
     for _ in range(levels):
         f = feature[node]
         node = np.where(f >= 0, 2 * node + 1 + (x[f, rows] > cut[node]), node)
     return node
 
 
-def next_tree(block: Block, grown: list[Tree] | None, tree: int, settings: Settings, leave_out: tuple[int, ...]) -> Block:
-    """The block with margins after the trees just grown, and the rows and residuals of the next ones; model by model,
-    ``leave_out`` is the fold that it does not see."""
-    margin = block.margin
-    if grown is not None:
-        margin = margin.copy()
-        for m, t in enumerate(grown):
-            margin[m] += np.array(t.value)[descend(block.x, np.array(t.feature), np.array(t.bin), settings.max_depth)]
-    p = 1 / (1 + np.exp(-margin))
+def next_tree(block: Block, grown: list[Tree] | None, settings: Settings) -> Block:
+    """The block with margins after the trees just grown."""
+    if grown is None:
+        return block
+    margin = block.margin.copy()
+    for m, t in enumerate(grown):
+        margin[m] += np.array(t.value)[descend(block.x, np.array(t.feature), np.array(t.bin), settings.max_depth)]
+    return Block(block.x, block.y, block.fold, block.draw, margin)
+
+
+def drawn(block: Block, tree: int, settings: Settings, leave_out: tuple[int, ...]) -> Sampled:
+    """The rows that a tree samples, and their residuals; model by model, ``leave_out`` is the fold that it does not see."""
+    p = 1 / (1 + np.exp(-block.margin))
     on = sampled(block.draw, tree, settings.seed, settings.subsample)[None, :] & (block.fold[None, :] != np.array(leave_out)[:, None])
-    g, hc = np.rint((block.y[None, :] - p) * G_UNIT), np.rint(p * (1 - p) * H_UNIT) + COUNT_UNIT
-    return Block(block.x, block.y, block.fold, block.draw, margin, on, g, hc)
+    g, h = np.rint((block.y[None, :] - p) * G_UNIT), np.rint(p * (1 - p) * H_UNIT)
+    return Sampled(block.x, on, g.astype(np.int32), h.astype(np.int32))
 
 
 Sums = list[tuple[np.ndarray, ...] | None]
 
 
-def level_sums(held: Iterator[Block], grown: list[tuple[np.ndarray, np.ndarray]], wanted: list[list[int]], levels: int, widths: list[int]) -> Iterator[Sums]:
+def bundled(widths: list[int]) -> list[list[int]]:
+    """Features whose bins are counted together: every feature once, few bundles of at most ``BUNDLE_CELLS`` combined bins."""
+    out: list[tuple[int, list[int]]] = []
+    for f in sorted(range(len(widths)), key=lambda f: -widths[f]):
+        at = next((k for k, (cells, _) in enumerate(out) if cells * widths[f] <= BUNDLE_CELLS), None)
+        if at is None:
+            out.append((widths[f], [f]))
+        else:
+            out[at] = out[at][0] * widths[f], out[at][1] + [f]
+    return [features for _, features in out]
+
+
+def level_sums(held: Iterator[Sampled], grown: list[tuple[np.ndarray, np.ndarray]], wanted: list[list[int]], levels: int, widths: list[int]) -> Iterator[Sums]:
     """Per model the residuals, curvatures and rows of a partition's sampled rows, each an array wanted node x cell; the
-    cells are the features' bins, end to end."""
-    bins = max(widths)
-    cells = cell_places(widths)
+    cells are the features' bins, end to end. Rows are counted once per bundle of features; the sums of a feature are those of
+    its bundle, added up over the other features (whole numbers, so exactly the same)."""
+    starts = np.concatenate([[0], np.cumsum(widths)])
+    bundles = bundled(widths)
     total: list[np.ndarray | None] = [None] * len(wanted)
     for block in held:
+        codes = np.zeros((len(bundles), block.x.shape[1]), np.uint16)
+        for code, features in zip(codes, bundles, strict=True):
+            for f in features:
+                code *= np.uint16(widths[f])
+                code += block.x[f]
         for m, nodes in enumerate(wanted):
             if not nodes:
                 continue
             rows = np.flatnonzero(block.on[m])
-            x = block.x[:, rows]
-            number = np.full(2 ** (levels + 1), -1, np.int64)
-            number[nodes] = np.arange(len(nodes))
-            at = number[descend(x, *grown[m], levels)]
-            if len(nodes) < 2**levels:
-                rows, x, at = rows[at >= 0], x[:, at >= 0], at[at >= 0]
-            g, hc, first = block.g[m][rows], block.hc[m][rows], at * bins
-            own = np.empty((3, len(x), len(nodes) * bins), np.int64)
-            for f, column in enumerate(x):
-                place = first + column
-                own[0, f] = np.bincount(place, g, own.shape[2])
-                packed = np.bincount(place, hc, own.shape[2])
-                own[2, f] = packed / COUNT_UNIT
-                own[1, f] = packed - own[2, f] * COUNT_UNIT
-            own = own.reshape(3, len(x), len(nodes), bins).transpose(0, 2, 1, 3).reshape(3, len(nodes), -1)[..., cells]
+            at = None
+            if levels:
+                number = np.full(2 ** (levels + 1), -1, np.int64)
+                number[nodes] = np.arange(len(nodes))
+                at = number[descend(block.x, *grown[m], levels, rows)]
+                rows, at = rows[at >= 0], at[at >= 0]
+            g, hc = block.g[m][rows].astype(np.float64), block.h[m][rows] + COUNT_UNIT
+            own = np.empty((3, len(nodes), starts[-1]), np.int64)
+            for code, features in zip(codes, bundles, strict=True):
+                shape = [len(nodes), *(widths[f] for f in features)]
+                cells = math.prod(shape[1:])
+                place = code[rows].astype(np.int64)
+                if at is not None and len(nodes) > 1:
+                    place += at * cells
+                sums = np.stack([np.bincount(place, w, len(nodes) * cells).reshape(shape) for w in (g, hc)])
+                for k, f in enumerate(features):
+                    others = tuple(2 + j for j in range(len(features)) if j != k)
+                    mine, packed = sums.sum(axis=others) if others else sums
+                    n = np.floor(packed / COUNT_UNIT)
+                    own[:, :, starts[f] : starts[f + 1]] = mine, packed - n * COUNT_UNIT, n
             total[m] = own if total[m] is None else total[m] + own
     yield [None if t is None else tuple(narrowed(part) for part in t) for t in total]
 
@@ -356,12 +404,15 @@ def grow_distributed(packed: DataFrame, tasks: int, cuts: list[list[float]], pri
     gains = np.zeros((models, len(cuts)))
     grown, checkpoints, before = None, [], None
     for t in range(settings.n_estimators + 1):
-        held = held.map(partial(next_tree, grown=grown, tree=t, settings=settings, leave_out=tuple(range(models)))).persist(StorageLevel.MEMORY_AND_DISK)
+        held = held.map(partial(next_tree, grown=grown, settings=settings)).persist(StorageLevel.MEMORY_AND_DISK)
         if t and t % CHECKPOINT_TREES == 0:
             held.checkpoint()
         if t == settings.n_estimators:
             break
-        grown = grow_level_by_level(lambda held=held, **k: totalled(held.mapPartitions(partial(level_sums, **k))), models, cuts, settings, gains)
+        # Levels read no margins, so what they read is held apart.
+        read = held.map(partial(drawn, tree=t, settings=settings, leave_out=tuple(range(models)))).persist(StorageLevel.MEMORY_AND_DISK)
+        grown = grow_level_by_level(lambda read=read, **k: totalled(read.mapPartitions(partial(level_sums, **k))), models, cuts, settings, gains)
+        read.unpersist()
         for m, tree in enumerate(grown):
             trees[m].append(tree)
         if before is not None:
@@ -395,9 +446,10 @@ def grow_broadcast(packed: DataFrame, tasks: int, cuts: list[list[float]], prior
                 held = [unpacked(row, len(cuts), priors[m : m + 1]) for row in sent.value]
                 gains, trees, grown = np.zeros((1, len(cuts))), [], None
                 for t in range(settings.n_estimators + 1):
-                    held = [next_tree(block, grown, t, settings, (m,)) for block in held]
+                    held = [next_tree(block, grown, settings) for block in held]
                     if t < settings.n_estimators:
-                        grown = grow_level_by_level(lambda held=held, **k: next(level_sums(iter(held), **k)), 1, cuts, settings, gains)
+                        read = [drawn(block, t, settings, (m,)) for block in held]
+                        grown = grow_level_by_level(lambda read=read, **k: next(level_sums(iter(read), **k)), 1, cuts, settings, gains)
                         trees.append(asdict(grown[0]))
                 fold, y, margin = (np.concatenate(c) for c in zip(*((b.fold, b.y, b.margin[0]) for b in held), strict=True))
                 seen = fold == m if m < folds else np.ones(len(y), bool)

@@ -216,3 +216,41 @@ def test_save_and_load(spark, scratch):
         assert type(back) is type(m)
         a = [r.p_late for r in model.predict_proba(m, df).collect()]
         assert a == [r.p_late for r in model.predict_proba(back, df).collect()] and len(set(a)) > 1
+
+
+def test_blocks_are_filled_and_features_counted_in_bundles(spark, made):
+    """Spark's small batches make full blocks; a bundle's sums are those of its features."""
+    _, df = made
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        with Run(spark, "test") as run:
+            packed = boosting.blocks(df.coalesce(1), COLUMNS, boosting.cut_points(df, COLUMNS, 64), 128, run).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(len(r.y) for r in packed) == [N % 128, 128, 128]
+    widths = [64, 64, 64, 13, 13, 8, 3, 3, 2, 1]
+    bundles = boosting.bundled(widths)
+    assert sorted(f for b in bundles for f in b) == list(range(len(widths))) and len(bundles) < len(widths) / 2
+    assert all(math.prod(widths[f] for f in b) <= boosting.BUNDLE_CELLS for b in bundles)
+    rng = np.random.default_rng(1)
+    x = np.stack([rng.integers(0, w, 500) for w in widths]).astype(np.uint8)
+    g, h = rng.integers(-(2**30), 2**30, (1, 500)).astype(np.int32), rng.integers(0, 2**18, (1, 500)).astype(np.int32)
+    block = boosting.Sampled(x, rng.random((1, 500)) < 0.8, g, h)
+    root = np.array([0, -1, -1]), np.array([20, 0, 0])
+    for levels, nodes in ((0, [0]), (1, [2]), (1, [1, 2])):
+        found = next(boosting.level_sums(iter([block]), [root], [nodes], levels, widths))[0]
+        for j, node in enumerate(nodes):
+            mine = block.on[0] & (np.ones(500, bool) if levels == 0 else (x[0] > 20) == (node == 2))
+            want = [[sum(v[0][mine & (x[f] == b)].astype(int)) for f, w in enumerate(widths) for b in range(w)] for v in (g, h, np.ones((1, 500)))]
+            assert [part[j].tolist() for part in found] == want
+
+
+def test_margin_walks_only_a_rows_path(spark):
+    """Scores are nested conditions, not look-ups of tree arrays; values over a cut, missing and not finite ones go their way."""
+    tree = boosting.Tree([0, 1, -1, -1, -1, -1, -1], [0] * 7, [1e-7, -2.5] + [0.0] * 5, [0.0, 0.0, 1e22, -1e-9, 0.3, 0.0, 0.0])
+    fitted = boosting.BoostedTrees(["a", "odd `name"], -0.25, 2, [tree, tree])
+    rows = spark.createDataFrame([(1.0, 0.0), (None, None), (0.0, -2.5), (float("nan"), 0.0), (1e-7, float("-inf"))], "a double, `odd ``name` double")
+    got = [r.m for r in rows.select(fitted.margin().alias("m")).collect()]
+    assert got == [-0.25 + 1e22 + 1e22, -0.25 + 0.3 + 0.3, -0.25 - 1e-9 - 1e-9, -0.25 + 1e22 + 1e22, -0.25 - 1e-9 - 1e-9]
+    assert "from_json" not in rows.select(fitted.margin())._jdf.queryExecution().toString()
+    assert spark.range(1).select(boosting.BoostedTrees(["id"], 0.5, 2, []).margin()).first()[0] == 0.5

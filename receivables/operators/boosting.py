@@ -397,9 +397,8 @@ def grow_distributed(packed: DataFrame, tasks: int, cuts: list[list[float]], pri
     """Trees and improvements of all models, and the margins table; one job per level."""
     spark, models = packed.sparkSession, len(priors)
     folds = models - 1
-    if packed.rdd.getNumPartitions() < tasks:
-        packed = packed.repartition(tasks)
-    held = packed.rdd.map(partial(unpacked, width=len(cuts), priors=priors))
+    # The blocks are dealt evenly, in one wave: files are read in splits by their bytes, and one split more than cores doubles a level.
+    held = packed.repartition(tasks).rdd.map(partial(unpacked, width=len(cuts), priors=priors))
     trees: list[list[Tree]] = [[] for _ in priors]
     gains = np.zeros((models, len(cuts)))
     grown, checkpoints, before = None, [], None

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote, urlparse
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from receivables.session import checkpoint_folder
@@ -23,6 +26,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it, for tasks that read or write files themselves."""
+    parts = urlparse(path)
+    if parts.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(parts.path) if parts.scheme else path
+    return fs.FileSystem.from_uri(path)
+
+
+@contextmanager
+def written(folder: str, name: str) -> Iterator:
+    """A file to write, under a name that readers skip until it stands whole."""
+    store, base = opened(folder)
+    store.create_dir(base, recursive=True)
+    temporary = f"{base}/_{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(temporary) as out:
+        yield out
+    store.move(temporary, f"{base}/{name}")
+
+
 class Run:
     """A folder for one run's tables: ``stored`` writes a table and reads it back, which cuts its plan and survives lost
     executors; leaving the ``with`` block deletes the folder."""

@@ -24,24 +24,29 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 from functools import partial, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from receivables.functions.stored import Run
+from receivables.functions.stored import Run, written
+from receivables.operators.boosting_rows import Block, Growth, Part, dealt, node_type
 
-CHECKPOINT_TREES = 10
 MOST_DIRECT = 32  # partial sums of more partitions are added up on executors first
 TASK_ROWS = 1 << 15
 BROADCAST_ROWS = 1 << 18
 BUNDLE_CELLS = 1 << 12  # combined bins of features that are counted together; below 2^16
-BLOCK_ROWS = 1 << 16  # more rows would overflow the packed sums of a block
+BLOCK_ROWS = 1 << 16
+CHUNK_ROWS = 1 << 18  # rows that are looked at together: their arrays stay near the processor
+PACKED_ROWS = (1 << 17) - 1  # more rows would overflow the packed sums
 G_UNIT, H_UNIT, COUNT_UNIT = 2.0**30, 2.0**20, 2.0**35
 
 
@@ -154,32 +159,53 @@ def blocks(rows: DataFrame, columns: list[str], cuts: list[list[float]], size: i
     return run.stored(rows.select(*columns, "label", "fold", "draw").mapInArrow(pack, "x binary, y binary, fold binary, draw binary"), "blocks")
 
 
-@dataclass
-class Block:
-    """Rows of one block (``x``: feature x row) and, per model, their margins."""
-
-    x: np.ndarray
-    y: np.ndarray
-    fold: np.ndarray
-    draw: np.ndarray
-    margin: np.ndarray
-
-
 @dataclass
 class Sampled:
-    """What a level reads of a block: per model the sampled rows and their residuals and curvatures, as 4-byte integers."""
+    """What a level reads of some rows: per model whether a row is sampled and its residual and curvature, as integers; ``node``
+    where it is known already where each row stands."""
 
     x: np.ndarray
     on: np.ndarray
     g: np.ndarray
     h: np.ndarray
+    node: np.ndarray | None = None
+
+    def parts(self, m: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals and curvatures of ``rows`` for a model."""
+        return self.g[m].take(rows).astype(np.float64), self.h[m].take(rows).astype(np.float64)
 
 
-def unpacked(row, width: int, priors: list[float]) -> Block:
+@dataclass
+class Standing:
+    """The same for rows of a block, whose residuals are worked out of the margins where they are read."""
+
+    x: np.ndarray
+    on: np.ndarray
+    y: np.ndarray
+    margin: np.ndarray
+    node: np.ndarray
+
+    def parts(self, m: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = self.margin[m].take(rows)
+        np.negative(p, out=p)
+        np.exp(p, out=p)
+        p += 1
+        np.divide(1, p, out=p)
+        g = self.y.take(rows) - p
+        g *= G_UNIT
+        h = 1 - p
+        h *= p
+        h *= H_UNIT
+        return np.rint(g, out=g), np.rint(h, out=h)
+
+
+def unpacked(row, width: int, priors: list[float], depth: int) -> Block:
     """A block of a stored row, with the margins before the first tree."""
     y = np.frombuffer(row.y, np.int8)
     margin = np.repeat(np.array(priors)[:, None], len(y), axis=1)
-    return Block(np.frombuffer(row.x, np.uint8).reshape(width, -1), y, np.frombuffer(row.fold, np.int8), np.frombuffer(row.draw, np.uint64), margin)
+    node = np.zeros(margin.shape, node_type(depth))
+    taken = np.zeros(len(y), bool)
+    return Block(np.frombuffer(row.x, np.uint8).reshape(width, -1), y, np.frombuffer(row.fold, np.int8), np.frombuffer(row.draw, np.uint64), margin, node, taken)
 
 
 def sampled(draw: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
@@ -190,32 +216,52 @@ def sampled(draw: np.ndarray, tree: int, seed: int, share: float) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53 < share
 
 
-def descend(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int, rows: np.ndarray | None = None) -> np.ndarray:
-    """The node that each row (or each of ``rows``) reaches."""
-    rows = np.arange(x.shape[1]) if rows is None else rows
-    node = np.zeros(len(rows), np.int64)
-    for _ in range(levels):
-        f = feature[node]
-        node = np.where(f >= 0, 2 * node + 1 + (x[f, rows] > cut[node]), node)
-    return node
+def descend(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int, node: np.ndarray, start: int = 0) -> None:
+    """Moves each row's ``node`` down from level ``start`` to ``levels``. A node's rows move by comparing whole columns of bytes, a
+    fraction of what looking up each row's own column would take."""
+    for s in range(2**start - 1, 2**levels - 1):
+        if feature[s] >= 0:
+            here = node == s
+            right = here & (x[feature[s]] > cut[s])
+            node += here * node.dtype.type(s + 1)  # to the left child, 2 s + 1
+            node += right
+
+
+def chunks(block: Block) -> Iterator[slice]:
+    for lo in range(0, len(block.y), CHUNK_ROWS):
+        yield slice(lo, min(lo + CHUNK_ROWS, len(block.y)))
+
+
+Grown = tuple[np.ndarray, np.ndarray, np.ndarray]  # feature, bin and value of the nodes, each model x node
+
 
+def arrays(trees: list[Tree]) -> Grown:
+    return np.array([t.feature for t in trees], np.int16), np.array([t.bin for t in trees], np.int16), np.array([t.value for t in trees])
 
-def next_tree(block: Block, grown: list[Tree] | None, settings: Settings) -> Block:
-    """The block with margins after the trees just grown."""
-    if grown is None:
-        return block
-    margin = block.margin.copy()
-    for m, t in enumerate(grown):
-        margin[m] += np.array(t.value)[descend(block.x, np.array(t.feature), np.array(t.bin), settings.max_depth)]
-    return Block(block.x, block.y, block.fold, block.draw, margin)
 
+def next_tree(block: Block, grown: Grown | None, tree: int, settings: Settings) -> None:
+    """Adds the trees just grown to the margins, puts all rows back to the roots and draws those of the next tree."""
+    for at in chunks(block):
+        if grown is not None:
+            for m, (feature, cut, value) in enumerate(zip(*grown, strict=True)):
+                descend(block.x[:, at], feature, cut, settings.max_depth, block.node[m, at])
+                block.margin[m, at] += value[block.node[m, at]]
+        block.node[:, at] = 0
+        block.taken[at] = sampled(block.draw[at], tree, settings.seed, settings.subsample)
 
-def drawn(block: Block, tree: int, settings: Settings, leave_out: tuple[int, ...]) -> Sampled:
-    """The rows that a tree samples, and their residuals; model by model, ``leave_out`` is the fold that it does not see."""
-    p = 1 / (1 + np.exp(-block.margin))
-    on = sampled(block.draw, tree, settings.seed, settings.subsample)[None, :] & (block.fold[None, :] != np.array(leave_out)[:, None])
-    g, h = np.rint((block.y[None, :] - p) * G_UNIT), np.rint(p * (1 - p) * H_UNIT)
-    return Sampled(block.x, on, g.astype(np.int32), h.astype(np.int32))
+
+def next_level(block: Block, grown: Grown, level: int) -> None:
+    """Moves the rows from ``level`` - 1 to ``level`` of the trees that grow."""
+    for at in chunks(block):
+        for m, (feature, cut, _) in enumerate(zip(*grown, strict=True)):
+            descend(block.x[:, at], feature, cut, level, block.node[m, at], level - 1)
+
+
+def drawn(block: Block, leave_out: tuple[int, ...]) -> Iterator[Standing]:
+    """The rows that a tree samples; model by model, ``leave_out`` is the fold that it does not see."""
+    for at in chunks(block):
+        on = block.taken[None, at] & (block.fold[None, at] != np.array(leave_out, np.int8)[:, None])
+        yield Standing(block.x[:, at], on, block.y[at], block.margin[:, at], block.node[:, at])
 
 
 Sums = list[tuple[np.ndarray, ...] | None]
@@ -233,13 +279,13 @@ def bundled(widths: list[int]) -> list[list[int]]:
     return [features for _, features in out]
 
 
-def level_sums(held: Iterator[Sampled], grown: list[tuple[np.ndarray, np.ndarray]], wanted: list[list[int]], levels: int, widths: list[int]) -> Iterator[Sums]:
+def level_sums(held: Iterable[Sampled | Standing], grown: list[tuple[np.ndarray, ...]], wanted: list[list[int]], levels: int, widths: list[int]) -> Iterator[Sums]:
     """Per model the residuals, curvatures and rows of a partition's sampled rows, each an array wanted node x cell; the
     cells are the features' bins, end to end. Rows are counted once per bundle of features; the sums of a feature are those of
     its bundle, added up over the other features (whole numbers, so exactly the same)."""
     starts = np.concatenate([[0], np.cumsum(widths)])
     bundles = bundled(widths)
-    total: list[np.ndarray | None] = [None] * len(wanted)
+    total = [np.zeros((3, len(nodes), starts[-1]), np.int64) if nodes else None for nodes in wanted]
     for block in held:
         codes = np.zeros((len(bundles), block.x.shape[1]), np.uint16)
         for code, features in zip(codes, bundles, strict=True):
@@ -249,31 +295,52 @@ def level_sums(held: Iterator[Sampled], grown: list[tuple[np.ndarray, np.ndarray
         for m, nodes in enumerate(wanted):
             if not nodes:
                 continue
-            rows = np.flatnonzero(block.on[m])
-            at = None
+            on, node = block.on[m], None
             if levels:
-                number = np.full(2 ** (levels + 1), -1, np.int64)
-                number[nodes] = np.arange(len(nodes))
-                at = number[descend(block.x, *grown[m], levels, rows)]
-                rows, at = rows[at >= 0], at[at >= 0]
-            g, hc = block.g[m][rows].astype(np.float64), block.h[m][rows] + COUNT_UNIT
-            own = np.empty((3, len(nodes), starts[-1]), np.int64)
-            for code, features in zip(codes, bundles, strict=True):
-                shape = [len(nodes), *(widths[f] for f in features)]
-                cells = math.prod(shape[1:])
-                place = code[rows].astype(np.int64)
-                if at is not None and len(nodes) > 1:
-                    place += at * cells
-                sums = np.stack([np.bincount(place, w, len(nodes) * cells).reshape(shape) for w in (g, hc)])
-                for k, f in enumerate(features):
-                    others = tuple(2 + j for j in range(len(features)) if j != k)
-                    mine, packed = sums.sum(axis=others) if others else sums
-                    n = np.floor(packed / COUNT_UNIT)
-                    own[:, :, starts[f] : starts[f + 1]] = mine, packed - n * COUNT_UNIT, n
-            total[m] = own if total[m] is None else total[m] + own
+                if block.node is not None:
+                    node = block.node[m]
+                else:
+                    node = np.zeros(len(on), node_type(levels))
+                    descend(block.x, *grown[m][:2], levels, node)
+                here = node == nodes[0]
+                for n in nodes[1:]:
+                    here |= node == n
+                on = on & here
+            found = np.flatnonzero(on)
+            for lo in range(0, len(found), PACKED_ROWS):
+                add_rows(total[m], block, m, found[lo : lo + PACKED_ROWS], node, nodes, codes, bundles, widths, starts)
     yield [None if t is None else tuple(narrowed(part) for part in t) for t in total]
 
 
+def add_rows(total: np.ndarray, block: Sampled | Standing, m: int, rows: np.ndarray, node: np.ndarray | None, nodes: list[int], codes: np.ndarray, bundles: list[list[int]], widths: list[int], starts: np.ndarray) -> None:
+    """Adds the sums of at most ``PACKED_ROWS`` rows; curvatures and numbers of rows are added up in one number."""
+    g, hc = block.parts(m, rows)
+    hc += COUNT_UNIT
+    number = None
+    if len(nodes) > 1:
+        number = np.zeros(nodes[-1] + 1, np.int64)
+        number[nodes] = np.arange(len(nodes))
+        number = number[node.take(rows)]
+    for code, features in zip(codes, bundles, strict=True):
+        shape = [len(nodes), *(widths[f] for f in features)]
+        cells = math.prod(shape[1:])
+        place = code.take(rows).astype(np.int64)
+        if number is not None:
+            place += number * cells
+        for w, packed in ((g, False), (hc, True)):
+            sums = np.bincount(place, w, len(nodes) * cells).reshape(shape)
+            for k, f in enumerate(features):
+                others = tuple(1 + j for j in range(len(features)) if j != k)
+                mine = sums.sum(axis=others) if others else sums
+                own = slice(starts[f], starts[f + 1])
+                if packed:
+                    n = np.floor(mine / COUNT_UNIT)
+                    total[1, :, own] += (mine - n * COUNT_UNIT).astype(np.int64)
+                    total[2, :, own] += n.astype(np.int64)
+                else:
+                    total[0, :, own] += mine.astype(np.int64)
+
+
 def cell_places(widths: list[int]) -> np.ndarray:
     """Where each cell stands in a feature x bin table."""
     return np.concatenate([f * max(widths) + np.arange(w) for f, w in enumerate(widths)])
@@ -323,8 +390,7 @@ def grow_level_by_level(totals: Callable[..., Sums], models: int, cuts: list[lis
     widths = [len(c) + 1 for c in cuts]
     cells = cell_places(widths)
     for level in range(settings.max_depth):
-        grown = [(np.array(t.feature), np.array(t.bin)) for t in trees]
-        found = totals(grown=grown, wanted=wanted, levels=level, widths=widths)
+        found = totals(grown=arrays(trees), wanted=wanted, levels=level, widths=widths)
         for m in range(models):
             counted = np.zeros((3, len(wanted[m]), len(cuts) * max(widths)), np.int64)
             if found[m] is not None:
@@ -393,44 +459,64 @@ def fit(rows: DataFrame, columns: list[str], folds: int, settings: Settings, run
 MARGINS = "fold int, label int, cv_margin double, margin double"
 
 
+def step(block: Block, k: int, trees: list[Grown], settings: Settings) -> None:
+    """Step ``k`` of growth: one per level, the first of a tree also takes in the tree before it."""
+    tree, level = divmod(k, settings.max_depth)
+    if level == 0:
+        next_tree(block, trees[tree - 1] if tree else None, tree, settings)
+    else:
+        next_level(block, trees[tree], level)
+
+
+def part_sums(parts: Iterator[Part], growth: Growth, trees: list[Grown], settings: Settings, tree: int, wanted: list[list[int]], levels: int, widths: list[int]) -> Iterator[Sums]:
+    for part in parts:
+        with growth.held(part, tree * settings.max_depth + levels, partial(step, trees=trees, settings=settings)) as block:
+            yield from level_sums(drawn(block, tuple(range(len(wanted)))), [], wanted, levels, widths)
+
+
+def part_margins(parts: Iterator[Part], growth: Growth, trees: list[Grown], settings: Settings, folder: str) -> Iterator[int]:
+    """Writes the margins of a partition's rows; a task that runs twice writes the same file."""
+    for part in parts:
+        with growth.held(part, settings.n_estimators * settings.max_depth, partial(step, trees=trees, settings=settings)) as block, written(folder, f"part-{part.number:05d}.parquet") as out:
+            schema = pa.schema([("fold", pa.int32()), ("label", pa.int32()), ("cv_margin", pa.float64()), ("margin", pa.float64())])
+            with pq.ParquetWriter(out, schema) as writer:
+                for at in chunks(block):
+                    fold, margin = block.fold[at], block.margin[:, at]
+                    own = margin[fold, np.arange(len(fold))]
+                    writer.write_table(pa.table([fold.astype(np.int32), block.y[at].astype(np.int32), own, np.array(margin[-1])], schema=schema))
+        yield part.rows
+
+
 def grow_distributed(packed: DataFrame, tasks: int, cuts: list[list[float]], priors: list[float], settings: Settings, run: Run):
     """Trees and improvements of all models, and the margins table; one job per level."""
     spark, models = packed.sparkSession, len(priors)
-    folds = models - 1
-    # The blocks are dealt evenly, in one wave: files are read in splits by their bytes, and one split more than cores doubles a level.
-    held = packed.repartition(tasks).rdd.map(partial(unpacked, width=len(cuts), priors=priors))
+    parts = dealt(packed, tasks)
+    # A partition's place is where this small table's partition is cached: its tasks go to the executor that holds its rows.
+    places = spark.sparkContext.parallelize(parts, len(parts)).map(copied).persist(StorageLevel.MEMORY_ONLY)
+    growth = Growth(uuid.uuid4().hex, len(cuts), priors, settings.max_depth)
     trees: list[list[Tree]] = [[] for _ in priors]
+    done: list[Grown] = []
     gains = np.zeros((models, len(cuts)))
-    grown, checkpoints, before = None, [], None
-    for t in range(settings.n_estimators + 1):
-        held = held.map(partial(next_tree, grown=grown, settings=settings)).persist(StorageLevel.MEMORY_AND_DISK)
-        if t and t % CHECKPOINT_TREES == 0:
-            held.checkpoint()
-        if t == settings.n_estimators:
-            break
-        # Levels read no margins, so what they read is held apart.
-        read = held.map(partial(drawn, tree=t, settings=settings, leave_out=tuple(range(models)))).persist(StorageLevel.MEMORY_AND_DISK)
-        grown = grow_level_by_level(lambda read=read, **k: totalled(read.mapPartitions(partial(level_sums, **k))), models, cuts, settings, gains)
-        read.unpersist()
-        for m, tree in enumerate(grown):
-            trees[m].append(tree)
-        if before is not None:
-            before.unpersist()
-        before = held
-        if held.isCheckpointed():
-            run.delete(checkpoints)
-            checkpoints = [held.getCheckpointFile()]
-
-    def margins(block: Block):
-        own = block.margin[block.fold, np.arange(len(block.y))]
-        return zip(block.fold.tolist(), block.y.tolist(), own.tolist(), block.margin[folds].tolist(), strict=True)
-
-    table = run.stored(spark.createDataFrame(held.flatMap(margins), MARGINS, verifySchema=False), "margins")
-    for r in (before, held):
-        if r is not None:
-            r.unpersist()
-    run.delete([*checkpoints, held.getCheckpointFile()])
-    return trees, gains.tolist(), table
+    try:
+        for t in range(settings.n_estimators):
+
+            def totals(grown: Grown, t: int = t, **k) -> Sums:
+                return totalled(places.mapPartitions(partial(part_sums, growth=growth, trees=[*done, grown], settings=settings, tree=t, **k)))
+
+            grown = grow_level_by_level(totals, models, cuts, settings, gains)
+            done.append(arrays(grown))
+            for m, tree in enumerate(grown):
+                trees[m].append(tree)
+        folder = f"{run.folder}/margins"
+        places.mapPartitions(partial(part_margins, growth=growth, trees=done, settings=settings, folder=folder)).collect()
+        return trees, gains.tolist(), spark.read.schema(MARGINS).parquet(folder)
+    finally:
+        places.foreach(growth.remove)
+        places.unpersist()
+
+
+def copied(part: Part) -> Part:
+    return part
 
 
 def grow_broadcast(packed: DataFrame, tasks: int, cuts: list[list[float]], priors: list[float], settings: Settings, run: Run):
@@ -442,13 +528,20 @@ def grow_broadcast(packed: DataFrame, tasks: int, cuts: list[list[float]], prior
     def grow(batches):
         for batch in batches:
             for m in batch.column("id").to_pylist():
-                held = [unpacked(row, len(cuts), priors[m : m + 1]) for row in sent.value]
-                gains, trees, grown = np.zeros((1, len(cuts))), [], None
+                held = [unpacked(row, len(cuts), priors[m : m + 1], settings.max_depth) for row in sent.value]
+
+                def totals(grown: Grown, levels: int, held=held, m=m, **k) -> Sums:
+                    for block in held if levels else []:
+                        next_level(block, grown, levels)
+                    return next(level_sums(chain.from_iterable(drawn(block, (m,)) for block in held), [], levels=levels, **k))
+
+                gains, trees, done = np.zeros((1, len(cuts))), [], None
                 for t in range(settings.n_estimators + 1):
-                    held = [next_tree(block, grown, settings) for block in held]
+                    for block in held:
+                        next_tree(block, done, t, settings)
                     if t < settings.n_estimators:
-                        read = [drawn(block, t, settings, (m,)) for block in held]
-                        grown = grow_level_by_level(lambda read=read, **k: next(level_sums(iter(read), **k)), 1, cuts, settings, gains)
+                        grown = grow_level_by_level(totals, 1, cuts, settings, gains)
+                        done = arrays(grown)
                         trees.append(asdict(grown[0]))
                 fold, y, margin = (np.concatenate(c) for c in zip(*((b.fold, b.y, b.margin[0]) for b in held), strict=True))
                 seen = fold == m if m < folds else np.ones(len(y), bool)

@@ -1,14 +1,16 @@
 """Late-payment model (ML-1..ML-8): training end to end with both classifiers, folds, scores and persistence."""
 
 import datetime as dt
+import glob
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from receivables.functions.stored import Run, workers_find_package
-from receivables.operators import boosting, model
+from receivables.operators import boosting, boosting_rows, model
 from receivables.operators.features import FEATURE_COLUMNS
 from receivables.plans.catalog import AS_OF
 from receivables.sources.fixtures import Fixtures
@@ -254,3 +256,51 @@ def test_margin_walks_only_a_rows_path(spark):
     assert got == [-0.25 + 1e22 + 1e22, -0.25 + 0.3 + 0.3, -0.25 - 1e-9 - 1e-9, -0.25 + 1e22 + 1e22, -0.25 - 1e-9 - 1e-9]
     assert "from_json" not in rows.select(fitted.margin())._jdf.queryExecution().toString()
     assert spark.range(1).select(boosting.BoostedTrees(["id"], 0.5, 2, []).margin()).first()[0] == 0.5
+
+
+def test_rows_in_growth_take_no_storage_and_can_be_lost(spark, made, monkeypatch):
+    """Levels read no cached rows; files that vanish, or stop in the middle of a step, are built anew and give the same trees."""
+    _, df = made
+    settings = boosting.Settings(n_estimators=5, max_depth=3, min_samples_leaf=5, bins=16)
+    first = grown(spark, df, settings)
+    monkeypatch.setattr(boosting, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 64)
+    stored, calls, grow = [], [], boosting.grow_level_by_level
+
+    def watched(totals, *args):
+        def lossy(**k):
+            out = totals(**k)
+            stored.append(sum(i.memSize() + i.diskSize() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo()))
+            calls.append(k["levels"])
+            for n, part in enumerate(sorted(glob.glob(f"{locals_of(spark)}/python/boosting-*/[0-9]"))):
+                if (len(calls) + n) % 4 == 0:
+                    os.remove(part)
+                elif (len(calls) + n) % 4 == 1:
+                    np.memmap(part, np.int64, "r+")[0] = -1
+            return out
+
+        return grow(lossy, *args)
+
+    monkeypatch.setattr(boosting, "grow_level_by_level", watched)
+    again = grown(spark, df, settings)
+    assert len(calls) == 15 and max(stored) < 4096  # places of partitions; the margins of 300 rows and 4 models alone are 9,600 bytes
+    assert [m.to_json() for m in (again[0], *again[1])] == [m.to_json() for m in (first[0], *first[1])]
+    assert sorted(r.margin for r in again[2] if r.margin is not None) == sorted(r.margin for r in first[2] if r.margin is not None)
+    assert not glob.glob(f"{locals_of(spark)}/python/boosting-*")
+
+
+def locals_of(spark):
+    """Spark's own local folder, where the tasks keep their rows."""
+    return spark.sparkContext.parallelize([0], 1).map(lambda _: os.environ["SPARK_LOCAL_DIRS"]).first()
+
+
+def test_blocks_are_dealt_in_runs(spark, scratch):
+    rows = [(bytes(n),) for n in (7, 5, 9, 1, 8, 6, 4)]
+    spark.createDataFrame(rows, "y binary").repartition(3).write.parquet(f"{scratch}/blocks")
+    packed = spark.read.parquet(f"{scratch}/blocks")
+    for tasks in (1, 3, 20):
+        parts = boosting.dealt(packed, tasks)
+        assert [p.number for p in parts] == list(range(len(parts))) and sum(p.rows for p in parts) == 40 and len(parts) <= tasks
+        found = [[len(b["y"]) for b in boosting_rows.stored_blocks(p)] for p in parts]
+        assert [sum(f) for f in found] == [p.rows for p in parts] and sorted(sum(found, [])) == sorted(len(y) for y, in rows)
+        assert max(p.rows for p in parts) <= 40 / tasks + 2 * 9

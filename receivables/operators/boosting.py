@@ -36,6 +36,7 @@ import pyarrow.parquet as pq
 from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from receivables.functions.stored import Run, written
 from receivables.operators.boosting_rows import Block, Growth, Part, dealt, node_type
@@ -45,7 +46,7 @@ TASK_ROWS = 1 << 15
 BROADCAST_ROWS = 1 << 18
 BUNDLE_CELLS = 1 << 12  # combined bins of features that are counted together; below 2^16
 BLOCK_ROWS = 1 << 16
-CHUNK_ROWS = 1 << 18  # rows that are looked at together: their arrays stay near the processor
+CHUNK_ROWS = 1 << 17  # rows that are looked at together: their arrays stay near the processor
 PACKED_ROWS = (1 << 17) - 1  # more rows would overflow the packed sums
 G_UNIT, H_UNIT, COUNT_UNIT = 2.0**30, 2.0**20, 2.0**35
 
@@ -87,21 +88,22 @@ class BoostedTrees:
 
     def margin(self) -> Column:
         """Log-odds of the positive class, from the feature columns. Trees are nested conditions, so that a row meets its own
-        path only; walking trees held as arrays costs it a look-up of every part of every node."""
+        path only. They stand outside of the lambda function, which Spark would interpret with all that is inside; it is there
+        because its presence keeps the projection out of whole-stage code, which is one method and too long for these trees:
+        a projection of its own is compiled in many short methods."""
         def number(v: float) -> str:
             return f"{float(v)!r}D" if math.isfinite(v) else f"double('{v}')"
 
         def walk(tree: Tree, node: int) -> str:
             if tree.feature[node] < 0:
                 return number(tree.value[node])
-            return f"IF(x[{tree.feature[node]}] > {number(tree.cut[node])}, {walk(tree, 2 * node + 2)}, {walk(tree, 2 * node + 1)})"
+            return f"IF({row[tree.feature[node]]} > {number(tree.cut[node])}, {walk(tree, 2 * node + 2)}, {walk(tree, 2 * node + 1)})"
 
         if not self.trees:
             return F.lit(float(self.prior))
-        row = ", ".join("coalesce(cast(`{}` AS double), 0D)".format(c.replace("`", "``")) for c in self.columns)
-        trees = ", ".join(walk(t, 0) for t in self.trees)
-        # The row's features become a lambda variable, so that the array is built once a row.
-        return F.expr(f"transform(array(array({row})), x -> aggregate(array({trees}), {number(self.prior)}, (sum, t) -> sum + t))[0]")
+        row = ["coalesce(cast(`{}` AS double), 0D)".format(c.replace("`", "``")) for c in self.columns]
+        start = F.expr(f"aggregate(array({row[0]}), {number(self.prior)}, (sum, x) -> sum)")  # the prior, whatever the row
+        return reduce(lambda total, tree: total + F.expr(walk(tree, 0)), self.trees, start)
 
     def probability(self) -> Column:
         return 1 / (1 + F.exp(-self.margin()))
@@ -127,9 +129,26 @@ def cut_points(rows: DataFrame, columns: list[str], bins: int) -> list[list[floa
     return [sorted(set(c)) for c in found]
 
 
-def blocks(rows: DataFrame, columns: list[str], cuts: list[list[float]], size: int, run: Run) -> DataFrame:
-    """Written blocks of up to ``size`` binned rows; ``rows`` has the features, ``label``, ``fold`` and ``draw`` (a hash of
-    the row's key)."""
+def binned(rows: DataFrame, columns: list[str], cuts: list[list[float]]) -> DataFrame:
+    """The rows with ``x``, a byte for each feature, in place of the features."""
+    kept = [f for f in rows.schema.fields if f.name not in columns]
+
+    def bins(batches):
+        for batch in batches:
+            n = batch.num_rows
+            x = np.empty((len(columns), n), np.uint8)
+            for f, c in enumerate(columns):
+                x[f] = np.searchsorted(cuts[f], batch.column(c).to_numpy(zero_copy_only=False), side="left")
+            ends = np.arange(n + 1, dtype=np.int32) * len(columns)
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(x.T.tobytes())])
+            yield pa.RecordBatch.from_arrays([packed, *(batch.column(f.name) for f in kept)], ["x", *(f.name for f in kept)])
+
+    return rows.mapInArrow(bins, StructType([StructField("x", BinaryType()), *kept]))
+
+
+def blocks(rows: DataFrame, columns: list[str], cuts: list[list[float]], size: int, run: Run, deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Written blocks of up to ``size`` binned rows; ``rows`` has the features, ``label``, ``draw`` (a hash of the row's key) and
+    ``fold``, unless ``deal`` adds that. ``counts`` are the rows per fold and label."""
 
     def whole(batches) -> Iterator[pa.Table]:
         """Tables of ``size`` rows: Spark's batches are smaller, and a block costs its cells besides its rows."""
@@ -148,15 +167,21 @@ def blocks(rows: DataFrame, columns: list[str], cuts: list[list[float]], size: i
 
     def pack(batches):
         for table in whole(batches):
-            x = np.empty((len(columns), table.num_rows), np.uint8)
-            for f, c in enumerate(columns):
-                x[f] = np.searchsorted(cuts[f], table.column(c).to_numpy(), side="left")
+            x = np.concatenate([each_row(c, len(columns)) for c in table.column("x").chunks])
             y, fold = (table.column(c).to_numpy().astype(np.int8) for c in ("label", "fold"))
             draw = table.column("draw").to_numpy().astype(np.int64)
-            values = [x.tobytes(), y.tobytes(), fold.tobytes(), draw.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["x", "y", "fold", "draw"])
+            counts = np.bincount(fold.astype(np.int64) * 2 + y)
+            values = [np.ascontiguousarray(x.T).tobytes(), y.tobytes(), fold.tobytes(), draw.tobytes()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in values), pa.array([counts.tolist()], pa.list_(pa.int64()))], ["x", "y", "fold", "draw", "counts"])
 
-    return run.stored(rows.select(*columns, "label", "fold", "draw").mapInArrow(pack, "x binary, y binary, fold binary, draw binary"), "blocks")
+    def each_row(x: pa.Array, width: int) -> np.ndarray:
+        lo = np.frombuffer(x.buffers()[1], np.int32)[x.offset]
+        return np.frombuffer(x.buffers()[2], np.uint8)[lo : lo + len(x) * width].reshape(-1, width)
+
+    bytes_only = binned(rows, columns, cuts)
+    dealt_rows = deal(bytes_only) if deal else bytes_only
+    packed = dealt_rows.select("x", "label", "fold", "draw").mapInArrow(pack, "x binary, y binary, fold binary, draw binary, counts array<long>")
+    return run.stored(packed, "blocks")
 
 
 @dataclass
@@ -321,17 +346,18 @@ def add_rows(total: np.ndarray, block: Sampled | Standing, m: int, rows: np.ndar
         number = np.zeros(nodes[-1] + 1, np.int64)
         number[nodes] = np.arange(len(nodes))
         number = number[node.take(rows)]
+        most = len(nodes) * max(math.prod(widths[f] for f in features) for features in bundles)
+        number = number.astype(np.min_scalar_type(most))
     for code, features in zip(codes, bundles, strict=True):
-        shape = [len(nodes), *(widths[f] for f in features)]
-        cells = math.prod(shape[1:])
-        place = code.take(rows).astype(np.int64)
-        if number is not None:
-            place += number * cells
+        own_widths = [widths[f] for f in features]
+        cells = math.prod(own_widths)
+        place = code.take(rows)
+        if number is not None:  # in as few bytes as hold it
+            place = place + number * number.dtype.type(cells)
+        place = place.astype(np.int64)
         for w, packed in ((g, False), (hc, True)):
-            sums = np.bincount(place, w, len(nodes) * cells).reshape(shape)
-            for k, f in enumerate(features):
-                others = tuple(1 + j for j in range(len(features)) if j != k)
-                mine = sums.sum(axis=others) if others else sums
+            sums = np.bincount(place, w, len(nodes) * cells).reshape(len(nodes), cells)
+            for f, mine in zip(features, marginals(sums, own_widths), strict=True):
                 own = slice(starts[f], starts[f + 1])
                 if packed:
                     n = np.floor(mine / COUNT_UNIT)
@@ -341,6 +367,16 @@ def add_rows(total: np.ndarray, block: Sampled | Standing, m: int, rows: np.ndar
                     total[0, :, own] += mine.astype(np.int64)
 
 
+def marginals(sums: np.ndarray, widths: list[int]) -> list[np.ndarray]:
+    """Per feature the sums (node x bin) of combined cells (node x cell), which are halved again and again: two passes over all
+    cells, the rest is small."""
+    if len(widths) == 1:
+        return [sums]
+    half = max(1, next(k for k in range(len(widths) + 1) if math.prod(widths[:k]) ** 2 >= math.prod(widths)) - 1)
+    both = sums.reshape(len(sums), math.prod(widths[:half]), -1)
+    return marginals(both.sum(axis=2), widths[:half]) + marginals(both.sum(axis=1), widths[half:])
+
+
 def cell_places(widths: list[int]) -> np.ndarray:
     """Where each cell stands in a feature x bin table."""
     return np.concatenate([f * max(widths) + np.arange(w) for f, w in enumerate(widths)])
@@ -437,19 +473,22 @@ def log_odds(positive: int, total: int) -> float:
     return math.log(p / (1 - p))
 
 
-def fit(rows: DataFrame, columns: list[str], folds: int, settings: Settings, run: Run) -> tuple[BoostedTrees, list[BoostedTrees], DataFrame]:
+def fit(rows: DataFrame, columns: list[str], folds: int, settings: Settings, run: Run, deal: Callable[[DataFrame], DataFrame] | None = None) -> tuple[BoostedTrees, list[BoostedTrees], DataFrame]:
     """The final model, the models of the folds, and a stored table (fold, label, cv_margin, margin) with the margins of the
-    training rows: by the model that left the row's fold out, and by the final one (in one row or in two)."""
-    sizes = {(r.fold, r.label): r.n for r in rows.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}  # 2 x folds
-    total = sum(sizes.values())
-    priors = []
-    for m in range(folds + 1):
-        n = [sum(v for (f, y), v in sizes.items() if f != m and y in ys) for ys in ((1,), (0, 1))]
-        priors.append(log_odds(*n))
+    training rows: by the model that left the row's fold out, and by the final one (in one row or in two). ``deal`` adds the
+    ``fold`` where the rows have none."""
+    total = rows.count()
     cuts = cut_points(rows, columns, settings.bins)
     # A task costs about as much as its work on TASK_ROWS rows, so small tables are dealt over fewer tasks than there are cores.
     tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS)))
-    packed = blocks(rows, columns, cuts, min(max(-(-total // tasks), 1), BLOCK_ROWS), run)
+    packed = blocks(rows, columns, cuts, min(max(-(-total // tasks), 1), BLOCK_ROWS), run, deal)
+    sizes = np.zeros((folds, 2), np.int64)
+    for r in packed.select("counts").collect():
+        sizes.reshape(-1)[: len(r.counts)] += r.counts
+    priors = []
+    for m in range(folds + 1):
+        seen = np.delete(sizes, m, axis=0) if m < folds else sizes
+        priors.append(log_odds(int(seen[:, 1].sum()), int(seen.sum())))
     grow = grow_broadcast if total <= BROADCAST_ROWS else grow_distributed
     trees, gains, margins = grow(packed, tasks, cuts, priors, settings, run)
     fitted = [BoostedTrees(columns, prior, settings.max_depth, t, g) for prior, t, g in zip(priors, trees, gains, strict=True)]

@@ -18,10 +18,16 @@ FEATURE_COLUMNS = [
     "channel_online", "amount_x_days_until_due", "amount_x_late_rate", "utilization_x_late_rate",
 ]
 
+HISTORY_COLUMNS = ["customer_invoice_count", "customer_avg_days_late", "customer_late_rate", "customer_avg_payment_amount"]
+
 
 def late_target(invoices: DataFrame, payments: DataFrame, late_threshold_days: int = 7) -> DataFrame:
     """FE-3: one row per invoice x payment (unpaid invoices once); is_late = days paid after due > threshold."""
-    j = invoices.join(payments.select("invoice_id", "payment_date"), "invoice_id", "left")
+    return late_rows(invoices.join(payments.select("invoice_id", "payment_date"), "invoice_id", "left"), late_threshold_days)
+
+
+def late_rows(j: DataFrame, late_threshold_days: int = 7) -> DataFrame:
+    """The label of rows that hold an invoice and its payment."""
     days_late = F.when(F.col("payment_date").isNull(), F.lit(0)).otherwise(
         E.days_late("payment_date", "due_date")
     )
@@ -37,31 +43,60 @@ def customer_history(invoices: DataFrame, payments: DataFrame, as_of) -> DataFra
     inv = invoices.where((F.col("issue_date") < a) & F.col("customer_id").isNotNull()).select("invoice_id", "customer_id", "due_date")
     pay = payments.select("invoice_id", "payment_date", F.col("amount").alias("pay_amount"))
     m = inv.join(pay, "invoice_id", "left").where(F.col("payment_date").isNull() | (F.col("payment_date") < a))
-    dl = F.when(F.col("payment_date").isNull(), F.lit(0)).otherwise(E.days_late("payment_date", "due_date"))
-    g = m.withColumn("dl", dl).groupBy("customer_id").agg(
-        F.count("invoice_id").alias("customer_invoice_count"),
-        F.avg("dl").alias("customer_avg_days_late"),
-        F.count_if(F.col("dl") > 0).alias("late_count"),
-        F.sum(F.col("pay_amount").cast("decimal(18,2)")).alias("pay_sum"),
-        F.count("pay_amount").alias("pay_n"),
-    )
-    return g.select(
-        "customer_id", "customer_invoice_count",
+    g = m.withColumn("dl", days_late_or_none()).groupBy("customer_id").agg(*history_sums(F.lit(True)))
+    return g.select("customer_id", *history_values())
+
+
+def days_late_or_none():
+    return F.when(F.col("payment_date").isNull(), F.lit(0)).otherwise(E.days_late("payment_date", "due_date"))
+
+
+def history_sums(known) -> list:
+    """Per customer, over the rows that are ``known``: what the history is made of."""
+    return [
+        F.count(F.when(known, F.col("invoice_id"))).alias("customer_invoice_count"),
+        F.avg(F.when(known, F.col("dl"))).alias("customer_avg_days_late"),
+        F.count_if(known & (F.col("dl") > 0)).alias("late_count"),
+        F.sum(F.when(known, F.col("pay_amount").cast("decimal(18,2)"))).alias("pay_sum"),
+        F.count(F.when(known, F.col("pay_amount"))).alias("pay_n"),
+    ]
+
+
+def history_values() -> list:
+    return [
+        F.col("customer_invoice_count"),
         F.coalesce(F.col("customer_avg_days_late"), F.lit(0.0)).alias("customer_avg_days_late"),
         E.pct("late_count", "customer_invoice_count").alias("customer_late_rate"),
         F.try_divide(F.col("pay_sum").cast("double"), F.col("pay_n")).alias("customer_avg_payment_amount"),
+    ]
+
+
+def open_amount():
+    return F.sum(F.when(F.col("status") == "open", F.col("invoice_amount").cast("decimal(18,2)"))).alias("customer_total_ar")
+
+
+def customer_sums(paid: DataFrame, as_of) -> DataFrame:
+    """Per customer (NULL too) of invoices with their payments (``pay_amount``), in one pass: open AR, rows (``__n``), and the history
+    (FE-2), which is NULL where no row of the customer is known."""
+    a = E.as_of_lit(as_of)
+    known = F.coalesce((F.col("issue_date") < a) & (F.col("payment_date").isNull() | (F.col("payment_date") < a)), F.lit(False))
+    g = paid.withColumn("dl", days_late_or_none()).groupBy("customer_id").agg(
+        open_amount(), F.count(F.lit(1)).alias("__n"), F.count_if(known).alias("__known"), *history_sums(known)
     )
+    values = [F.when(F.col("__known") > 0, v).alias(name) for v, name in zip(history_values(), HISTORY_COLUMNS, strict=True)]
+    return g.select("customer_id", "customer_total_ar", "__n", *values)
 
 
 def engineer_features(
     invoices: DataFrame, customers: DataFrame, payments: DataFrame | None, as_of, history_invoices: DataFrame | None = None,
-    point_in_time: bool = False,
+    point_in_time: bool = False, sums: DataFrame | None = None,
 ) -> DataFrame:
     """FE-1: calendar, amount, credit, history, concentration, type/channel flags and 3 interactions.
 
     Per-customer inputs (customer attributes, history, open AR) are combined at customer grain first and meet the
     invoice rows in one join; the AR total is a broadcast one-row aggregate. With ``point_in_time`` the history of an invoice is
-    that of its own issue date (``history``): 0 rows where the customer has none before it.
+    that of its own issue date (``history_by_day``): 0 rows where the customer has none before it. ``sums`` are the
+    ``customer_sums`` of these rows, where the caller has them.
     """
     a = E.as_of_lit(as_of)
     df = invoices.select(
@@ -84,16 +119,15 @@ def engineer_features(
         (F.col("invoice_type") == "milestone").cast("int").alias("invoice_type_milestone") if "invoice_type" in invoices.columns else F.lit(0).alias("invoice_type_milestone"),
         (F.col("channel") == "online").cast("int").alias("channel_online") if "channel" in invoices.columns else F.lit(0).alias("channel_online"),
     )
-    is_open = F.col("status") == "open"
     # Open AR and row count per customer in one aggregate; the grand total and the hot keys follow from it.
-    per_key = df.groupBy("customer_id").agg(
-        F.sum(F.when(is_open, F.col("invoice_amount").cast("decimal(18,2)"))).alias("customer_total_ar"), F.count(F.lit(1)).alias("__n")
-    )
+    per_key = df.groupBy("customer_id").agg(open_amount(), F.count(F.lit(1)).alias("__n")) if sums is None else sums
+    if sums is not None and (payments is None or point_in_time):
+        per_key = per_key.drop(*HISTORY_COLUMNS)
     total = per_key.agg(F.sum("customer_total_ar").alias("total_ar"))
     cust_ar = per_key.where(F.col("customer_id").isNotNull()).drop("__n")
     per_cust = customers.select("customer_id", "payment_terms_days", "credit_limit").join(cust_ar, "customer_id", "full")
     past = history_invoices if history_invoices is not None else invoices
-    if payments is not None and not point_in_time:
+    if payments is not None and not point_in_time and sums is None:
         per_cust = per_cust.join(customer_history(past, payments, as_of), "customer_id", "full")
     # One row per customer on the right: hot customers are salted so their invoices spread over many tasks.
     df = lookup_join(df, per_cust, "customer_id", "left", spread="invoice_id", key_counts=per_key).crossJoin(F.broadcast(total))

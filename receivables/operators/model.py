@@ -3,6 +3,7 @@
 Training data never leaves Spark: the label and feature frames are DataFrames, the split is a cutoff date (the
 (1 - test_size) quantile of issue dates, computed distributed), folds deal each class round robin along a hash order. The
 training rows are written once into the shared checkpoint folder and read back, so no fold or tree plans the features again.
+For boosting they are binned before the folds are dealt, so that only bytes are sorted.
 Boosting grows the trees of all folds and of the final fit together (``boosting``); trees need no scaling, which would
 not change a split. Logistic regression is MLlib's, over standardised features, with its folds fitted in parallel. Only
 model-sized results (metrics, importances) are small driver-side values.
@@ -11,6 +12,7 @@ model-sized results (metrics, importances) are small driver-side values.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -27,7 +29,7 @@ from receivables.functions.quantile import exact_quantile
 from receivables.functions.stored import Run, path_exists, workers_find_package
 from receivables.operators import boosting
 from receivables.operators.boosting import BoostedTrees
-from receivables.operators.features import FEATURE_COLUMNS, engineer_features, late_target
+from receivables.operators.features import FEATURE_COLUMNS, customer_sums, engineer_features, late_rows, late_target
 
 FOLD_BUCKET_ROWS = 100_000  # rows of one class that are ranked together
 
@@ -40,11 +42,17 @@ class TrainedModel:
     cv: DataFrame
 
 
-def training_frame(invoices, customers, payments, as_of, late_threshold_days: int = 7, point_in_time: bool = False) -> DataFrame:
+def training_frame(invoices, customers, payments, as_of, late_threshold_days: int = 7, point_in_time: bool = False,
+                   run: Run | None = None) -> DataFrame:
     """Label frame (one row per invoice x payment, D1) with the 25 features; history from all invoices (D15) as of ``as_of``, or
-    with ``point_in_time`` as of each invoice's issue date."""
-    labelled = late_target(invoices, payments, late_threshold_days).drop("payment_date", "days_late")
-    feats = engineer_features(labelled, customers, payments, as_of, history_invoices=invoices, point_in_time=point_in_time)
+    with ``point_in_time`` as of each invoice's issue date. Labels, history and totals read the same rows, which ``run`` stores."""
+    mine = [c for c in ("invoice_id", "customer_id", "issue_date", "due_date", "invoice_amount", "status", "invoice_type", "channel") if c in invoices.columns]
+    paid = invoices.select(*mine).join(payments.select("invoice_id", "payment_date", F.col("amount").alias("pay_amount")), "invoice_id", "left")
+    paid = run.stored(paid, "paid") if run else paid
+    labelled = late_rows(paid, late_threshold_days).drop("payment_date", "days_late", "pay_amount")
+    sums = customer_sums(paid, as_of)
+    sums = run.stored(sums, "customers") if run else sums
+    feats = engineer_features(labelled, customers, payments, as_of, history_invoices=invoices, point_in_time=point_in_time, sums=sums)
     return feats.select("invoice_id", "issue_date", "is_late", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURE_COLUMNS])
 
 
@@ -68,14 +76,17 @@ def time_split(frame: DataFrame, test_size: float = 0.25) -> DataFrame:
     return frame.where(F.col("issue_date").isNotNull()).crossJoin(F.broadcast(cut)).withColumn("is_train", F.unix_date("issue_date") <= F.col("cutoff"))
 
 
-def stratified_folds(rows: DataFrame, folds: int, total: int, seed: int = 42, label: str = "is_late", key: str = "invoice_id") -> DataFrame:
+def stratified_folds(rows: DataFrame, folds: int, total: int, seed: int = 42, label: str = "is_late", key: str = "invoice_id",
+                     counted: DataFrame | None = None) -> DataFrame:
     """``fold``: the rows of each class, in the order of a hash of their key, dealt round robin, so that the folds of a
-    class differ by one row at most. A class is ranked in buckets of that hash (about ``FOLD_BUCKET_ROWS`` rows each)."""
+    class differ by one row at most. A class is ranked in buckets of that hash (about ``FOLD_BUCKET_ROWS`` rows each).
+    ``counted``: the same rows from a cheaper source, with their label and key."""
     buckets = max(1, -(-total // FOLD_BUCKET_ROWS))
     h = F.xxhash64(key, F.lit(seed))
-    part = rows.withColumn("__h", h).withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int"))
+    tagged = [df.withColumn("__h", h).withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int")) for df in (rows, rows if counted is None else counted)]
+    part = tagged[0]
     before = Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = part.groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = tagged[1].groupBy(label, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select(label, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy(label, "__bucket").orderBy("__h", key)
     ranked = part.withColumn("__place", F.row_number().over(inside)).join(F.broadcast(starts), [label, "__bucket"])  # 2 rows per bucket
@@ -109,7 +120,7 @@ def train(invoices, customers, payments, as_of, model_type: str = "gradient_boos
     spark = invoices.sparkSession
     workers_find_package(spark)
     with Run(spark, "model") as run:
-        frame = run.stored(training_frame(invoices, customers, payments, as_of, late_threshold_days, point_in_time).where(F.col("issue_date").isNotNull()), "frame")
+        frame = run.stored(training_frame(invoices, customers, payments, as_of, late_threshold_days, point_in_time, run).where(F.col("issue_date").isNotNull()), "frame")
         # Days are few, so the exact quantile comes from rows per day.
         day = F.unix_date("issue_date")
         days = frame.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))
@@ -120,9 +131,8 @@ def train(invoices, customers, payments, as_of, model_type: str = "gradient_boos
         if n_train + n_test < min_rows:
             raise ValueError(f"Insufficient training data: {n_train + n_test} rows. Need at least {min_rows}.")
         late = sum(r["late"] for r in sizes.values()) / (n_train + n_test)
-        train_rows = run.stored(stratified_folds(frame.where(is_train), cv_folds, n_train, seed), "train")
         fit = fit_boosting if model_type == "gradient_boost" else fit_logistic
-        model, train_acc, test_acc, auc, imp = fit(train_rows, frame.where(~is_train), n_train, n_test, cv_folds, seed, run, **params)
+        model, train_acc, test_acc, auc, imp = fit(frame.where(is_train), frame.where(~is_train), n_train, n_test, cv_folds, seed, run, **params)
     auc = round(float(np.mean(auc)), 4), round(float(np.std(auc)), 4)
     metrics = spark.createDataFrame(
         [(model_type, n_train, n_test, round(train_acc, 4), round(test_acc, 4), *auc, round(float(late) * 100, 2), late_threshold_days, trained_at)],
@@ -140,8 +150,9 @@ def fit_boosting(train_rows, test_rows, n_train, n_test, folds, seed, run, **par
     """Boosted trees: model, accuracy on both sides, ROC AUC of each fold, importances."""
     settings = boosting.Settings(seed=seed, **params)
     key = F.xxhash64("invoice_id", F.lit(seed))  # rows of one invoice are sampled together
-    rows = train_rows.select(*FEATURE_COLUMNS, F.col("is_late").alias("label"), "fold", key.alias("draw"))
-    model, _, margins = boosting.fit(rows, FEATURE_COLUMNS, folds, settings, run)
+    rows = train_rows.select(*FEATURE_COLUMNS, F.col("is_late").alias("label"), "invoice_id", key.alias("draw"))
+    deal = partial(stratified_folds, folds=folds, total=n_train, seed=seed, label="label", counted=rows.select("label", "invoice_id"))  # of binned rows: a fraction of the bytes
+    model, _, margins = boosting.fit(rows, FEATURE_COLUMNS, folds, settings, run, deal)
     right = (F.col("margin") > 0).cast("int") == F.col("label")
     train_acc = margins.where(F.col("margin").isNotNull()).agg(F.avg(right.cast("int"))).first()[0]
     tested = test_rows.select(F.col("is_late").alias("label"), model.margin().alias("margin"))
@@ -154,6 +165,7 @@ def fit_boosting(train_rows, test_rows, n_train, n_test, folds, seed, run, **par
 
 def fit_logistic(train_rows, test_rows, n_train, n_test, folds, seed, run, **params):
     """Logistic regression: model, accuracy on both sides, ROC AUC of each fold, absolute coefficients."""
+    train_rows = run.stored(stratified_folds(train_rows, folds, n_train, seed), "train")
     prep = preparation().fit(train_rows)
     ready = run.stored(prep.transform(train_rows).select("features", "is_late", "fold"), "vectors").persist()
     cv = CrossValidator(

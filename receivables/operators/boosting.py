@@ -10,9 +10,10 @@ first feature and then the lowest cut. Leaves take one Newton step of the logist
 Residuals and curvatures are added up as integers (parts in 2^30 and 2^20), so sums, and with them all trees, do not depend
 on the order or the number of partitions. The rows a tree samples are drawn by a hash of their key and the tree's number.
 
-Between trees each block keeps its margins, persisted in memory and on disk; every ``CHECKPOINT_TREES`` trees they are
-checkpointed into the shared folder, so a lost executor recomputes at most that many trees. This state is why the blocks
-are held as an RDD: a level has to run in tens of milliseconds, and planning a DataFrame for each costs more than its work.
+The blocks are dealt over as many partitions as there are cores. A partition's rows, their margins and the nodes where they
+stand are in a file on the local disk of its executor (``boosting_rows``); a level's job carries the trees so far and returns
+sums, no rows. A lost file is built anew from the stored blocks and these trees. The jobs run over a small cached RDD that tells
+Spark where each partition's file is: planning a DataFrame for each level costs more than its work on small tables.
 
 A table of at most ``BROADCAST_ROWS`` rows (a few MB once binned; the rows are counted first) is broadcast instead, and each model
 grows in a task of its own by the same code. Since sums are exact, both ways give the same trees bit by bit.
@@ -47,6 +48,7 @@ BROADCAST_ROWS = 1 << 18
 BUNDLE_CELLS = 1 << 12  # combined bins of features that are counted together; below 2^16
 BLOCK_ROWS = 1 << 16
 CHUNK_ROWS = 1 << 17  # rows that are looked at together: their arrays stay near the processor
+DEEP_CHUNKS = 2  # times as many below the root
 PACKED_ROWS = (1 << 17) - 1  # more rows would overflow the packed sums
 G_UNIT, H_UNIT, COUNT_UNIT = 2.0**30, 2.0**20, 2.0**35
 
@@ -180,7 +182,7 @@ def blocks(rows: DataFrame, columns: list[str], cuts: list[list[float]], size: i
 
     bytes_only = binned(rows, columns, cuts)
     dealt_rows = deal(bytes_only) if deal else bytes_only
-    packed = dealt_rows.select("x", "label", "fold", "draw").mapInArrow(pack, "x binary, y binary, fold binary, draw binary, counts array<long>")
+    packed = run.few(dealt_rows.select("x", "label", "fold", "draw")).mapInArrow(pack, "x binary, y binary, fold binary, draw binary, counts array<long>")
     return run.stored(packed, "blocks")
 
 
@@ -252,9 +254,10 @@ def descend(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int, no
             node += right
 
 
-def chunks(block: Block) -> Iterator[slice]:
-    for lo in range(0, len(block.y), CHUNK_ROWS):
-        yield slice(lo, min(lo + CHUNK_ROWS, len(block.y)))
+def chunks(block: Block, rows: int | None = None) -> Iterator[slice]:
+    rows = rows or CHUNK_ROWS
+    for lo in range(0, len(block.y), rows):
+        yield slice(lo, min(lo + rows, len(block.y)))
 
 
 Grown = tuple[np.ndarray, np.ndarray, np.ndarray]  # feature, bin and value of the nodes, each model x node
@@ -282,9 +285,10 @@ def next_level(block: Block, grown: Grown, level: int) -> None:
             descend(block.x[:, at], feature, cut, level, block.node[m, at], level - 1)
 
 
-def drawn(block: Block, leave_out: tuple[int, ...]) -> Iterator[Standing]:
-    """The rows that a tree samples; model by model, ``leave_out`` is the fold that it does not see."""
-    for at in chunks(block):
+def drawn(block: Block, leave_out: tuple[int, ...], levels: int) -> Iterator[Standing]:
+    """The rows that a tree samples; model by model, ``leave_out`` is the fold that it does not see. Below the root fewer rows are
+    counted in more nodes, so more are looked at together: their cells are added up once for each."""
+    for at in chunks(block, DEEP_CHUNKS * CHUNK_ROWS if levels else CHUNK_ROWS):
         on = block.taken[None, at] & (block.fold[None, at] != np.array(leave_out, np.int8)[:, None])
         yield Standing(block.x[:, at], on, block.y[at], block.margin[:, at], block.node[:, at])
 
@@ -510,7 +514,7 @@ def step(block: Block, k: int, trees: list[Grown], settings: Settings) -> None:
 def part_sums(parts: Iterator[Part], growth: Growth, trees: list[Grown], settings: Settings, tree: int, wanted: list[list[int]], levels: int, widths: list[int]) -> Iterator[Sums]:
     for part in parts:
         with growth.held(part, tree * settings.max_depth + levels, partial(step, trees=trees, settings=settings)) as block:
-            yield from level_sums(drawn(block, tuple(range(len(wanted)))), [], wanted, levels, widths)
+            yield from level_sums(drawn(block, tuple(range(len(wanted))), levels), [], wanted, levels, widths)
 
 
 def part_margins(parts: Iterator[Part], growth: Growth, trees: list[Grown], settings: Settings, folder: str) -> Iterator[int]:
@@ -531,7 +535,7 @@ def grow_distributed(packed: DataFrame, tasks: int, cuts: list[list[float]], pri
     spark, models = packed.sparkSession, len(priors)
     parts = dealt(packed, tasks)
     # A partition's place is where this small table's partition is cached: its tasks go to the executor that holds its rows.
-    places = spark.sparkContext.parallelize(parts, len(parts)).map(copied).persist(StorageLevel.MEMORY_ONLY)
+    places = spark.sparkContext.parallelize(parts, len(parts)).persist(StorageLevel.MEMORY_ONLY)
     growth = Growth(uuid.uuid4().hex, len(cuts), priors, settings.max_depth)
     trees: list[list[Tree]] = [[] for _ in priors]
     done: list[Grown] = []
@@ -554,10 +558,6 @@ def grow_distributed(packed: DataFrame, tasks: int, cuts: list[list[float]], pri
         places.unpersist()
 
 
-def copied(part: Part) -> Part:
-    return part
-
-
 def grow_broadcast(packed: DataFrame, tasks: int, cuts: list[list[float]], priors: list[float], settings: Settings, run: Run):
     """The same for a table whose blocks are small enough to be sent to every task: a task per model."""
     spark, models = packed.sparkSession, len(priors)
@@ -572,7 +572,7 @@ def grow_broadcast(packed: DataFrame, tasks: int, cuts: list[list[float]], prior
                 def totals(grown: Grown, levels: int, held=held, m=m, **k) -> Sums:
                     for block in held if levels else []:
                         next_level(block, grown, levels)
-                    return next(level_sums(chain.from_iterable(drawn(block, (m,)) for block in held), [], levels=levels, **k))
+                    return next(level_sums(chain.from_iterable(drawn(block, (m,), levels) for block in held), [], levels=levels, **k))
 
                 gains, trees, done = np.zeros((1, len(cuts))), [], None
                 for t in range(settings.n_estimators + 1):

@@ -48,10 +48,10 @@ def training_frame(invoices, customers, payments, as_of, late_threshold_days: in
     with ``point_in_time`` as of each invoice's issue date. Labels, history and totals read the same rows, which ``run`` stores."""
     mine = [c for c in ("invoice_id", "customer_id", "issue_date", "due_date", "invoice_amount", "status", "invoice_type", "channel") if c in invoices.columns]
     paid = invoices.select(*mine).join(payments.select("invoice_id", "payment_date", F.col("amount").alias("pay_amount")), "invoice_id", "left")
-    paid = run.stored(paid, "paid") if run else paid
+    paid = run.stored(run.few(paid), "paid") if run else paid
     labelled = late_rows(paid, late_threshold_days).drop("payment_date", "days_late", "pay_amount")
     sums = customer_sums(paid, as_of)
-    sums = run.stored(sums, "customers") if run else sums
+    sums = run.stored(run.few(sums), "customers") if run else sums
     feats = engineer_features(labelled, customers, payments, as_of, history_invoices=invoices, point_in_time=point_in_time, sums=sums)
     return feats.select("invoice_id", "issue_date", "is_late", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURE_COLUMNS])
 
@@ -120,7 +120,8 @@ def train(invoices, customers, payments, as_of, model_type: str = "gradient_boos
     spark = invoices.sparkSession
     workers_find_package(spark)
     with Run(spark, "model") as run:
-        frame = run.stored(training_frame(invoices, customers, payments, as_of, late_threshold_days, point_in_time, run).where(F.col("issue_date").isNotNull()), "frame")
+        frame = training_frame(invoices, customers, payments, as_of, late_threshold_days, point_in_time, run).where(F.col("issue_date").isNotNull())
+        frame = run.stored(run.few(frame), "frame")
         # Days are few, so the exact quantile comes from rows per day.
         day = F.unix_date("issue_date")
         days = frame.groupBy(day.alias("d")).agg(F.count(F.lit(1)).alias("n"))

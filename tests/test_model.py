@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from receivables.functions.stored import Run, workers_find_package
-from receivables.operators import boosting, boosting_rows, model
+from receivables.operators import boosting, boosting_rows, features, model
 from receivables.operators.features import FEATURE_COLUMNS
 from receivables.plans.catalog import AS_OF
 from receivables.sources.fixtures import Fixtures
@@ -304,3 +304,49 @@ def test_blocks_are_dealt_in_runs(spark, scratch):
         found = [[len(b["y"]) for b in boosting_rows.stored_blocks(p)] for p in parts]
         assert [sum(f) for f in found] == [p.rows for p in parts] and sorted(sum(found, [])) == sorted(len(y) for y, in rows)
         assert max(p.rows for p in parts) <= 40 / tasks + 2 * 9
+
+
+def test_trees_are_compiled_not_interpreted(spark):
+    """Spark interprets what stands in a lambda function: no condition of a tree does."""
+    tree = boosting.Tree([0, 0, -1, -1, -1, -1, -1], [0] * 7, [0.5, -0.5] + [0.0] * 5, [0.0, 0.0, 1.0, 2.0, 3.0, 0.0, 0.0])
+    rows = spark.createDataFrame([(1.0,), (0.0,), (-1.0,)], "a double")
+    lambdas = []
+    for n in (1, 40):
+        scored = rows.select(boosting.BoostedTrees(["a"], 0.25, 2, [tree] * n).margin().alias("m"))
+        assert [r.m for r in scored.collect()] == [0.25 + n, 0.25 + 3 * n, 0.25 + 2 * n]
+        lambdas.append(scored._jdf.queryExecution().analyzed().toString().count("lambda"))
+    assert lambdas[0] == lambdas[1]
+
+
+def test_training_joins_once_and_writes_features_once(fx, monkeypatch):
+    """Invoices and payments meet in one stored table; features are written once, everything after them is bytes."""
+    written, stored = {}, Run.stored
+
+    def watched(self, df, name):
+        written[name] = df.columns
+        return stored(self, df, name)
+
+    monkeypatch.setattr(Run, "stored", watched)
+    model.train(fx.invoices, fx.customers, fx.payments, AS_OF, cv_folds=3, n_estimators=1, max_depth=2)
+    assert {"paid", "customers", "frame", "blocks"} <= set(written)
+    assert [n for n, columns in written.items() if set(FEATURE_COLUMNS) <= set(columns)] == ["frame"]
+
+
+@pytest.mark.parametrize("point_in_time", [False, True])
+def test_features_from_stored_sums_are_the_same(spark, point_in_time):
+    """Customers without known rows, missing and unknown customers, missing dates, repeated keys."""
+    d = dt.date
+    invoices = spark.createDataFrame(
+        [("i1", "a", d(2001, 1, 1), d(2001, 2, 1), 100.0, "open", "recurring", "online"), ("i2", "a", d(2001, 3, 1), d(2001, 4, 1), 50.5, "paid", "one_time", "offline"),
+         ("i3", "b", d(2001, 8, 1), d(2001, 9, 1), 70.0, "open", "milestone", "online"), ("i4", None, d(2001, 2, 1), d(2001, 3, 1), 30.0, "open", None, None),
+         ("i5", "c", None, d(2001, 3, 1), 20.0, None, "recurring", "online"), ("i5", "c", d(2001, 1, 5), None, 25.0, "open", "recurring", "online"), ("i6", "zz", d(2001, 1, 9), d(2001, 1, 19), 1.0, "paid", "one_time", "online")],
+        "invoice_id string, customer_id string, issue_date date, due_date date, invoice_amount double, status string, invoice_type string, channel string")
+    customers = spark.createDataFrame([("a", 30, 1000.0), ("b", 15, 0.0), ("b", 45, 10.0), ("c", 30, None), ("d", 30, 5.0), (None, 1, 1.0)], "customer_id string, payment_terms_days int, credit_limit double")
+    payments = spark.createDataFrame([("i1", d(2001, 2, 20), 40.0), ("i1", d(2001, 7, 20), 60.0), ("i2", d(2001, 3, 30), 50.5), ("i4", None, 3.0), ("i5", d(2001, 2, 2), None), (None, d(2001, 1, 1), 9.0)],
+                                     "invoice_id string, payment_date date, amount double")
+    labelled = features.late_target(invoices, payments, 7).drop("payment_date", "days_late")
+    want = features.engineer_features(labelled, customers, payments, AS_OF, history_invoices=invoices, point_in_time=point_in_time)
+    columns = ["invoice_id", "issue_date", "is_late", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in FEATURE_COLUMNS]]
+    with Run(spark, "test") as run:
+        got = model.training_frame(invoices, customers, payments, AS_OF, 7, point_in_time, run)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*columns).collect()))
